@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from arborlake.functions import paths as P
 
 KEY = ["group_id", "path"]
-LIVE = ~F.col("is_tombstoned")
 TOTAL = "decimal(38,0)"  # sums of unsigned sizes may pass the long range on the way
 
 
+def alive() -> Column:
+    return ~F.col("is_tombstoned")
+
+
 def live(state: DataFrame) -> DataFrame:
     return state.where("not is_tombstoned")
 
@@ -39,12 +42,12 @@ def rollup_tree(state: DataFrame) -> DataFrame:
     Rows are summed per parent before ancestors are exploded, so the explosion works on
     directories instead of on files.
     """
-    alive = live(state)
-    per_parent = alive.withColumn("dir", P.parent_path("path")).where("dir is not null").groupBy("group_id", "dir").agg(
+    rows = live(state)
+    per_parent = rows.withColumn("dir", P.parent_path("path")).where("dir is not null").groupBy("group_id", "dir").agg(
         *_counters()
     )
     lifted = per_parent.withColumn("dir", F.explode(P.self_and_ancestors("dir")))
-    own = alive.where("is_dir").groupBy("group_id", F.col("path").alias("dir")).agg(*_counters())
+    own = rows.where("is_dir").groupBy("group_id", F.col("path").alias("dir")).agg(*_counters())
     return lifted.unionByName(own).groupBy("group_id", "dir").agg(
         *[F.sum(c).alias(c) for c in _SUMS],
         F.sum(F.col("total_size").cast(TOTAL)).cast("long").alias("total_size"),
@@ -78,10 +81,10 @@ def subtree_stats(state: DataFrame, query: str) -> DataFrame:
     everywhere = query in ("", P.SLASH)
     below = state.where(P.is_under("path", query))
     own = F.col("path") == (query or P.SLASH)
-    alive_file = LIVE & ~F.col("is_dir")
+    alive_file = alive() & ~F.col("is_dir")
     latest = F.max(F.when(alive_file, F.col("modified_time_us")))
     own_latest = F.max(F.when(alive_file & own, F.col("modified_time_us")))
-    counters = [c for c in _counters(LIVE & ~own)]
+    counters = [c for c in _counters(alive() & ~own)]
     counters[4] = F.when(own_latest.isNull() | (latest != own_latest), latest).alias("latest_file_mtime_us")
     direct = below.groupBy("group_id").agg(*counters)
     if everywhere:
@@ -108,12 +111,12 @@ def is_suspect(as_of_us: int | Column) -> Column:
 def health_stats(state: DataFrame, as_of_us: int) -> DataFrame:
     """Live, tombstone, attested, suspect and blind-spot counts; the root node itself only counts
     as suspect or tombstone."""
-    counted = LIVE & (F.col("path") != P.SLASH)
+    counted = alive() & (F.col("path") != P.SLASH)
     return state.groupBy("group_id").agg(
         F.count_if(counted).alias("live_nodes"),
         F.count_if("is_tombstoned").alias("tombstoned_count"),
         F.count_if(counted & F.col("monitoring_attested")).alias("attested_count"),
-        F.count_if(LIVE & is_suspect(as_of_us)).alias("suspect_count"),
+        F.count_if(alive() & is_suspect(as_of_us)).alias("suspect_count"),
         F.count_if(counted & F.col("blind_spot")).alias("blind_spot_count"),
         F.count("*").alias("total_nodes"),
     )

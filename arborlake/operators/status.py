@@ -31,7 +31,7 @@ def snapshot_readiness(readiness: Column, group: Column, primary: Column, total:
 
 def group_status(state: DataFrame, groups: DataFrame, as_of_us: int) -> DataFrame:
     """Status row of every group: health counters, clock lag, overflow, readiness, revision."""
-    any_live = state.groupBy("group_id").agg(F.count_if(U.LIVE).alias("_any_live"))
+    any_live = state.groupBy("group_id").agg(F.count_if(U.alive()).alias("_any_live"))
     health = U.health_stats(state, as_of_us)
     zero = ["live_nodes", "tombstoned_count", "attested_count", "suspect_count", "blind_spot_count", "total_nodes"]
     g = groups.join(health, "group_id", "left").join(any_live, "group_id", "left").fillna(0, [*zero, "_any_live"])

@@ -65,15 +65,15 @@ def page_roots(state: DataFrame, query: str) -> DataFrame:
     """The root row of a page, one per group that has state."""
     q = query or P.SLASH
     at_root = F.col("path") == q
-    alive_root = at_root & U.LIVE
+    alive_root = at_root & U.alive()
     direct = state.groupBy("group_id").agg(
         F.count_if(P.is_under("path", query)).alias("_known"),
         F.count_if(alive_root).alias("_alive"),
         F.max(F.when(alive_root, F.col("size"))).alias("_size"),
         F.max(F.when(alive_root, F.col("modified_time_us"))).alias("_mtime"),
         F.max(F.when(alive_root, F.col("is_dir"))).alias("_is_dir"),
-        F.count_if(U.LIVE & P.is_under("path", query)).alias("_live"),
-        F.count_if(U.LIVE & (P.parent_path("path") == q)).alias("_kids"),
+        F.count_if(U.alive() & P.is_under("path", query)).alias("_live"),
+        F.count_if(U.alive() & (P.parent_path("path") == q)).alias("_kids"),
     )
     alive = F.col("_alive") > 0
     known = (F.col("_known") > 0) | F.lit(query in ("", P.SLASH))
