@@ -23,9 +23,7 @@ def _q(value) -> Column:
 
 
 def to_byte_text(binary) -> Column:
-    return F.decode(_c(binary), F.lit("ISO-8859-1")) if not isinstance(binary, str) else F.decode(
-        F.col(binary), "ISO-8859-1"
-    )
+    return F.decode(_c(binary), "ISO-8859-1")
 
 
 def to_bytes(path) -> Column:
@@ -135,4 +133,4 @@ def make_relative(path, root, prefix: str = SLASH) -> Column:
 def preorder_key(path) -> Column:
     """Sort key of a depth-first walk: a directory comes before its content, the content before
     the next sibling. NUL cannot occur in a path, so it sorts below every name byte."""
-    return F.translate(_c(path), SLASH, "\x00")
+    return F.replace(_c(path), F.lit(SLASH), F.lit("\x00"))

@@ -595,6 +595,38 @@ def not_covered(rows: DataFrame, skipped: DataFrame) -> DataFrame:
     return rows.join(covered, KEY, "left_anti")
 
 
+def reject_below_tombstones(records: DataFrame, state: DataFrame) -> DataFrame:
+    """Scan records without a tombstoned ancestor in ``state``; other records pass."""
+    dirs = state.where("is_tombstoned").select("group_id", F.col("path").alias("dir"))
+    scan = F.col("source") == S.SCAN
+    exploded = records.where(scan).select("group_id", "seq", F.explode(P.ancestors("path")).alias("dir"))
+    hit = lookup_join(exploded, dirs, ["group_id", "dir"], "left_semi", salt_from=["seq"]).select("group_id", "seq").distinct()
+    return records.join(hit, ["group_id", "seq"], "left_anti")
+
+
+def reject_stale_parents(records: DataFrame, state: DataFrame) -> DataFrame:
+    """Drop scan updates of unknown paths whose parent is known to be newer than they claim."""
+    known = state.select(*KEY, F.lit(True).alias("_known"))
+    parents = state.select("group_id", F.col("path").alias("parent_path"), F.col("modified_time_us").alias("_parent_mtime"))
+    joined = lookup_join(records, parents, ["group_id", "parent_path"], "left", salt_from=["seq"])
+    joined = lookup_join(joined, known, KEY, "left", salt_from=["seq"])
+    stale = (
+        (F.col("source") == S.SCAN) & (F.col("event_kind") == S.UPDATE) & F.col("_known").isNull()
+        & (F.col("parent_mtime_us") > 0) & (F.col("parent_mtime_us") < F.col("_parent_mtime"))
+    )
+    return joined.where(~F.coalesce(stale, F.lit(False))).drop("_known", "_parent_mtime")
+
+
+def write_significant(outcome, audit_skipped, before, after):
+    """Whether an outcome changed content: structs ``before`` and ``after`` hold size,
+    modified_time_us, is_dir and is_tombstoned."""
+    out = F.col(outcome)
+    changed = F.lit(False)
+    for name in ("size", "modified_time_us", "is_dir", "is_tombstoned"):
+        changed = changed | ~F.col(f"{before}.{name}").eqNullSafe(F.col(f"{after}.{name}"))
+    return out.isin(S.CREATED, S.DELETED) | ((out == S.MODIFIED) & ~F.col(audit_skipped) & changed)
+
+
 def collect_tombstones(state: DataFrame, now_us: int) -> DataFrame:
     """Drop tombstones whose time is over or that have none."""
     gone = F.col("is_tombstoned") & (

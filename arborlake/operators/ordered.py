@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from arborlake.skew import lookup_join
+from arborlake.storage import materialize
+
 BUCKET_WIDTH = 1 << 16
 
 
@@ -39,6 +42,22 @@ def running_max(
     return bucketed.join(carries, [*by, "_b"]).withColumn(out, F.greatest(*parts)).drop("_b", "_carry")
 
 
+def number_rows(df: DataFrame, by: Sequence[str], order: str, out: str, start: int = 1) -> DataFrame:
+    """Dense row numbers per ``by`` key in ``order``, without one window per key: rows are ordered
+    across range partitions and numbered inside each; the counts of earlier partitions are added."""
+    by = list(by)
+    ranged = df.repartitionByRange(*by, order).sortWithinPartitions(*by, order)
+    local = materialize(
+        ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "numbered"
+    )
+    counts = local.groupBy(*by, "_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(*by, "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return lookup_join(local, offsets, [*by, "_part"], "inner", salt_from=["_row"]).withColumn(
+        out, F.col("_row") - F.col("_first") + F.col("_off") + start
+    ).drop("_part", "_row", "_first", "_off")
+
+
 def as_of(
     probes: DataFrame,
     events: DataFrame,

@@ -71,7 +71,9 @@ def _entries(json: Column) -> Column:
 def flatten_mapping(mappings: DataFrame) -> DataFrame:
     """(index, name, field_type) of nested mapping documents (index, mapping JSON).
 
-    Nested ``properties`` and multi ``fields`` become dotted names. One pass per nesting level, each
+    Nested ``properties`` and multi ``fields`` become dotted names. Every object with a
+    ``properties`` member starts a naming of its own, so nested fields also appear under the
+    shorter names seen from there. One pass per nesting level, each
     over the whole table of mappings; ``_id`` and ``_index`` are added; one row per name, a typed
     one before an untyped one.
     """

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from arborlake import schemas as S
 from arborlake.functions import paths as P
 from arborlake.operators.arbitrate import not_covered
+from arborlake.operators.ordered import number_rows
 from arborlake.operators.rollup import directory_fingerprints
 from arborlake.skew import lookup_join
 
@@ -68,27 +69,10 @@ def scan_tree(listing: DataFrame) -> DataFrame:
     )
 
 
-def number_rows(df: DataFrame, order: str, start: int = 0) -> DataFrame:
-    """Dense ``seq`` per group in the order of ``order``, without one window per group: rows are
-    range-partitioned, counted per partition, and the counts carried forward."""
-    from arborlake.storage import materialize
-
-    parts = df.repartitionByRange("group_id", order).sortWithinPartitions("group_id", order)
-    local = materialize(
-        parts.withColumn("_part", F.spark_partition_id())
-        .withColumn("_row", F.monotonically_increasing_id()), "numbered"
-    )
-    counts = local.groupBy("group_id", "_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
-    before = W.partitionBy("group_id").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("group_id", "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return lookup_join(local, offsets, ["group_id", "_part"], "inner").withColumn(
-        "seq", F.col("_row") - F.col("_first") + F.col("_off") + start
-    ).drop("_part", "_row", "_first", "_off")
-
-
 def audit_log(scan: DataFrame, origin_id: Column, epoch: int, now_us: int, start_seq: int = 0) -> DataFrame:
     """A whole scan between an audit start and an audit end, per group."""
-    numbered = number_rows(scan.withColumn("_k", P.preorder_key("path")), "_k", start_seq + 1).drop("_k")
+    keyed = scan.withColumn("_k", P.preorder_key("path"))
+    numbered = number_rows(keyed, ["group_id"], "_k", "seq", start_seq + 1).drop("_k")
     records = numbered.withColumn("rec_type", F.lit(S.DATA)).withColumn("epoch_id", F.lit(None).cast("long"))
     bounds = numbered.groupBy("group_id").agg(F.max("seq").alias("_last"))
     frame = lambda kind, seq: bounds.select(
