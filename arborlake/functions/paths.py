@@ -63,12 +63,13 @@ def segment_count(path) -> Column:
     return F.size(F.array_remove(F.split(_c(path), SLASH), ""))
 
 
-def relative_depth(path, root) -> Column:
+def relative_depth(path, root: str) -> Column:
     """0 for the root itself, the number of segments below it, null outside of it."""
-    p, r = _c(path), _q(root)
-    below = F.when(r == SLASH, p.startswith(SLASH)).otherwise(p.startswith(F.concat(r, F.lit(SLASH))))
-    rest = F.when(r == SLASH, p).otherwise(p.substr(F.length(r) + 1, F.length(p)))
-    return F.when(p == r, F.lit(0)).when(below, segment_count(rest))
+    p = _c(path)
+    if root == SLASH:
+        return F.when(p.startswith(SLASH), segment_count(p))
+    below = F.concat(p, F.lit(SLASH)).startswith(root + SLASH)
+    return F.when(below, segment_count(F.substring(p, len(root) + 1, 1 << 30)))
 
 
 def file_name(path) -> Column:

@@ -55,7 +55,9 @@ def byte_budget_page(page: DataFrame, by: list[str], position: str, limit_bytes:
     return (
         page.withColumn("encoded_bytes", total.cast("long"))
         .withColumn("fits", F.col("encoded_bytes") <= limit_bytes)
-        .where(F.col("fits") | (F.row_number().over(W.partitionBy(*by).orderBy(position)) == 1))
+        .withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(position)))
+        .where(F.col("fits") | (F.col("_n") == 1))
+        .drop("_n")
     )
 
 

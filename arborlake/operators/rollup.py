@@ -166,12 +166,8 @@ def quiet_anchor(state: DataFrame, query: str) -> DataFrame:
 def directory_fingerprints(listing: DataFrame) -> DataFrame:
     """Order-free fingerprint of a directory's children from (group_id, path, is_dir)."""
     h = F.xxhash64(P.file_name("path"), F.col("is_dir"))
-    rotated = F.shiftleft(h, F.pmod(h, F.lit(64)).cast("int")).bitwiseOR(
-        F.shiftrightunsigned(h, F.pmod(-F.pmod(h, F.lit(64)), F.lit(64)).cast("int"))
-    )
     per_dir = (
-        listing.withColumn("dir", P.parent_path("path")).where("dir is not null")
-        .select("group_id", "dir", "is_dir", h.alias("_h"), F.pmod(rotated, F.lit(1 << 62)).alias("_r"))
+        listing.select("group_id", P.parent_path("path").alias("dir"), "is_dir", h.alias("_h")).where("dir is not null")
         .groupBy("group_id", "dir")
         .agg(
             F.count("*").alias("entries"),
@@ -179,12 +175,11 @@ def directory_fingerprints(listing: DataFrame) -> DataFrame:
             F.count_if(~F.col("is_dir")).alias("files"),
             F.bit_xor("_h").alias("_x"),
             F.sum(F.col("_h").cast(TOTAL)).alias("_s"),
-            F.sum(F.col("_r").cast(TOTAL)).alias("_rs"),
         )
     )
     return per_dir.select(
         "group_id", "dir", "entries", "dirs", "files",
-        F.xxhash64("entries", "dirs", "files", "_x", F.col("_s").cast("string"), F.col("_rs").cast("string")).alias("fingerprint"),
+        F.xxhash64("entries", "dirs", "files", "_x", F.col("_s").cast("string")).alias("fingerprint"),
     )
 
 

@@ -50,7 +50,7 @@ def preview_roots(roots: DataFrame, grants: DataFrame) -> tuple[DataFrame, DataF
 
 def validate_roots(roots: DataFrame) -> DataFrame:
     """One row (root_id, error) per broken rule."""
-    copies = F.count("*").over(W.partitionBy("id"))
+    copies = F.col("_copies")
     empty = F.lit(True)
     for f in SELECTOR_FIELDS:
         empty = empty & F.col(f"selector.{f}").isNull()
@@ -63,7 +63,8 @@ def validate_roots(roots: DataFrame) -> DataFrame:
         F.when(~F.col("subpath_scope").startswith("/"), F.lit("relative subpath scope")),
         F.when(~F.col("watch") & ~F.col("scan"), F.lit("neither watch nor scan")),
     )
-    return roots.select(F.col("id").alias("root_id"), F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("error"))
+    counted = roots.withColumn("_copies", F.count("*").over(W.partitionBy("id")))
+    return counted.select(F.col("id").alias("root_id"), F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("error"))
 
 
 def elect_primary(roots: DataFrame, grants: DataFrame, skip_own_id: bool = False) -> DataFrame:

@@ -355,9 +355,10 @@ COLS = with_(V.SQL_COLUMNS)
 
 
 @query("discover_columns", COLS + """
-SELECT schema, "table", "column", ordinal_position, column_type FROM cols WHERE starts_with(schema, 'brand_') AND ("table" = 'x' OR starts_with("table", 'st') AND ends_with("table", '_tin') OR ends_with("table", 's') )""")
+SELECT schema, "table", "column", ordinal_position, column_type FROM cols
+WHERE starts_with(schema, 'brand_') AND ("table" = 'x' OR (starts_with("table", 's') AND ends_with("table", 'll')) OR starts_with("table", 'eco'))""")
 def discover_columns(spark, d):
-    return R.discover_columns(V.columns(spark, d), ["brand_*"], ["x", "st*_tin", "*s"]).drop("object_ref")
+    return R.discover_columns(V.columns(spark, d), ["brand_*"], ["x", "s*ll", "eco*"]).drop("object_ref")
 
 
 @query("row_to_json", """

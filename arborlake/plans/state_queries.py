@@ -253,12 +253,12 @@ rb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_id, np ORD
 own AS (SELECT group_id, modified_time_us AS m FROM live WHERE path = '{q}' AND NOT is_dir),
 mx AS (SELECT group_id, max(modified_time_us) AS m FROM live WHERE {under('path', q)} AND NOT is_dir GROUP BY 1),
 direct AS (SELECT group_id, {AGG} FROM live WHERE {under('path', q)} AND path <> '{q}' GROUP BY group_id),
-both AS (SELECT * FROM direct UNION ALL SELECT group_id, {AGG} FROM rb GROUP BY group_id)
+joined AS (SELECT * FROM direct UNION ALL SELECT group_id, {AGG} FROM rb GROUP BY group_id)
 SELECT g.group_id, coalesce(total_nodes, 0) AS total_nodes, coalesce(total_files, 0) AS total_files, coalesce(total_dirs, 0) AS total_dirs,
   coalesce(total_size, 0) AS total_size,
   CASE WHEN own.m IS NOT NULL AND own.m = mx.m THEN NULL ELSE latest_file_mtime_us END AS latest_file_mtime_us,
   coalesce(attested_count, 0) AS attested_count, coalesce(blind_spot_count, 0) AS blind_spot_count
-FROM (SELECT DISTINCT group_id FROM st) g LEFT JOIN both USING (group_id) LEFT JOIN own USING (group_id) LEFT JOIN mx USING (group_id)"""
+FROM (SELECT DISTINCT group_id FROM st) g LEFT JOIN joined USING (group_id) LEFT JOIN own USING (group_id) LEFT JOIN mx USING (group_id)"""
 
 
 @query("subtree_stats", stats_sql("/u3/d5"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arborlake import schemas as S
 from arborlake.functions import paths as P
+from arborlake.storage import materialize
 
 DAY_US = 86_400_000_000
 
@@ -155,7 +156,22 @@ grp AS (
   FROM base GROUP BY group_id)"""
 
 
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def stored(spark: SparkSession, folder: str, name: str, build) -> DataFrame:
+    """A derived table, written once per session as the state tables it stands for are."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _STORED:
+        _STORED[key] = materialize(build(spark, folder), name)
+    return _STORED[key]
+
+
 def winner_state(spark: SparkSession, folder: str) -> DataFrame:
+    return stored(spark, folder, "winner-state", build_winner_state)
+
+
+def build_winner_state(spark: SparkSession, folder: str) -> DataFrame:
     """A state table that SQL can state too: the newest record of every path."""
     rank = F.struct("mtime_us", (F.col("event_kind") == S.DELETE).cast("int").alias("d"), (-F.col("seq")).alias("s"))
     names = ["seq", "size", "mtime_us", "is_dir", "source", "arrival_us", "timestamp_us", "event_kind", "is_atomic_write"]

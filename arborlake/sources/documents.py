@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arborlake.functions.predicates import effective_limit
 from arborlake.operators.paging import KeysetPage, keyset_page
+from arborlake.storage import materialize
 
 DEFAULT_PAGE, MAX_PAGE = 100, 1_000
 
@@ -85,11 +86,11 @@ def flatten_mapping(mappings: DataFrame) -> DataFrame:
             "index", F.lit("").alias("prefix"), F.get_json_object("j", "$.properties").alias("props")
         )
         roots = found if roots is None else roots.unionByName(found)
-        level = level.select("index", F.explode(_entries(F.col("j"))).alias("e")).select(
-            "index", F.col("e.value").alias("j")
-        ).where(F.col("j").startswith("{"))
+        inner = level.select("index", F.explode(_entries(F.col("j"))).alias("e")).select("index", F.col("e.value").alias("j"))
+        level = materialize(inner.where(F.col("j").startswith("{")), "mapping-objects")
         if level.isEmpty():
             break
+    roots = materialize(roots, "mapping-roots")
     out, level = None, roots
     while True:
         named = level.select("index", "prefix", F.explode(_entries(F.col("props"))).alias("e")).select(
@@ -99,10 +100,11 @@ def flatten_mapping(mappings: DataFrame) -> DataFrame:
         )
         typed = named.select("index", "name", F.get_json_object("d", "$.type").alias("field_type")).where("field_type is not null")
         out = typed if out is None else out.unionByName(typed)
-        level = named.select(
+        nested = named.select(
             "index", F.col("name").alias("prefix"),
             F.explode(F.array(F.get_json_object("d", "$.properties"), F.get_json_object("d", "$.fields"))).alias("props"),
-        ).where("props is not null")
+        )
+        level = materialize(nested.where("props is not null"), "mapping-level")
         if level.isEmpty():
             break
     builtin = mappings.select("index").distinct().select("index", F.explode(F.array(
