@@ -401,7 +401,7 @@ def apply_log(
     if untouched is not None:
         new_state = new_state.unionByName(_carry_untouched(untouched, all_purges, ends if has_ends else None, marks))
     outcomes = folded.where(F.col("out") == "outcome").select(
-        *KEY, "seq", "origin_id", "arrival_us", "outcome", "significant",
+        *KEY, "seq", "origin_id", "arrival_us", "outcome", "significant", "stamps",
         F.col("rec_is_dir").alias("is_dir"), F.col("rec_mtime_us").alias("mtime_us"),
         F.col("rec_ctime_us").alias("ctime_us"),
     )
@@ -499,8 +499,12 @@ def drop_missing(state: DataFrame, ends: DataFrame, marks: DataFrame | None) ->
 
 
 def change_stamps(outcomes: DataFrame) -> DataFrame:
-    """(group_id, path, changed_us): the last significant change at or below every directory."""
-    last = outcomes.where("significant").groupBy(*KEY).agg(
+    """(group_id, path, changed_us): the last stamping change at or below every directory.
+
+    Which ancestors had a node at that time needs no look-up: a node created later stamps itself
+    with its own, later, creation.
+    """
+    last = outcomes.where("stamps").groupBy(*KEY).agg(
         F.max(F.struct("seq", "arrival_us")).alias("last")
     )
     return (

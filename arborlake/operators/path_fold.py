@@ -30,7 +30,7 @@ _STATE_TYPES = [_ARROW[S.STATE[name].dataType.simpleString()] for name in STATE_
 
 OUTPUT_SPEC = (
     [("out", "string"), ("group_id", "string"), ("path", "string"), ("seq", "long"), ("origin_id", "string"),
-     ("arrival_us", "long"), ("outcome", "string"), ("significant", "boolean"), ("rec_is_dir", "boolean"),
+     ("arrival_us", "long"), ("outcome", "string"), ("significant", "boolean"), ("stamps", "boolean"), ("rec_is_dir", "boolean"),
      ("rec_mtime_us", "long"), ("rec_ctime_us", "long"), ("known", "boolean"), ("tomb", "boolean"),
      ("at_mtime_us", "long")]
     + [(name, S.STATE[name].dataType.simpleString()) for name in STATE_FIELDS]
@@ -170,7 +170,7 @@ class _Emitter:
         yield from self._batch("state", self.states, ["group_id", "path", *STATE_FIELDS])
         yield from self._batch(
             "outcome", self.outcomes,
-            ["group_id", "path", "seq", "origin_id", "arrival_us", "outcome", "significant", "rec_is_dir",
+            ["group_id", "path", "seq", "origin_id", "arrival_us", "outcome", "significant", "stamps", "rec_is_dir",
              "rec_mtime_us", "rec_ctime_us"],
         )
         yield from self._batch("timeline", self.timeline, ["group_id", "path", "seq", "known", "tomb", "at_mtime_us"])
@@ -252,7 +252,9 @@ class PathFolder:
         self.state = after
         self.purge_at = next_purge
         significant = _significant(before, after, outcome, skipped)
-        self.emit.outcomes.append((group, path, seq, origin, now, outcome, significant, is_dir, mtime, ctime))
+        # a path that is gone after its change stamps neither itself nor its ancestors
+        stamps = significant and after is not None
+        self.emit.outcomes.append((group, path, seq, origin, now, outcome, significant, stamps, is_dir, mtime, ctime))
         if purges:
             self.emit.purges.append((group, path, seq))
         self._mark(seq)

@@ -171,7 +171,7 @@ def outcome_rows(spark, d):
     kinds = F.array(*[F.lit(k) for k in (S.CREATED, S.MODIFIED, S.IGNORED, S.DELETED)])
     return V.base_log(spark, d).select(
         "group_id", "path", "seq", "origin_id", "arrival_us", F.get(kinds, F.col("seq") % 4).alias("outcome"),
-        (F.col("seq") % 4 != 2).alias("significant"), "is_dir", "mtime_us",
+        (F.col("seq") % 4 != 2).alias("significant"), (F.col("seq") % 4 < 2).alias("stamps"), "is_dir", "mtime_us",
         F.when(F.col("seq") % 3 == 0, F.lit(0)).otherwise(F.col("mtime_us") - 5_000_000).cast("long").alias("ctime_us"),
     )
 
@@ -179,7 +179,7 @@ def outcome_rows(spark, d):
 SQL_OUT = V.SQL_BASE + """,
 outc AS (
   SELECT group_id, path, seq, origin_id, arrival_us, ['UpsertCreated', 'UpsertModified', 'Ignored', 'DeleteApplied'][seq % 4 + 1] AS outcome,
-         seq % 4 <> 2 AS significant, is_dir, mtime_us, CASE WHEN seq % 3 = 0 THEN 0 ELSE mtime_us - 5000000 END AS ctime_us
+         seq % 4 <> 2 AS significant, seq % 4 < 2 AS stamps, is_dir, mtime_us, CASE WHEN seq % 3 = 0 THEN 0 ELSE mtime_us - 5000000 END AS ctime_us
   FROM base),
 lags AS (
   SELECT group_id, origin_id AS object_ref, path, seq, arrival_us AS observed_at_us,

@@ -219,10 +219,9 @@ def full_skeleton(spark, d):
 
 
 def graph(spark, d):
-    sk = full_skeleton(spark, d)
     key = (spark.sparkContext.applicationId, d)
     if key not in _GRAPHS:
-        g, ack = G.ingest(G.empty_graph(spark), sk)
+        g, ack = G.ingest(G.empty_graph(spark), full_skeleton(spark, d))
         _GRAPHS[key] = (G.Graph(*[materialize(df, "graph") for df in (g.nodes, g.edges, g.evidence)]), materialize(ack, "graph-ack"))
     return _GRAPHS[key]
 

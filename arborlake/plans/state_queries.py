@@ -480,7 +480,7 @@ def collect_tombstones(spark, d):
 
 
 @query("change_stamps", with_(SQL_OUT) + f"""
-SELECT group_id, path, arg_max(arrival_us, seq) AS changed_us FROM (SELECT group_id, unnest({lineage('path')}) AS path, arrival_us, seq FROM outc WHERE significant) GROUP BY 1, 2""")
+SELECT group_id, path, arg_max(arrival_us, seq) AS changed_us FROM (SELECT group_id, unnest({lineage('path')}) AS path, arrival_us, seq FROM outc WHERE stamps) GROUP BY 1, 2""")
 def change_stamps(spark, d):
     return A.change_stamps(outcome_rows(spark, d))
 

@@ -42,7 +42,7 @@ GROUPS = _schema(
 
 OUTCOMES = _schema(
     """group_id string, path string, seq long, origin_id string, arrival_us long, outcome string,
-    significant boolean, is_dir boolean, mtime_us long, ctime_us long"""
+    significant boolean, stamps boolean, is_dir boolean, mtime_us long, ctime_us long"""
 )
 
 GRANTS = _schema(
