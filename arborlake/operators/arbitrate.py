@@ -205,46 +205,47 @@ class Lines:
                 self.n_tombs += row.tombs
 
 
-SMALL_EVENTS = 20_000
+SMALL_EVENTS = 50_000
+
+
+def _timelines(spark: SparkSession, lines: Lines):
+    """All timelines as one broadcast; the caller has checked their row counts."""
+    changes = [tuple(r) for r in lines.timeline.select(*KEY, "seq", "known", "tomb", "at_mtime_us").collect()]
+    purges = [tuple(r) for r in lines.purges.select(*KEY, "seq").collect()] if lines.n_purges else []
+    return spark.sparkContext.broadcast(PF.Timelines(changes, purges))
 
 
 def _effect_rows(rows: DataFrame, lines: Lines) -> list[DataFrame]:
     """What ancestors do to the given records and heads, as ``fx`` rows for the fold."""
-    if lines.n_timeline == 0:
-        return []
     by = ["group_id", "dir"]
     scan = F.col("op") == PF.SCAN_UPDATE
     found = []
 
-    asks = scan & (F.col("parent_mtime_us") > 0) & (F.coalesce("parent_path", F.lit("")) != "")
-    probes = rows.where(asks).select("group_id", F.col("parent_path").alias("dir"), "path", "seq", "parent_mtime_us")
-    parents = lines.timeline.select("group_id", F.col("path").alias("dir"), "seq", "known", "at_mtime_us")
-    seen = as_of(
-        probes, parents, by, "seq", ["known", "at_mtime_us"], "_p", small=lines.n_timeline <= SMALL_EVENTS
+    probes = rows.where(scan & (F.col("claimed_parent_us") > 0)).select(
+        "group_id", P.parent_path("path").alias("dir"), "path", "seq", "claimed_parent_us"
     )
+    parents = lines.timeline.select("group_id", F.col("path").alias("dir"), "seq", "known", "at_mtime_us")
+    seen = as_of(probes, parents, by, "seq", ["known", "at_mtime_us"], "_p")
     found.append(
-        seen.where(F.col("_p.known") & (F.col("parent_mtime_us") < F.col("_p.at_mtime_us")))
+        seen.where(F.col("_p.known") & (F.col("claimed_parent_us") < F.col("_p.at_mtime_us")))
         .select(*KEY, "seq", F.lit(True).alias("stale_parent"))
     )
 
     if lines.n_tombs:
         dirs = lines.timeline.where("tomb").select("group_id", F.col("path").alias("dir")).distinct()
-        small = lines.n_timeline <= SMALL_EVENTS
         events = lines.timeline.withColumnRenamed("path", "dir").join(dirs, by, "left_semi")
-        below = _exploded(rows.where(scan)).transform(lambda d: lookup_join(d, dirs, by, "left_semi", ["path", "seq"]))
-        tombed = as_of(below, events, by, "seq", ["tomb"], "_t", small=small)
+        below = lookup_join(_exploded(rows.where(scan)), dirs, by, "left_semi", ["path", "seq"])
+        tombed = as_of(below, events, by, "seq", ["tomb"], "_t")
         found.append(tombed.where("_t.tomb").select(*KEY, "seq", F.lit(True).alias("under_tombstone")))
 
     if lines.n_purges:
-        small = lines.n_purges <= SMALL_EVENTS
         cuts = lines.purges.withColumnRenamed("path", "dir")
         # heads share seq -1, so they take their first purge by a minimum instead of the as-of join
         first = cuts.groupBy(*by).agg(F.min("seq").alias("next_purge"))
         is_head = F.col("seq") == HEAD_SEQ
-        heads = lookup_join(_exploded(rows.where(is_head)), first, by, "inner", ["path"], small=small)
-        below = lookup_join(_exploded(rows.where(~is_head)), first.drop("next_purge"), by, "left_semi", ["path", "seq"],
-                            small=small)
-        purged = as_of(below, cuts, by, "seq", [], "_n", forward=True, small=small)
+        heads = lookup_join(_exploded(rows.where(is_head)), first, by, "inner", ["path"])
+        below = lookup_join(_exploded(rows.where(~is_head)), first.drop("next_purge"), by, "left_semi", ["path", "seq"])
+        purged = as_of(below, cuts, by, "seq", [], "_n", forward=True)
         found.append(heads.select(*KEY, "seq", "next_purge"))
         found.append(purged.where("_n is not null").select(*KEY, "seq", F.col("_n.at").alias("next_purge")))
     return found
@@ -270,11 +271,12 @@ def _op_code():
 def _fold_level(
     rows: DataFrame, lines: Lines, ends: DataFrame | None, small_ends: bool, policy: PF.Policy, timeline: bool, label: str
 ) -> DataFrame:
-    stream = reduce(
-        DataFrame.unionByName,
-        [_aligned(fx.withColumn("kind", F.lit("fx"))) for fx in _effect_rows(rows, lines)],
-        _aligned(rows),
-    )
+    stream, timelines = _aligned(rows), None
+    if lines.n_timeline + lines.n_purges > SMALL_EVENTS:
+        for fx in _effect_rows(rows, lines):
+            stream = stream.unionByName(_aligned(fx.withColumn("kind", F.lit("fx"))))
+    elif lines.n_timeline:
+        timelines = _timelines(rows.sparkSession, lines)
     if ends is not None and not small_ends:
         stream = lookup_join(stream, ends, ["group_id"], salt_from=["path"], small=False)
     ready = stream.repartition(*KEY)
@@ -283,8 +285,8 @@ def _fold_level(
     elif small_ends:
         # broadcast after the shuffle, so the strings are never shuffled
         ready = ready.join(F.broadcast(ends), ["group_id"], "left")
-    ready = ready.sortWithinPartitions(*KEY, "seq", "kind").select(*PF.INPUT_COLUMNS, *PF.HEAD_COLUMNS)
-    return materialize(ready.mapInArrow(PF.folder(policy, timeline), PF.OUTPUT_DDL), label, partition_by="out")
+    ready = ready.sortWithinPartitions(*KEY, "seq", "kind").select(*PF.INPUT_COLUMNS, "prior")
+    return materialize(ready.mapInArrow(PF.folder(policy, timeline, timelines), PF.OUTPUT_DDL), label, partition_by="out")
 
 
 def apply_log(
@@ -320,7 +322,8 @@ def apply_log(
         data.withColumn("op", _op_code().cast("int"))
         .withColumn("kind", F.lit("rec"))
         .withColumn("audit_skipped", F.coalesce("audit_skipped", F.lit(False)))
-        .drop("_clock0", "_epoch0", "rec_type", "epoch_id", "is_primary", "event_kind", "source", "is_atomic_write")
+        .withColumn("claimed_parent_us", F.when(F.coalesce("parent_path", F.lit("")) != "", F.col("parent_mtime_us")))
+        .drop("_clock0", "parent_path", "parent_mtime_us", "_epoch0", "rec_type", "epoch_id", "is_primary", "event_kind", "source", "is_atomic_write")
     )
 
     # paths that other records of the batch lie below
@@ -414,20 +417,19 @@ def apply_log(
 _EMPTY = {
     "seq": "long", "kind": "string", "op": "int", "is_dir": "boolean", "size": "long", "mtime_us": "long",
     "ctime_us": "long", "timestamp_us": "long", "arrival_us": "long", "clock_us": "long", "epoch": "long",
-    "origin_id": "string", "covered": "string", "audit_skipped": "boolean", "parent_path": "string",
-    "parent_mtime_us": "long", "under_tombstone": "boolean", "stale_parent": "boolean", "next_purge": "long",
+    "origin_id": "string", "covered": "string", "audit_skipped": "boolean", "claimed_parent_us": "long",
+    "under_tombstone": "boolean", "stale_parent": "boolean", "next_purge": "long",
 }
 
 
+PRIOR = "struct<" + ",".join(f"{n}:{S.STATE[n].dataType.simpleString()}" for n in PF.STATE_FIELDS) + ">"
+
+
 def _aligned(rows: DataFrame) -> DataFrame:
+    """The columns of the fold's input; a prior state travels as one struct, null on records."""
     have = set(rows.columns)
-    fill = {name: F.lit(None).cast(t).alias(name) for name, t in _EMPTY.items()}
-    prior = {
-        name: F.lit(None).cast(S.STATE[name.removeprefix("prior_")].dataType).alias(name) for name in PF.HEAD_COLUMNS
-    }
-    return rows.select(
-        *KEY, *[F.col(n) if n in have else c for n, c in {**fill, **prior}.items()]
-    )
+    fill = {**_EMPTY, "prior": PRIOR}
+    return rows.select(*KEY, *[F.col(n) if n in have else F.lit(None).cast(t).alias(n) for n, t in fill.items()])
 
 
 def _head_rows(heads: DataFrame, has_cover: bool) -> DataFrame:
@@ -437,7 +439,7 @@ def _head_rows(heads: DataFrame, has_cover: bool) -> DataFrame:
         F.lit(HEAD_SEQ).cast("long").alias("seq"),
         F.lit("head").alias("kind"),
         (F.col("covered") if has_cover else F.lit(None).cast("string")).alias("covered"),
-        *[F.col(n.removeprefix("prior_")).alias(n) for n in PF.HEAD_COLUMNS],
+        F.when(F.col("is_dir").isNotNull(), F.struct(*PF.STATE_FIELDS)).alias("prior"),
     )
 
 

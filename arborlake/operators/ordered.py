@@ -67,21 +67,15 @@ def as_of(
     out: str,
     forward: bool = False,
     width: int = BUCKET_WIDTH,
-    small: bool = False,
 ) -> DataFrame:
     """Nearest event strictly before (or after) each probe.
 
     Adds ``out``: a struct of the event's ``order`` and ``values``, or null. A key of the join is
     (by, bucket), which holds at most ``width`` events and, for probes that are unique in
-    (by, order), at most ``width`` probes. When the caller has checked that all events together
-    are ``small``, they are broadcast instead and the probes are not shuffled.
+    (by, order), at most ``width`` probes.
     """
     by = list(by)
     event = F.struct(F.col(order).alias("at"), *[F.col(v) for v in values])
-    if small:
-        keyed = events.groupBy(*by).agg(F.array_sort(F.collect_list(event)).alias("_events"))
-        joined = probes.join(F.broadcast(keyed), by, "left")
-        return joined.withColumn(out, _nearest(order, forward)).drop("_events")
     grouped = (
         events.withColumn("_b", bucket_of(order, width))
         .groupBy(*by, "_b")

@@ -1,14 +1,16 @@
 """The per-path step of arbitration, run over sorted Arrow batches.
 
 Spark hands each task rows sorted by (group, path, seq, kind). A ``head`` row carries the state
-that existed before the batch; ``rec`` rows carry records; ``fx`` rows, sorted right before the row
-they belong to, carry what a path needs from other paths (an ancestor's tombstone, the next purge
-by an ancestor, a newer parent), so one path never looks at another here. The open path is carried across Arrow batches, and a path's
+that existed before the batch; ``rec`` rows carry records. What a path needs from other paths (an
+ancestor's tombstone, the next purge by an ancestor, a newer parent) comes from the timelines of the
+levels above: as ``fx`` rows sorted right before the row they belong to, or, when all timelines
+together are small, as one broadcast ``Timelines``. The open path is carried across Arrow batches, and a path's
 rows stream through one at a time; nothing is collected per path.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,8 +25,6 @@ STATE_FIELDS = [f.name for f in S.STATE.fields if f.name not in ("group_id", "pa
 (SIZE, MTIME, CTIME, IS_DIR, SOURCE, ATTESTED, CONFIRMED, SUSPECT, BLIND, TOMB, TOMB_EXPIRY, TOMB_AT, LAST_RT,
  SEEN, STAMP) = range(15)
 
-HEAD_COLUMNS = [f"prior_{name}" for name in STATE_FIELDS]
-
 _ARROW = {"long": pa.int64(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
 _STATE_TYPES = [_ARROW[S.STATE[name].dataType.simpleString()] for name in STATE_FIELDS]
 
@@ -41,7 +41,7 @@ _OUT_SCHEMA = pa.schema([(n, _ARROW[t]) for n, t in OUTPUT_SPEC])
 INPUT_COLUMNS = [
     "group_id", "path", "seq", "kind", "op", "is_dir", "size", "mtime_us", "ctime_us", "timestamp_us", "arrival_us",
     "clock_us", "epoch", "under_tombstone", "stale_parent", "next_purge", "origin_id", "covered", "ends",
-    "audit_skipped",
+    "audit_skipped", "claimed_parent_us",
 ]
 
 
@@ -162,6 +162,51 @@ def parse_ends(text: str | None):
     return tuple(tuple(int(part) for part in item.split(":")) for item in text.split(";"))
 
 
+class Timelines:
+    """Changes of the directories folded so far, looked up per path."""
+
+    def __init__(self, changes, purges):
+        """``changes``: (group, dir, seq, known, tomb, mtime); ``purges``: (group, dir, seq)."""
+        self.changes, self.purges = {}, {}
+        for group, path, seq, known, tomb, mtime in sorted(changes, key=lambda r: (r[0], r[1], r[2])):
+            at, what = self.changes.setdefault((group, path), ([], []))
+            at.append(seq)
+            what.append((known, tomb, mtime))
+        for group, path, seq in purges:
+            self.purges.setdefault((group, path), []).append(seq)
+
+    def above(self, group: str, path: str) -> "Above":
+        dirs, here = [], path
+        while here not in ("", "/") and "/" in here:
+            here = here[: here.rfind("/")] or "/"
+            dirs.append((group, here))
+        lines = [self.changes[d] for d in dirs if d in self.changes]
+        purges = sorted(seq for d in dirs for seq in self.purges.get(d, ()))
+        return Above(lines, self.changes.get(dirs[0]) if dirs else None, purges)
+
+
+class Above:
+    """What the ancestors of one path do over time."""
+
+    def __init__(self, lines, parent, purges):
+        self.lines = [line for line in lines if any(tomb for _, tomb, _ in line[1])]
+        self.parent, self.purges = parent, purges
+
+    @staticmethod
+    def _before(line, seq):
+        i = bisect_left(line[0], seq)
+        return line[1][i - 1] if i else (False, False, None)
+
+    def effects(self, seq: int, scan: bool, claimed_parent: int):
+        tombed = scan and any(self._before(line, seq)[1] for line in self.lines)
+        stale = False
+        if scan and claimed_parent > 0 and self.parent is not None:
+            known, _, mtime = self._before(self.parent, seq)
+            stale = known and claimed_parent < mtime
+        i = bisect_right(self.purges, seq)
+        return tombed, stale, self.purges[i] if i < len(self.purges) else None
+
+
 class _Emitter:
     def __init__(self):
         self.states, self.outcomes, self.timeline, self.purges = [], [], [], []
@@ -197,9 +242,10 @@ class _Emitter:
 class PathFolder:
     """Folds sorted rows; one instance per task."""
 
-    def __init__(self, policy: Policy, with_timeline: bool):
+    def __init__(self, policy: Policy, with_timeline: bool, timelines: Timelines | None = None):
         self.policy = policy
         self.with_timeline = with_timeline
+        self.timelines = timelines
         self.emit = _Emitter()
         self.key = None
         self._ends_text, self._ends = None, ()
@@ -207,24 +253,24 @@ class PathFolder:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = {name: batch.column(name).to_pylist() for name in INPUT_COLUMNS}
-            heads = {name: batch.column(name) for name in HEAD_COLUMNS}
-            rows = zip(*(cols[name] for name in INPUT_COLUMNS))
-            for i, row in enumerate(rows):
-                self._row(row, heads, i)
+            prior = batch.column("prior")
+            for i, row in enumerate(zip(*(cols[name] for name in INPUT_COLUMNS))):
+                self._row(row, prior, i)
             yield from self.emit.batches()
         if self.key is not None:
             self._close()
             yield from self.emit.batches()
 
-    def _row(self, row, heads, i) -> None:
+    def _row(self, row, prior, i) -> None:
         (group, path, seq, kind, op, is_dir, size, mtime, ctime, event_us, now, clock, epoch, under_tombstone,
-         stale_parent, next_purge, origin, covered, ends, skipped) = row
+         stale_parent, next_purge, origin, covered, ends, skipped, claimed_parent) = row
         key = (group, path)
         if key != self.key:
             if self.key is not None:
                 self._close()
             self.key, self.state, self.purge_at, self.covered, self.end_at = key, None, None, frozenset(), 0
             self.seen, self.effects = (False, False, None), None
+            self.above = None if self.timelines is None else self.timelines.above(group, path)
             if ends != self._ends_text:
                 self._ends_text, self._ends = ends, parse_ends(ends)
         if kind == "fx":
@@ -233,11 +279,13 @@ class PathFolder:
                 purge = next_purge
             self.effects = (tombed or bool(under_tombstone), stale or bool(stale_parent), purge)
             return
+        if self.above is not None:
+            self.effects = self.above.effects(seq, op == SCAN_UPDATE, claimed_parent or 0)
         under_tombstone, stale_parent, next_purge = self.effects or (False, False, None)
         self.effects = None
         if kind == "head":
-            if heads["prior_is_dir"][i].is_valid:
-                self.state = [heads[name][i].as_py() for name in HEAD_COLUMNS]
+            if prior[i].is_valid:
+                self.state = list(prior[i].as_py().values())
             if covered:
                 self.covered = frozenset(int(x) for x in covered.split(","))
             self.purge_at = next_purge
@@ -290,8 +338,10 @@ class PathFolder:
         self.key = None
 
 
-def folder(policy: Policy, with_timeline: bool):
+def folder(policy: Policy, with_timeline: bool, timelines=None):
+    """The function a task runs; ``timelines`` is a broadcast of ``Timelines``."""
+
     def run(batches):
-        yield from PathFolder(policy, with_timeline)(batches)
+        yield from PathFolder(policy, with_timeline, None if timelines is None else timelines.value)(batches)
 
     return run
