@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arborlake.plans import fold_queries, function_queries, graph_queries, state_queries  # noqa: F401
+from arborlake.plans import fold_queries, function_queries, graph_queries, state_queries, status_queries  # noqa: F401
 from arborlake.plans.registry import ORACLES, QUERIES
 
 
