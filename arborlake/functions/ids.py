@@ -10,9 +10,20 @@ def _c(value) -> Column:
     return value if isinstance(value, Column) else F.col(value)
 
 
+# The escape sign itself comes first, because the other replacements introduce it.
+_FREQUENT = "~:/ @?=&%#+,"
+
+
 def stable_escape(value) -> Column:
-    """Keep ``[A-Za-z0-9-_.]``; write every other UTF-8 byte as ``~`` and two hex digits."""
+    """Keep ``[A-Za-z0-9-_.]``; write every other UTF-8 byte as ``~`` and two hex digits.
+
+    Ids that need no escape and ids with only the frequent signs take plain string replacement;
+    the per-character lambda runs for the others alone.
+    """
     v = _c(value)
+    replaced = v
+    for sign in _FREQUENT:
+        replaced = F.replace(replaced, F.lit(sign), F.lit(f"~{ord(sign):02x}"))
     chars = F.split(F.decode(F.encode(v, "UTF-8"), "ISO-8859-1"), "")
     escaped = F.array_join(
         F.transform(
@@ -23,8 +34,11 @@ def stable_escape(value) -> Column:
         ),
         "",
     )
-    # most ids need no escaping, so the per-character lambda runs only where one is needed
-    return F.when(v.rlike(r"^[A-Za-z0-9._-]*$"), v).otherwise(escaped)
+    return (
+        F.when(v.rlike(r"^[A-Za-z0-9._-]*\z"), v)
+        .when(v.rlike(r"^[A-Za-z0-9._~:/ @?=&%#+,-]*\z"), replaced)
+        .otherwise(escaped)
+    )
 
 
 def graph_gid(kind, instance, local_id) -> Column:

@@ -268,8 +268,22 @@ def _op_code():
     )
 
 
+HOT_ROWS = 4_000_000  # records of one path in a batch from which the path is cut into chunks
+CHUNK_ROWS = 1_000_000
+
+
+def hot_paths(records: DataFrame) -> DataFrame | None:
+    """Paths with more than ``HOT_ROWS`` records, at most one per ``HOT_ROWS`` rows of the batch."""
+    counts = records.groupBy(*KEY).agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS)
+    found = counts.collect()
+    if not found:
+        return None
+    return records.sparkSession.createDataFrame(found, counts.schema)
+
+
 def _fold_level(
-    rows: DataFrame, lines: Lines, ends: DataFrame | None, small_ends: bool, policy: PF.Policy, timeline: bool, label: str
+    rows: DataFrame, lines: Lines, ends: DataFrame | None, small_ends: bool, policy: PF.Policy, timeline: bool, label: str,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     stream, timelines = _aligned(rows), None
     if lines.n_timeline + lines.n_purges > SMALL_EVENTS:
@@ -279,14 +293,81 @@ def _fold_level(
         timelines = _timelines(rows.sparkSession, lines)
     if ends is not None and not small_ends:
         stream = lookup_join(stream, ends, ["group_id"], salt_from=["path"], small=False)
-    ready = stream.repartition(*KEY)
-    if ends is None:
-        ready = ready.withColumn("ends", F.lit(None).cast("string"))
-    elif small_ends:
-        # broadcast after the shuffle, so the strings are never shuffled
-        ready = ready.join(F.broadcast(ends), ["group_id"], "left")
-    ready = ready.sortWithinPartitions(*KEY, "seq", "kind").select(*PF.INPUT_COLUMNS, "prior")
-    return materialize(ready.mapInArrow(PF.folder(policy, timeline, timelines), PF.OUTPUT_DDL), label, partition_by="out")
+
+    def ready(df: DataFrame, order: list[str]) -> DataFrame:
+        if ends is None:
+            df = df.withColumn("ends", F.lit(None).cast("string"))
+        elif small_ends:
+            # broadcast after the shuffle, so the strings are never shuffled
+            df = df.join(F.broadcast(ends), ["group_id"], "left")
+        extra = ["chunk"] if "chunk" in df.columns else []
+        return df.sortWithinPartitions(*order).select(*PF.INPUT_COLUMNS, "prior", *extra)
+
+    order = [*KEY, "seq", "kind"]
+    if hot is None:
+        cold = stream
+    else:
+        names = F.broadcast(hot.select(*KEY))
+        cold = stream.join(names, KEY, "left_anti")
+    folded = ready(cold.repartition(*KEY), order).mapInArrow(PF.folder(policy, timeline, timelines), PF.OUTPUT_DDL)
+    out = materialize(folded, label, partition_by="out")
+    if hot is None:
+        return out
+    return out.unionByName(_fold_chunks(stream.join(names, KEY, "left_semi"), hot, ready, policy, timeline, timelines, label))
+
+
+def _fold_chunks(stream: DataFrame, hot: DataFrame, ready, policy: PF.Policy, timeline: bool, timelines, label: str) -> DataFrame:
+    """Fold hot paths in parallel chunks, exactly.
+
+    Every chunk is folded from a guessed entry context; then each chunk whose real entry, the exit
+    of the chunk before it, differs from the guess is folded again, until none differs. The first
+    chunk of a path is right from the start, so the result is that of one sequential pass; usually
+    two or three rounds do, because a chunk's exit rarely depends on its entry.
+    """
+    spark = stream.sparkSession
+    total = sum(r.n for r in hot.collect())
+    n = max(2, -(-total // CHUNK_ROWS))
+    chunks = materialize(
+        stream.repartitionByRange(n, *KEY, "seq").withColumn("chunk", F.spark_partition_id()), f"{label}-chunks", partition_by="chunk"
+    )
+    listed = sorted(tuple(r) for r in chunks.select(*KEY, "chunk").distinct().collect())
+    if not listed:
+        return spark.createDataFrame([], PF.OUTPUT_DDL)
+    following = {a: b for a, b in zip(listed, listed[1:]) if a[:2] == b[:2]}
+    firsts = [c for c in listed if c not in set(following.values())]
+    last = frozenset(c for c in listed if c not in following)
+    entries: dict[tuple, str | None] = {c: None for c in listed}
+    exits: dict[tuple, str] = {}
+    results: dict[tuple, int] = {}
+    rounds: list[DataFrame] = []
+    stale = set(listed)
+    while stale:
+        wanted = spark.createDataFrame([(*c,) for c in stale], "group_id string, path string, chunk int")
+        part = chunks.where(F.col("chunk").isin(sorted({c[2] for c in stale}))).join(F.broadcast(wanted), [*KEY, "chunk"], "left_semi")
+        run = PF.chunk_folder(policy, timeline, timelines, {c: entries[c] for c in stale if entries[c] is not None}, last)
+        keyed = ready(part.repartition(len(stale), *KEY, "chunk"), [*KEY, "chunk", "seq", "kind"])
+        done = materialize(keyed.mapInArrow(run, PF.OUTPUT_DDL), f"{label}-round", partition_by="out")
+        rounds.append(done)
+        used = dict(entries)
+        for r in done.where(F.col("out") == "context").select(*KEY, "chunk", "context").collect():
+            exits[(r.group_id, r.path, r.chunk)] = r.context
+        for c in stale:
+            results[c] = len(rounds) - 1
+        stale = set()
+        for c in firsts:
+            exit_ = exits.get(c)
+            while c in following:
+                nxt = following[c]
+                if used[nxt] != exit_:
+                    stale.add(nxt)
+                    entries[nxt] = exit_
+                    exit_ = PF.predict_exit(exit_, used[nxt], exits[nxt]) if nxt in exits else None
+                else:
+                    exit_ = exits.get(nxt)
+                c = nxt
+    valid = spark.createDataFrame([(*c, i) for c, i in results.items()], "group_id string, path string, chunk int, _round int")
+    all_rounds = reduce(DataFrame.unionByName, [df.withColumn("_round", F.lit(i)) for i, df in enumerate(rounds)])
+    return all_rounds.join(F.broadcast(valid), [*KEY, "chunk", "_round"], "left_semi").drop("_round").select(*rounds[0].columns)
 
 
 def apply_log(
@@ -339,6 +420,8 @@ def apply_log(
     )
     prepared = materialize(tagged, f"{label}-records", partition_by="internal")
 
+    hot = hot_paths(prepared)
+
     has_state = not state.isEmpty()
     touched = data_paths.distinct().join(dirs, KEY, "full_outer").select(
         *KEY, F.coalesce("internal", F.lit(False)).alias("internal"), F.lit(True).alias("_touched")
@@ -392,11 +475,11 @@ def apply_log(
     depths = sorted(r[0] for r in internal_rows.select(P.segment_count("path")).distinct().collect())
     for depth in depths:
         level = internal_rows.where(P.segment_count("path") == depth)
-        out = _fold_level(level, lines, ends_text, small_controls, policy, True, f"{label}-level")
+        out = _fold_level(level, lines, ends_text, small_controls, policy, True, f"{label}-level", hot)
         folds.append(out)
         lines.add(out)
     leaves = rows_of(~F.col("internal"))
-    folds.append(_fold_level(leaves, lines, ends_text, small_controls, policy, False, f"{label}-leaves"))
+    folds.append(_fold_level(leaves, lines, ends_text, small_controls, policy, False, f"{label}-leaves", hot))
 
     folded = reduce(DataFrame.unionByName, folds)
     all_purges = _purge_rows(folded)

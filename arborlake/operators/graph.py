@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from arborlake.functions import ids
 from arborlake.schemas import _schema
+from arborlake.storage import materialize
 
 SOURCE_NODE = _schema(
     """source_kind string, source_instance string, local_id string, node_kind string, native_ref string,
@@ -108,6 +109,9 @@ def skeleton(
 
 
 def node_rows(nodes: DataFrame) -> DataFrame:
+    """Source nodes with their global id and evidence; rows that have them stay as they are."""
+    if "gid" in nodes.columns:
+        return nodes
     gid = ids.graph_gid("source_kind", "source_instance", "local_id")
     return nodes.withColumn("gid", gid).withColumn(
         "evidence_refs", F.array(F.concat(F.lit("evidence:node:"), ids.stable_escape("gid")))
@@ -119,6 +123,8 @@ def _given(ref: str, default: Column) -> Column:
 
 
 def edge_rows(edges: DataFrame) -> DataFrame:
+    if "edge_id" in edges.columns:
+        return edges
     src = ids.graph_gid("source_kind", "source_instance", "from_local_id")
     dst = ids.graph_gid("source_kind", "source_instance", "to_local_id")
     default = F.concat(
@@ -130,6 +136,8 @@ def edge_rows(edges: DataFrame) -> DataFrame:
 
 
 def cross_edge_rows(edges: DataFrame) -> DataFrame:
+    if "edge_id" in edges.columns:
+        return edges
     src = ids.graph_gid("from_kind", "from_instance", "from_local_id")
     dst = ids.graph_gid("to_kind", "to_instance", "to_local_id")
     esc = ids.stable_escape
@@ -255,6 +263,11 @@ class DanglingEdges(ValueError):
 
 def ingest(graph: Graph, sk: Skeleton, labels: Labels = Labels()) -> tuple[Graph, DataFrame]:
     """(graph with the skeleton applied, new ids per table). A bad edge rejects the batch."""
+    # ids are computed once; the check, the upserts and the evidence all read them
+    sk = Skeleton(
+        materialize(node_rows(sk.nodes), "graph-nodes"), materialize(edge_rows(sk.edges), "graph-edges"),
+        materialize(cross_edge_rows(sk.cross_edges), "graph-cross-edges"), sk.evidence,
+    )
     nodes = upsert_nodes(graph.nodes, sk.nodes)
     bad = dangling_edges(nodes, sk).orderBy("edge_id").first()
     if bad is not None:

@@ -10,6 +10,7 @@ rows stream through one at a time; nothing is collected per path.
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,14 +26,14 @@ STATE_FIELDS = [f.name for f in S.STATE.fields if f.name not in ("group_id", "pa
 (SIZE, MTIME, CTIME, IS_DIR, SOURCE, ATTESTED, CONFIRMED, SUSPECT, BLIND, TOMB, TOMB_EXPIRY, TOMB_AT, LAST_RT,
  SEEN, STAMP) = range(15)
 
-_ARROW = {"long": pa.int64(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
 _STATE_TYPES = [_ARROW[S.STATE[name].dataType.simpleString()] for name in STATE_FIELDS]
 
 OUTPUT_SPEC = (
     [("out", "string"), ("group_id", "string"), ("path", "string"), ("seq", "long"), ("origin_id", "string"),
      ("arrival_us", "long"), ("outcome", "string"), ("significant", "boolean"), ("stamps", "boolean"), ("rec_is_dir", "boolean"),
      ("rec_mtime_us", "long"), ("rec_ctime_us", "long"), ("known", "boolean"), ("tomb", "boolean"),
-     ("at_mtime_us", "long")]
+     ("at_mtime_us", "long"), ("chunk", "int"), ("context", "string")]
     + [(name, S.STATE[name].dataType.simpleString()) for name in STATE_FIELDS]
 )
 OUTPUT_DDL = ", ".join(f"{n} {t}" for n, t in OUTPUT_SPEC)
@@ -45,6 +46,9 @@ INPUT_COLUMNS = [
 ]
 
 
+ENDS = INPUT_COLUMNS.index("ends")
+
+
 @dataclass(frozen=True)
 class Policy:
     """Windows of arbitration, in microseconds."""
@@ -209,17 +213,19 @@ class Above:
 
 class _Emitter:
     def __init__(self):
-        self.states, self.outcomes, self.timeline, self.purges = [], [], [], []
+        self.states, self.outcomes, self.timeline, self.purges, self.contexts = [], [], [], [], []
 
-    def batches(self) -> Iterator[pa.RecordBatch]:
-        yield from self._batch("state", self.states, ["group_id", "path", *STATE_FIELDS])
+    def batches(self, chunked: bool = False) -> Iterator[pa.RecordBatch]:
+        tail = ["chunk"] if chunked else []
+        yield from self._batch("state", self.states, ["group_id", "path", *STATE_FIELDS, *tail])
         yield from self._batch(
             "outcome", self.outcomes,
             ["group_id", "path", "seq", "origin_id", "arrival_us", "outcome", "significant", "stamps", "rec_is_dir",
-             "rec_mtime_us", "rec_ctime_us"],
+             "rec_mtime_us", "rec_ctime_us", *tail],
         )
-        yield from self._batch("timeline", self.timeline, ["group_id", "path", "seq", "known", "tomb", "at_mtime_us"])
-        yield from self._batch("purge", self.purges, ["group_id", "path", "seq"])
+        yield from self._batch("timeline", self.timeline, ["group_id", "path", "seq", "known", "tomb", "at_mtime_us", *tail])
+        yield from self._batch("purge", self.purges, ["group_id", "path", "seq", *tail])
+        yield from self._batch("context", self.contexts, ["group_id", "path", "chunk", "context"])
         self.__init__()
 
     @staticmethod
@@ -250,29 +256,36 @@ class PathFolder:
         self.key = None
         self._ends_text, self._ends = None, ()
 
+    chunked = False
+
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            chunks = batch.column("chunk").to_pylist() if self.chunked else None
             cols = {name: batch.column(name).to_pylist() for name in INPUT_COLUMNS}
             prior = batch.column("prior")
             for i, row in enumerate(zip(*(cols[name] for name in INPUT_COLUMNS))):
+                key = (row[0], row[1], chunks[i]) if self.chunked else row[:2]
+                if key != self.key:
+                    if self.key is not None:
+                        self._close()
+                    self._open(key, row[ENDS])
                 self._row(row, prior, i)
-            yield from self.emit.batches()
+            yield from self.emit.batches(self.chunked)
         if self.key is not None:
             self._close()
-            yield from self.emit.batches()
+            yield from self.emit.batches(self.chunked)
+
+    def _open(self, key, ends) -> None:
+        self.key, self.tail = key, key[2:]
+        self.state, self.purge_at, self.covered, self.end_at = None, None, frozenset(), 0
+        self.seen, self.effects = (False, False, None), None
+        self.above = None if self.timelines is None else self.timelines.above(*key[:2])
+        if ends != self._ends_text:
+            self._ends_text, self._ends = ends, parse_ends(ends)
 
     def _row(self, row, prior, i) -> None:
         (group, path, seq, kind, op, is_dir, size, mtime, ctime, event_us, now, clock, epoch, under_tombstone,
          stale_parent, next_purge, origin, covered, ends, skipped, claimed_parent) = row
-        key = (group, path)
-        if key != self.key:
-            if self.key is not None:
-                self._close()
-            self.key, self.state, self.purge_at, self.covered, self.end_at = key, None, None, frozenset(), 0
-            self.seen, self.effects = (False, False, None), None
-            self.above = None if self.timelines is None else self.timelines.above(group, path)
-            if ends != self._ends_text:
-                self._ends_text, self._ends = ends, parse_ends(ends)
         if kind == "fx":
             tombed, stale, purge = self.effects or (False, False, None)
             if next_purge is not None and (purge is None or next_purge < purge):
@@ -302,9 +315,9 @@ class PathFolder:
         significant = _significant(before, after, outcome, skipped)
         # a path that is gone after its change stamps neither itself nor its ancestors
         stamps = significant and after is not None
-        self.emit.outcomes.append((group, path, seq, origin, now, outcome, significant, stamps, is_dir, mtime, ctime))
+        self.emit.outcomes.append((group, path, seq, origin, now, outcome, significant, stamps, is_dir, mtime, ctime, *self.tail))
         if purges:
-            self.emit.purges.append((group, path, seq))
+            self.emit.purges.append((group, path, seq, *self.tail))
         self._mark(seq)
 
     def _advance(self, until) -> None:
@@ -329,12 +342,41 @@ class PathFolder:
         now = (False, False, None) if s is None else (True, s[TOMB], s[MTIME])
         if now != self.seen:
             self.seen = now
-            self.emit.timeline.append((*self.key, seq, *now))
+            self.emit.timeline.append((*self.key[:2], seq, *now, *self.tail))
 
     def _close(self) -> None:
         self._advance(None)
         if self.state is not None:
-            self.emit.states.append((*self.key, *self.state))
+            self.emit.states.append((*self.key[:2], *self.state, *self.tail))
+        self.key = None
+
+
+class ChunkFolder(PathFolder):
+    """Folds one chunk of a hot path from a given entry context and reports the exit context.
+
+    A context is everything one row hands to the next: state, pending purge, number of audit ends
+    applied, covered ends and the last timeline entry.
+    """
+
+    chunked = True
+
+    def __init__(self, policy, with_timeline, timelines, entries, last_chunks):
+        super().__init__(policy, with_timeline, timelines)
+        self.entries, self.last_chunks = entries, last_chunks
+
+    def _open(self, key, ends) -> None:
+        super()._open(key, ends)
+        entry = self.entries.get(key)
+        if entry is not None:
+            self.state, self.purge_at, self.end_at, covered, seen = json.loads(entry)
+            self.covered, self.seen = frozenset(covered), tuple(seen)
+
+    def _close(self) -> None:
+        if self.key in self.last_chunks:
+            super()._close()
+            return
+        context = [self.state, self.purge_at, self.end_at, sorted(self.covered), list(self.seen)]
+        self.emit.contexts.append((*self.key, json.dumps(context)))
         self.key = None
 
 
@@ -345,3 +387,29 @@ def folder(policy: Policy, with_timeline: bool, timelines=None):
         yield from PathFolder(policy, with_timeline, None if timelines is None else timelines.value)(batches)
 
     return run
+
+
+def chunk_folder(policy: Policy, with_timeline: bool, timelines, entries, last_chunks):
+    def run(batches):
+        above = None if timelines is None else timelines.value
+        yield from ChunkFolder(policy, with_timeline, above, entries, last_chunks)(batches)
+
+    return run
+
+
+def predict_exit(entry: str | None, used: str | None, exit_: str) -> str:
+    """Guess of a chunk's exit for another entry; only a guess, the chunk is folded again with it.
+
+    A chunk that left its state as it was (but for the epoch) will most likely do so again.
+    """
+    if entry is None or used is None:
+        return exit_
+    new, old, out = json.loads(entry), json.loads(used), json.loads(exit_)
+    if new[0] is None or old[0] is None or out[0] is None:
+        return exit_
+    same = [a for i, a in enumerate(old[0]) if i != SEEN] == [b for i, b in enumerate(out[0]) if i != SEEN]
+    if not same:
+        return exit_
+    state = list(new[0])
+    state[SEEN] = out[0][SEEN]
+    return json.dumps([state, *out[1:4], new[4]])
