@@ -50,7 +50,7 @@ def stability(
         }
     window = F.lit(window_ms).cast("long")
     last = F.greatest(anchor_us, recovered_us)
-    observed = F.floor(F.greatest(as_of_us - last, F.lit(0)) / 1000).cast("long")
+    observed = F.when(last.isNotNull(), F.floor(F.greatest(as_of_us - last, F.lit(0)) / 1000)).cast("long")
     blocked = F.filter(
         F.array(F.when(overflow, F.lit(BLOCKED[3])), blocked_label(code)), lambda b: b.isNotNull()
     )
@@ -65,6 +65,6 @@ def stability(
         "stability_state": state,
         "quiet_window_ms": window,
         "observed_quiet_for_ms": observed,
-        "remaining_ms": F.greatest(window - observed, F.lit(0)),
+        "remaining_ms": F.when(observed.isNotNull(), F.greatest(window - observed, F.lit(0))),
         "blocked_reasons": blocked,
     }

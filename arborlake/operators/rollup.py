@@ -55,11 +55,26 @@ def rollup_tree(state: DataFrame) -> DataFrame:
     )
 
 
-def direct_groups(state: DataFrame, query: str) -> DataFrame:
-    """Groups whose tree has the query path: a row at it or below it, tombstones included."""
+MAX_LISTED_GROUPS = 10_000
+
+
+def unknown_groups(state: DataFrame, query: str, groups: DataFrame | None = None):
+    """Restriction of a state to groups whose tree does not have the query path, or None when every
+    group has it. Tombstones make a path known.
+
+    Group ids are listed on the driver, which lets Spark prune partitions and lets callers leave
+    out the second pass altogether; beyond ``MAX_LISTED_GROUPS`` they stay a table.
+    """
     if query in ("", P.SLASH):
-        return state.select("group_id").distinct()
-    return state.where(P.is_under("path", query)).select("group_id").distinct()
+        return None
+    every = (state if groups is None else groups).select("group_id").distinct()
+    known = state.where(P.is_under("path", query)).select("group_id").distinct()
+    listed = [r[0] for r in every.limit(MAX_LISTED_GROUPS + 1).collect()]
+    if len(listed) > MAX_LISTED_GROUPS:
+        missing = every.join(known, "group_id", "left_anti")
+        return lambda df: df.join(missing, "group_id", "left_semi")
+    unknown = sorted(set(listed) - {r[0] for r in known.collect()})
+    return (lambda df: df.where(F.col("group_id").isin(unknown))) if unknown else None
 
 
 def rebased_nodes(state: DataFrame, query: str) -> DataFrame:
@@ -78,7 +93,6 @@ def subtree_stats(state: DataFrame, query: str) -> DataFrame:
     A file that is queried and is the newest file takes the latest time with it. Groups that do
     not know the path count the rebased nodes instead, all of them.
     """
-    everywhere = query in ("", P.SLASH)
     below = state.where(P.is_under("path", query))
     own = F.col("path") == (query or P.SLASH)
     alive_file = alive() & ~F.col("is_dir")
@@ -86,21 +100,17 @@ def subtree_stats(state: DataFrame, query: str) -> DataFrame:
     own_latest = F.max(F.when(alive_file & own, F.col("modified_time_us")))
     counters = [c for c in _counters(alive() & ~own)]
     counters[4] = F.when(own_latest.isNull() | (latest != own_latest), latest).alias("latest_file_mtime_us")
-    direct = below.groupBy("group_id").agg(*counters)
-    if everywhere:
-        return direct
-    others = state.join(F.broadcast(direct.select("group_id")), "group_id", "left_anti")
-    rebased = rebased_nodes(others, query).groupBy("group_id").agg(*_counters())
-    known = direct.unionByName(rebased)
+    known = below.groupBy("group_id").agg(*counters)
+    unknown = unknown_groups(state, query)
+    if unknown is None:
+        return known
+    # a group without any match still answers, with zeros
+    nothing = unknown(state.select("group_id").distinct())
+    rebased = nothing.join(rebased_nodes(unknown(state), query).groupBy("group_id").agg(*_counters()), "group_id", "left")
     zero = F.lit(0).cast("long")
-    return (
-        state.select("group_id").distinct().join(known, "group_id", "left")
-        .select("group_id", *[
-            F.coalesce(c, zero).alias(c) if c != "latest_file_mtime_us" else F.col(c)
-            for c in ("total_nodes", "total_files", "total_dirs", "total_size", "latest_file_mtime_us",
-                      "attested_count", "blind_spot_count")
-        ])
-    )
+    return known.unionByName(rebased.select(
+        "group_id", *[F.coalesce(c, zero).alias(c) if c != "latest_file_mtime_us" else F.col(c) for c in known.columns[1:]]
+    ))
 
 
 def is_suspect(as_of_us: int | Column) -> Column:

@@ -32,12 +32,11 @@ def list_nodes(
     """Live nodes at and below the query path with their flags, in groups that know the path;
     groups that do not list the rebased nodes."""
     limit = _depth_limit(recursive, max_depth)
-    known = U.direct_groups(state, query)
     direct = U.live(state.where(P.is_under("path", query)))
     both = direct
-    if query not in ("", P.SLASH):
-        others = state.join(F.broadcast(known), "group_id", "left_anti")
-        both = direct.unionByName(U.rebased_nodes(others, query).select(*direct.columns))
+    unknown = U.unknown_groups(state, query)
+    if unknown is not None:
+        both = direct.unionByName(U.rebased_nodes(unknown(state), query).select(*direct.columns))
     return both.where(_within(query, limit)).select(
         "group_id",
         *NODE,
@@ -61,54 +60,44 @@ def node_set_reliability(nodes: DataFrame, by: str = "group_id") -> DataFrame:
     )
 
 
-def page_roots(state: DataFrame, query: str) -> DataFrame:
-    """The root row of a page, one per group that has state."""
-    q = query or P.SLASH
-    at_root = F.col("path") == q
+def _root_facts(rows: DataFrame, query: str) -> DataFrame:
+    at_root = F.col("path") == query
     alive_root = at_root & U.alive()
-    direct = state.groupBy("group_id").agg(
-        F.count_if(P.is_under("path", query)).alias("_known"),
+    return rows.groupBy("group_id").agg(
         F.count_if(alive_root).alias("_alive"),
         F.max(F.when(alive_root, F.col("size"))).alias("_size"),
         F.max(F.when(alive_root, F.col("modified_time_us"))).alias("_mtime"),
         F.max(F.when(alive_root, F.col("is_dir"))).alias("_is_dir"),
-        F.count_if(U.alive() & P.is_under("path", query)).alias("_live"),
-        F.count_if(U.alive() & (P.parent_path("path") == q)).alias("_kids"),
+        F.count_if(U.alive()).alias("_live"),
+        F.count_if(U.alive() & (P.parent_path("path") == query)).alias("_kids"),
     )
-    alive = F.col("_alive") > 0
-    known = (F.col("_known") > 0) | F.lit(query in ("", P.SLASH))
-    rows = direct.where(known).select(
-        "group_id",
-        F.lit("direct").alias("mode"),
-        F.lit(q).alias("path"),
-        F.coalesce("_size", F.lit(0)).alias("size"),
-        F.coalesce("_mtime", F.lit(0)).alias("modified_time_us"),
-        F.coalesce("_is_dir", F.lit(True)).alias("is_dir"),
-        (alive | (F.col("_live") > 0)).alias("exists"),
-        (F.coalesce("_is_dir", F.lit(True)) & (F.col("_kids") > 0)).alias("has_children"),
+
+
+def _root_row(mode: str, query: str, exists: Column, has_children: Column) -> list[Column]:
+    return [
+        F.col("group_id"), F.lit(mode).alias("mode"), F.lit(query).alias("path"), F.coalesce("_size", F.lit(0)).alias("size"),
+        F.coalesce("_mtime", F.lit(0)).alias("modified_time_us"), F.coalesce("_is_dir", F.lit(True)).alias("is_dir"),
+        exists.alias("exists"), has_children.alias("has_children"),
+    ]
+
+
+def page_roots(state: DataFrame, query: str, unknown=None, asked: bool = False) -> DataFrame:
+    """The root row of a page, one per group. ``unknown`` is the outcome of
+    ``rollup.unknown_groups`` when the caller has it (``asked``)."""
+    q = query or P.SLASH
+    if not asked:
+        unknown = U.unknown_groups(state, query)
+    kids = F.coalesce("_kids", F.lit(0)) > 0
+    rows = _root_facts(state.where(P.is_under("path", query)), q).select(
+        *_root_row("direct", q, F.col("_live") > 0, F.coalesce("_is_dir", F.lit(True)) & kids)
     )
-    if query in ("", P.SLASH):
+    if unknown is None:
         return rows
-    unknown = direct.where(~known).select("group_id")
-    nodes = U.rebased_nodes(state.join(F.broadcast(unknown), "group_id", "left_semi"), query)
-    agg = nodes.groupBy("group_id").agg(
-        F.count_if(at_root).alias("_alive"),
-        F.max(F.when(at_root, F.col("size"))).alias("_size"),
-        F.max(F.when(at_root, F.col("modified_time_us"))).alias("_mtime"),
-        F.max(F.when(at_root, F.col("is_dir"))).alias("_is_dir"),
-        F.count_if(P.parent_path("path") == q).alias("_kids"),
-    )
-    rebased = unknown.join(agg, "group_id", "left").select(
-        "group_id",
-        F.lit("rebased").alias("mode"),
-        F.lit(q).alias("path"),
-        F.coalesce("_size", F.lit(0)).alias("size"),
-        F.coalesce("_mtime", F.lit(0)).alias("modified_time_us"),
-        F.coalesce("_is_dir", F.lit(True)).alias("is_dir"),
-        F.col("_alive").isNotNull().alias("exists"),
-        (F.coalesce("_kids", F.lit(0)) > 0).alias("has_children"),
+    nodes = _root_facts(U.rebased_nodes(unknown(state), query), q)
+    every = unknown(state.select("group_id").distinct())
+    return rows.unionByName(
+        every.join(nodes, "group_id", "left").select(*_root_row("rebased", q, F.col("_live").isNotNull(), kids))
     )
-    return rows.unionByName(rebased)
 
 
 @dataclass(frozen=True)
@@ -145,7 +134,8 @@ def tree(
     if only_groups is not None:
         state = state.where(F.col("group_id").isin(only_groups))
     depth_limit = _depth_limit(recursive, max_depth)
-    roots = page_roots(state, query)
+    unknown = U.unknown_groups(state, query, groups if only_groups is None else None)
+    roots = page_roots(state, query, unknown, asked=True)
     evidence = ["monitoring_attested", "blind_spot", "suspect_until_us", "subtree_changed_at_us"]
     q = query or P.SLASH
 
@@ -158,9 +148,8 @@ def tree(
     ).drop("_kids")
     entries = direct
     rebased = None
-    if query not in ("", P.SLASH):
-        unknown = roots.where("mode = 'rebased'").select("group_id")
-        rebased = U.rebased_nodes(state.join(F.broadcast(unknown), "group_id", "left_semi"), query)
+    if unknown is not None:
+        rebased = U.rebased_nodes(unknown(state), query)
         moved = rebased.where((F.col("path") != q) & _within(q, depth_limit)).select("group_id", *NODE, *evidence)
         kids = rebased.select("group_id", P.parent_path("path").alias("path")).where("path is not null").distinct()
         listed = _page(moved, F.col("path"), limit, offset).join(

@@ -569,7 +569,7 @@ SELECT group_id, path, rank FROM live JOIN r USING (group_id) WHERE rank > 1 AND
 def frozen_group_page(spark, d):
     state = V.winner_state(spark, d)
     ranks = G.rank_groups(state.select("group_id").distinct(), U.subtree_stats(state, "/"), "file-age")
-    frozen = G.open_pit(U.live(state).select("group_id", "path").join(F.broadcast(ranks.select("group_id", "rank")), "group_id"))
+    frozen = G.open_pit(U.live(state).select("group_id", "path").join(ranks.select("group_id", "rank"), "group_id"))
     return G.group_page(G.read_pit(spark, frozen), 2, 1).groups.select("group_id", "path", F.col("rank").cast("long").alias("rank"))
 
 
@@ -615,7 +615,7 @@ SELECT g.group_id, CASE WHEN kn.group_id IS NULL THEN 'rebased' ELSE 'direct' EN
   CASE WHEN c = 1 THEN 'unstable' WHEN c IS NOT NULL OR overflow_pending THEN 'unknown' WHEN coalesce(quiet, 0) >= 5000 THEN 'stable' ELSE 'unstable' END AS stability_state,
   CAST(quiet AS BIGINT) AS observed_quiet_for_ms, array_to_string(list_filter([CASE WHEN overflow_pending THEN 'watch_overflow_pending_materialization' END,
     ['unattested_nodes', 'suspect_nodes', 'blind_spots_detected', 'watch_overflow_pending_materialization'][c + 1]], lambda x: x IS NOT NULL), ',') AS blocked
-FROM (SELECT g.*, m.n, greatest(m.code, CASE WHEN g.overflow_pending THEN 3 END) AS c, greatest({NOW} - greatest(m.anchor, g.coverage_recovered_at_us), 0) // 1000 AS quiet
+FROM (SELECT g.*, m.n, greatest(m.code, CASE WHEN g.overflow_pending THEN 3 END) AS c, CASE WHEN greatest(m.anchor, g.coverage_recovered_at_us) IS NOT NULL THEN greatest({NOW} - greatest(m.anchor, g.coverage_recovered_at_us), 0) // 1000 END AS quiet
   FROM grp g LEFT JOIN heads m USING (group_id)) g LEFT JOIN known kn ON kn.group_id = g.group_id"""
 
 
