@@ -25,9 +25,10 @@ def bucket_of(order: str | Column, width: int = BUCKET_WIDTH) -> Column:
 
 
 def running_max(
-    df: DataFrame, by: Sequence[str], order: str, value: str, out: str, width: int = BUCKET_WIDTH, start: str | None = None
+    df: DataFrame, by: Sequence[str], order: str, value: str, out: str, width: int = BUCKET_WIDTH, start: str | None = None,
+    inclusive: bool = True,
 ) -> DataFrame:
-    """Running maximum of ``value`` in ``order`` per ``by`` key, current row included.
+    """Running maximum of ``value`` in ``order`` per ``by`` key, with or without the current row.
 
     ``start`` names a column with a floor carried in from earlier batches.
     """
@@ -36,7 +37,7 @@ def running_max(
     tops = bucketed.groupBy(*by, "_b").agg(F.max(value).alias("_top"))
     before = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     carries = tops.select(*by, "_b", F.max("_top").over(before).alias("_carry"))
-    inside = W.partitionBy(*by, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy(*by, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
     local = F.max(value).over(inside)
     parts = [local, F.col("_carry")] + ([F.col(start)] if start else [])
     return bucketed.join(carries, [*by, "_b"]).withColumn(out, F.greatest(*parts)).drop("_b", "_carry")

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arborlake.functions.predicates import GROUP_ORDERS, QueryParameterError
+from arborlake.operators.ordered import number_rows
 from arborlake.storage import work_dir
 
 SALTS = 32
@@ -142,6 +143,17 @@ def open_pit(result: DataFrame, ttl_ms: int = 60_000, now_ms: int | None = None)
     return Pit(pit_id, path, now + ttl_ms)
 
 
+def freeze_pages(entries: DataFrame, by: list[str], order: Column, ttl_ms: int = 60_000, now_ms: int | None = None) -> Pit:
+    """Freeze a result with the ``position`` of every row in its group, so that any later page is a
+    range filter on the frozen table, however deep it lies."""
+    numbered = number_rows(entries.withColumn("_order", order), by, "_order", "position").drop("_order")
+    return open_pit(numbered, ttl_ms, now_ms)
+
+
+def page_of(frozen: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    return frozen.where((F.col("position") > offset) & (F.col("position") <= offset + limit))
+
+
 def read_pit(spark: SparkSession, pit: Pit, now_ms: int | None = None) -> DataFrame:
     now = int(time.time() * 1000) if now_ms is None else now_ms
     if now >= pit.expires_at_ms:

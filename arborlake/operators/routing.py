@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arborlake.functions import ids
 from arborlake.functions.predicates import scope_match
+from arborlake.operators.ordered import number_rows, running_max
 from arborlake.skew import lookup_join
 from arborlake.storage import materialize
 
@@ -63,7 +63,7 @@ def validate_roots(roots: DataFrame) -> DataFrame:
         F.when(~F.col("subpath_scope").startswith("/"), F.lit("relative subpath scope")),
         F.when(~F.col("watch") & ~F.col("scan"), F.lit("neither watch nor scan")),
     )
-    counted = roots.withColumn("_copies", F.count("*").over(W.partitionBy("id")))
+    counted = roots.join(roots.groupBy("id").agg(F.count("*").alias("_copies")), "id")
     return counted.select(F.col("id").alias("root_id"), F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("error"))
 
 
@@ -174,26 +174,22 @@ def normalize_root_ids(rows: DataFrame, raw: str, position: str) -> DataFrame:
     their next one. Rows of one base start at distinct candidates, so a further round is needed
     only where a generated id meets another row's own base.
     """
-    nth = F.row_number().over(W.partitionBy("_base").orderBy(position))
-    table = rows.withColumn("_base", ids.root_id_base(raw)).withColumn("_n", nth)
+    table = number_rows(rows.withColumn("_base", ids.root_id_base(raw)), ["_base"], position, "_n")
     while True:
         candidate = F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", F.col("_n").cast("string")))
-        table = materialize(
-            table.withColumn("id", candidate).withColumn("_place", F.row_number().over(W.partitionBy("id").orderBy(position))),
-            "root-ids",
-        )
-        if table.where("_place > 1").isEmpty():
-            return table.drop("_base", "_n", "_place")
-        table = table.withColumn("_n", F.when(F.col("_place") > 1, F.col("_n") + 1).otherwise(F.col("_n"))).drop("id", "_place")
+        named = table.withColumn("id", candidate)
+        keepers = named.groupBy("id").agg(F.min(position).alias("_keeper"))
+        table = materialize(named.join(keepers, "id").withColumn("_lost", F.col(position) != F.col("_keeper")), "root-ids")
+        if table.where("_lost").isEmpty():
+            return table.drop("_base", "_n", "_keeper", "_lost")
+        table = table.withColumn("_n", F.col("_n") + F.col("_lost").cast("int")).drop("id", "_keeper", "_lost")
 
 
 def accepted_generations(declarations: DataFrame, order: str = "seq", generation: str = "generation") -> DataFrame:
-    """Declarations whose generation is newer than all accepted before them. Declarations are
-    configuration, a few rows per change of the roots."""
-    before = F.max(generation).over(W.orderBy(order).rowsBetween(W.unboundedPreceding, -1))
-    return declarations.withColumn("_before", before).where(
-        F.col("_before").isNull() | (F.col(generation) > F.col("_before"))
-    ).drop("_before")
+    """Declarations whose generation is newer than all accepted before them."""
+    one = declarations.withColumn("_all", F.lit(0))
+    fenced = running_max(one, ["_all"], order, generation, "_before", inclusive=False)
+    return fenced.where(F.col("_before").isNull() | (F.col(generation) > F.col("_before"))).drop("_before", "_all")
 
 
 def current_declaration(declarations: DataFrame, order: str = "seq", generation: str = "generation") -> DataFrame:

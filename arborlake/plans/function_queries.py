@@ -343,12 +343,13 @@ def object_fields(spark, d):
 
 @query("table_snapshot", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 150")
 def table_snapshot(spark, d):
-    return R.table_snapshot(V.table(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_totalprice"], "o_orderkey", 100, 150).rows
+    frozen = R.freeze_table(V.table(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_totalprice"], "o_orderkey")
+    return R.table_snapshot(frozen, 100, 150).rows
 
 
 @query("table_snapshot_ties", "SELECT o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_orderkey LIMIT 70 OFFSET 30")
 def table_snapshot_ties(spark, d):
-    return R.table_snapshot(V.table(spark, d, "orders"), ["o_custkey", "o_orderkey"], None, 70, 30).rows
+    return R.table_snapshot(R.freeze_table(V.table(spark, d, "orders"), ["o_custkey", "o_orderkey"]), 70, 30).rows
 
 
 COLS = with_(V.SQL_COLUMNS)

@@ -204,11 +204,11 @@ def inventory_edges(spark, d):
 
 
 def full_skeleton(spark, d):
-    """Objects and catalogue together, with a lineage edge from every third object to its table."""
+    """Objects and catalogue together, with a lineage edge from every object to the table of its number."""
     objs = GA.object_skeleton(V.objects(spark, d))
     rel = GA.relational_skeleton(V.columns(spark, d))
     pid = F.col("last_modified_unix_ms") / 1000
-    o = V.objects(spark, d).withColumn("k", pid.cast("long")).where("k % 3 = 0")
+    o = V.objects(spark, d).withColumn("k", pid.cast("long"))
     t = V.columns(spark, d).select(F.col("ordinal_position").alias("k"), F.col("object_ref").alias("to_instance"), F.concat_ws("/", "schema", "table").alias("to_local_id"))
     cross = o.join(t, "k").select(
         F.lit("s3").alias("from_kind"), F.col("object_ref").alias("from_instance"), F.concat_ws("/", "bucket", "key").alias("from_local_id"),
@@ -239,7 +239,7 @@ sedges AS (
   SELECT * FROM oedges UNION ALL SELECT DISTINCT 'mysql', object_ref, schema, schema || '/' || "table", 'contains' FROM cols UNION ALL
   SELECT 'mysql', object_ref, schema || '/' || "table", schema || '/' || "table" || '/' || "column", 'has-field' FROM cols),
 cedges AS (SELECT o.object_ref AS fi, bucket || '/' || key AS fl, c.object_ref AS ti, schema || '/' || "table" AS tl, ordinal_position AS k
-  FROM objs o JOIN cols c ON ordinal_position * 1000 = last_modified_unix_ms WHERE ordinal_position % 3 = 0),
+  FROM objs o JOIN cols c ON ordinal_position * 1000 = last_modified_unix_ms),
 e0 AS (
   SELECT source_kind || ':' || {escaped('source_instance')} || ':' || {escaped('from_local_id')} AS source_gid,
     source_kind || ':' || {escaped('source_instance')} || ':' || {escaped('to_local_id')} AS target_gid, edge_kind,

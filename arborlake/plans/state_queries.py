@@ -486,10 +486,10 @@ def change_stamps(spark, d):
 
 
 @query("generation_fence", """
-SELECT o_orderkey, o_custkey FROM (SELECT *, max(o_custkey) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM orders WHERE o_orderpriority = '1-URGENT')
+SELECT o_orderkey, o_custkey FROM (SELECT *, max(o_custkey) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM orders)
 WHERE b IS NULL OR o_custkey > b""")
 def generation_fence(spark, d):
-    rows = V.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey")
+    rows = V.table(spark, d, "orders").select("o_orderkey", "o_custkey")
     return routing.accepted_generations(rows, "o_orderkey", "o_custkey")
 
 
@@ -545,6 +545,14 @@ def entry_pages_per_group(spark, d):
     return rows.select("group_id", "path", F.col("position").cast("long").alias("position"))
 
 
+@query("frozen_entry_page", STATE + """
+SELECT group_id, path, position FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY string_split(path, '/')) AS position FROM live) WHERE position > 100 AND position <= 130""")
+def frozen_entry_page(spark, d):
+    rows = U.live(V.winner_state(spark, d)).select("group_id", "path")
+    pit = G.freeze_pages(rows, ["group_id"], P.preorder_key("path"))
+    return G.page_of(G.read_pit(spark, pit), 30, 100)
+
+
 @query("byte_budget_page", STATE + """
 SELECT group_id, path FROM (SELECT *, sum(length('{"path":"' || path || '","size":' || size || ',"position":' || position || '}') + 1)
     OVER (PARTITION BY group_id ORDER BY position) AS b FROM (

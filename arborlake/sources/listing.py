@@ -7,7 +7,6 @@ paths. Any inventory can provide it; ``read_tree`` derives one from files Spark
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arborlake import schemas as S
@@ -124,9 +123,10 @@ def scan_targeted(
 def drop_loops(listing: DataFrame) -> DataFrame:
     """Leave out what lies below a directory whose (dev, ino) was already seen at an earlier path in
     pre-order; a directory without an inode number stands for itself."""
-    first = F.min(P.preorder_key("path")).over(W.partitionBy("group_id", "dev", "ino"))
-    dirs = listing.where("is_dir and ino is not null").withColumn("_first", first)
-    again = dirs.where(P.preorder_key("path") != F.col("_first")).select(*NODE)
+    ident = ["group_id", "dev", "ino"]
+    dirs = listing.where("is_dir and ino is not null").select(*ident, "path", P.preorder_key("path").alias("_k"))
+    first = dirs.groupBy(*ident).agg(F.min("_k").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    again = lookup_join(dirs, first, ident, "inner", salt_from=["path"]).where("_k <> _first").select(*NODE)
     return not_covered(listing, again)
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arborlake.functions.predicates import effective_limit, scope_match
+from arborlake.operators.ordered import number_rows
+from arborlake.storage import materialize
 
 DEFAULT_PAGE, MAX_PAGE = 100, 1_000
 SYSTEM_SCHEMAS = ["information_schema", "mysql", "performance_schema", "sys"]
@@ -49,16 +51,20 @@ def snapshot_order(fields: list[str], primary_key: str | None, unique: bool) ->
     return [first] if unique and first == primary_key else [first, *[f for f in fields if f != first]]
 
 
-def table_snapshot(
-    frozen: DataFrame, fields: list[str] | None = None, primary_key: str | None = None, limit: int | None = None, offset: int = 0,
-    unique: bool = True,
-) -> RowPage:
-    """A page of a frozen table. One probe row past the page tells whether more follow."""
-    chosen = fields or frozen.columns
+def freeze_table(df: DataFrame, fields: list[str] | None = None, primary_key: str | None = None, unique: bool = True) -> DataFrame:
+    """A consistent copy of the chosen fields, numbered in page order; write it once, page it often."""
+    chosen = fields or df.columns
+    order = F.struct(*snapshot_order(chosen, primary_key, unique))
+    keyed = df.select(*chosen, F.lit(0).alias("_all"), order.alias("_order"))
+    return materialize(number_rows(keyed, ["_all"], "_order", "row_no").drop("_all", "_order"), "frozen-table")
+
+
+def table_snapshot(frozen: DataFrame, limit: int | None = None, offset: int = 0) -> RowPage:
+    """A page of a frozen table, as a range of row numbers. One row past it tells whether more follow."""
     n = effective_limit(limit, DEFAULT_PAGE, MAX_PAGE)
-    ordered = frozen.select(*chosen).orderBy(*snapshot_order(chosen, primary_key, unique))
-    more = ordered.offset(offset + n).limit(1).count() > 0
-    return RowPage(ordered.offset(offset).limit(n), more, offset + n if more else None)
+    page = frozen.where((F.col("row_no") > offset) & (F.col("row_no") <= offset + n)).drop("row_no")
+    more = not frozen.where(F.col("row_no") == offset + n + 1).isEmpty()
+    return RowPage(page, more, offset + n if more else None)
 
 
 def _json_value(name: str, kind: T.DataType) -> Column:
