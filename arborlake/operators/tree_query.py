@@ -13,6 +13,8 @@ from arborlake.functions.predicates import check_tree_parameters
 from arborlake.operators import reliability as R
 from arborlake.operators import rollup as U
 from arborlake.operators.paging import top_per_group
+from arborlake.skew import lookup_join
+from arborlake.storage import materialize
 
 NODE = ["path", "size", "modified_time_us", "is_dir"]
 
@@ -60,9 +62,11 @@ def node_set_reliability(nodes: DataFrame, by: str = "group_id") -> DataFrame:
     )
 
 
-def _root_facts(rows: DataFrame, query: str) -> DataFrame:
+def _root_facts(rows: DataFrame, query: str, as_of_us: int = 0) -> DataFrame:
+    """Everything a page head needs from a subtree, in one aggregation."""
     at_root = F.col("path") == query
     alive_root = at_root & U.alive()
+    code = R.reason_code(F.col("monitoring_attested"), U.is_suspect(as_of_us), F.col("blind_spot"))
     return rows.groupBy("group_id").agg(
         F.count_if(alive_root).alias("_alive"),
         F.max(F.when(alive_root, F.col("size"))).alias("_size"),
@@ -70,9 +74,16 @@ def _root_facts(rows: DataFrame, query: str) -> DataFrame:
         F.max(F.when(alive_root, F.col("is_dir"))).alias("_is_dir"),
         F.count_if(U.alive()).alias("_live"),
         F.count_if(U.alive() & (P.parent_path("path") == query)).alias("_kids"),
+        F.max(F.when(alive_root, code)).alias("_root"),
+        F.max(F.when(alive_root, F.col("subtree_changed_at_us"))).alias("_root_anchor"),
+        F.max(F.when(U.alive() & ~F.col("monitoring_attested"), F.lit(0))).alias("_unattested"),
+        F.max(F.when(U.alive() & F.col("blind_spot"), F.lit(2))).alias("_blind"),
     )
 
 
+_FACTS = ["_root", "_root_anchor", "_unattested", "_blind"]
+
+
 def _root_row(mode: str, query: str, exists: Column, has_children: Column) -> list[Column]:
     return [
         F.col("group_id"), F.lit(mode).alias("mode"), F.lit(query).alias("path"), F.coalesce("_size", F.lit(0)).alias("size"),
@@ -81,25 +92,26 @@ def _root_row(mode: str, query: str, exists: Column, has_children: Column) -> li
     ]
 
 
-def page_roots(state: DataFrame, query: str, unknown=None, asked: bool = False) -> DataFrame:
-    """The root row of a page, one per group. ``unknown`` is the outcome of
-    ``rollup.unknown_groups`` when the caller has it (``asked``)."""
+def _roots(state: DataFrame, query: str, unknown, as_of_us: int = 0) -> DataFrame:
     q = query or P.SLASH
-    if not asked:
-        unknown = U.unknown_groups(state, query)
     kids = F.coalesce("_kids", F.lit(0)) > 0
-    rows = _root_facts(state.where(P.is_under("path", query)), q).select(
-        *_root_row("direct", q, F.col("_live") > 0, F.coalesce("_is_dir", F.lit(True)) & kids)
+    rows = _root_facts(state.where(P.is_under("path", query)), q, as_of_us).select(
+        *_root_row("direct", q, F.col("_live") > 0, F.coalesce("_is_dir", F.lit(True)) & kids), *_FACTS
     )
     if unknown is None:
         return rows
-    nodes = _root_facts(U.rebased_nodes(unknown(state), query), q)
+    nodes = _root_facts(U.rebased_nodes(unknown(state), query), q, as_of_us)
     every = unknown(state.select("group_id").distinct())
     return rows.unionByName(
-        every.join(nodes, "group_id", "left").select(*_root_row("rebased", q, F.col("_live").isNotNull(), kids))
+        every.join(nodes, "group_id", "left").select(*_root_row("rebased", q, F.col("_live").isNotNull(), kids), *_FACTS)
     )
 
 
+def page_roots(state: DataFrame, query: str) -> DataFrame:
+    """The root row of a page, one per group."""
+    return _roots(state, query, U.unknown_groups(state, query)).drop(*_FACTS)
+
+
 @dataclass(frozen=True)
 class TreeResult:
     heads: DataFrame
@@ -135,15 +147,19 @@ def tree(
         state = state.where(F.col("group_id").isin(only_groups))
     depth_limit = _depth_limit(recursive, max_depth)
     unknown = U.unknown_groups(state, query, groups if only_groups is None else None)
-    roots = page_roots(state, query, unknown, asked=True)
+    roots = _roots(state, query, unknown, as_of_us)
     evidence = ["monitoring_attested", "blind_spot", "suspect_until_us", "subtree_changed_at_us"]
     q = query or P.SLASH
 
     below = U.live(state.where(P.is_under("path", query)))
     entry_rows = below.where((F.col("path") != q) & _within(q, depth_limit)).select("group_id", *NODE, *evidence)
     paged = _page(entry_rows, P.preorder_key("path"), limit, offset)
-    parents = U.live_parents(state.where(P.is_under("path", query))).withColumn("_kids", F.lit(True))
-    direct = paged.join(parents, ["group_id", "path"], "left").withColumn(
+    parents = below.select("group_id", P.parent_path("path").alias("path")).where("path is not null")
+    if limit is not None:
+        # the page is small: keep it, and look for children of its own directories only
+        paged = materialize(paged, "page")
+        parents = lookup_join(parents, paged.where("is_dir").select("group_id", "path"), ["group_id", "path"], "left_semi")
+    direct = paged.join(parents.distinct().withColumn("_kids", F.lit(True)), ["group_id", "path"], "left").withColumn(
         "has_children", F.col("is_dir") & F.coalesce("_kids", F.lit(False))
     ).drop("_kids")
     entries = direct
@@ -161,12 +177,16 @@ def tree(
     page_facts = entries.groupBy("group_id").agg(
         F.max(code).alias("_page"), F.max("subtree_changed_at_us").alias("_page_anchor"), F.count("*").alias("returned_entries")
     )
-    own = below.where(F.col("path") == q)
-    root_facts = own.select("group_id", code.alias("_root"), F.col("subtree_changed_at_us").alias("_root_anchor"))
-    heads = (
-        roots.join(page_facts, "group_id", "left").join(root_facts, "group_id", "left")
-        .join(groups.select("group_id", "overflow_pending", "coverage_recovered_at_us"), "group_id", "left")
-        .withColumn("overflow_pending", F.coalesce("overflow_pending", F.lit(False)))
+    asked = groups.select("group_id", "overflow_pending", "coverage_recovered_at_us")
+    if only_groups is not None:
+        asked = asked.where(F.col("group_id").isin(only_groups))
+    # a group without any state answers too, with a root that does not exist
+    nothing = {
+        "mode": F.lit("direct" if q == P.SLASH else "rebased"), "path": F.lit(q), "size": F.lit(0), "modified_time_us": F.lit(0),
+        "is_dir": F.lit(True), "exists": F.lit(False), "has_children": F.lit(False), "overflow_pending": F.lit(False),
+    }
+    heads = asked.join(roots, "group_id", "left").join(page_facts, "group_id", "left").withColumns(
+        {name: F.coalesce(name, value) for name, value in nothing.items()}
     )
     if limit is None:
         anchors = U.quiet_anchor(state, q)
@@ -174,11 +194,7 @@ def tree(
         heads = heads.join(anchors, "group_id", "left").withColumn("_anchor", F.col("quiet_anchor_us"))
     else:
         # a paged read knows the flags of its page and root, and two facts of the whole subtree
-        facts = below.groupBy("group_id").agg(
-            F.max(F.when(~F.col("monitoring_attested"), F.lit(0))).alias("_unattested"),
-            F.max(F.when(F.col("blind_spot"), F.lit(2))).alias("_blind"),
-        )
-        heads = heads.join(facts, "group_id", "left").withColumn("_anchor", F.greatest("_page_anchor", "_root_anchor"))
+        heads = heads.withColumn("_anchor", F.greatest("_page_anchor", "_root_anchor"))
         reason = R.worst(
             F.col("_page"), F.col("_root"), F.col("_unattested"), F.col("_blind"), R.overflow_code(F.col("overflow_pending"))
         )
