@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from arborlake import schemas as S
 from arborlake.operators import arbitrate as A
 from arborlake.operators.path_fold import Policy
 from arborlake.plans import views as V
@@ -34,7 +35,8 @@ _OWN = ", ".join(
 )
 
 # One event of every group per round. All paths are there from the start, absent ones with x = false;
-# the row '#' of a group counts rounds and revisions.
+# the row '#' of a group counts rounds and revisions and, in its otherwise unused columns size, mtime,
+# ctime and confirmed, the outcomes created, modified, deleted and ignored.
 SQL_RECURSION = V.SQL_FOLD + f""",
 ctl AS (
   SELECT group_id, seq, rec_type, epoch_id, arrival_us,
@@ -66,14 +68,14 @@ t USING KEY (group_id, path) AS (
   UNION
   SELECT r.group_id, r.path, o.n, r.rev + CASE WHEN r.path = '#' AND sig THEN 1 ELSE 0 END,
     CASE WHEN own THEN act <> 'rm' AND (r.x OR act IN ('new', 'newtomb')) WHEN down OR gone THEN false ELSE r.x END,
-    CASE WHEN own AND act IN ('new', 'upd') THEN o.size WHEN own AND act = 'newtomb' THEN 0 ELSE r.size END,
-    CASE WHEN own AND act IN ('new', 'upd', 'newtomb') THEN o.mtime ELSE r.mtime END,
-    CASE WHEN own AND act IN ('new', 'upd', 'newtomb') THEN o.ctime ELSE r.ctime END,
+    CASE WHEN r.path = '#' THEN coalesce(r.size, 0) + CASE WHEN act = 'new' OR (act = 'upd' AND s_tomb) THEN 1 ELSE 0 END WHEN own AND act IN ('new', 'upd') THEN o.size WHEN own AND act = 'newtomb' THEN 0 ELSE r.size END,
+    CASE WHEN r.path = '#' THEN coalesce(r.mtime, 0) + CASE WHEN act = 'upd' AND NOT s_tomb THEN 1 ELSE 0 END WHEN own AND act IN ('new', 'upd', 'newtomb') THEN o.mtime ELSE r.mtime END,
+    CASE WHEN r.path = '#' THEN coalesce(r.ctime, 0) + CASE WHEN act IN ('tomb', 'newtomb', 'rm') THEN 1 ELSE 0 END WHEN own AND act IN ('new', 'upd', 'newtomb') THEN o.ctime ELSE r.ctime END,
     CASE WHEN own AND act IN ('new', 'upd', 'newtomb') THEN o.is_dir ELSE r.is_dir END,
     CASE WHEN own AND act IN ('new', 'upd', 'newtomb') THEN CASE WHEN o.scan THEN 'Scan' ELSE 'Realtime' END ELSE r.source END,
     CASE WHEN own AND act = 'newtomb' THEN false WHEN own AND act IN ('new', 'upd') AND NOT o.scan THEN true
          WHEN own AND (act = 'new' OR (act = 'upd' AND s_mtime <> o.mtime)) THEN false ELSE r.attested END,
-    CASE WHEN own AND act IN ('new', 'newtomb') THEN CASE WHEN act = 'new' AND NOT o.scan THEN o.now END WHEN own AND act = 'upd' AND NOT o.scan THEN o.now ELSE r.confirmed END,
+    CASE WHEN r.path = '#' THEN coalesce(r.confirmed, 0) + CASE WHEN act IN ('ign', 'seen') THEN 1 ELSE 0 END WHEN own AND act IN ('new', 'newtomb') THEN CASE WHEN act = 'new' AND NOT o.scan THEN o.now END WHEN own AND act = 'upd' AND NOT o.scan THEN o.now ELSE r.confirmed END,
     CASE WHEN own AND act IN ('tomb', 'newtomb') THEN NULL
          WHEN own AND act IN ('new', 'upd') AND NOT o.scan THEN CASE WHEN NOT o.atomic THEN o.now + {POLICY.suspect_window_us} END
          WHEN own AND (act = 'new' OR (act = 'upd' AND s_mtime <> o.mtime)) THEN CASE WHEN o.clock - o.mtime < {POLICY.suspect_window_us} THEN o.now + {POLICY.suspect_window_us} END
@@ -145,6 +147,11 @@ def fold_groups(spark, d):
     return fold(spark, d).groups.select("group_id", "clock_us", "completed_epochs", "overflow_pending", "coverage_recovered_at_us")
 
 
-@query("fold_outcomes")
+@query("fold_outcomes", RECURSION + """
+SELECT group_id, size AS created, mtime AS modified, ctime AS deleted, confirmed AS ignored, rev - 1 AS significant FROM t WHERE path = '#'""")
 def fold_outcomes(spark, d):
-    return fold(spark, d).outcomes.groupBy("group_id", "outcome").agg(F.count("*").alias("n"), F.count_if("significant").alias("significant"))
+    n = lambda outcome: F.count_if(F.col("outcome") == outcome)
+    return fold(spark, d).outcomes.groupBy("group_id").agg(
+        n(S.CREATED).alias("created"), n(S.MODIFIED).alias("modified"), n(S.DELETED).alias("deleted"), n(S.IGNORED).alias("ignored"),
+        F.count_if("significant").alias("significant"),
+    )
