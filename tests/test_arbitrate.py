@@ -31,6 +31,8 @@ def random_log(rng, n, groups=("g0", "g1"), with_control=True):
                 row["epoch_id"] = epoch = rng.choice([epoch, epoch + 1])
         else:
             path = rng.choice(DIRS + LEAVES)
+            if rng.random() < 0.25:  # files that are met once
+                path = f"{rng.choice(DIRS)}/n{seq}"
             is_dir = (path in DIRS) != (rng.random() < 0.06)
             source = rng.choice(["Scan", "Realtime"])
             named = source == "Scan" and rng.random() < 0.7
