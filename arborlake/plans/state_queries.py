@@ -617,7 +617,7 @@ def tree_entry_page(spark, d):
 
 
 HEADS = f"""
-SELECT g.group_id, CASE WHEN kn.group_id IS NULL THEN 'rebased' ELSE 'direct' END AS mode, n > 0 AS exists,
+SELECT g.group_id, CASE WHEN kn.group_id IS NULL THEN 'rebased' ELSE 'direct' END AS mode, coalesce(n, 0) > 0 AS exists,
   EXISTS (SELECT 1 FROM kids k WHERE k.group_id = g.group_id AND k.path = '/u3') AS has_children,
   c IS NULL AS reliable, {REASON}[c + 1] AS unreliable_reason,
   CASE WHEN c = 1 THEN 'unstable' WHEN c IS NOT NULL OR overflow_pending THEN 'unknown' WHEN coalesce(quiet, 0) >= 5000 THEN 'stable' ELSE 'unstable' END AS stability_state,
