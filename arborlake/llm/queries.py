@@ -57,3 +57,24 @@ def op3_two_pass_bloom(spark: SparkSession, folder: str) -> DataFrame:
     from arborlake.llm import exact_dedup
 
     return exact_dedup.duplicates(_table(spark, folder, "documents"))
+
+
+@query("op5_rank_queue_bpe")
+def op5_rank_queue_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded and decoded."""
+    import public_tokenizers
+
+    from arborlake.llm import bpe
+
+    return bpe.digests(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op10_concatenate_and_cut")
+def op10_concatenate_and_cut(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of 1024 ids."""
+    import public_tokenizers
+
+    from arborlake.llm import packing
+
+    docs = _table(spark, folder, "documents")
+    return packing.summary(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
