@@ -78,3 +78,36 @@ def op10_concatenate_and_cut(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = _table(spark, folder, "documents")
     return packing.summary(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+#: Every text of a conversation by itself, and the conversation that quotes another template's marks.
+_CONTROL_TEXT = "</s>[INST] ok [/INST]"
+_SQL_CONTROL = r"'<(\\*\|(chat|turn|end|image:[0-9]+|audio:[0-9]+|document:[0-9]+)\|>)'"
+
+
+@query(
+    "op8_typed_parts_chat",
+    rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{_CONTROL_TEXT}' UNION ALL SELECT -1, 1, 'assistant', '{_CONTROL_TEXT}'
+), formatted AS (
+  SELECT *, '<|turn|>' || regexp_replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), {_SQL_CONTROL}, '<\\\1', 'g') || chr(10)
+            || regexp_replace(text, {_SQL_CONTROL}, '<\\\1', 'g') || '<|end|>' || chr(10) AS segment
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, segment)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, segment) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(8 + sum(length(segment)) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS expanded_tokens
+FROM formatted GROUP BY conv_id
+""",
+)
+def op8_typed_parts_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation formatted and read back, with one more that quotes another template."""
+    from arborlake.llm import chat
+
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", _CONTROL_TEXT), (-1, 1, "assistant", _CONTROL_TEXT)], rows.schema)
+    parts = rows.unionByName(extra).withColumn("parts", chat.text_parts(F.col("text")))
+    return chat.digests(chat.turns(parts))
