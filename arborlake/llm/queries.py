@@ -111,3 +111,11 @@ def op8_typed_parts_chat(spark: SparkSession, folder: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", _CONTROL_TEXT), (-1, 1, "assistant", _CONTROL_TEXT)], rows.schema)
     parts = rows.unionByName(extra).withColumn("parts", chat.text_parts(F.col("text")))
     return chat.digests(chat.turns(parts))
+
+
+@query("op6_nearest_examples_toxicity")
+def op6_nearest_examples_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """A toxicity score of every document."""
+    from arborlake.llm import toxicity
+
+    return toxicity.scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
