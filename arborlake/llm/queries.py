@@ -119,3 +119,12 @@ def op6_nearest_examples_toxicity(spark: SparkSession, folder: str) -> DataFrame
     from arborlake.llm import toxicity
 
     return toxicity.scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@query("op1_random_field_language")
+def op1_random_field_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document."""
+    from arborlake.llm import language
+
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return language.predict(docs, language.fit(docs))
