@@ -128,3 +128,11 @@ def op1_random_field_language(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
     return language.predict(docs, language.fit(docs))
+
+
+@query("op9_learned_partitions")
+def op9_learned_partitions(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest rows found for every hundredth row."""
+    from arborlake.llm import neighbours
+
+    return neighbours.nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
