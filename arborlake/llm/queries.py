@@ -136,3 +136,11 @@ def op9_learned_partitions(spark: SparkSession, folder: str) -> DataFrame:
     from arborlake.llm import neighbours
 
     return neighbours.nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op7_universe_partition_join")
+def op7_universe_partition_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents with a Jaccard similarity of 85 percent of their 4-word shingles."""
+    from arborlake.llm import jaccard
+
+    return jaccard.join(_table(spark, folder, "documents"), 4, 85)
