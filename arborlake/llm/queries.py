@@ -144,3 +144,11 @@ def op7_universe_partition_join(spark: SparkSession, folder: str) -> DataFrame:
     from arborlake.llm import jaccard
 
     return jaccard.join(_table(spark, folder, "documents"), 4, 85)
+
+
+@query("op4_induced_suffix_dedup")
+def op4_induced_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without the 100-byte strings that also begin earlier."""
+    from arborlake.llm import suffix_dedup
+
+    return suffix_dedup.digests(_table(spark, folder, "documents"), 100)
