@@ -234,23 +234,35 @@ def _document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> np.nda
 
 
 def annotate(docs: DataFrame, model: Index, text: str = "text", score: str = "score", evidence: str = "evidence") -> DataFrame:
-    """``docs`` with a score from 0 to 1 and the ids of the examples behind it."""
+    """``docs`` with a score from 0 to 1 and the ids of the examples behind it. Columns that already have these
+    names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text)
-    names = [*docs.columns, score, evidence]
-    if len(set(names)) < len(names):
-        raise ValueError("a column has the name of a new one")
+    source = docs.select(F.col(f"`{text}`"), *[F.col(f"`{n}`") for n in docs.columns if n not in (text, score, evidence)])
+    names = [*source.columns, score, evidence]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.score(t.as_py()) for t in batch.column(at)]
+            found = [shared.value.score(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([s for s, _ in found], pa.float64()), pa.array([[str(x) for x in e] for _, e in found], pa.list_(pa.string()))],
                 names,
             )
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kinds}, `{score}` double, `{evidence}` array<string>")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
+    kept = [n for n in docs.columns if n not in (score, evidence)]
+    return source.mapInArrow(run, f"{kinds}, `{score}` double, `{evidence}` array<string>").select(*[F.col(f"`{n}`") for n in (*kept, score, evidence)])
+
+
+def reject(docs: DataFrame, model: Index, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is below ``least``, as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([shared.value.score(t.as_py())[0] < least for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def scores(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0) -> DataFrame:
