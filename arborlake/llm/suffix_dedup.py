@@ -125,7 +125,7 @@ DTYPES = ["<u8", "<u8", "<i8", "<i8", "<i8", "<i8"]  # gram, content, doc, crc,
 WIDTH = len(DTYPES)
 
 
-def _announce(length: int, slices: int):
+def _announce(length: int, slices: int, crowd: int):
     """Segments as numbers, dealt by gram; equal ones of a batch are combined, crowded grams set apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,12 +150,12 @@ def _announce(length: int, slices: int):
                 yield blobs.deal(SPAN, slices + at % slices, [x[at] for x in (gram, content, doc, crc, start, size)])
             gram, content, doc, crc, start, size = (x[first] for x in (gram, content, doc, crc, start, size))
             values, begin, counts = np.unique(gram, return_index=True, return_counts=True)
-            crowded = np.repeat(counts > CROWD, counts)
+            crowded = np.repeat(counts > crowd, counts)
             if crowded.any():
                 at = np.flatnonzero(crowded)
                 yield blobs.deal(SINGLE, slices + at % slices, [x[at] for x in (gram, content, doc, crc, start, size)])
                 # a note of size 0, so that other batches' segments of the gram follow
-                note = begin[counts > CROWD]
+                note = begin[counts > crowd]
                 size = size.copy()
                 size[note] = 0
                 crowded[note] = False
@@ -165,7 +165,7 @@ def _announce(length: int, slices: int):
     return run
 
 
-def _compare(slices: int):
+def _compare(slices: int, most: int):
     """Segments of a gram together: SPAN for those that repeat wholly, WHOLE or SINGLE for those to be fetched."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +192,7 @@ def _compare(slices: int):
             first[1:] = (gram[1:] != gram[:-1]) | (content[1:] != content[:-1])
             columns = [gram, content, doc, crc, start, size]
             different = np.bincount(at, first, len(values))
-            single = (noted | (different > CROWDED))[at] & first
+            single = (noted | (different > most))[at] & first
             whole = (different > 1)[at] & first & ~single
             for kind, chosen in ((SPAN, ~first), (SINGLE, single), (WHOLE, whole)):
                 if chosen.any():
@@ -343,16 +343,17 @@ def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(crc[first]), cut(start), cut(stop)], ["doc", "crc", "starts", "ends"])
 
 
-def removed(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def removed(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD, crowded: int = CROWDED) -> DataFrame:
     """Rows (doc, crc, starts, ends) of the documents that lose bytes: packed places of the removed runs."""
     spark = docs.sparkSession
-    source = _keyed(docs, doc_id, text).select("doc", "crc", F.col(f"`{text}`").alias("text"))
+    docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    source = _keyed(docs, "doc_id", "text").select("doc", "crc", "text")
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(least, total * 2 // (length - GRAM + 2) * 8 * WIDTH // PARTITION_BYTES + 1)
     slices = parts * SLICES
-    announced = source.mapInArrow(_announce(length, slices), blobs.schema(WIDTH)).repartition(parts, "slice")
-    compared = materialize(announced.mapInArrow(_compare(slices), blobs.schema(WIDTH)), "suffix-compared")
+    announced = source.mapInArrow(_announce(length, slices, crowd), blobs.schema(WIDTH)).repartition(parts, "slice")
+    compared = materialize(announced.mapInArrow(_compare(slices, crowded), blobs.schema(WIDTH)), "suffix-compared")
     wanted = materialize(
         compared.filter(F.col("kind") != SPAN)
         .repartition(parts, "slice")
@@ -391,10 +392,12 @@ def _kept(raw: bytes, starts: bytes | None, ends: bytes | None) -> tuple[bytes,
     return b"".join(raw[x:y] for x, y in zip([0, *b], [*a, len(raw)])), len(a)
 
 
-def digests(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def digests(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD, crowded: int = CROWDED) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    joined = _keyed(source, "doc_id", "text").join(removed(source, length).hint("shuffle_hash"), ["doc", "crc"], "left")
+    joined = _keyed(source, "doc_id", "text").join(
+        removed(source, length, crowd=crowd, crowded=crowded).hint("shuffle_hash"), ["doc", "crc"], "left"
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
