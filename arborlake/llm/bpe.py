@@ -17,17 +17,18 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.llm.pretokens import splitter
+from arborlake.llm.pretokens import Recent, splitter
 
 #: Ranks under one word of the lower bitmap.
 WORD = 256
-#: Pre-tokens that a worker remembers, and the longest that it does.
+#: Pre-tokens that a worker remembers in each generation, and the longest that it does.
 CACHED, CACHED_CHARACTERS = 400_000, 48
 
 
@@ -110,32 +111,26 @@ class Codec:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.split = splitter(pattern)
-        self.known = _Known(self.ranks)
+        self.known = Recent(CACHED)
 
     def encode(self, text: str) -> bytes:
-        known = self.known
-        if len(known) > CACHED:
-            known.clear()
-        return b"".join(map(known.__getitem__, self.split(text)))
+        pieces = self.split(text)
+        found, missing = self.known.look_up(pieces)
+        if missing:
+            fresh: dict[str, bytes] = {}
+            for i in missing:
+                piece = pieces[i]
+                if piece not in fresh:
+                    ids = encode_bytes(piece.encode("utf-8", "surrogatepass"), self.ranks)
+                    fresh[piece] = pack(f"<{len(ids)}I", *ids)
+                found[i] = fresh[piece]
+            self.known.remember((p, i) for p, i in fresh.items() if len(p) <= CACHED_CHARACTERS)
+        return b"".join(found)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-class _Known(dict):
-    """Packed ids of pre-tokens."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
-        self.ranks = ranks
-
-    def __missing__(self, piece: str) -> bytes:
-        packed = np.array(encode_bytes(piece.encode("utf-8", "surrogatepass"), self.ranks), "<u4").tobytes()
-        if len(piece) <= CACHED_CHARACTERS:
-            self[piece] = packed
-        return packed
-
-
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
     """One for each worker process; it stays there from task to task."""

@@ -6,6 +6,7 @@ out once per worker. A text with characters beyond that plane goes through ``reg
 
 from __future__ import annotations
 
+import contextlib
 import re
 from functools import lru_cache
 
@@ -54,3 +55,30 @@ def chunks(texts: list[str | None], characters: int = 2_000_000):
         size += len(text or "")
     if first < len(texts):
         yield first, len(texts)
+
+
+class Recent:
+    """A bounded memory in two generations: when the younger is full it becomes the older, and what was not asked
+    for since is forgotten."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def look_up(self, keys: list) -> tuple[list, list[int]]:
+        """The values of the keys, None for those not known, and the places of these."""
+        young, old = self.young, self.old
+        found = list(map(young.get, keys))
+        missing, at = [], -1
+        with contextlib.suppress(ValueError):
+            while True:
+                at = found.index(None, at + 1)
+                if (value := old.get(keys[at])) is None:
+                    missing.append(at)
+                else:
+                    found[at] = young[keys[at]] = value
+        return found, missing
+
+    def remember(self, items) -> None:
+        self.young.update(items)
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
