@@ -744,10 +744,11 @@ def visibility_lag(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def retain_lag(samples: DataFrame, as_of_us: int, days: int = 31, newest: int = 200_000, since_us: int | None = None) -> DataFrame:
-    """Samples of the retention window, at most the ``newest`` ones; the cap is the feature."""
-    floor = as_of_us - days * 86_400_000_000
-    kept = samples.where(F.col("observed_at_us") >= floor).orderBy(F.col("observed_at_us").desc(), F.col("seq").desc(), "group_id").limit(newest)
+def retain_lag(samples: DataFrame, as_of_us: int, days: int = 31, newest: int | None = None, since_us: int | None = None) -> DataFrame:
+    """Samples of the retention window; at most the ``newest`` ones where a caller asks for so many."""
+    kept = samples.where(F.col("observed_at_us") >= as_of_us - days * 86_400_000_000)
+    if newest is not None:
+        kept = kept.orderBy(F.col("observed_at_us").desc(), F.col("seq").desc(), "group_id").limit(newest)
     return kept if since_us is None else kept.where(F.col("observed_at_us") >= since_us)
 
 

@@ -10,8 +10,12 @@ from pyspark.sql import types as T
 
 from arborlake.functions import ids
 from arborlake.schemas import _schema
+from arborlake.skew import lookup_join
 from arborlake.storage import materialize
 
+# The place of a row in what was put together: the skeleton it came with, then its place in that.
+RANK = ("part", "ord")
+
 SOURCE_NODE = _schema(
     """source_kind string, source_instance string, local_id string, node_kind string, native_ref string,
     display_name string, native_pointer string, fingerprint string, observed_at long, grant_epoch long, ord long"""
@@ -35,7 +39,7 @@ EVIDENCE = _schema(
     anchor=ANCHOR,
 )
 _REFS = T.ArrayType(T.StringType())
-NODE = T.StructType([T.StructField("gid", T.StringType()), *[f for f in SOURCE_NODE.fields if f.name != "ord"],
+NODE = T.StructType([T.StructField("gid", T.StringType()), *[f for f in SOURCE_NODE.fields if f.name not in RANK],
                      T.StructField("evidence_refs", _REFS)])
 EDGE = T.StructType([
     *_schema("edge_id string, source_gid string, target_gid string, edge_kind string, confidence string, "
@@ -71,11 +75,13 @@ class Skeleton:
     edges: DataFrame
     cross_edges: DataFrame
     evidence: DataFrame
+    parts: int = 1
 
     def union(self, other: "Skeleton") -> "Skeleton":
-        return Skeleton(*[
-            getattr(self, n).unionByName(getattr(other, n)) for n in ("nodes", "edges", "cross_edges", "evidence")
-        ])
+        """The rows of both; those of ``other`` come after all of these."""
+        later = F.col("part") + self.parts
+        tables = [getattr(self, n).unionByName(getattr(other, n).withColumn("part", later)) for n in ("nodes", "edges", "cross_edges", "evidence")]
+        return Skeleton(*tables, parts=self.parts + other.parts)
 
 
 @dataclass(frozen=True)
@@ -86,7 +92,7 @@ class Graph:
 
 
 def empty_graph(spark: SparkSession) -> Graph:
-    evidence = T.StructType([f for f in EVIDENCE.fields if f.name != "ord"])
+    evidence = T.StructType([f for f in EVIDENCE.fields if f.name not in RANK])
     return Graph(spark.createDataFrame([], NODE), spark.createDataFrame([], EDGE), spark.createDataFrame([], evidence))
 
 
@@ -98,16 +104,21 @@ def skeleton(
 
     def fit(df, schema):
         if df is None:
-            return spark.createDataFrame([], schema)
+            return _placed(spark.createDataFrame([], schema))
         have = set(df.columns)
-        return df.select(*[
+        return _placed(df.select(*[
             (F.col(f.name) if f.name in have else F.lit(0 if f.name in ("ord", "observed_at") else None))
             .cast(f.dataType).alias(f.name) for f in schema.fields
-        ])
+        ], *sorted(have & {"part"})))
 
     return Skeleton(fit(nodes, SOURCE_NODE), fit(edges, SOURCE_EDGE), fit(cross_edges, CROSS_EDGE), fit(evidence, EVIDENCE))
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    """A missing place counts as 0."""
+    return df.withColumns({n: F.lit(0).cast("long") for n in RANK if n not in df.columns})
+
+
 def node_rows(nodes: DataFrame) -> DataFrame:
     """Source nodes with their global id and evidence; rows that have them stay as they are."""
     if "gid" in nodes.columns:
@@ -155,7 +166,7 @@ def _edge_ids(edges: DataFrame, default: Column) -> DataFrame:
 
 
 def _evidence(df, kind, instance, ref, pointer, version, observer, observation, confidence, labels) -> DataFrame:
-    return df.select(
+    return _placed(df).select(
         F.element_at("evidence_refs", 1).alias("evidence_id"),
         F.struct(
             kind.alias("source_kind"), instance.alias("source_instance"), ref.alias("native_ref"),
@@ -168,7 +179,7 @@ def _evidence(df, kind, instance, ref, pointer, version, observer, observation,
         F.lit(None).cast("string").alias("watermark"),
         F.lit(labels.adapter_version).alias("adapter_version"),
         confidence.alias("confidence"),
-        "ord",
+        *RANK,
     )
 
 
@@ -199,44 +210,41 @@ def _last_per(df: DataFrame, key: str, names: list[str], rank: Column) -> DataFr
     return best.select(*[F.col(key) if n == key else F.col(f"_n.{n}").alias(n) for n in names])
 
 
+def _ranked(df: DataFrame, names: list[str], stage: int, last: bool = True) -> DataFrame:
+    """Columns with a rank: stage, place, and content where two rows have one place; ``last`` wins or the first."""
+    content = F.to_json(F.struct(*names))
+    df = _placed(df)
+    place = [F.col(n) if last else -F.col(n) for n in RANK]
+    return df.select(*names, F.struct(F.lit(stage).alias("stage"), *[x.alias(n) for x, n in zip(place, RANK)], content.alias("content")).alias("_rank"))
+
+
 def upsert_nodes(existing: DataFrame, nodes: DataFrame) -> DataFrame:
     """Last row per gid; incoming rows come after stored ones."""
     names = NODE.fieldNames()
-    both = node_rows(nodes).select(*names, "ord").unionByName(existing.select(*names, F.lit(None).cast("long").alias("ord")))
-    return _last_per(both, "gid", names, F.struct(F.col("ord").isNotNull().cast("int"), "ord"))
+    both = _ranked(node_rows(nodes), names, 1).unionByName(_ranked(existing, names, 0))
+    return _last_per(both, "gid", names, F.col("_rank"))
 
 
 def upsert_edges(existing: DataFrame, edges: DataFrame, cross_edges: DataFrame) -> DataFrame:
     """Last row per edge id; cross-source edges come after same-source ones."""
     names = EDGE.fieldNames()
-    ranked = [
-        (existing, 0, F.lit(0).cast("long")),
-        (edge_rows(edges), 1, F.col("ord")),
-        (cross_edge_rows(cross_edges), 2, F.col("ord")),
-    ]
-    both = None
-    for df, stage, order in ranked:
-        part = df.select(*names, F.lit(stage).alias("_stage"), order.alias("_ord"))
-        both = part if both is None else both.unionByName(part)
-    return _last_per(both, "edge_id", names, F.struct("_stage", "_ord"))
+    both = _ranked(existing, names, 0).unionByName(_ranked(edge_rows(edges), names, 1)).unionByName(_ranked(cross_edge_rows(cross_edges), names, 2))
+    return _last_per(both, "edge_id", names, F.col("_rank"))
 
 
 def upsert_evidence(existing: DataFrame, sk: Skeleton, labels: Labels = Labels()) -> DataFrame:
     """Given evidence replaces what is stored, the last one wins. Derived evidence only fills ids
     that nothing else has, the first one wins: nodes before edges before cross-source edges."""
-    names = [f.name for f in EVIDENCE.fields if f.name != "ord"]
-    stages = [
-        (sk.evidence, 5, F.col("ord")),
-        (existing, 4, F.lit(0).cast("long")),
-        (node_evidence(node_rows(sk.nodes), labels), 3, -F.col("ord")),
-        (edge_evidence(edge_rows(sk.edges), labels), 2, -F.col("ord")),
-        (cross_evidence(cross_edge_rows(sk.cross_edges), labels), 1, -F.col("ord")),
+    names = [f.name for f in EVIDENCE.fields if f.name not in RANK]
+    both = _ranked(sk.evidence, names, 5).unionByName(_ranked(existing, names, 4))
+    derived = [
+        (node_evidence(node_rows(sk.nodes), labels), 3),
+        (edge_evidence(edge_rows(sk.edges), labels), 2),
+        (cross_evidence(cross_edge_rows(sk.cross_edges), labels), 1),
     ]
-    both = None
-    for df, stage, order in stages:
-        part = df.select(*names, F.lit(stage).alias("_stage"), order.alias("_ord"))
-        both = part if both is None else both.unionByName(part)
-    return _last_per(both, "evidence_id", names, F.struct("_stage", "_ord"))
+    for df, stage in derived:
+        both = both.unionByName(_ranked(df, names, stage, last=False))
+    return _last_per(both, "evidence_id", names, F.col("_rank"))
 
 
 def dangling_edges(nodes: DataFrame, sk: Skeleton) -> DataFrame:
@@ -268,12 +276,13 @@ def ingest(graph: Graph, sk: Skeleton, labels: Labels = Labels()) -> tuple[Graph
         materialize(node_rows(sk.nodes), "graph-nodes"), materialize(edge_rows(sk.edges), "graph-edges"),
         materialize(cross_edge_rows(sk.cross_edges), "graph-cross-edges"), sk.evidence,
     )
-    nodes = upsert_nodes(graph.nodes, sk.nodes)
+    # every new table is computed once, then checked, counted and handed on
+    nodes = materialize(upsert_nodes(graph.nodes, sk.nodes), "graph-upserted-nodes")
     bad = dangling_edges(nodes, sk).orderBy("edge_id").first()
     if bad is not None:
         raise DanglingEdges(f"edge {bad.edge_id} has no {'source' if bad.no_source else 'target'} node")
-    edges = upsert_edges(graph.edges, sk.edges, sk.cross_edges)
-    evidence = upsert_evidence(graph.evidence, sk, labels)
+    edges = materialize(upsert_edges(graph.edges, sk.edges, sk.cross_edges), "graph-upserted-edges")
+    evidence = materialize(upsert_evidence(graph.evidence, sk, labels), "graph-upserted-evidence")
     counted = [("nodes", nodes, graph.nodes, "gid"), ("edges", edges, graph.edges, "edge_id"),
                ("evidence", evidence, graph.evidence, "evidence_id")]
     ack = None
@@ -317,7 +326,7 @@ def neighbors_of(graph: Graph, gids: DataFrame, direction: str = "both") -> Data
     """(gid, edge columns) around every node of a table of gids; a loop edge counts once."""
     ends = {"outgoing": ["source_gid"], "incoming": ["target_gid"], "both": ["source_gid", "target_gid"]}[direction]
     lifted = graph.edges.withColumn("gid", F.explode(F.array_distinct(F.array(*ends))))
-    return lifted.join(gids.select("gid").distinct(), "gid", "left_semi")
+    return lookup_join(lifted, gids.select("gid").distinct(), ["gid"], "left_semi", salt_from=["edge_id"])
 
 
 def _limited(df: DataFrame, limit: int | None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,9 +81,8 @@ def rank_groups(groups: DataFrame, stats: DataFrame, order: str) -> DataFrame:
         "file-age": F.coalesce("latest_file_mtime_us", F.lit(0)).cast("long"),
     }[order]
     joined = groups.select("group_id").join(stats, "group_id", "left").withColumn("metric", metric)
-    return joined.withColumn(
-        "rank", F.row_number().over(W.orderBy(F.col("metric").desc(), F.col("group_id")))
-    ).select("group_id", "metric", "rank")
+    keyed = joined.select("group_id", "metric", F.lit(0).alias("_all"), F.struct(-F.col("metric"), "group_id").alias("_order"))
+    return number_rows(keyed, ["_all"], "_order", "rank").select("group_id", "metric", F.col("rank").cast("int").alias("rank"))
 
 
 @dataclass(frozen=True)
@@ -99,12 +99,20 @@ def group_page(ranked: DataFrame, size: int, after: int = 0) -> GroupPage:
 
 
 def after_cursor(df: DataFrame, columns: list[str], cursor: tuple | None) -> DataFrame:
-    """Rows strictly after an ordered tuple; the first column also bounds the scan."""
+    """Rows strictly after an ordered tuple, nulls last in every column; the first column also bounds the scan."""
     if cursor is None:
         return df
-    here = F.struct(*[F.col(c).alias(c) for c in columns])
-    mark = F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(columns, cursor)])
-    return df.where((F.col(columns[0]) >= mark[columns[0]]) & (here > mark))
+    later, same = F.lit(False), F.lit(True)
+    for name, value in zip(columns, cursor):
+        mark = F.lit(value).cast(df.schema[name].dataType)
+        # nothing comes after a null
+        after = F.lit(False) if value is None else F.col(name).isNull() | (F.col(name) > mark)
+        later = later | (same & after)
+        same = same & F.col(name).eqNullSafe(mark)
+    if cursor[0] is None:
+        return df.where(F.col(columns[0]).isNull() & later)
+    first = F.col(columns[0])
+    return df.where((first.isNull() | (first >= F.lit(cursor[0]).cast(df.schema[columns[0]].dataType))) & later)
 
 
 @dataclass(frozen=True)
@@ -115,12 +123,24 @@ class KeysetPage:
 
 
 def keyset_page(df: DataFrame, columns: list[str], limit: int, cursor: tuple | None = None) -> KeysetPage:
-    """A page in the order of ``columns``. One probe row past the page tells whether more follow."""
-    ordered = after_cursor(df, columns, cursor).orderBy(*columns)
-    keys = ordered.select(*columns).limit(limit + 1).collect()
-    more = len(keys) > limit
-    last = tuple(keys[: limit][-1]) if keys else cursor
-    return KeysetPage(ordered.limit(limit), more, last)
+    """A page in the order of ``columns``, nulls last, which together tell rows apart. One row past the page tells
+    whether more follow; page and cursor come from one pass."""
+    ordered = after_cursor(df, columns, cursor).orderBy(*[F.col(c).asc_nulls_last() for c in columns])
+    rows = ordered.limit(limit + 1).collect()
+    page = rows[:limit]
+    last = tuple(page[-1][c] for c in columns) if page else cursor
+    return KeysetPage(df.sparkSession.createDataFrame(page, df.schema), len(rows) > limit, last)
+
+
+def all_pages(read: Callable[[tuple | None], KeysetPage]) -> DataFrame:
+    """Follow the cursors of a paged read to its end. The same rows as a whole come from the operators that
+    end in ``_all`` without any paging."""
+    page = read(None)
+    rows = page.rows
+    while page.has_more:
+        page = read(page.next_cursor)
+        rows = rows.unionByName(page.rows)
+    return rows
 
 
 class PitExpired(LookupError):

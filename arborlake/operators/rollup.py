@@ -152,7 +152,9 @@ def quiet_anchor(state: DataFrame, query: str) -> DataFrame:
     at = F.col("subtree_changed_at_us")
     own = F.col("path") == query
     below = P.is_under("path", query)
-    above = F.lit(query).startswith(F.concat(F.col("path"), F.lit(P.SLASH))) | (F.col("path") == P.SLASH)
+    # the ancestors are listed here, so that the scan can look for them
+    names = [n for n in query.split(P.SLASH) if n]
+    above = F.col("path").isin([P.SLASH, *[P.SLASH + P.SLASH.join(names[:i]) for i in range(1, len(names))]])
     rows = state.where(below | (above & at.isNotNull()))
     return (
         rows.groupBy("group_id")

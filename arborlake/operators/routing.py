@@ -130,7 +130,9 @@ def group_keys(rows: DataFrame, members: DataFrame, by: str = "object-ref") -> D
     if by == "object-ref":
         return rows.withColumn("group_key", F.col("object_ref"))
     mounts = members.groupBy("object_ref").agg(F.min("mount_point").alias("_mount"))
-    return lookup_join(rows, mounts, ["object_ref"], "left", salt_from=["object_ref"]).withColumn(
+    # one object may have most rows: they are spread by what else they hold
+    others = [n for n in rows.columns if n != "object_ref"] or None
+    return lookup_join(rows, mounts, ["object_ref"], "left", salt_from=others).withColumn(
         "group_key", F.coalesce("_mount", "object_ref")
     ).drop("_mount")
 

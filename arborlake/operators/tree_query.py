@@ -52,7 +52,7 @@ def list_nodes(
 
 def children(state: DataFrame, query: str) -> DataFrame:
     """Live rows whose parent is the query path; placeholders are not rows."""
-    return U.live(state).where(P.parent_path("path") == query)
+    return U.live(state).where(P.is_under("path", query) & (P.parent_path("path") == query))
 
 
 def node_set_reliability(nodes: DataFrame, by: str = "group_id") -> DataFrame:
@@ -323,3 +323,11 @@ def merge_responses(responses: DataFrame) -> DataFrame:
     names = [c for c in responses.columns if c not in ("path", "response_no")]
     best = responses.groupBy("path").agg(F.max_by(F.struct(*names), "response_no").alias("n"))
     return best.select("path", *[F.col(f"n.{n}").alias(n) for n in names])
+
+
+def merge_reliability(responses: DataFrame) -> DataFrame:
+    """One row (reliable, unreliable_reason) for responses with a ``reason_code`` each, null where reliable: the
+    worst reason of all. Without responses the result is reliable."""
+    return responses.agg(F.max("reason_code").alias("reason_code")).select(
+        F.col("reason_code").isNull().alias("reliable"), R.reason_label(F.col("reason_code")).alias("unreliable_reason")
+    )

@@ -9,6 +9,7 @@ from arborlake.functions import ids
 from arborlake.functions import paths as P
 from arborlake.functions import predicates as B
 from arborlake.operators import arbitrate as A
+from arborlake.operators import paging
 from arborlake.operators import routing
 from arborlake.plans import views as V
 from arborlake.plans.registry import query
@@ -383,23 +384,56 @@ DOCS = with_(V.SQL_DOCS)
 
 
 def doc_events(spark, d):
-    rows = D.document_rows(V.documents(spark, d), "meta.at")
-    return rows.withColumn("timestamp_value", F.col("timestamp_value").cast("long"))
+    return D.document_rows(V.documents(spark, d), "meta.at", timestamp_type="long")
 
 
 @query("doc_snapshot", DOCS + """
-SELECT id, index, seq_no % 50 AS at FROM docs WHERE (seq_no % 50 > 3 OR (seq_no % 50 = 3 AND id > '2')) ORDER BY seq_no % 50, id LIMIT 40""")
+SELECT id, index, seq_no % 50 AS at FROM docs
+WHERE seq_no % 50 > 3 OR (seq_no % 50 = 3 AND (index > 'src1' OR (index = 'src1' AND id > '2'))) ORDER BY seq_no % 50, index, id LIMIT 40""")
 def doc_snapshot(spark, d):
-    return D.doc_snapshot(doc_events(spark, d), limit=40, cursor=(3, "2")).rows.select("id", "index", F.col("timestamp_value").alias("at"))
+    return D.doc_snapshot(doc_events(spark, d), limit=40, cursor=(3, "src1", "2")).rows.select("id", "index", F.col("timestamp_value").alias("at"))
 
 
 @query("doc_poll", DOCS + """
-SELECT id, index, seq_no % 50 AS at FROM docs WHERE index <> 'src1' AND seq_no % 50 >= 7 AND (seq_no % 50 > 7 OR id > '3') ORDER BY seq_no % 50, id LIMIT 60""")
+SELECT id, index, seq_no % 50 AS at FROM docs
+WHERE index <> 'src1' AND (seq_no % 50 > 7 OR (seq_no % 50 = 7 AND (index > 'src12' OR (index = 'src12' AND id > '3'))))
+ORDER BY seq_no % 50, index, id LIMIT 60""")
 def doc_poll(spark, d):
-    page = D.doc_poll(doc_events(spark, d), start=7, condition=F.col("index") != "src1", limit=60, cursor=(7, "3"))
+    page = D.doc_poll(doc_events(spark, d), start=7, condition=F.col("index") != "src1", limit=60, cursor=(7, "src12", "3"))
     return page.rows.select("id", "index", F.col("timestamp_value").alias("at"))
 
 
+# documents without a time, and every fifth one in a second index under the same id
+_TWICE = """, twice AS (
+  SELECT id, index, CASE WHEN seq_no % 50 > 2 THEN seq_no % 50 END AS at FROM docs
+  UNION ALL SELECT id, 'copy', CASE WHEN seq_no % 50 > 2 THEN seq_no % 50 END FROM docs WHERE seq_no % 5 = 0)"""
+
+
+def twice(spark, d):
+    hits = V.documents(spark, d)
+    rows = D.document_rows(hits.unionByName(hits.where("seq_no % 5 = 0").withColumn("index", F.lit("copy"))), "meta.at", timestamp_type="long")
+    return rows.withColumn("timestamp_value", F.when(F.col("timestamp_value") > 2, F.col("timestamp_value")))
+
+
+@query("doc_snapshot_all", DOCS + _TWICE + " SELECT id, index, twice.at AS at FROM twice")
+def doc_snapshot_all(spark, d):
+    """All pages, one after the other."""
+    rows = twice(spark, d)
+    return paging.all_pages(lambda cursor: D.doc_snapshot(rows, limit=1_000, cursor=cursor)).select("id", "index", F.col("timestamp_value").alias("at"))
+
+
+@query("doc_poll_all", DOCS + _TWICE + " SELECT id, index, twice.at AS at FROM twice WHERE twice.at >= 7")
+def doc_poll_all(spark, d):
+    rows = twice(spark, d)
+    return paging.all_pages(lambda cursor: D.doc_poll(rows, start=7, limit=1_000, cursor=cursor)).select("id", "index", F.col("timestamp_value").alias("at"))
+
+
+@query("doc_projection", DOCS + """
+SELECT index, id, '{"meta":{"chars":' || json_extract_string(source, '$.meta.chars') || '},"lang":"' || json_extract_string(source, '$.lang') || '"}' AS source FROM docs""")
+def doc_projection(spark, d):
+    return D.doc_snapshot_all(doc_events(spark, d), fields=["meta.chars", "lang", "none.of"]).select("index", "id", "source")
+
+
 @query("doc_rows", DOCS + """
 SELECT index, id, CAST(seq_no % 50 AS VARCHAR) AS at, seq_no, primary_term, routing, CASE WHEN routing IS NULL THEN 0 ELSE 1 END AS metadata_size FROM docs""")
 def doc_rows(spark, d):

@@ -662,14 +662,20 @@ def list_nodes(spark, d):
     )
 
 
-@query("page_roots", STATE + """
-SELECT group_id, 0 AS size, 0 AS modified_time_us, true AS is_dir, count(*) FILTER (NOT is_tombstoned) > 0 AS exists, false AS has_children
-FROM st WHERE path = '/mnt' OR starts_with(path, '/mnt/') GROUP BY 1 UNION ALL
-SELECT DISTINCT group_id, 0, 0, true, false, false FROM st WHERE group_id <> 'g2'""")
+@query("page_roots", STATE + """, asked AS (SELECT unnest(['/mnt', '/u3/d5']) AS asked), g AS (SELECT DISTINCT group_id FROM st)
+SELECT asked, group_id, coalesce(max(size) FILTER (path = asked AND NOT is_tombstoned), 0) AS size,
+  coalesce(max(modified_time_us) FILTER (path = asked AND NOT is_tombstoned), 0) AS modified_time_us,
+  coalesce(bool_or(is_dir) FILTER (path = asked AND NOT is_tombstoned), true) AS is_dir,
+  count(*) FILTER (NOT is_tombstoned AND (path = asked OR starts_with(path, asked || '/'))) > 0 AS exists,
+  count(*) FILTER (NOT is_tombstoned AND starts_with(path, asked || '/') AND strpos(substr(path, length(asked) + 2), '/') = 0) > 0 AS has_children
+FROM asked, g JOIN st USING (group_id) GROUP BY 1, 2""")
 def page_roots(spark, d):
-    return Q.page_roots(V.winner_state(spark, d), "/mnt").select(
-        "group_id", F.col("size").cast("int"), F.col("modified_time_us").cast("int"), "is_dir", "exists", "has_children"
-    )
+    """A placeholder and a real directory."""
+    state = V.winner_state(spark, d)
+    roots = [Q.page_roots(state, q).select(
+        F.lit(q).alias("asked"), "group_id", "size", "modified_time_us", "is_dir", "exists", "has_children"
+    ) for q in ("/mnt", "/u3/d5")]
+    return roots[0].unionByName(roots[1])
 
 
 @query("children", STATE + " SELECT group_id, path, is_dir FROM live WHERE starts_with(path, '/u3/d5/') AND strpos(substr(path, 8), '/') = 0")
@@ -710,3 +716,13 @@ SELECT path, arg_max(size, origin_id) AS size, max(origin_id) AS origin_id FROM
 def merge_responses(spark, d):
     nodes = Q.fresh_find(V.base_log(spark, d), "/u3").select("path", "size", "origin_id", F.col("origin_id").alias("response_no"))
     return Q.merge_responses(nodes)
+
+
+@query("merge_reliability", STATE + """
+SELECT count(*) = 0 AS reliable, CASE max(code) WHEN 0 THEN 'Unattested' WHEN 1 THEN 'SuspectNodes' WHEN 2 THEN 'BlindSpotsDetected' END AS unreliable_reason
+FROM (SELECT CASE WHEN blind_spot THEN 2 WHEN NOT monitoring_attested THEN 0 END AS code FROM live) WHERE code IS NOT NULL""")
+def merge_reliability(spark, d):
+    """One response per group."""
+    nodes = V.winner_state(spark, d).where("not is_tombstoned")
+    rows = nodes.withColumn("reason_code", F.when(F.col("blind_spot"), F.lit(2)).when(~F.col("monitoring_attested"), F.lit(0)))
+    return Q.merge_reliability(rows.groupBy("group_id").agg(F.max("reason_code").alias("reason_code")))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 # Byte paths, UTC times and exact arithmetic; the rest is left to the cluster's own settings.
@@ -21,6 +25,25 @@ def configured(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Give the executors this package, unless the session has it already."""
+    if _SHIPPED.get("to") is spark.sparkContext:
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="arborlake-"), "arborlake.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(top)))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED["to"] = spark.sparkContext
+
+
+_SHIPPED: dict[str, object] = {}
+
+
 def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     builder = (
@@ -32,5 +55,8 @@ def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
     )
     spark = configured(builder).getOrCreate()
+    if not spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="arborlake-"))
     spark.sparkContext.setLogLevel("ERROR")
+    ship_code(spark)
     return spark

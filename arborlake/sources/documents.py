@@ -16,49 +16,76 @@ def _json_path(path: str) -> str:
     return "$" + "".join(f"['{part}']" for part in path.split("."))
 
 
-def document_rows(hits: DataFrame, timestamp_field: str, kind: str = "snapshot") -> DataFrame:
+def document_rows(hits: DataFrame, timestamp_field: str, kind: str = "snapshot", timestamp_type: str = "string") -> DataFrame:
     """Document events from (index, id, source JSON, routing, seq_no, primary_term). The timestamp
-    is a dotted path into the source; only objects are walked."""
+    is a dotted path into the source; only objects are walked. It is read as ``timestamp_type``, and null
+    where it is no value of that type."""
     have = set(hits.columns)
     opt = lambda n, t: (F.col(n) if n in have else F.lit(None)).cast(t)
     routing = opt("routing", "string")
     return hits.select(
         F.lit(kind).alias("event_kind"), "index", "id",
-        F.get_json_object("source", _json_path(timestamp_field)).alias("timestamp_value"),
+        F.get_json_object("source", _json_path(timestamp_field)).try_cast(timestamp_type).alias("timestamp_value"),
         opt("seq_no", "long").alias("seq_no"), opt("primary_term", "long").alias("primary_term"), "source",
         F.when(routing.isNotNull(), F.create_map(F.lit("_routing"), routing))
         .otherwise(F.create_map().cast("map<string,string>")).alias("metadata"),
     )
 
 
+def _projected(value: Column, fields: list[str]) -> Column:
+    """JSON text of an object cut to dotted fields, null if it has none of them; members keep their values."""
+    below: dict[str, list[str]] = {}
+    for field in fields:
+        head, _, rest = field.partition(".")
+        below.setdefault(head, []).append(rest)
+    members = []
+    for head, rests in below.items():
+        inner = F.variant_get(value, f'$["{head}"]', "variant")
+        kept = F.to_json(inner) if "" in rests else _projected(inner, rests)
+        members.append(F.concat(F.to_json(F.lit(head).cast("variant")), F.lit(":"), kept))
+    listed = F.array_compact(F.array(*members))
+    return F.when(F.size(listed) > 0, F.concat(F.lit("{"), F.array_join(listed, ","), F.lit("}")))
+
+
 def project_source(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """Keep only the named top-level fields of the source."""
+    """Keep only the named members of the source, in the order of ``fields``; a dotted name keeps a member of a
+    nested object. Objects inside arrays are not walked. A source with none of them becomes ``{}``."""
     if not fields:
         return rows
-    kept = F.to_json(F.map_filter(
-        F.from_json("source", "map<string,string>"), lambda k, _: k.isin(fields)
-    ))
-    return rows.withColumn("source", kept)
+    kept = F.coalesce(_projected(F.try_parse_json("source"), fields), F.lit("{}"))
+    return rows.withColumn("source", F.when(F.col("source").isNotNull(), kept))
+
+
+def doc_snapshot_all(rows: DataFrame, index: str | None = None, condition: Column | None = None, fields: list[str] | None = None) -> DataFrame:
+    """All documents, of one index if given."""
+    chosen = rows if index is None else rows.where(F.col("index") == index)
+    return project_source(chosen if condition is None else chosen.where(condition), fields or [])
+
+
+def doc_poll_all(
+    rows: DataFrame, start=None, timestamp: str = "timestamp_value", index: str | None = None, condition: Column | None = None, fields: list[str] | None = None
+) -> DataFrame:
+    """All documents from a start time on."""
+    chosen = doc_snapshot_all(rows, index, condition, fields)
+    return chosen if start is None else chosen.where(F.col(timestamp) >= F.lit(start))
 
 
 def doc_snapshot(
-    rows: DataFrame, timestamp: str = "timestamp_value", condition: Column | None = None, limit: int | None = None, cursor: tuple | None = None
+    rows: DataFrame, timestamp: str = "timestamp_value", condition: Column | None = None, limit: int | None = None, cursor: tuple | None = None,
+    index: str | None = None, fields: list[str] | None = None,
 ) -> KeysetPage:
-    """Documents in (timestamp, id) order after the cursor."""
+    """Documents in (timestamp, index, id) order after the cursor, those without a timestamp last."""
     n = effective_limit(limit, DEFAULT_PAGE, MAX_PAGE)
-    chosen = rows if condition is None else rows.where(condition)
-    return keyset_page(chosen, [timestamp, "id"], n, cursor)
+    return keyset_page(doc_snapshot_all(rows, index, condition, fields), [timestamp, "index", "id"], n, cursor)
 
 
 def doc_poll(
     rows: DataFrame, start=None, timestamp: str = "timestamp_value", tie_breaker: str = "id", condition: Column | None = None,
-    limit: int | None = None, cursor: tuple | None = None,
+    limit: int | None = None, cursor: tuple | None = None, index: str | None = None, fields: list[str] | None = None,
 ) -> KeysetPage:
-    """Documents from a start time on that match the condition, strictly after the cursor."""
+    """Documents from a start time on that match the condition, strictly after the (timestamp, index, tie breaker) cursor."""
     n = effective_limit(limit, DEFAULT_PAGE, MAX_PAGE)
-    chosen = rows if condition is None else rows.where(condition)
-    chosen = chosen if start is None else chosen.where(F.col(timestamp) >= F.lit(start))
-    return keyset_page(chosen, [timestamp, tie_breaker], n, cursor)
+    return keyset_page(doc_poll_all(rows, start, timestamp, index, condition, fields), [timestamp, "index", tie_breaker], n, cursor)
 
 
 _CHILDREN = "map<string,string>"

@@ -190,7 +190,7 @@ def schema_document_skeleton(
         return df.select(
             F.lit(kind).alias("source_kind"), F.lit(instance).alias("source_instance"), local.alias("local_id"),
             F.lit(node_kind).alias("node_kind"), ref.alias("native_ref"), name.alias("display_name"), pointer.alias("native_pointer"),
-            fingerprint.cast("string").alias("fingerprint"), at, "ord",
+            fingerprint.cast("string").alias("fingerprint"), at, "stage", "ord", F.col("local_id" if "doc" not in df.columns else "doc").alias("within"),
         )
 
     def cross(df, fk, fi, fl, tk, ti, tl, edge_kind, confidence=G.DECLARED):
@@ -203,7 +203,7 @@ def schema_document_skeleton(
 
     # the first node of an id wins, so later kinds of node rank behind earlier ones
     doc_nodes = node(
-        doc.withColumn("ord", F.lit(0)), "es", doc_instance, c("local_id"), "asset",
+        doc.withColumns({"ord": F.lit(0), "stage": F.lit(0)}), "es", doc_instance, c("local_id"), "asset",
         F.concat(F.lit(f"es://{doc_instance}/json/"), c("local_id")), F.coalesce("file_name", "local_id"), c("pointer"),
         F.concat(
             F.lit("catalogs="), F.coalesce(F.size("j.catalogs"), F.lit(0)).cast("string"),
@@ -215,7 +215,7 @@ def schema_document_skeleton(
 
     cat = doc.select(c("local_id").alias("doc"), F.posexplode("j.catalogs").alias("ord", "k")).where("k.name is not null")
     db = F.coalesce(F.substring_index(F.substring_index("k.jdbc.jdbcUri", "?", 1), "/", -1), F.lower("k.name"))
-    cat = cat.withColumn("db", db).withColumn("ns", F.concat(c("db"), F.lit("/public"))).withColumn("ord", c("ord") + 1)
+    cat = cat.withColumn("db", db).withColumn("ns", F.concat(c("db"), F.lit("/public"))).withColumn("stage", F.lit(1))
     cat_nodes = node(
         cat, "pg", pg_instance, c("ns"), "namespace", F.concat(F.lit(f"pg://{pg_instance}/"), c("ns")), c("k.name"),
         F.concat_ws(":", F.lit("pg-catalog"), c("k.name"), c("db"), F.lit("public")), F.lit("catalog"),
@@ -224,14 +224,14 @@ def schema_document_skeleton(
 
     def labels_of(key: str, kind: str, source: Column) -> DataFrame:
         return (
-            doc.select(c("local_id").alias("doc"), F.explode(f"j.graph.{key}").alias("l")).where("l.label is not null")
-            .select("doc", F.lit(kind).alias("kind"), c("l.label").alias("label"), source.alias("t"))
+            doc.select(c("local_id").alias("doc"), F.posexplode(f"j.graph.{key}").alias("ord", "l")).where("l.label is not null")
+            .select("doc", "ord", F.lit(kind).alias("kind"), c("l.label").alias("label"), source.alias("t"))
             .withColumn("local", F.concat_ws("/", F.lit(label_kind), "kind", "label"))
         )
 
     labels = labels_of("vertices", "vertex", F.coalesce("l.oneToOne.tableSource", "l.tableSource")).unionByName(
         labels_of("edges", "edge", c("l.tableSource"))
-    ).withColumn("ord", F.lit(1_000_000))
+    ).withColumn("stage", F.when(c("kind") == "vertex", 2).otherwise(3))
     label_nodes = node(
         labels, label_kind, label_instance, c("local"), "entity", F.concat(F.lit(f"{label_kind}://"), c("local")), c("label"),
         F.concat_ws(":", F.lit("schema"), "doc", "local"), c("kind"),
@@ -242,11 +242,11 @@ def schema_document_skeleton(
     tabled = labels.where("t.catalog is not null and t.schema is not null and t.table is not null").withColumn("db", mapping)
     tabled = tabled.withColumn("ns", F.concat_ws("/", "db", "t.schema")).withColumn("tid", F.concat_ws("/", "db", "t.schema", "t.table"))
     spaces = node(
-        tabled.withColumn("ord", F.lit(2_000_000)), "pg", pg_instance, c("ns"), "namespace", F.concat(F.lit(f"pg://{pg_instance}/"), c("ns")),
+        tabled.withColumn("stage", F.lit(4)), "pg", pg_instance, c("ns"), "namespace", F.concat(F.lit(f"pg://{pg_instance}/"), c("ns")),
         c("t.schema"), F.concat_ws(":", F.lit("pg-catalog"), "db", "t.schema"), F.lit(None),
     )
     tables = node(
-        tabled.withColumn("ord", F.lit(2_000_001)), "pg", pg_instance, c("tid"), "collection", F.concat(F.lit(f"pg://{pg_instance}/"), c("tid")),
+        tabled.withColumn("stage", F.lit(5)), "pg", pg_instance, c("tid"), "collection", F.concat(F.lit(f"pg://{pg_instance}/"), c("tid")),
         c("t.table"), F.concat(F.lit("pg-table:"), c("db"), F.lit(":"), c("t.schema"), F.lit("."), c("t.table")), c("t.catalog"),
     )
     contains = tabled.select("ns", "tid").distinct().select(
@@ -263,10 +263,11 @@ def schema_document_skeleton(
 
 
 def first_nodes(nodes: DataFrame) -> DataFrame:
-    """The first node per id, by ``ord``; ties by content."""
-    names = [n for n in nodes.columns if n not in ("source_kind", "source_instance", "local_id", "ord")]
+    """The first node per id, by stage, document and ``ord`` as far as given; ties by content."""
+    place = [n for n in ("stage", "within", "ord") if n in nodes.columns]
+    names = [n for n in nodes.columns if n not in ("source_kind", "source_instance", "local_id", *place)]
     best = nodes.groupBy("source_kind", "source_instance", "local_id").agg(
-        F.min_by(F.struct(*names), F.struct("ord", *names)).alias("_n")
+        F.min_by(F.struct(*names), F.struct(*place, *names)).alias("_n")
     )
     return best.select("source_kind", "source_instance", "local_id", *[F.col(f"_n.{n}").alias(n) for n in names])
 
@@ -280,9 +281,10 @@ def status_document_skeleton(
     details = F.coalesce(
         F.json_array_length(j("$.GremlinServer.LocalCacheStatusDetail")), F.lit(0)
     )
+    exists = F.try_variant_get(F.try_parse_json("body"), "$.Schema.Exists", "variant")
     fingerprint = F.concat(
         F.lit("cache="), F.coalesce(j("$.GremlinServer.LocalCacheStatus"), F.lit("UNKNOWN")),
-        F.lit(";schema_exists="), F.coalesce(j("$.Schema.Exists"), F.lit("unknown")),
+        F.lit(";schema_exists="), F.when(F.schema_of_variant(exists) == "BOOLEAN", F.to_json(exists)).otherwise(F.lit("unknown")),
         F.lit(";details="), details.cast("string"),
     )
     at = F.lit(observed_at).cast("long").alias("observed_at")

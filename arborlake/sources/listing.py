@@ -17,7 +17,6 @@ from arborlake.operators.rollup import directory_fingerprints
 from arborlake.skew import lookup_join
 
 NODE = ["group_id", "path"]
-MAX_SCAN_EVENTS = 100_000
 
 
 def read_tree(spark: SparkSession, root: str, group_id: str) -> DataFrame:
@@ -99,10 +98,11 @@ class ScanRootMissing(LookupError):
 
 
 def scan_targeted(
-    listing: DataFrame, path: str, recursive: bool = True, max_depth: int | None = None, max_events: int = MAX_SCAN_EVENTS
+    listing: DataFrame, path: str, recursive: bool = True, max_depth: int | None = None, max_events: int | None = None
 ) -> DataFrame:
     """The target, or directories down to ``max_depth`` and the files inside them (so files reach
-    one level deeper). Fails when more than ``max_events`` entries qualify."""
+    one level deeper). Fails when more than ``max_events`` entries of a group
+    qualify, where a limit is given."""
     if path == P.SLASH and listing.where(F.col("path") == P.SLASH).isEmpty():
         raise ScanRootMissing(path)
     if not recursive:
@@ -115,8 +115,10 @@ def scan_targeted(
         hit = lookup_join(under, present, ["group_id"], "left_semi", salt_from=["path"])
         if max_depth is not None:
             hit = hit.where(F.when(F.col("is_dir"), depth <= max_depth).otherwise(depth <= max_depth + 1))
-    if hit.limit(max_events + 1).count() > max_events:
-        raise ScanLimitExceeded(f"more than {max_events} entries below {path}")
+    if max_events is not None:
+        over = hit.groupBy("group_id").count().where(F.col("count") > max_events).first()
+        if over is not None:
+            raise ScanLimitExceeded(f"{over['count']} entries below {path} in {over.group_id}")
     return scan_tree(hit)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,22 +10,13 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only a session that names none (a local test) gets a folder of its own; on a cluster the
-    setting must point at storage that every executor can read.
-    """
+    """The folder the cluster names in ``spark.checkpoint.dir``, storage that every executor can read."""
     folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-        folder = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="arborlake-"))
+        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
     return folder.rstrip("/")
 
 
-_LOCAL: dict[str, str] = {}
-
-
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/arborlake/{label}-{uuid.uuid4().hex}"
 
@@ -35,7 +25,7 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> D
     """Write ``df`` once and read it back: no recomputation, real statistics for later joins."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    writer = df.write.mode("errorifexists")
+    writer = df.write.mode("errorifexists").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)

@@ -1,3 +1,4 @@
+import json
 from datetime import datetime
 
 import pytest
@@ -12,6 +13,8 @@ from arborlake.operators import routing
 from arborlake.operators import status as T
 from arborlake.operators import tree_query as Q
 from arborlake.operators.ordered import as_of, number_rows, running_max
+from arborlake.sources import documents as D
+from arborlake.sources import graph_adapters as GA
 from arborlake.sources import listing as L
 from arborlake.sources import relational as R
 from arborlake.sources import watch_log
@@ -245,3 +248,56 @@ def test_graph_rules(spark):
     bad = spark.createDataFrame([("fs", "i", "a", "gone", "contains", "", "observed", 1, None, 0)], G.SOURCE_EDGE)
     with pytest.raises(G.DanglingEdges):
         G.ingest(graph, G.skeleton(spark, edges=bad))
+
+
+def test_union_keeps_the_order_of_its_parts(spark):
+    """The same id from three skeletons: the last one wins, whatever the places inside each."""
+    one = lambda name, at: G.skeleton(spark, spark.createDataFrame([("fs", "i", "x", name, at)], "source_kind string, source_instance string, local_id string, display_name string, ord long"))
+    whole = one("first", 9).union(one("second", 5)).union(one("third", 0))
+    graph, _ = G.ingest(G.empty_graph(spark), whole)
+    assert [r.display_name for r in graph.nodes.collect()] == ["third"]
+    graph, _ = G.ingest(G.empty_graph(spark), one("first", 9).union(one("second", 5).union(one("third", 0))))
+    assert [r.display_name for r in graph.nodes.collect()] == ["third"]
+    # derived evidence keeps the first
+    assert graph.evidence.count() == 1
+
+
+def test_document_pages_reach_the_end(spark):
+    """Times missing, one id in two indexes, numbers that sort otherwise as text."""
+    rows = [("a", "1", 10), ("b", "1", 10), ("a", "2", None), ("a", "3", None), ("b", "2", None), ("a", "4", 5), ("a", "5", 5)]
+    hits = spark.createDataFrame([(i, d, '{"t":%s}' % ("null" if t is None else t)) for i, d, t in rows], "index string, id string, source string")
+    docs = D.document_rows(hits, "t", timestamp_type="long")
+    for limit in (1, 2, 3, 7, 50):
+        got = [(r["index"], r.id, r.timestamp_value) for r in paging.all_pages(lambda c: D.doc_snapshot(docs, limit=limit, cursor=c)).collect()]
+        assert got == sorted(rows, key=lambda r: (r[2] is None, r[2] or 0, r[0], r[1]))
+        polled = paging.all_pages(lambda c: D.doc_poll(docs, start=6, limit=limit, cursor=c)).collect()
+        assert [(r["index"], r.id) for r in polled] == [("a", "1"), ("b", "1")]
+    assert D.doc_snapshot(docs, index="b").rows.count() == 2
+
+
+def test_projection_keeps_values(spark):
+    source = '{"a":1,"b":{"c":[1,{"d":null}],"e":"x"},"s":"q\\"t","n":null,"t":true,"f":1.5}'
+    rows = spark.createDataFrame([(source,), ("{}",), (None,), ("[1]",)], "source string")
+    cut = lambda *fields: [r.source for r in D.project_source(rows, list(fields)).collect()]
+    assert [json.loads(x) if x else x for x in cut("a", "b.c", "s", "n", "t", "f", "no.such")] == [
+        {"a": 1, "b": {"c": [1, {"d": None}]}, "s": 'q"t', "n": None, "t": True, "f": 1.5}, {}, None, {}]
+    assert json.loads(cut("b")[0]) == {"b": {"c": [1, {"d": None}], "e": "x"}}
+    assert cut()[0] == source
+
+
+def test_worst_reason_of_responses(spark):
+    worst = lambda *codes: tuple(Q.merge_reliability(spark.createDataFrame([(c,) for c in codes], "reason_code int")).first())
+    assert worst(None, 0, 2, 1) == (False, "BlindSpotsDetected") and worst(None) == (True, None) and worst() == (True, None)
+
+
+def test_only_a_boolean_says_that_a_schema_exists(spark):
+    body = lambda v: '{"Schema":{"Exists":%s}}' % v
+    rows = spark.createDataFrame([(str(i), "p", body(v)) for i, v in enumerate(["true", "false", '"true"', "1", "null"])], "local_id string, pointer string, body string")
+    nodes = GA.status_document_skeleton(rows, doc_instance="d", target=("pg", "i", "x")).nodes
+    got = {r.local_id: r.fingerprint.split(";")[1] for r in nodes.collect()}
+    assert got == {"0": "schema_exists=true", "1": "schema_exists=false", **{k: "schema_exists=unknown" for k in "234"}}
+
+
+def test_scan_limit_is_per_group(spark):
+    rows = spark.createDataFrame([(g, f"/f{i}", False, 1, 1) for g in "ab" for i in range(3)], "group_id string, path string, is_dir boolean, size long, mtime_us long")
+    assert L.scan_targeted(rows, "/f0", max_events=1).count() == 2  # one in each group
