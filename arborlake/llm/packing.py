@@ -16,6 +16,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.llm.pretokens import chunks, splitter
+from arborlake.llm.pretokens import Recent, chunks, splitter
 from arborlake.storage import fresh_path
 
-#: Pre-tokens that a worker remembers, and the longest that it does.
+#: Pre-tokens that a worker remembers in each generation, and the longest that it does.
 CACHED, CACHED_CHARACTERS = 400_000, 48
 #: Pieces in a batch of the result.
 BATCH_PIECES = 5_000
@@ -44,26 +45,29 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.kind = "<" + self.code
         self.split = splitter(pattern)
-        self.known: dict[str, bytes] = {}
+        self.known = Recent(CACHED)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text."""
-        split = [self.split(t or "") for t in texts]
-        known = self.known
-        if len(known) > CACHED:
-            known.clear()
-        new = list({p for pieces in split for p in pieces if p not in known})
+        pieces, ends = [], [0]
+        for text in texts:
+            pieces += self.split(text or "")
+            ends.append(len(pieces))
+        found, missing = self.known.look_up(pieces)
+        new = list({pieces[i] for i in missing})
+        fresh: dict[str, bytes] = {}
         for at in range(0, len(new), 10_000):
             some = new[at : at + 10_000]
-            for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[piece] = np.array(found.ids, self.kind).tobytes()
-        out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
-        for piece in new:
-            if len(piece) > CACHED_CHARACTERS:
-                del known[piece]
-        return out
+            for piece, encoded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                ids = encoded.ids
+                fresh[piece] = pack(f"<{len(ids)}{self.code}", *ids)
+        for i in missing:
+            found[i] = fresh[pieces[i]]
+        self.known.remember((p, i) for p, i in fresh.items() if len(p) <= CACHED_CHARACTERS)
+        return [b"".join(found[a:b]) for a, b in zip(ends, ends[1:])]
 
 
 @lru_cache(maxsize=2)
