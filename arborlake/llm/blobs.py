@@ -15,13 +15,13 @@ def deal(kind: int, slices: np.ndarray, columns: list[np.ndarray]) -> pa.RecordB
     ends = np.append(first[1:], len(slices))
     packed = [[x.tobytes() for x in np.split(c[order], first[1:])] if len(slices) else [] for c in columns]
     return pa.RecordBatch.from_arrays(
-        [pa.array([kind] * len(values), pa.int32()), pa.array(values.astype(np.int64)), pa.array((ends - first).astype(np.int64)), *[pa.array(p, pa.binary()) for p in packed]],
+        [pa.array([kind] * len(values), pa.int32()), pa.array(values.astype(np.int32)), pa.array((ends - first).astype(np.int64)), *[pa.array(p, pa.binary()) for p in packed]],
         ["kind", "slice", "n", *[f"c{i}" for i in range(len(columns))]],
     )
 
 
 def schema(columns: int) -> str:
-    return "kind int, slice long, n long, " + ", ".join(f"c{i} binary" for i in range(columns))
+    return "kind int, slice int, n long, " + ", ".join(f"c{i} binary" for i in range(columns))
 
 
 class Gathered:

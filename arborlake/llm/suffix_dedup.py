@@ -38,8 +38,6 @@ GRAM = 24
 CROWD, CROWDED = 64, 1_000
 #: Bytes of text worked on at once, of a shard's text, and of numbers or text to a partition.
 CHUNK_BYTES, SHARD_BYTES, PARTITION_BYTES = 400_000, 2_000_000, 24_000_000
-#: Slices of a partition.
-SLICES = 4
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
 
@@ -147,13 +145,13 @@ def _announce(length: int, slices: int, crowd: int):
             first = np.concatenate([[True], (gram[1:] != gram[:-1]) | (content[1:] != content[:-1])])
             at = np.flatnonzero(~first)
             if len(at):
-                yield blobs.deal(SPAN, slices + at % slices, [x[at] for x in (gram, content, doc, crc, start, size)])
+                yield blobs.deal(SPAN, at % slices, [x[at] for x in (gram, content, doc, crc, start, size)])
             gram, content, doc, crc, start, size = (x[first] for x in (gram, content, doc, crc, start, size))
             values, begin, counts = np.unique(gram, return_index=True, return_counts=True)
             crowded = np.repeat(counts > crowd, counts)
             if crowded.any():
                 at = np.flatnonzero(crowded)
-                yield blobs.deal(SINGLE, slices + at % slices, [x[at] for x in (gram, content, doc, crc, start, size)])
+                yield blobs.deal(SINGLE, at % slices, [x[at] for x in (gram, content, doc, crc, start, size)])
                 # a note of size 0, so that other batches' segments of the gram follow
                 note = begin[counts > crowd]
                 size = size.copy()
@@ -280,7 +278,7 @@ def _fetch(length: int, slices: int):
                 yield _with_bytes(WHOLE, (columns[0] % np.uint64(slices)).astype(np.int64), columns, texts)
             if spans:
                 columns = _columns(spans)
-                yield _with_bytes(SPAN, slices + _document_slice(columns[2], slices), columns, [b""] * len(spans))
+                yield _with_bytes(SPAN, _document_slice(columns[2], slices), columns, [b""] * len(spans))
 
     return run
 
@@ -351,12 +349,11 @@ def removed(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: st
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(least, total * 2 // (length - GRAM + 2) * 8 * WIDTH // PARTITION_BYTES + 1)
-    slices = parts * SLICES
-    announced = source.mapInArrow(_announce(length, slices, crowd), blobs.schema(WIDTH)).repartition(parts, "slice")
-    compared = materialize(announced.mapInArrow(_compare(slices, crowded), blobs.schema(WIDTH)), "suffix-compared")
+    announced = source.mapInArrow(_announce(length, parts, crowd), blobs.schema(WIDTH)).repartitionById(parts, "slice")
+    compared = materialize(announced.mapInArrow(_compare(parts, crowded), blobs.schema(WIDTH)), "suffix-compared")
     wanted = materialize(
         compared.filter(F.col("kind") != SPAN)
-        .repartition(parts, "slice")
+        .repartitionById(parts, "slice")
         .mapInArrow(_by_document, "doc long, crc long, kinds binary, grams binary, starts binary, sizes binary"),
         "suffix-wanted",
     )
@@ -365,13 +362,13 @@ def removed(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: st
     shards = max(least, volume // PARTITION_BYTES + 1)
     fetched = source.join(wanted.hint("shuffle_hash"), ["doc", "crc"]).select("doc", "crc", "text", "kinds", "grams", "starts", "sizes")
     sorted_ = (
-        fetched.mapInArrow(_fetch(length, shards * SLICES), blobs.schema(WIDTH) + ", bytes binary")
-        .repartition(shards, "slice")
-        .mapInArrow(_sort_shards(length, slices), blobs.schema(WIDTH))
+        fetched.mapInArrow(_fetch(length, shards), blobs.schema(WIDTH) + ", bytes binary")
+        .repartitionById(shards, "slice")
+        .mapInArrow(_sort_shards(length, parts), blobs.schema(WIDTH))
     )
     spans = compared.filter(F.col("kind") == SPAN).unionByName(sorted_)
     return materialize(
-        spans.repartition(parts, "slice").mapInArrow(_merge_spans, "doc long, crc long, starts binary, ends binary"), "suffix-spans"
+        spans.repartitionById(parts, "slice").mapInArrow(_merge_spans, "doc long, crc long, starts binary, ends binary"), "suffix-spans"
     )
 
 
