@@ -19,6 +19,8 @@ from arborlake.plans.function_queries import (
 )
 from arborlake.plans.registry import query
 from arborlake.sources import listing as L
+from arborlake.sources.state_store import StateStore
+from arborlake.storage import fresh_path
 
 NOW = V.AS_OF_US
 GRANTS = with_(V.SQL_GRANTS)
@@ -245,6 +247,31 @@ def rollup_tree(spark, d):
     return U.rollup_tree(V.winner_state(spark, d))
 
 
+def two_versions(spark, d):
+    """A store with a state before (some rows missing, others older, newer, or dropped since) and the present one."""
+    state = V.winner_state(spark, d)
+    n = F.pmod(F.crc32(F.encode(F.concat("group_id", "path"), "UTF-8")), F.lit(7))
+    older = state.where(n != 0).withColumns({
+        "modified_time_us": F.when(n == 1, F.col("modified_time_us") + 10**9).when(n == 2, F.col("modified_time_us") - 10**9).otherwise(F.col("modified_time_us")),
+        "size": F.when(n == 3, F.col("size") + 5).otherwise(F.col("size")),
+        "is_tombstoned": F.when(n == 4, ~F.col("is_tombstoned")).otherwise(F.col("is_tombstoned")),
+    })
+    extra = state.where(n == 5).withColumn("path", F.concat("path", F.lit("-gone")))
+    groups = A.initial_groups(V.primaries(V.base_log(spark, d)))
+    store = StateStore(spark, fresh_path(spark, "two-versions"))
+    store.write(older.unionByName(extra), groups, None, 0)
+    store.write(state, groups, None, 1)
+    return store
+
+
+@query("rollup_refresh", STATE + f"""
+SELECT group_id, dir, {AGG} FROM (
+  SELECT *, unnest({ancestors('path')}) AS dir FROM live UNION ALL SELECT *, path FROM live WHERE is_dir) GROUP BY group_id, dir""")
+def rollup_refresh(spark, d):
+    """The stored aggregates after a second batch equal those of the whole state."""
+    return two_versions(spark, d).rollup()
+
+
 def stats_sql(q: str) -> str:
     return STATE + f""",
 known AS (SELECT DISTINCT group_id FROM st WHERE {under('path', q)}),
@@ -266,6 +293,15 @@ def subtree_stats(spark, d):
     return U.subtree_stats(V.winner_state(spark, d), "/u3/d5")
 
 
+@query("stored_subtree_stats", stats_sql("/u3"))
+def stored_subtree_stats(spark, d):
+    """The same answer from one stored row per group, which all know the path."""
+    store = two_versions(spark, d)
+    return U.stored_stats(store.rollup(), store.read()[0].where("group_id <> 'g2'"), "/u3").unionByName(
+        U.subtree_stats(store.read()[0].where("group_id = 'g2'"), "/u3")
+    )
+
+
 @query("subtree_stats_of_a_file", stats_sql("/u3/d5/f1"))
 def subtree_stats_of_a_file(spark, d):
     return U.subtree_stats(V.winner_state(spark, d), "/u3/d5/f1")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from arborlake import schemas as S
 from arborlake.functions import paths as P
+from arborlake.operators import rollup as U
 from arborlake.skew import lookup_join
 
 
@@ -61,6 +62,14 @@ class StateStore:
             state = lookup_join(state, in_scope.select("group_id").distinct(), ["group_id"], "left_semi", salt_from=["path"])
             groups = groups.join(in_scope.select("group_id").distinct(), "group_id", "left_semi")
         # sorted by pre-order inside a group, so subtree reads skip most row groups
+        # the aggregates of the version before are moved on by what differs
+        before = self.read()
+        if before is None:
+            totals = U.rollup_tree(state)
+        else:
+            totals = U.refresh_rollup(self.rollup(), *U.changed_rows(before[0], state), state)
+        # dir and group order, so that one directory's row is one row group
+        totals.repartitionByRange("dir", "group_id").sortWithinPartitions("dir", "group_id").write.parquet(f"{path}/rollup")
         laid = state.withColumn("_k", P.preorder_key("path")).repartitionByRange("group_id", "_k")
         laid.sortWithinPartitions("group_id", "_k").drop("_k").write.parquet(f"{path}/state")
         groups.write.parquet(f"{path}/groups")
@@ -70,6 +79,11 @@ class StateStore:
         self.spark.createDataFrame([(row,)], "value string").coalesce(1).write.mode("append").text(self._manifest())
         return Version(number, batch_id, path)
 
+    def rollup(self, version: Version | None = None) -> DataFrame | None:
+        """Directory aggregates of a version, as ``rollup_tree`` gives them."""
+        version = version or self.latest()
+        return None if version is None else self.spark.read.schema(U.ROLLUP).parquet(f"{version.path}/rollup")
+
     def read(self, version: Version | None = None) -> tuple[DataFrame, DataFrame, DataFrame] | None:
         version = version or self.latest()
         if version is None:
