@@ -111,18 +111,18 @@ def route_events(spark, d):
 
 
 def probes(spark, d):
-    """Scan records later than the state they are checked against."""
-    return V.base_log(spark, d).where("source = 'Scan'").withColumn("path", F.concat("path", F.when(F.col("seq") % 2 == 0, F.lit("/new")).otherwise(F.lit("")))) \
+    """Records later than the state they are checked against; only scan records can be rejected."""
+    return V.base_log(spark, d).withColumn("path", F.concat("path", F.when(F.col("seq") % 2 == 0, F.lit("/new")).otherwise(F.lit("")))) \
         .withColumn("parent_path", P.parent_path("path")).withColumn("parent_mtime_us", F.when(F.col("seq") % 3 > 0, F.col("mtime_us")).otherwise(F.lit(0)))
 
 
 PROBES = STATE + f""",
-probe0 AS (SELECT * REPLACE (path || CASE WHEN seq % 2 = 0 THEN '/new' ELSE '' END AS path) FROM base WHERE source = 'Scan'),
+probe0 AS (SELECT * REPLACE (path || CASE WHEN seq % 2 = 0 THEN '/new' ELSE '' END AS path) FROM base),
 probe AS (SELECT *, {parent('path')} AS parent_path, CASE WHEN seq % 3 > 0 THEN mtime_us ELSE 0 END AS parent_mtime_us FROM probe0)"""
 
 
 @query("tombstoned_ancestor_reject", PROBES + f"""
-SELECT seq FROM probe p WHERE NOT EXISTS (
+SELECT seq FROM probe p WHERE p.source <> 'Scan' OR NOT EXISTS (
   SELECT 1 FROM (SELECT group_id AS g, seq AS s, unnest({ancestors('path')}) AS a FROM probe) x JOIN st ON st.group_id = x.g AND st.path = x.a AND st.is_tombstoned
   WHERE x.s = p.seq)""")
 def tombstoned_ancestor_reject(spark, d):
@@ -132,7 +132,7 @@ def tombstoned_ancestor_reject(spark, d):
 @query("stale_parent_reject", PROBES + """
 SELECT p.seq FROM probe p LEFT JOIN st own ON own.group_id = p.group_id AND own.path = p.path
 LEFT JOIN st par ON par.group_id = p.group_id AND par.path = p.parent_path
-WHERE NOT (own.path IS NULL AND p.event_kind = 'Update' AND p.parent_mtime_us > 0 AND coalesce(p.parent_mtime_us < par.modified_time_us, false))""")
+WHERE NOT (p.source = 'Scan' AND own.path IS NULL AND p.event_kind = 'Update' AND p.parent_mtime_us > 0 AND coalesce(p.parent_mtime_us < par.modified_time_us, false))""")
 def stale_parent_reject(spark, d):
     return A.reject_stale_parents(probes(spark, d), V.winner_state(spark, d)).select("seq")
 
@@ -568,10 +568,10 @@ def length_then_path(spark, d):
 
 
 @query("entry_page", STATE + """
-SELECT group_id, path FROM live WHERE group_id = 'g1' ORDER BY string_split(path, '/') LIMIT 50 OFFSET 20""")
+SELECT group_id, path FROM live ORDER BY group_id, string_split(path, '/') LIMIT 50 OFFSET 20""")
 def entry_page(spark, d):
-    rows = U.live(V.winner_state(spark, d)).where("group_id = 'g1'").select("group_id", "path")
-    return G.entry_page(rows, [P.preorder_key("path")], 50, 20)
+    rows = U.live(V.winner_state(spark, d)).select("group_id", "path")
+    return G.entry_page(rows, [F.col("group_id"), P.preorder_key("path")], 50, 20)
 
 
 @query("entry_pages_per_group", STATE + """
@@ -599,11 +599,11 @@ def byte_budget_page(spark, d):
 
 
 @query("rank_groups", STATE + f"""
-, a AS (SELECT group_id, count(*) FILTER (NOT is_dir AND size % 2 = 0) AS f FROM live GROUP BY 1)
+, a AS (SELECT group_id, count(*) FILTER (NOT is_dir) AS f FROM live GROUP BY 1)
 SELECT group_id, row_number() OVER (ORDER BY f DESC, group_id) AS rank FROM a""")
 def rank_groups(spark, d):
     state = V.winner_state(spark, d)
-    stats = U.subtree_stats(state.where("size % 2 = 0"), "/")
+    stats = U.subtree_stats(state, "/")
     return G.rank_groups(state.select("group_id").distinct(), stats, "file-count").select("group_id", F.col("rank").cast("long").alias("rank"))
 
 

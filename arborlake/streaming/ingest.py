@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from arborlake.operators import arbitrate as A
 from arborlake.operators.path_fold import Policy
 from arborlake.sources.state_store import StateStore
+from arborlake.storage import scratch
 
 
 def apply_batch(store: StateStore, primaries: DataFrame, policy: Policy = Policy()):
@@ -26,8 +27,10 @@ def apply_batch(store: StateStore, primaries: DataFrame, policy: Policy = Policy
             state, groups, skips = A.empty_state(batch.sparkSession), A.initial_groups(primaries), None
         else:
             state, groups, skips = current
-        result = A.apply_log(state, groups, batch, policy, skips)
-        store.write(result.state, result.groups, result.skips, batch_id)
+        # the version is all that lasts of a batch
+        with scratch(batch.sparkSession):
+            result = A.apply_log(state, groups, batch, policy, skips)
+            store.write(result.state, result.groups, result.skips, batch_id)
 
     return run
 

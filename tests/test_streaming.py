@@ -1,10 +1,11 @@
+import glob
 import random
 
-
-
 from arborlake import schemas as S
 from arborlake.operators import keyed as K
+from arborlake.operators import rollup as U
 from arborlake.sources.state_store import StateStore
+from arborlake.storage import work_dir
 from arborlake.streaming import ingest
 from arborlake.streaming import keyed as SK
 
@@ -20,10 +21,16 @@ def test_stream_equals_the_sequential_fold(spark, tmp_path):
     primaries = spark.createDataFrame([("g0", "h0::g0"), ("g1", "h0::g1")], "group_id string, primary_object_ref string")
     store = StateStore(spark, str(tmp_path / "state"))
     stream = spark.readStream.schema(S.LOG).option("maxFilesPerTrigger", 1).parquet(src)
+    stages = lambda: set(glob.glob(f"{work_dir(spark).removeprefix('file://')}/arborlake/*"))
+    held = stages()
     query = ingest.start(stream, store, primaries, str(tmp_path / "chk"), POLICY, availableNow=True)
     query.awaitTermination()
+    assert stages() == held
     want, _, _ = Q.fold(rows, {"g0": "h0::g0", "g1": "h0::g1"}, 2_000_000, 600_000, 1_500_000)
     assert collect_state(store.read()[0]) == want
+    # the stored aggregates were moved on from batch to batch
+    names = store.rollup().columns
+    assert sorted(map(tuple, store.rollup().collect()), key=str) == sorted(map(tuple, U.rollup_tree(store.read()[0]).select(*names).collect()), key=str)
     # a batch that is delivered again leaves the versions as they are
     before = store.latest()
     ingest.apply_batch(store, primaries, POLICY)(spark.createDataFrame(rows[70:], S.LOG), before.batch_id)
