@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlake.llm import exact_dedup, jaccard, packing, suffix_dedup, toxicity
-from arborlake.storage import materialize
+from arborlake.storage import fresh_path, materialize, remove, scratch
 
 #: Near copies: words of a shingle, percent of Jaccard similarity. Repeated passages: bytes. Window of a sequence.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -64,7 +64,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents. Of a stage only its result lasts, until the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        folder = fresh_path(spark, f"pipeline-{name}")
+        with scratch(spark):
+            result = stage(spark, docs, sf_dir)
+            result.write.parquet(folder)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.schema(result.schema).parquet(folder), folder
     return docs
