@@ -97,3 +97,17 @@ def check_stats_parameters(*, read_class: str = "trusted-materialized", **others
         raise QueryParameterError(f"stats does not take {', '.join(given)}")
     if read_class not in READ_CLASSES:
         raise QueryParameterError(f"unknown read_class {read_class!r}")
+
+
+def tree_request_error(path, path_b64, group_page_size, entry_page_size, group_order, read_class, max_depth) -> Column:
+    """Why a request of a table of requests is refused, null where it is not; the rules of ``check_tree_parameters``.
+    A null order or read class stands for its default."""
+    order, read = F.coalesce(_c(group_order), F.lit("group-key")), F.coalesce(_c(read_class), F.lit("trusted-materialized"))
+    return (
+        F.when(_c(path).isNotNull() & _c(path_b64).isNotNull(), F.lit("path and path_b64 exclude each other"))
+        .when(~_c(group_page_size).between(1, 1000), F.lit("group_page_size must be between 1 and 1000"))
+        .when(~_c(entry_page_size).between(1, 10000), F.lit("entry_page_size must be between 1 and 10000"))
+        .when(~order.isin(*GROUP_ORDERS), F.concat(F.lit("unknown group_order '"), order, F.lit("'")))
+        .when(~read.isin(*READ_CLASSES), F.concat(F.lit("unknown read_class '"), read, F.lit("'")))
+        .when(_c(max_depth) < 0, F.lit("max_depth must not be negative"))
+    )

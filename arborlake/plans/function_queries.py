@@ -444,6 +444,26 @@ def doc_rows(spark, d):
     )
 
 
+@query("request_errors", """
+SELECT o_orderkey, CASE
+  WHEN o_orderkey % 11 = 0 AND o_orderkey % 3 = 0 THEN 'path and path_b64 exclude each other'
+  WHEN o_custkey % 1100 NOT BETWEEN 1 AND 1000 AND o_orderkey % 2 = 0 THEN 'group_page_size must be between 1 and 1000'
+  WHEN o_orderkey % 10100 NOT BETWEEN 1 AND 10000 THEN 'entry_page_size must be between 1 and 10000'
+  WHEN o_orderpriority LIKE '1%' THEN 'unknown group_order ' || chr(39) || o_orderpriority || chr(39)
+  WHEN o_orderstatus = 'P' THEN 'unknown read_class ' || chr(39) || 'P' || chr(39)
+  WHEN o_custkey % 13 = 0 THEN 'max_depth must not be negative' END AS error
+FROM orders""")
+def request_errors(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    asked = V.table(spark, d, "orders").select(
+        "o_orderkey", F.when(k % 3 == 0, F.lit("/a")).alias("path"), F.when(k % 11 == 0, F.lit("L2E=")).alias("path_b64"),
+        F.when(k % 2 == 0, c % 1100).alias("groups"), (k % 10100).alias("entries"),
+        F.when(F.col("o_orderpriority").startswith("1"), F.col("o_orderpriority")).otherwise(F.lit("file-age")).alias("by"),
+        F.when(F.col("o_orderstatus") == "P", F.lit("P")).when(k % 2 == 0, F.lit("fresh")).alias("read"), F.when(c % 13 == 0, F.lit(-1)).alias("depth"),
+    )
+    return asked.select("o_orderkey", B.tree_request_error("path", "path_b64", "groups", "entries", "by", "read", "depth").alias("error"))
+
+
 @query("flatten_mapping", """
 WITH f AS (
   SELECT 'i' || doc_id AS index, 'title' AS name, 'text' AS field_type FROM documents
