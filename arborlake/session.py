@@ -8,6 +8,8 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+from arborlake.storage import CHECKPOINT_KEY, LOCAL_KEY
+
 # Byte paths, UTC times and exact arithmetic; the rest is left to the cluster's own settings.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -55,8 +57,9 @@ def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
     )
     spark = configured(builder).getOrCreate()
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="arborlake-"))
+    if not spark.sparkContext.getConf().get(CHECKPOINT_KEY):
+        # one machine and no folder named: the driver is the executor
+        spark.conf.set(LOCAL_KEY, tempfile.mkdtemp(prefix="arborlake-"))
     spark.sparkContext.setLogLevel("ERROR")
     ship_code(spark)
     return spark

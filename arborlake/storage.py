@@ -9,11 +9,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+# Set by ``session.local_session`` alone, where the session names no folder.
+LOCAL_KEY = "arborlake.local.dir"
 
 
 def work_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``, storage that every executor can read."""
-    folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+    folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY) or spark.conf.get(LOCAL_KEY, None)
     if not folder:
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
     return folder.rstrip("/")
