@@ -10,9 +10,10 @@ band, from the number of sets in it: filing costs against the candidates that ch
 A few segments more than needed are filed (the *slack*): a set that lies under no more crowded keys than that
 finds its partners under its other keys. Sets under more are compared under crowded keys as well, so nothing is lost.
 
-Candidates are verified on the whole texts. Equal sets are one node from the start. A first round compares the
-sets of a key with one of them; most then hang together, and the second round compares only sets of a key
-that are still in different components. No key's sets are ever paired up as a whole.
+Equal sets are one node from the start. A first round compares the sets of a key with one of them; most then
+hang together, and the second round compares only sets of a key that are still in different components. No
+key's sets are ever paired up as a whole. Candidates whose sizes, or counts of elements by hash, lie too far apart to be
+similar are dropped; all others are verified on the whole texts.
 
 Shingles are held as 64-bit hashes: to err, two different shingles of two compared texts would have to collide.
 
@@ -36,14 +37,18 @@ from arborlake.llm.components import components
 from arborlake.llm.pretokens import chunks
 from arborlake.storage import materialize
 
-#: Bytes of keys in a partition of the candidate search, and slices that it is dealt in.
-PARTITION_BYTES, SLICES = 24_000_000, 4
+#: Bytes of keys in a partition of the candidate search.
+PARTITION_BYTES = 24_000_000
 #: A key of more sets is crowded.
 CROWDED = 12
 #: Cost of a candidate against that of filing one key.
 CANDIDATE_COST = 8.0
 #: Members of a key in one row, members compared with a hub in one task.
 ROW_MEMBERS, HUB_MEMBERS = 5_000, 500
+#: Counts of elements that are kept of every set: at least so many, and one for so many elements.
+COUNTS, COUNT_ELEMENTS = 128, 8
+#: Entries of members and of outsiders, over the lists of one component, in a block.
+BLOCK_MEMBERS, BLOCK_OUTSIDERS = 20_000, 5_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x2545F4914F6CDD1D
@@ -128,7 +133,9 @@ def allocate(low: int, high: int, percent: int, sets: int) -> Band:
         segments = wide + exact
         load = low / segments
         filed = exact + wide * (1 + load)
-        chance = exact * np.exp(-2 * load) + wide * ((1 + load) * np.exp(-load)) ** 2
+        # segments without content are what unlike sets share by chance; the slack takes up some of them
+        empty = exact * np.exp(-load)
+        chance = (exact * np.exp(-2 * load) if empty > slack / 2 else 0) + wide * ((1 + load) * np.exp(-load)) ** 2
         cost = filed + CANDIDATE_COST * sets * chance
         if best is None or cost < best[0]:
             best = (cost, Band(low, high, most, wide, exact, slack))
@@ -185,8 +192,19 @@ def file_keys(sets: list[np.ndarray], plan: list[Band], percent: int) -> tuple[n
     return np.concatenate([whole, less]), np.concatenate([owner, owner[at]])
 
 
-def _kind(df: DataFrame, name: str) -> str:
-    return df.schema[name].dataType.simpleString()
+def sketch(s: np.ndarray) -> bytes:
+    """How many elements fall to each of a power of two of hash values. The sum of two sketches' differences is never
+    more than the number of elements in which their sets differ."""
+    size = max(COUNTS, 1 << (len(s) // COUNT_ELEMENTS).bit_length() >> 1)
+    return np.minimum(np.bincount((s >> np.uint64(9)).astype(np.int64) % size, minlength=size), 255).astype(np.uint8).tobytes()
+
+
+def folded(packed: list[bytes], size: int) -> np.ndarray:
+    """Sketches as rows of ``size`` counts; longer ones are folded, which keeps what a sketch promises."""
+    out = np.empty((len(packed), size), np.int16)
+    for i, x in enumerate(packed):
+        out[i] = np.frombuffer(x, np.uint8).reshape(-1, size).sum(axis=0)
+    return out
 
 
 def _sizes(n: int):
@@ -200,8 +218,9 @@ def _sizes(n: int):
                         batch.column(0).slice(a, b - a),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                        pa.array([sketch(s) for s in sets], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "digest"],
+                    ["doc_id", "n_shingles", "digest", "counts"],
                 )
 
     return run
@@ -228,50 +247,121 @@ def _file(n: int, percent: int, plan: list[Band], slices: int):
                 order = np.argsort(part, kind="stable")
                 parts, first = np.unique(part[order], return_index=True)
                 docs = np.array(ids, np.int64)[owners[order]]
-                cut = lambda x: [p.tobytes() for p in np.split(x, first[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(parts.astype(np.int32)), pa.array(cut(keys[order]), pa.binary()), pa.array(cut(docs), pa.binary())], ["slice", "keys", "docs"]
-                )
+                cut = lambda x: pa.array([p.tobytes() for p in np.split(x, first[1:])], pa.binary())
+                # with the slice, 32 bits tell keys apart well enough for candidates
+                short = (keys[order] >> np.uint64(8)).astype(np.uint32)
+                band = keys[order].astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), cut(short), cut(band), cut(docs)], ["slice", "keys", "bands", "docs"])
 
     return run
 
 
+LISTS = "list long, band int, size long, times long, chunk int, members array<long>"
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys with two or more sets: key, band, size, hub (the set that the others are compared with first), members."""
-    held: dict[int, tuple[list, list]] = {}
+    """The lists of sets under one key, each list once with the number of its keys. A list's first member is its
+    hub, the one that the others are compared with first. Lists of two have no band, since they have no second round."""
+    held: dict[int, tuple[list, list, list]] = {}
     for batch in batches:
-        for part, keys, docs in zip(*(c.to_pylist() for c in batch.columns)):
-            k, d = held.setdefault(part, ([], []))
-            k.append(np.frombuffer(keys, np.uint64))
-            d.append(np.frombuffer(docs, np.int64))
+        for part, *packed in zip(*(c.to_pylist() for c in batch.columns)):
+            for column, data in zip(held.setdefault(part, ([], [], [])), packed):
+                column.append(data)
+    pairs: list[np.ndarray] = []
+    lists: dict[tuple[int, bytes], int] = {}
     for part in list(held):
-        k, d = held.pop(part)
-        keys, docs = np.concatenate(k), np.concatenate(d)
+        k, b, d = (np.frombuffer(b"".join(x), t) for x, t in zip(held.pop(part), ("<u4", "u1", "<i8")))
+        keys = k.astype(np.uint64) << np.uint64(8) | b
         order = np.argsort(keys, kind="stable")
-        keys, docs = keys[order], docs[order]
+        keys, docs = keys[order], d[order]
         shared = np.zeros(len(keys), bool)
         same = keys[1:] == keys[:-1]
         shared[1:] |= same
         shared[:-1] |= same
         keys, docs = keys[shared], docs[shared]
-        rank = mix(docs.view(np.uint64))
-        order = np.lexsort((rank, keys))
+        order = np.lexsort((mix(docs.view(np.uint64)), keys))
         keys, docs = keys[order], docs[order]
-        again = (keys[1:] == keys[:-1]) & (docs[1:] == docs[:-1])
-        keep = np.concatenate([[True], ~again]) if len(keys) else np.zeros(0, bool)
+        keep = np.ones(len(keys), bool)
+        keep[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
         keys, docs = keys[keep], docs[keep]
         values, first, counts = np.unique(keys, return_index=True, return_counts=True)
-        rows = [
-            (int(values[i]) - (1 << 64 if values[i] >> np.uint64(63) else 0), int(values[i]) & 0xFF, int(counts[i]), int(docs[first[i]]), docs[at : min(at + ROW_MEMBERS, first[i] + counts[i])])
-            for i in np.flatnonzero(counts > 1).tolist()
-            for at in range(int(first[i]), int(first[i] + counts[i]), ROW_MEMBERS)
-        ]
-        for at in range(0, len(rows), 20_000):
-            key, band, size, hub, members = zip(*rows[at : at + 20_000])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.int64()), pa.array(band, pa.int32()), pa.array(size, pa.int64()), pa.array(hub, pa.int64()), pa.array(members, pa.list_(pa.int64()))],
-                ["key", "band", "size", "hub", "members"],
-            )
+        two = first[counts == 2]
+        pairs.append(np.stack([docs[two], docs[two + 1]], axis=1))
+        for value, at, count in zip(*(x[counts > 2].tolist() for x in (values, first, counts))):
+            key = (value & 0xFF, docs[at : at + count].tobytes())
+            lists[key] = lists.get(key, 0) + 1
+    rows = [(0, -1, 2, 1, 0, p) for p in np.unique(np.concatenate(pairs), axis=0)] if pairs else []
+    for (band, packed), times in lists.items():
+        members = np.frombuffer(packed, np.int64)
+        name = int.from_bytes(hashlib.blake2b(packed, digest_size=8).digest(), "little", signed=True)
+        for chunk, at in enumerate(range(0, len(members), ROW_MEMBERS)):
+            # every row of a list begins with its hub
+            some = members[at : at + ROW_MEMBERS]
+            rows.append((name, band, len(members), times, chunk, np.append(members[:1], some) if chunk else some))
+    for at in range(0, len(rows), 20_000):
+        columns = list(zip(*rows[at : at + 20_000]))
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["list", "band", "size", "times", "chunk", "members"])
+
+
+def _may_link(n: np.ndarray, m: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and the sketches' differences allow for the similarity."""
+    return (apart <= (100 - percent) * (n + m) // (100 + percent)) & (np.minimum(n, m) * 100 >= percent * np.maximum(n, m))
+
+
+def _possible(percent: int):
+    """Pairs whose sizes and counts allow for the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(i).to_numpy() for i in (2, 4))
+            apart = np.empty(len(n), np.int64)
+            for i, (x, y) in enumerate(zip(batch.column(3).to_pylist(), batch.column(5).to_pylist())):
+                a, b = folded([x, y], min(len(x), len(y)))
+                apart[i] = np.abs(a - b).sum()
+            yield batch.select([0, 1]).filter(pa.array(_may_link(n, m, apart, percent), pa.bool_()))
+
+    return run
+
+
+def _cross(percent: int):
+    """Lists of a block, outsiders first: pairs of an outsider and a member of another component that may link, once
+    for the block."""
+
+    def pairs(outside: list[tuple], members: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        size = min(len(x[3]) for x in (*outside, *members))
+        ids, parts, n = (np.array([x[i] for x in members], np.int64) for i in range(3))
+        counts = folded([x[3] for x in members], size)
+        step = max(1, 4_000_000 // (len(members) * size))
+        for at in range(0, len(outside), step):
+            some = outside[at : at + step]
+            other, part, m = (np.array([x[i] for x in some], np.int64)[:, None] for i in range(3))
+            apart = np.abs(folded([x[3] for x in some], size)[:, None, :] - counts[None]).sum(axis=2, dtype=np.int64)
+            i, j = np.nonzero((part != parts) & _may_link(n, m, apart, percent))
+            yield np.minimum(other[i, 0], ids[j]), np.maximum(other[i, 0], ids[j])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, group, outside, members, seen = None, None, [], [], set()
+
+        def found() -> Iterator[pa.RecordBatch]:
+            if outside and members:
+                for hub, doc in pairs(outside, members):
+                    new = [p for p in zip(hub.tolist(), doc.tolist()) if p not in seen]
+                    seen.update(new)
+                    if new:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*set(new))], ["hub", "doc"])
+
+        for batch in batches:
+            for *key, name, is_member, doc, component, n, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if group != (key, name):
+                    yield from found()
+                    group, outside, members = (key, name), [], []
+                if block != key:
+                    block, seen = key, set()
+                (members if is_member else outside).append((doc, component, n, counts))
+        yield from found()
+
+    return run
 
 
 def _verify(n: int, percent: int):
@@ -303,9 +393,16 @@ def _verify(n: int, percent: int):
     return run
 
 
+def _screened(pairs: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
+    """The pairs (hub, doc) that may be similar, written."""
+    facts = lambda name, i: sized.select(F.col("doc_id").alias(name), F.col("n_shingles").alias(f"n{i}"), F.col("counts").alias(f"c{i}"))
+    half = materialize(materialize(pairs, "jaccard-pairs").join(facts("hub", 1), "hub"), "jaccard-half")
+    both = half.join(facts("doc", 2), "doc").select("hub", "doc", "n1", "c1", "n2", "c2")
+    return materialize(both.mapInArrow(_possible(percent), "hub long, doc long").distinct(), "jaccard-possible")
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (hub, doc) that are similar, as (a, b)."""
-    pairs = materialize(pairs, "jaccard-pairs")
     crowds = materialize(pairs.groupBy("hub").count().filter(F.col("count") > HUB_MEMBERS), "jaccard-crowds")
     dealt = materialize(
         pairs.join(crowds, "hub", "left").select("hub", "doc", F.pmod(F.xxhash64("doc"), F.ceil(F.coalesce("count", F.lit(1)) / HUB_MEMBERS)).cast("int").alias("salt")),
@@ -318,6 +415,11 @@ def _linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     return materialize(ordered.mapInArrow(_verify(n, percent), "a long, b long"), "jaccard-links")
 
 
+def _texts(source: DataFrame, pairs: DataFrame) -> DataFrame:
+    wanted = materialize(pairs.select(F.col("doc").alias("doc_id")).union(pairs.select("hub")).distinct(), "jaccard-wanted")
+    return materialize(source.join(wanted, "doc_id"), "jaccard-texts")
+
+
 def join(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row.
 
@@ -326,44 +428,65 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id",
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     spark = docs.sparkSession
-    sized = materialize(source.mapInArrow(_sizes(n), "doc_id long, n_shingles long, digest binary"), "jaccard-sizes")
+    sized = materialize(source.mapInArrow(_sizes(n), "doc_id long, n_shingles long, digest binary, counts binary"), "jaccard-sizes")
     counts = {r.n_shingles: r["count"] for r in sized.filter("n_shingles > 0").groupBy("n_shingles").count().toLocalIterator()}
     plan = bands(counts, percent)
     nodes = materialize(
         sized.filter("doc_id is not null and n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node")), "jaccard-nodes"
     )
     total = sum(c * sum(b.exact + b.wide for b in plan if b.low <= s <= b.most) for s, c in counts.items())
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * total // PARTITION_BYTES + 1)
-    filed = source.mapInArrow(_file(n, percent, plan, parts * SLICES), "slice int, keys binary, docs binary")
-    keys = materialize(
-        filed.repartition(parts, "slice").mapInArrow(_meet, "key long, band int, size long, hub long, members array<long>"), "jaccard-keys"
-    )
-    entries = keys.select("key", "band", "size", "hub", F.explode("members").alias("doc"))
-    first = materialize(entries.filter("hub <> doc").select("hub", "doc").distinct(), "jaccard-first")
-    candidates = first.select("doc").union(first.select("hub")).distinct().withColumnRenamed("doc", "doc_id")
-    texts = materialize(source.join(materialize(candidates, "jaccard-candidates"), "doc_id"), "jaccard-texts")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 13 * total // PARTITION_BYTES + 1)
+    filed = source.mapInArrow(_file(n, percent, plan, parts), "slice int, keys binary, bands binary, docs binary")
+    keys = materialize(filed.repartitionById(parts, "slice").mapInArrow(_meet, LISTS), "jaccard-keys")
+    hub = F.col("members")[0]
+    first = keys.select(hub.alias("hub"), F.explode("members").alias("doc")).filter("hub <> doc").distinct()
+    first = _screened(first, sized, percent)
+    texts = _texts(source, first)
     links = _linked(first, texts, n, percent)
 
-    # second round: sets of a key that do not hang together yet
+    # second round: sets of a list that do not hang together yet
+    lists = keys.filter("size > 2").groupBy("list", "band", "size", "chunk").agg(F.sum("times").alias("times"), F.any_value("members").alias("members"))
+    entries = lists.select("list", "band", "size", "times", F.explode("members").alias("doc")).distinct()
     parted = components(links)
     placed = materialize(
-        entries.join(parted.withColumnRenamed("node", "doc"), "doc", "left").select("key", "band", "size", "doc", F.coalesce("component", "doc").alias("component")),
+        materialize(entries, "jaccard-lists")
+        .join(parted.withColumnRenamed("node", "doc"), "doc", "left")
+        .select("list", "band", "size", "times", "doc", F.coalesce("component", "doc").alias("component")),
         "jaccard-entries",
     )
-    open_keys = materialize(
-        placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key"), "jaccard-open"
+    open_lists = materialize(
+        placed.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("list"), "jaccard-open"
     )
     slack = F.element_at(F.array(*[F.lit(b.slack) for b in plan] or [F.lit(0)]), F.col("band") + 1)
     busy = materialize(
-        placed.filter(F.col("size") > CROWDED).groupBy("doc", "band").count().filter(F.col("count") > slack).select("doc", "band", F.lit(True).alias("busy")),
+        placed.filter(F.col("size") > CROWDED).groupBy("doc", "band").agg(F.sum("times").alias("times")).filter(F.col("times") > slack).select("doc", "band", F.lit(True).alias("busy")),
         "jaccard-busy",
     )
-    still = placed.join(open_keys, "key", "left_semi").join(busy, ["doc", "band"], "left")
-    still = materialize(still.filter((F.col("size") <= CROWDED) | F.col("busy")).select("key", "doc", "component"), "jaccard-still")
-    left, right = still.select("key", F.col("doc").alias("hub"), F.col("component").alias("x")), still.select("key", "doc", F.col("component").alias("y"))
-    second = left.join(right, "key").filter((F.col("hub") < F.col("doc")) & (F.col("x") != F.col("y"))).select("hub", "doc").distinct()
+    still = placed.join(open_lists, "list", "left_semi").join(busy, ["doc", "band"], "left")
+    still = materialize(still.filter((F.col("size") <= CROWDED) | F.col("busy")).select("list", "doc", "component").distinct(), "jaccard-still")
+    # only members outside a list's largest component are compared, with all of it. A pair stands in many lists of one
+    # component; blocks of documents hold all of these, so that it is found once
+    by_part = still.groupBy("list", "component").agg(F.count(F.lit(1)).alias("n"))
+    shape = materialize(
+        by_part.groupBy("list").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("k")),
+        "jaccard-shape",
+    )
+    grid = shape.groupBy("largest").agg(
+        F.ceil(F.sum("n") / BLOCK_MEMBERS).cast("int").alias("rows"), F.ceil(F.sum("k") / BLOCK_OUTSIDERS).cast("int").alias("columns")
+    )
+    shape = materialize(shape.select("list", "largest").join(grid, "largest"), "jaccard-grid")
+    facts = sized.filter("doc_id is not null").select("doc_id", F.col("n_shingles").alias("n"), "counts").distinct()
+    known = materialize(still.join(facts.withColumnRenamed("doc_id", "doc"), "doc"), "jaccard-known").join(shape, "list")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda n, seed: F.pmod(F.xxhash64("doc", F.lit(seed)), F.col(n)).cast("int")
+    rest = ["doc", "component", "n", "counts"]
+    members = known.select("largest", mine("rows", 1).alias("a"), every("columns").alias("b"), "list", F.lit(True).alias("member"), *rest)
+    outside = known.filter("component <> largest").select("largest", every("rows").alias("a"), mine("columns", 2).alias("b"), "list", F.lit(False).alias("member"), *rest)
+    blocks = members.unionByName(outside).repartition("largest", "a", "b").sortWithinPartitions("largest", "a", "b", "list", "member")
+    second = materialize(blocks.mapInArrow(_cross(percent), "hub long, doc long").distinct(), "jaccard-second")
     tried = first.select(F.least("hub", "doc").alias("hub"), F.greatest("hub", "doc").alias("doc"))
-    more = _linked(second.join(tried, ["hub", "doc"], "left_anti"), texts, n, percent)
+    second = _screened(second.join(tried, ["hub", "doc"], "left_anti"), sized, percent)
+    more = _linked(second, _texts(source, second), n, percent)
 
     # links between documents, and between a document and the node of its set
     own = sized.filter("doc_id is not null").join(nodes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node"))
