@@ -31,6 +31,7 @@ from arborlake.storage import fresh_path
 CACHED, CACHED_CHARACTERS = 400_000, 48
 #: Pieces in a batch of the result.
 BATCH_PIECES = 5_000
+NUMBERS = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
 class Tokens:
@@ -110,41 +111,46 @@ def part_offsets(encoded: DataFrame) -> dict[int, int]:
     return {row.part: end - row.n for row, end in zip(totals, ends)}
 
 
-def pieces(docs: DataFrame, path: str, pattern: str, window: int = 1024, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids, and whether
-    the document was cut before (`continues`) or after (`continued`) the piece."""
+def pieces(
+    docs: DataFrame, path: str, pattern: str, window: int = 1024, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True
+) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, whether the document was
+    cut before (`continues`) or after (`continued`) the piece, and its ids if they are wanted."""
     encoded = encode(docs, path, pattern, end_id, doc_id, text)
     offsets = docs.sparkSession.sparkContext.broadcast(part_offsets(encoded))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids", "continues", "continued"]
-        kinds = [None, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.bool_(), pa.bool_()]
+        kinds = {"doc_id": None, **dict.fromkeys(NUMBERS, pa.int64()), "continues": pa.bool_(), "continued": pa.bool_()}
+        if with_ids:
+            kinds["ids"] = pa.list_(pa.int32())
+
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], list(kinds))
+
         at = offsets.value
         for batch in batches:
-            kinds[0] = batch.schema.field(0).type
+            kinds["doc_id"] = batch.schema.field(0).type
             rows: list[tuple] = []
-            for doc, part, start, n, width, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = np.frombuffer(packed, f"<u{width}").astype("<u4")
+            for doc, part, start, n, width, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                ids = np.frombuffer(raw, f"<u{width}").astype("<u4")
                 place, done = at[part] + start, 0
                 while done < n:
                     sequence, offset = divmod(place + done, window)
                     length = min(window - offset, n - done)
                     piece = ids[done : done + length]
-                    rows.append((doc, done, length, zlib.crc32(piece.tobytes()), n, sequence, offset, piece.astype(np.int32), done > 0, done + length < n))
+                    row = (doc, done, length, zlib.crc32(piece.tobytes()), n, sequence, offset, done > 0, done + length < n)
+                    rows.append((*row, piece.astype(np.int32)) if with_ids else row)
                     done += length
                     if len(rows) >= BATCH_PIECES:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                        yield packed(rows)
                         rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                yield packed(rows)
 
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "part", "start", "n_tokens", "width", "ids").mapInArrow(
-        cut,
-        f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>, continues boolean, continued boolean",
-    )
+    schema = f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, " + "".join(f"{n} long, " for n in NUMBERS) + "continues boolean, continued boolean"
+    return encoded.select("doc_id", "part", "start", "n_tokens", "width", "ids").mapInArrow(cut, schema + (", ids array<int>" if with_ids else ""))
 
 
 def summary(docs: DataFrame, path: str, pattern: str, window: int = 1024, end_id: int = 0) -> DataFrame:
     """The pieces without their ids."""
-    return pieces(docs, path, pattern, window, end_id).drop("ids")
+    return pieces(docs, path, pattern, window, end_id, with_ids=False)
