@@ -36,7 +36,7 @@ NEIGHBOURS = 12
 BLOCK = 64
 #: Weight of the prior against the votes, and the least distance.
 PRIOR_WEIGHT, LEAST_DISTANCE = 0.5, 0.05
-CACHED = 100_000
+CACHED = 20_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -153,7 +153,9 @@ def _labelled(docs: DataFrame, labels: DataFrame, folds: int, fold: int) -> Data
     sampled = marked.filter(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000)) < share * 1_000_000)
     texts = docs.select("doc_id", "text").join(F.broadcast(sampled), "doc_id")
     # rows that repeat a doc_id: one of them, the same one always
-    return texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))
+    # few bytes but much work: one part for each of the session's shuffle partitions
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text")).repartition(parts)
 
 
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
