@@ -37,8 +37,8 @@ from arborlake.llm.components import components
 from arborlake.llm.pretokens import chunks
 from arborlake.storage import materialize
 
-#: Bytes of keys in a partition of the candidate search.
-PARTITION_BYTES = 24_000_000
+#: Bytes of keys in a partition of the candidate search, and characters of text worked on at once.
+PARTITION_BYTES, CHARACTERS = 8_000_000, 500_000
 #: A key of more sets is crowded.
 CROWDED = 12
 #: Cost of a candidate against that of filing one key.
@@ -211,7 +211,7 @@ def _sizes(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, CHARACTERS):
                 sets = shingle_sets(texts[a:b], n)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -231,7 +231,7 @@ def _file(n: int, percent: int, plan: list[Band], slices: int):
         seen: set[bytes] = set()
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, CHARACTERS):
                 ids, fresh = [], []
                 for doc, s in zip(batch.column(0).slice(a, b - a).to_pylist(), shingle_sets(texts[a:b], n)):
                     # copies are filed once by a task
@@ -373,7 +373,7 @@ def _verify(n: int, percent: int):
             hub_ids, salts, doc_ids = (batch.column(i).to_pylist() for i in range(3))
             texts = batch.column(3).to_pylist()
             a_out, b_out = [], []
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, CHARACTERS):
                 for i, s in zip(range(a, b), shingle_sets(texts[a:b], n)):
                     if group != (hub_ids[i], salts[i]):
                         group, hubs = (hub_ids[i], salts[i]), []
