@@ -9,6 +9,7 @@ band, from the number of sets in it: filing costs against the candidates that ch
 
 A few segments more than needed are filed (the *slack*): a set that lies under no more crowded keys than that
 finds its partners under its other keys. Sets under more are compared under crowded keys as well, so nothing is lost.
+A segment with the allowance stands for two of the needed ones but may be shared by one key only, so its keys count twice.
 
 Equal sets are one node from the start. A first round compares the sets of a key with one of them; most then
 hang together, and the second round compares only sets of a key that are still in different components. No
@@ -154,9 +155,10 @@ def bands(counts: dict[int, int], percent: int) -> list[Band]:
 
 
 def file_keys(sets: list[np.ndarray], plan: list[Band], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, index of the set) of everything that the sets are filed under. A key's low byte is its band."""
+    """(key, index of the set) of everything that the sets are filed under. A key's low byte is its band, the bit
+    above tells whether its segment has the allowance of one element."""
     highs = np.array([b.high for b in plan])
-    tokens, places, wides, owners, numbers, marks = [], [], [], [], [], []
+    tokens, places, wides, owners, numbers, marks, kinds = [], [], [], [], [], [], []
     base = 0
     for i, s in enumerate(sets):
         if not len(s):
@@ -176,6 +178,7 @@ def file_keys(sets: list[np.ndarray], plan: list[Band], percent: int) -> tuple[n
             owners.append(np.full(segments, i, np.int64))
             numbers.append(np.arange(segments, dtype=np.uint64))
             marks.append(np.full(segments, b, np.uint64))
+            kinds.append(numbers[-1] < np.uint64(band.wide))
             base += segments
     if not base:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -185,10 +188,11 @@ def file_keys(sets: list[np.ndarray], plan: list[Band], percent: int) -> tuple[n
         content = np.zeros(base, np.uint64)
         np.add.at(content, place, codes)
         salt = (number + np.uint64(1)) * _M2 + (mark + np.uint64(1)) * _M3
-        low = np.uint64(0xFF)
-        whole = mix(content + salt) & ~low | mark
+        low = np.uint64(0x1FF)
+        tail = np.concatenate(kinds).astype(np.uint64) << np.uint64(8) | mark
+        whole = mix(content + salt) & ~low | tail
         at = place[wide]
-        less = mix(content[at] - codes[wide] + salt[at]) & ~low | mark[at]
+        less = mix(content[at] - codes[wide] + salt[at]) & ~low | tail[at]
     return np.concatenate([whole, less]), np.concatenate([owner, owner[at]])
 
 
@@ -248,7 +252,7 @@ def _file(n: int, percent: int, plan: list[Band], slices: int):
                 parts, first = np.unique(part[order], return_index=True)
                 docs = np.array(ids, np.int64)[owners[order]]
                 cut = lambda x: pa.array([p.tobytes() for p in np.split(x, first[1:])], pa.binary())
-                # with the slice, 32 bits tell keys apart well enough for candidates
+                # with the slice, 32 bits, one of them the kind of segment, tell keys apart well enough for candidates
                 short = (keys[order] >> np.uint64(8)).astype(np.uint32)
                 band = keys[order].astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), cut(short), cut(band), cut(docs)], ["slice", "keys", "bands", "docs"])
@@ -260,8 +264,9 @@ LISTS = "list long, band int, size long, times long, chunk int, members array<lo
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lists of sets under one key, each list once with the number of its keys. A list's first member is its
-    hub, the one that the others are compared with first. Lists of two have no band, since they have no second round."""
+    """The lists of sets under one key, each list once with the number of its keys, in which a key of a segment with the
+    allowance counts twice. A list's first member is its hub, the one that the others are compared with first. Lists of
+    two have no band, since they have no second round."""
     held: dict[int, tuple[list, list, list]] = {}
     for batch in batches:
         for part, *packed in zip(*(c.to_pylist() for c in batch.columns)):
@@ -289,7 +294,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs.append(np.stack([docs[two], docs[two + 1]], axis=1))
         for value, at, count in zip(*(x[counts > 2].tolist() for x in (values, first, counts))):
             key = (value & 0xFF, docs[at : at + count].tobytes())
-            lists[key] = lists.get(key, 0) + 1
+            lists[key] = lists.get(key, 0) + 1 + (value >> 8 & 1)
     rows = [(0, -1, 2, 1, 0, p) for p in np.unique(np.concatenate(pairs), axis=0)] if pairs else []
     for (band, packed), times in lists.items():
         members = np.frombuffer(packed, np.int64)

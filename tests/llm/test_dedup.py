@@ -124,6 +124,35 @@ def test_many_near_copies_and_common_words(spark):
     assert Counter(tuple(r) for r in jaccard.join(docs).collect()) == near(rows, 4, 85)
 
 
+def test_short_texts_and_their_extensions(spark):
+    """Many texts lie under the same empty segments, with and without an allowance."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for _ in range(400):
+        words = [word() for _ in range(rng.choice([8, 8, 8, *range(9, 20)]))]
+        texts += [" ".join(words), " ".join(words + [word() for _ in range(rng.randrange(1, 4))])]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert Counter(tuple(r) for r in jaccard.join(docs, 5, 80).collect()) == near(rows, 5, 80)
+
+
+def test_crowded_keys_show_when_slack_is_used_up():
+    """The keys that similar sets share weigh more than the slack, with those of segments with an allowance twice."""
+    rng = np.random.default_rng(3)
+    for size in (4, 5, 8, 10, 12, 15, 25, 50, 120):
+        plan = jaccard.bands({s: 500 for s in range(1, size * 2)}, 80)
+        band = next(band for band in plan if band.low <= size <= band.high)
+        for _ in range(60):
+            a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+            more = jaccard.difference(size, size * 100 // 80, 80)
+            b = np.unique(np.concatenate([a, rng.integers(0, 1 << 63, min(more, size // 4)).astype(np.uint64)]))
+            keys, owner = jaccard.file_keys([a, b], plan, 80)
+            shared = np.intersect1d(keys[owner == 0], keys[owner == 1])
+            shared = shared[(shared & np.uint64(0xFF)) == plan.index(band)]
+            assert (1 + (shared >> np.uint64(8) & np.uint64(1))).sum() > band.slack
+
+
 def test_segments_never_miss():
     """Any two sets within the bound share a key outside the slack."""
     rng = np.random.default_rng(2)
