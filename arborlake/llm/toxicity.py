@@ -7,7 +7,8 @@ nearer example than those found, so the nearest by cosine are exact. They vote w
 against a prior vote of the labelled texts without marks; the examples are the evidence.
 
 The vocabulary and the examples come from a sample of the labelled rows, of ``MAX_EXAMPLES`` expected rows for
-each label. Document frequencies are counted over all documents.
+each label. Labels are sampled by shares of their own, so in votes and prior an example counts for as many labelled rows
+of its label as one sampled row stands for. Document frequencies are counted over all documents.
 
 Cases: a null or empty text has no marks and gets the prior. With no labelled row the prior is 0. Several labels
 of one document count by their mean (1 from a half on); null labels are ignored. Repeated rows get equal scores.
@@ -57,6 +58,8 @@ class Index:
     ids: list
     rows: list[dict[int, int]]
     prior: float = 0.0
+    #: Labelled rows for each example of label 0 and of label 1.
+    stands_for: tuple[float, float] = (1.0, 1.0)
     cache: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -127,7 +130,7 @@ class Index:
             votes = weights = 0.0
             found = self.nearest(counts)
             for cosine, i in found:
-                weight = 1 / (LEAST_DISTANCE + 1 - cosine)
+                weight = self.stands_for[int(self.labels[i])] / (LEAST_DISTANCE + 1 - cosine)
                 votes += weight * self.labels[i]
                 weights += weight
             self.cache[key] = ((votes + PRIOR_WEIGHT * self.prior) / (weights + PRIOR_WEIGHT), [self.ids[i] for _, i in found])
@@ -138,8 +141,8 @@ def held_out(doc_id: str, folds: int, fold: int) -> Column:
     return F.pmod(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")), F.lit(folds)) == fold
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, folds: int, fold: int) -> DataFrame:
-    """doc_id, toxic, text of a sample of the labelled rows outside the fold."""
+def _labelled(docs: DataFrame, labels: DataFrame, folds: int, fold: int) -> tuple[DataFrame, tuple[float, float]]:
+    """doc_id, toxic, text of a sample of the labelled rows outside the fold; labelled rows for each sampled one of either label."""
     marked = (
         labels.filter(F.col("toxic").isNotNull() & ~held_out("doc_id", folds, fold))
         .groupBy("doc_id")
@@ -151,11 +154,15 @@ def _labelled(docs: DataFrame, labels: DataFrame, folds: int, fold: int) -> Data
     for label, n in counts.items():
         share = F.when(F.col("toxic") == label, F.lit(min(1.0, MAX_EXAMPLES / n))).otherwise(share)
     sampled = marked.filter(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000)) < share * 1_000_000)
+    taken = counts
+    if max(counts.values(), default=0) > MAX_EXAMPLES:
+        taken = {row.toxic: row["count"] for row in sampled.groupBy("toxic").count().collect()}
     texts = docs.select("doc_id", "text").join(F.broadcast(sampled), "doc_id")
     # rows that repeat a doc_id: one of them, the same one always
     # few bytes but much work: one part for each of the session's shuffle partitions
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text")).repartition(parts)
+    sample = texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text")).repartition(parts)
+    return sample, tuple(counts[label] / taken[label] if taken.get(label) else 1.0 for label in (0, 1))
 
 
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +174,8 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0) -> Index:
     """Learn from the labelled documents whose crc32(doc_id) mod ``folds`` is not ``fold``."""
-    sample = _labelled(docs, labels, folds, fold).persist()
+    sample, stands_for = _labelled(docs, labels, folds, fold)
+    sample = sample.persist()
     n = {row.toxic: row["count"] for row in sample.groupBy("toxic").count().collect()}
     positive, negative = n.get(1, 0), n.get(0, 0)
     total = positive + negative
@@ -193,10 +201,12 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0) -> In
     examples = sorted(_counted(sample, counter), key=lambda r: (max(r[2], key=lambda m: (idf[m], m), default=-1), r[0] is not None, r[0]))
     bare = [toxic for _, toxic, counts in examples if not counts]
     held = [e for e in examples if e[2]]
-    # as far as the labels are from the sample, they are weighed back by the shares of all labelled rows
-    prior = (sum(bare) + 0.5 * (positive / total if total else 0)) / (len(bare) + 0.5) if total else 0.0
+    # weighed back to the shares of all labelled rows
+    whole = (negative * stands_for[0], positive * stands_for[1])
+    plain, marked = (len(bare) - sum(bare)) * stands_for[0], sum(bare) * stands_for[1]
+    prior = (marked + 0.5 * whole[1] / sum(whole)) / (plain + marked + 0.5) if total else 0.0
     sample.unpersist()
-    return Index(vocabulary, idf, np.array([t for _, t, _ in held], float), [i for i, _, _ in held], [c for _, _, c in held], prior)
+    return Index(vocabulary, idf, np.array([t for _, t, _ in held], float), [i for i, _, _ in held], [c for _, _, c in held], prior, stands_for)
 
 
 def _counted(sample: DataFrame, counter: Index) -> list[tuple]:

@@ -248,6 +248,32 @@ def test_toxicity(spark, folder):
     assert a.vocabulary == b.vocabulary and a.ids == b.ids and a.prior == b.prior
 
 
+def test_toxicity_does_not_follow_the_sample(spark, monkeypatch):
+    """Where one label is cut to a share of its rows, scores and prior stay those of the whole table."""
+    rng, marks, rows = random.Random(8), "foul grim nast rank ugly vile".split(), []
+    for i in range(4000):
+        toxic = int(rng.random() < 0.1)
+        mark = rng.random() < (0.6 if toxic else 0.05)
+        rows.append((i, " ".join(rng.choice("one two six ten red sky".split()) for _ in range(8)) + f" {rng.choice(marks)}" * mark, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    found = []
+    for most in (10_000, 400):
+        monkeypatch.setattr(toxicity, "MAX_EXAMPLES", most)
+        model = toxicity.fit(docs, docs.select("doc_id", "toxic"))
+        assert list(model.vocabulary) == marks
+        found.append((model.prior, sum(model.score(t)[0] for _, t, _ in rows) / len(rows)))
+    (prior, mean), (cut_prior, cut_mean) = found
+    assert cut_prior == pytest.approx(prior, abs=0.015) and cut_mean == pytest.approx(mean, abs=0.03)
+
+
+def test_votes_weigh_what_examples_stand_for():
+    """Two equally near examples, one of which stands for nine labelled rows."""
+    index = toxicity.Index({"a": 0}, np.ones(1), np.array([0.0, 1.0]), [1, 2], [{0: 1}, {0: 1}], 0.1, (9.0, 1.0))
+    near = 1 / toxicity.LEAST_DISTANCE
+    want = (near + toxicity.PRIOR_WEIGHT * 0.1) / (10 * near + toxicity.PRIOR_WEIGHT)
+    assert index.score("a")[0] == pytest.approx(want)
+
+
 def test_toxicity_of_odd_rows(spark, edge_docs, edge_rows, no_docs):
     schema = "doc_id long, quality int, toxic int"
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)] + [(3, 1, None), (None, 1, 1), (5, 1, 0), (10**9, 0, 1)], schema)
