@@ -9,7 +9,6 @@ from arborlake.functions import ids
 from arborlake.functions import paths as P
 from arborlake.functions import predicates as B
 from arborlake.operators import arbitrate as A
-from arborlake.operators import paging
 from arborlake.operators import routing
 from arborlake.plans import views as V
 from arborlake.plans.registry import query
@@ -417,15 +416,12 @@ def twice(spark, d):
 
 @query("doc_snapshot_all", DOCS + _TWICE + " SELECT id, index, twice.at AS at FROM twice")
 def doc_snapshot_all(spark, d):
-    """All pages, one after the other."""
-    rows = twice(spark, d)
-    return paging.all_pages(lambda cursor: D.doc_snapshot(rows, limit=1_000, cursor=cursor)).select("id", "index", F.col("timestamp_value").alias("at"))
+    return D.doc_snapshot_all(twice(spark, d)).select("id", "index", F.col("timestamp_value").alias("at"))
 
 
 @query("doc_poll_all", DOCS + _TWICE + " SELECT id, index, twice.at AS at FROM twice WHERE twice.at >= 7")
 def doc_poll_all(spark, d):
-    rows = twice(spark, d)
-    return paging.all_pages(lambda cursor: D.doc_poll(rows, start=7, limit=1_000, cursor=cursor)).select("id", "index", F.col("timestamp_value").alias("at"))
+    return D.doc_poll_all(twice(spark, d), start=7).select("id", "index", F.col("timestamp_value").alias("at"))
 
 
 @query("doc_projection", DOCS + """

@@ -40,3 +40,17 @@ def test_query(spark, duck, name):
     assert sorted(names) == columns
     want = sorted(tuple(text(r[names.index(c)]) for c in columns) for r in found.fetchall())
     assert rows == want
+
+
+@pytest.mark.parametrize("name", ["doc_snapshot_all", "doc_poll_all"])
+def test_whole_document_reads_stay_on_spark(spark, monkeypatch, name):
+    """No rows come to the driver, and the plan does not grow with the pages of the table."""
+
+    def refuse(self):
+        raise AssertionError("rows collected on the driver")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(type(spark.range(1)), "collect", refuse)
+        df = QUERIES[name](spark, FOLDER)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Union") == 1
+    assert "Sort" not in df._jdf.queryExecution().executedPlan().toString()
