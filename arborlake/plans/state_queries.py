@@ -698,13 +698,25 @@ def list_nodes(spark, d):
     )
 
 
-@query("page_roots", STATE + """, asked AS (SELECT unnest(['/mnt', '/u3/d5']) AS asked), g AS (SELECT DISTINCT group_id FROM st)
-SELECT asked, group_id, coalesce(max(size) FILTER (path = asked AND NOT is_tombstoned), 0) AS size,
-  coalesce(max(modified_time_us) FILTER (path = asked AND NOT is_tombstoned), 0) AS modified_time_us,
-  coalesce(bool_or(is_dir) FILTER (path = asked AND NOT is_tombstoned), true) AS is_dir,
-  count(*) FILTER (NOT is_tombstoned AND (path = asked OR starts_with(path, asked || '/'))) > 0 AS exists,
-  count(*) FILTER (NOT is_tombstoned AND starts_with(path, asked || '/') AND strpos(substr(path, length(asked) + 2), '/') = 0) > 0 AS has_children
-FROM asked, g JOIN st USING (group_id) GROUP BY 1, 2""")
+def page_root_sql(q: str) -> str:
+    """The root of a page at ``q``: its own rows, or in a group that does not know it the nodes that carry on from it."""
+    return f"""
+SELECT '{q}' AS asked, group_id, coalesce(max(size) FILTER (path = '{q}' AND alive), 0) AS size,
+  coalesce(max(modified_time_us) FILTER (path = '{q}' AND alive), 0) AS modified_time_us,
+  coalesce(bool_or(is_dir) FILTER (path = '{q}' AND alive), true) AS is_dir, count(*) FILTER (alive) > 0 AS exists,
+  count(*) FILTER (alive AND {parent('path')} = '{q}') > 0 AS has_children
+FROM (
+  SELECT group_id, path, size, modified_time_us, is_dir, NOT is_tombstoned AS alive FROM st WHERE {under('path', q)}
+  UNION ALL
+  SELECT group_id, np, size, modified_time_us, is_dir, np IS NOT NULL FROM (
+    SELECT g.group_id, m.np, m.size, m.modified_time_us, m.is_dir, row_number() OVER (PARTITION BY g.group_id, m.np ORDER BY string_split(m.path, '/') DESC) AS k
+    FROM (SELECT DISTINCT group_id FROM st WHERE group_id NOT IN (SELECT group_id FROM st WHERE {under('path', q)})) g
+    LEFT JOIN (SELECT *, {rebase('path', q)} AS np FROM live) m ON m.group_id = g.group_id AND m.np IS NOT NULL
+  ) WHERE k = 1
+) GROUP BY group_id"""
+
+
+@query("page_roots", STATE + page_root_sql("/mnt") + " UNION ALL " + page_root_sql("/u3/d5"))
 def page_roots(spark, d):
     """A placeholder and a real directory."""
     state = V.winner_state(spark, d)

@@ -7,7 +7,9 @@ import pytest
 
 import __spark_entry__ as entry
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+#: Queries whose groups differ with the size of the tables.
+BOTH = ["page_roots", "subtree_stats", "tree_heads", "tree_entries", "list_nodes"]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
@@ -16,26 +18,33 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the dri
 
 @pytest.fixture(scope="module")
 def duck():
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
-    yield con
-    con.close()
+    opened = {}
+
+    def at(folder):
+        if folder not in opened:
+            opened[folder] = con = duckdb.connect()
+            for t in TABLES:
+                con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+        return opened[folder]
+
+    yield at
+    for con in opened.values():
+        con.close()
 
 
 def text(value):
     return f"{value:.6g}" if isinstance(value, float) else str(value)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query(spark, duck, name):
-    df = QUERIES[name](spark, FOLDER)
+@pytest.mark.parametrize("folder, name", [(FOLDER, n) for n in sorted(QUERIES)] + [(LARGER, n) for n in BOTH])
+def test_query(spark, duck, folder, name):
+    df = QUERIES[name](spark, folder)
     columns = sorted(df.columns)
     rows = sorted(tuple(text(r[c]) for c in columns) for r in df.collect())
     if name not in ORACLES:
         assert rows
         return
-    found = duck.execute(ORACLES[name])
+    found = duck(folder).execute(ORACLES[name])
     names = [c[0] for c in found.description]
     assert sorted(names) == columns
     want = sorted(tuple(text(r[names.index(c)]) for c in columns) for r in found.fetchall())
