@@ -2,8 +2,8 @@
 
 The neighbour graph of a sample is cut into parts of equal size with few edges between them. A small network
 learns, for a vector, how its neighbours are spread over the parts. It puts every row into its likeliest part and
-sends a query to so many of its likeliest parts as held ``TARGET`` of the neighbours of the sample's own queries;
-there every row is compared exactly.
+sends a query to so many of its likeliest parts as held ``TARGET`` of the neighbours of the sample's own queries,
+and to further ones where these hold too few rows; there every row is compared exactly.
 
 A part is searched in blocks of bounded size, so a part that many equal vectors fall into is shared by many
 tasks. Only the graph, the parts and the network come from the sample (``FIT_ROWS`` rows at most); every row is
@@ -57,6 +57,12 @@ class Router:
     def ranked(self, vectors: np.ndarray, n: int) -> np.ndarray:
         return np.argsort(-self.scores(vectors), axis=1, kind="stable")[:, :n]
 
+    def asked(self, vectors: np.ndarray, sizes: np.ndarray, least: int) -> list[np.ndarray]:
+        """The parts that each vector is sent to: ``probes`` of them, and further ones until they hold ``least`` rows."""
+        ranked = self.ranked(vectors, self.parts)
+        short = (np.cumsum(sizes[ranked], axis=1) < least).sum(1) + 1
+        return [row[:n] for row, n in zip(ranked, np.maximum(short, self.probes))]
+
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
@@ -177,22 +183,26 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_i
     router = fit(_matrix(sample.column("v")), min(MAX_PARTS, max(1, total // PART_ROWS)), k)
     shared = spark.sparkContext.broadcast(router)
 
-    def place(n: int):
+    def place(choose):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    parts = shared.value.ranked(_matrix(batch.column(1)), n)
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts.tolist(), pa.list_(pa.int32()))], ["vec_id", "v", "parts"])
+                    parts = [list(map(int, p)) for p in choose(shared.value, _matrix(batch.column(1)))]
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.list_(pa.int32()))], ["vec_id", "v", "parts"])
 
         return run
 
     schema = f"vec_id {kind}, v {held.schema['v'].dataType.simpleString()}, parts array<int>"
-    index = materialize(held.mapInArrow(place(1), schema).select("vec_id", "v", F.col("parts")[0].alias("part")), "ann-index")
-    asked = materialize(
-        held.filter(is_query).mapInArrow(place(router.probes), schema).select("vec_id", "v", F.explode("parts").alias("part")), "ann-queries"
-    )
-    # numbers of blocks by part: at most MAX_PARTS rows
-    sizes = index.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("row_blocks"))
+    placed = held.mapInArrow(place(lambda router, x: router.ranked(x, 1)), schema)
+    index = materialize(placed.select("vec_id", "v", F.col("parts")[0].alias("part")), "ann-index")
+    # rows by part: at most MAX_PARTS numbers
+    counts = index.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    filled = np.zeros(router.parts, np.int64)
+    for row in counts.collect():
+        filled[row.part] = row.n
+    sent = held.filter(is_query).mapInArrow(place(lambda router, x: router.asked(x, filled, k + 1)), schema)
+    asked = materialize(sent.select("vec_id", "v", F.explode("parts").alias("part")), "ann-queries")
+    sizes = counts.select("part", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("row_blocks"))
     loads = asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("query_blocks"))
     blocks = F.broadcast(sizes.join(loads, "part"))
     mine = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.col(n)).cast("int")

@@ -114,6 +114,31 @@ def test_few_neighbours(spark):
     assert neighbours.nearest(none, F.col("vec_id") >= 0).collect() == []
 
 
+def test_equal_vectors_do_not_starve_a_query(spark):
+    """Nearly all rows are alike and crowd one part: the others hold too few rows by themselves."""
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(1, 2990)] + [(3000 + 20 * i, [-5.0 - i, float(i), 40.0]) for i in range(6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = neighbours.nearest(df, F.col("vec_id") % 20 == 0).groupBy("query_id").count().collect()
+    assert len(found) == sum(i % 20 == 0 for i, _ in rows) and all(r["count"] == 10 for r in found)
+
+
+def test_recall_on_the_tables(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    v = {r.vec_id: np.array(r.embedding, float) for r in df.filter(neighbours.usable(F.col("embedding"))).collect()}
+    ids, x = np.array(list(v)), np.stack(list(v.values()))
+    found = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 100 == 0).collect():
+        found.setdefault(r.query_id, {})[r.vec_id] = r.score
+    near = total = 0
+    for q in ids[ids % 100 == 0]:
+        d = np.sqrt(((x - v[q]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        best = set(ids[np.lexsort((ids, d))[:10]].tolist())
+        assert len(found[q]) == 10
+        near, total = near + len(best & found[q].keys()), total + 10
+    assert near >= 0.9 * total
+
+
 def stages(spark, docs, folder):
     """What each stage gives and gets."""
     for name, stage in corpus_pipeline.STAGES:
