@@ -7,7 +7,9 @@ multiple of the window lies; a document across a boundary gives a record on each
 is padded.
 
 Cases: a null text is empty and consists of the end id. Documents that repeat an id are documents like any
-other. An empty table gives no pieces. Other columns are ignored.
+other; their order in the sequences is that of the input's partitions. Strings of added tokens in a text get the ids
+that the file gives them. A long text is encoded in one run, and its pieces are cut one after the other. An empty table
+gives no pieces. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +39,8 @@ NUMBERS = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
 class Tokens:
     """A `tokenizers` file, asked once for each new pre-token.
 
-    Byte-level BPE never merges across pre-tokens, so a text's ids are those of its pre-tokens in order.
+    Byte-level BPE never merges across pre-tokens, so a text's ids are those of its pre-tokens in order. The file's
+    added tokens are found before pre-tokens are; a text that holds one is encoded as a whole.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -45,7 +48,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.kind = "<" + self.code
         self.split = splitter(pattern)
@@ -53,9 +56,12 @@ class Tokens:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text."""
-        pieces, ends = [], [0]
-        for text in texts:
-            pieces += self.split(text or "")
+        pieces, ends, whole = [], [0], {}
+        for i, text in enumerate(texts):
+            if text and any(a in text for a in self.added):
+                whole[i] = self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            else:
+                pieces += self.split(text or "")
             ends.append(len(pieces))
         found, missing = self.known.look_up(pieces)
         new = list({pieces[i] for i in missing})
@@ -63,12 +69,14 @@ class Tokens:
         for at in range(0, len(new), 10_000):
             some = new[at : at + 10_000]
             for piece, encoded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                ids = encoded.ids
-                fresh[piece] = pack(f"<{len(ids)}{self.code}", *ids)
+                fresh[piece] = self._packed(encoded.ids)
         for i in missing:
             found[i] = fresh[pieces[i]]
         self.known.remember((p, i) for p, i in fresh.items() if len(p) <= CACHED_CHARACTERS)
-        return [b"".join(found[a:b]) for a, b in zip(ends, ends[1:])]
+        return [whole[i] if i in whole else b"".join(found[a:b]) for i, (a, b) in enumerate(zip(ends, ends[1:]))]
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return pack(f"<{len(ids)}{self.code}", *ids)
 
 
 @lru_cache(maxsize=2)

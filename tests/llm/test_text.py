@@ -78,7 +78,6 @@ def test_chunks_cover_everything():
 def check_pieces(rows, documents, window=1024):
     """Pieces cover every id once, sequences are gapless and full but for the last."""
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
     want = Counter((i, zlib.crc32(np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes())) for i, t in documents)
     sequences = defaultdict(list)
     for r in rows:
@@ -106,6 +105,9 @@ def check_pieces(rows, documents, window=1024):
 
 def test_packed_documents(edge_docs, edge_rows, no_docs):
     check_pieces(packing.pieces(edge_docs, VOCABULARY, PATTERN).collect(), [r[:2] for r in edge_rows])
+    added = [(1, "a<|endoftext|>b"), (2, "<|endoftext|>"), (3, " x <|endoftext|><|endoftext|>\n y <|endoftext"), (4, "plain")]
+    assert packing.tokens(VOCABULARY, PATTERN).encode(["a<|endoftext|>b"]) == [np.array([64, 50256, 65], packing.tokens(VOCABULARY, PATTERN).kind).tobytes()]
+    check_pieces(packing.pieces(edge_docs.sparkSession.createDataFrame(added, "doc_id long, text string"), VOCABULARY, PATTERN, window=5).collect(), added, 5)
     few = edge_docs.filter("n_chars < 200")
     check_pieces(packing.pieces(few, VOCABULARY, PATTERN, window=7).collect(), [r[:2] for r in edge_rows if r[4] < 200], 7)
     assert packing.pieces(no_docs, VOCABULARY, PATTERN).collect() == []
