@@ -117,7 +117,8 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs (documents that have it), from lang, source and text."""
     hashed = docs.select("lang", "source", "text", F.xxhash64("text").alias("h"))
     collapsed = hashed.mapInArrow(_collapse, _TEXTS).repartition("lang", "h").sortWithinPartitions("lang", "h", "text")
-    counted = collapsed.mapInArrow(_count, _COUNTS)
+    # tasks have combined what they could: the rows meet before Spark combines them again
+    counted = collapsed.mapInArrow(_count, _COUNTS).repartition("lang", "source", "term")
     return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
