@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from arborlake import schemas as S
 from arborlake.functions import paths as P
+from arborlake.operators import column_fold as CF
 from arborlake.operators import path_fold as PF
 from arborlake.operators.ordered import as_of, running_max
 from arborlake.skew import BROADCAST_ROWS, is_small, lookup_join
@@ -309,7 +310,7 @@ def _fold_level(
     else:
         names = F.broadcast(hot.select(*KEY))
         cold = stream.join(names, KEY, "left_anti")
-    folded = ready(cold.repartition(*KEY), order).mapInArrow(PF.folder(policy, timeline, timelines), PF.OUTPUT_DDL)
+    folded = ready(cold.repartition(*KEY), order).mapInArrow(CF.folder(policy, timeline, timelines), PF.OUTPUT_DDL)
     out = materialize(folded, label, partition_by="out")
     if hot is None:
         return out

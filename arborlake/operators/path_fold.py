@@ -1,4 +1,6 @@
-"""The per-path step of arbitration, run over sorted Arrow batches.
+"""The per-path step of arbitration, one row at a time, over sorted Arrow batches.
+
+``column_fold`` folds most paths; this form is for paths with many records and states the rules.
 
 Spark hands each task rows sorted by (group, path, seq, kind). A ``head`` row carries the state
 that existed before the batch; ``rec`` rows carry records. What a path needs from other paths (an
@@ -17,7 +19,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 from arborlake import schemas as S
 
@@ -194,15 +195,6 @@ class Timelines:
         """Whether any ancestor is ever tombstoned or purged."""
         return bool(self.restless) and not self.restless.isdisjoint(self._dirs(group, path))
 
-    def stale_parent(self, group: str, path: str, seq: int, claimed: int | None) -> bool:
-        if not claimed:
-            return False
-        line = self.changes.get((group, path[: path.rfind("/")] or "/"))
-        if line is None:
-            return False
-        known, _, mtime = Above._before(line, seq)
-        return known and claimed < mtime
-
     def above(self, group: str, path: str) -> "Above":
         dirs = self._dirs(group, path)
         lines = [self.changes[d] for d in dirs if d in self.changes]
@@ -247,7 +239,7 @@ def _values(column: pa.Array) -> list:
     return column.to_pylist()
 
 
-def _batch_of(kind: str, n: int, columns: dict) -> pa.RecordBatch:
+def batch_of(kind: str, n: int, columns: dict) -> pa.RecordBatch:
     arrays = []
     for field in _OUT_SCHEMA:
         if field.name == "out":
@@ -260,41 +252,6 @@ def _batch_of(kind: str, n: int, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=_OUT_SCHEMA)
 
 
-def fold_singles(rows: pa.RecordBatch, stale: np.ndarray, policy: Policy) -> Iterator[pa.RecordBatch]:
-    """States and outcomes of paths with one record and no state before it, as column expressions.
-
-    They are nearly all rows of a first audit. ``stale`` marks scans that a newer parent rejects.
-    """
-    c = {name: rows.column(name) for name in INPUT_COLUMNS}
-    n = rows.num_rows
-    scan, atomic, gone = (pc.equal(c["op"], code) for code in (SCAN_UPDATE, ATOMIC_UPDATE, LIVE_DELETE))
-    live = pc.invert(pc.or_(scan, gone))
-    dropped = pc.and_(scan, pa.array(stale))
-    number = pa.scalar(None, pa.int64())
-    until = pc.add(c["arrival_us"], policy.suspect_window_us)
-    hot = pc.less(pc.subtract(c["clock_us"], c["mtime_us"]), policy.suspect_window_us)
-    suspect = pc.or_(pc.and_(scan, pc.fill_null(hot, False)), pc.and_(live, pc.invert(atomic)))
-    state = {
-        "group_id": c["group_id"], "path": c["path"], "size": pc.if_else(gone, 0, c["size"]), "modified_time_us": c["mtime_us"],
-        "created_time_us": c["ctime_us"], "is_dir": c["is_dir"], "source": pc.if_else(scan, S.SCAN, S.REALTIME),
-        "monitoring_attested": live, "last_confirmed_at_us": pc.if_else(live, c["arrival_us"], number),
-        "suspect_until_us": pc.if_else(suspect, until, number),
-        "blind_spot": pc.and_(scan, pc.greater_equal(c["epoch"], 1)), "is_tombstoned": gone,
-        "tombstone_expires_at_us": pc.if_else(gone, pc.add(c["arrival_us"], policy.tombstone_ttl_us), number),
-        "tombstoned_at_shadow_us": pc.if_else(gone, c["timestamp_us"], number),
-        "last_realtime_event_shadow_us": pc.if_else(scan, number, c["timestamp_us"]),
-        "last_seen_epoch": pc.if_else(gone, 0, c["epoch"]),
-    }
-    kept = pc.invert(dropped)
-    yield _batch_of("state", n, state).filter(kept)
-    outcome = pc.if_else(dropped, S.IGNORED, pc.if_else(gone, S.DELETED, S.CREATED))
-    yield _batch_of("outcome", n, {
-        "group_id": c["group_id"], "path": c["path"], "seq": c["seq"], "origin_id": c["origin_id"], "arrival_us": c["arrival_us"],
-        "outcome": outcome, "significant": kept, "stamps": kept, "rec_is_dir": c["is_dir"],
-        "rec_mtime_us": c["mtime_us"], "rec_ctime_us": c["ctime_us"],
-    })
-
-
 class _Emitter:
     def __init__(self):
         self.states, self.outcomes, self.timeline, self.purges, self.contexts = [], [], [], [], []
@@ -316,7 +273,7 @@ class _Emitter:
     def _batch(kind, rows, names):
         if not rows:
             return
-        yield _batch_of(kind, len(rows), dict(zip(names, zip(*rows))))
+        yield batch_of(kind, len(rows), dict(zip(names, zip(*rows))))
 
 
 class PathFolder:
@@ -334,59 +291,28 @@ class PathFolder:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not (self.chunked or self.with_timeline):
-                singles, batch = self._split(batch)
-                if singles is not None:
-                    yield from singles
-            chunks = batch.column("chunk").to_pylist() if self.chunked else None
-            cols = {name: _values(batch.column(name)) for name in INPUT_COLUMNS}
-            prior = batch.column("prior")
-            for i, row in enumerate(zip(*(cols[name] for name in INPUT_COLUMNS))):
-                key = (row[0], row[1], chunks[i]) if self.chunked else row[:2]
-                if key != self.key:
-                    if self.key is not None:
-                        self._close()
-                    self._open(key, row[ENDS])
-                self._row(row, prior, i)
-            yield from self.emit.batches(self.chunked)
+            yield from self.feed(batch)
+        yield from self.finish()
+
+    def feed(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Fold the rows of a batch; its last path stays open."""
+        chunks = batch.column("chunk").to_pylist() if self.chunked else None
+        cols = {name: _values(batch.column(name)) for name in INPUT_COLUMNS}
+        prior = batch.column("prior")
+        for i, row in enumerate(zip(*(cols[name] for name in INPUT_COLUMNS))):
+            key = (row[0], row[1], chunks[i]) if self.chunked else row[:2]
+            if key != self.key:
+                if self.key is not None:
+                    self._close()
+                self._open(key, row[ENDS])
+            self._row(row, prior, i)
+        yield from self.emit.batches(self.chunked)
+
+    def finish(self) -> Iterator[pa.RecordBatch]:
         if self.key is not None:
             self._close()
             yield from self.emit.batches(self.chunked)
 
-    def _split(self, batch: pa.RecordBatch):
-        """(batches of the paths that are a single plain record here, the other rows).
-
-        The last row stays with the others, because its path may go on in the next batch.
-        """
-        n = batch.num_rows
-        if n < 2:
-            return None, batch
-        group, path = batch.column("group_id"), batch.column("path")
-        differs = pc.or_(pc.not_equal(path[1:], path[:-1]), pc.not_equal(group[1:], group[:-1])).to_numpy(zero_copy_only=False)
-        alone = np.zeros(n, dtype=bool)
-        alone[0] = differs[0] and self.key != (group[0].as_py(), path[0].as_py())
-        alone[1:-1] = differs[:-1] & differs[1:]
-        plain = pc.and_(pc.equal(batch.column("kind"), "rec"), pc.not_equal(pc.fill_null(batch.column("op"), SCAN_DELETE), SCAN_DELETE))
-        alone &= plain.to_numpy(zero_copy_only=False)
-        ends = batch.column("ends")
-        removing = [t for t in pc.unique(ends).to_pylist() if any(e[1] >= 1 for e in parse_ends(t))]
-        if removing:
-            alone &= ~pc.is_in(ends, value_set=pa.array(removing, pa.string())).to_numpy(zero_copy_only=False)
-        at = np.flatnonzero(alone)
-        stale = np.zeros(len(at), dtype=bool)
-        if len(at) and self.timelines is not None:
-            t = self.timelines
-            picked = batch.take(pa.array(at))
-            keys = list(zip(_values(picked.column("group_id")), _values(picked.column("path"))))
-            calm = np.array([not t.touches(*k) for k in keys], dtype=bool)
-            alone[at[~calm]] = False
-            rows = zip(keys, _values(picked.column("seq")), _values(picked.column("claimed_parent_us")))
-            stale = np.array([t.stale_parent(*k, seq, claimed) for k, seq, claimed in rows], dtype=bool)[calm]
-            at = at[calm]
-        if not len(at):
-            return None, batch
-        return fold_singles(batch.take(pa.array(at)), stale, self.policy), batch.filter(pa.array(~alone))
-
     def _open(self, key, ends) -> None:
         self.key, self.tail = key, key[2:]
         self.state, self.purge_at, self.covered, self.end_at = None, None, frozenset(), 0
@@ -492,15 +418,6 @@ class ChunkFolder(PathFolder):
         self.key = None
 
 
-def folder(policy: Policy, with_timeline: bool, timelines=None):
-    """The function a task runs; ``timelines`` is a broadcast of ``Timelines``."""
-
-    def run(batches):
-        yield from PathFolder(policy, with_timeline, None if timelines is None else timelines.value)(batches)
-
-    return run
-
-
 def chunk_folder(policy: Policy, with_timeline: bool, timelines, entries, last_chunks):
     def run(batches):
         above = None if timelines is None else timelines.value

@@ -111,31 +111,3 @@ def test_sentinel():
     assert s.signal("timeout", 0, None, "stat") == [("degraded", "HOST_FS_TIMEOUT: stat")] and s.standing() == "HOST_FS_TIMEOUT"
     assert s.signal("recovered", 0, None, None) == [("recovered", None)] and s.standing() is None
     assert [s.signal("error", 0, None, None) for _ in range(3)][-1] == [("rescan", None), ("degraded", "3 consecutive errors")]
-
-
-def test_single_records_as_columns_equal_the_step():
-    import random
-
-    import numpy as np
-    import pyarrow as pa
-
-    rng = random.Random(5)
-    rows, stale = [], []
-    for i in range(300):
-        op = rng.choice([PF.SCAN_UPDATE, PF.LIVE_UPDATE, PF.ATOMIC_UPDATE, PF.LIVE_DELETE])
-        mtime, clock = rng.randint(0, 90) * SEC, rng.randint(0, 90) * SEC
-        rows.append(dict(
-            group_id="g", path=f"/p{i}", seq=i, kind="rec", op=op, is_dir=rng.random() < 0.5, size=i, mtime_us=mtime, ctime_us=i, timestamp_us=i * 3,
-            arrival_us=i * 7, clock_us=clock, epoch=rng.randint(0, 2), under_tombstone=None, stale_parent=None, next_purge=None, origin_id="o",
-            covered=None, ends=None, audit_skipped=False, claimed_parent_us=None,
-        ))
-        stale.append(rng.random() < 0.3)
-    batch = pa.RecordBatch.from_pylist(rows)
-    state, outcome = PF.fold_singles(batch, np.array(stale), POLICY)
-    got = {r["path"]: [r[f] for f in PF.STATE_FIELDS] for r in state.to_pylist()}
-    outcomes = {r["path"]: (r["outcome"], r["significant"], r["stamps"]) for r in outcome.to_pylist()}
-    for r, s in zip(rows, stale):
-        want, out, purges = PF.step(None, (r["op"], r["is_dir"], r["size"], r["mtime_us"], r["ctime_us"], r["timestamp_us"], r["arrival_us"],
-                                           r["clock_us"], r["epoch"], False, s), POLICY)
-        assert not purges and got.get(r["path"]) == want
-        assert outcomes[r["path"]] == (out, out != S.IGNORED, out != S.IGNORED)
