@@ -25,7 +25,7 @@ from arborlake.operators import column_fold as CF
 from arborlake.operators import path_fold as PF
 from arborlake.operators.ordered import as_of, running_max
 from arborlake.skew import BROADCAST_ROWS, is_small, lookup_join
-from arborlake.storage import materialize
+from arborlake.storage import materialize, together
 
 KEY = ["group_id", "path"]
 HEAD_SEQ = -1
@@ -273,13 +273,33 @@ HOT_ROWS = 4_000_000  # records of one path in a batch from which the path is cu
 CHUNK_ROWS = 1_000_000
 
 
-def hot_paths(records: DataFrame) -> DataFrame | None:
-    """Paths with more than ``HOT_ROWS`` records, at most one per ``HOT_ROWS`` rows of the batch."""
-    counts = records.groupBy(*KEY).agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS)
-    found = counts.collect()
-    if not found:
-        return None
-    return records.sparkSession.createDataFrame(found, counts.schema)
+def touched_paths(log: DataFrame) -> DataFrame:
+    """(group_id, path, n, internal): paths with ``n`` records of the batch, and those that other records lie below."""
+    own = log.where(F.col("rec_type") == S.DATA).groupBy(*KEY).agg(F.count("*").alias("n"))
+    dirs = (
+        own.select("group_id", P.parent_path("path").alias("dir")).where("dir is not null").distinct()
+        .select("group_id", F.explode(P.self_and_ancestors("dir")).alias("path")).distinct()
+        .select(*KEY, F.lit(0).cast("long").alias("n"), F.lit(True).alias("internal"))
+    )
+    return own.withColumn("internal", F.lit(False)).unionByName(dirs).groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("internal").alias("internal"))
+
+
+@dataclass
+class Shape:
+    """What the plan of a batch depends on: one row about its paths."""
+
+    n_dirs: int
+    n_hot: int
+    depths: list[int]  # of internal paths with records
+
+
+def _shape(touched: DataFrame) -> Shape:
+    depth = F.when(F.col("internal"), P.segment_count("path"))
+    row = touched.agg(
+        F.count_if("internal").alias("dirs"), F.count_if(F.col("n") > HOT_ROWS).alias("hot"),
+        F.sort_array(F.collect_set(F.when(F.col("n") > 0, depth))).alias("depths"),
+    ).first()
+    return Shape(row.dirs, row.hot, row.depths)
 
 
 def _fold_level(
@@ -381,13 +401,23 @@ def apply_log(
 ) -> FoldResult:
     """Apply one batch of routed log rows, in ``seq`` order, to ``state`` and ``groups``."""
     spark = log.sparkSession
-    small_groups = is_small(groups)
-    n_controls = log.where(F.col("rec_type").isin(S.EPOCH_START, S.EPOCH_END)).limit(BROADCAST_ROWS + 1).count()
-    points = control_points(log, groups, small_groups)
-    points = materialize(points, f"{label}-controls") if n_controls else spark.createDataFrame([], points.schema)
+
+    def controls():
+        # a batch has few control rows, so the groups are not worth a check of their size here
+        points = materialize(control_points(log, groups, small=False), f"{label}-controls")
+        counts = points.agg(F.count("*").alias("all"), F.count_if(F.col("rec_type") == S.EPOCH_END).alias("ends")).first()
+        return points, counts
+
+    def paths():
+        touched = materialize(touched_paths(log), f"{label}-paths")
+        return touched, _shape(touched)
+
+    (points, control_counts), (touched, shape), small_groups, has_state = together(
+        controls, paths, lambda: is_small(groups), lambda: not state.isEmpty()
+    )
+    n_controls, has_ends = control_counts["all"], control_counts["ends"] > 0
     small_controls = n_controls <= BROADCAST_ROWS
     ends = audit_ends(points)
-    has_ends = n_controls > 0 and not ends.isEmpty()
 
     carried = groups.select(
         "group_id",
@@ -408,53 +438,16 @@ def apply_log(
         .drop("_clock0", "parent_path", "parent_mtime_us", "_epoch0", "rec_type", "epoch_id", "is_primary", "event_kind", "source", "is_atomic_write")
     )
 
-    # paths that other records of the batch lie below
-    data_paths = log.where(F.col("rec_type") == S.DATA).select(*KEY)
-    dirs = (
-        data_paths.select("group_id", P.parent_path("path").alias("dir")).where("dir is not null").distinct()
-        .select("group_id", F.explode(P.self_and_ancestors("dir")).alias("path")).distinct()
-        .withColumn("internal", F.lit(True))
-    )
-    dirs = materialize(dirs, f"{label}-dirs")
-    tagged = lookup_join(records, dirs, KEY, salt_from=["seq"]).withColumn(
+    dirs = touched.where("internal").select(*KEY, "internal")
+    tagged = lookup_join(records, dirs, KEY, salt_from=["seq"], small=shape.n_dirs <= BROADCAST_ROWS).withColumn(
         "internal", F.coalesce("internal", F.lit(False))
     )
-    prepared = materialize(tagged, f"{label}-records", partition_by="internal")
+    hot = touched.where(F.col("n") > HOT_ROWS).select(*KEY, "n") if shape.n_hot else None
 
-    hot = hot_paths(prepared)
-
-    has_state = not state.isEmpty()
-    touched = data_paths.distinct().join(dirs, KEY, "full_outer").select(
-        *KEY, F.coalesce("internal", F.lit(False)).alias("internal"), F.lit(True).alias("_touched")
+    (heads, untouched, marks), prepared = together(
+        lambda: _prior_rows(state, touched, points if has_ends else None, log, skips, has_state, small_controls, label),
+        lambda: materialize(tagged, f"{label}-records", partition_by="internal"),
     )
-    heads = None
-    untouched = None
-    if has_state:
-        split = materialize(
-            state.join(touched, KEY, "left").withColumn("_touched", F.coalesce("_touched", F.lit(False))),
-            f"{label}-prior", partition_by="_touched",
-        )
-        heads = split.where("_touched").withColumn("_has", F.lit(True))
-        untouched = split.where(~F.col("_touched")).select(*S.STATE.fieldNames())
-
-    marks = None
-    if has_ends:
-        found = materialize(skip_marks(all_marks(log, skips), points, small_controls), f"{label}-skips")
-        marks = None if found.isEmpty() else found
-    if marks is not None:
-        cover = covered_ends(touched, marks).withColumn(
-            "covered", F.array_join(F.transform("covered_ends", lambda x: x.cast("string")), ",")
-        ).drop("covered_ends")
-        cover = cover.join(dirs, KEY, "left")
-        base = heads if heads is not None else empty_state(spark).withColumn("internal", F.lit(False)).withColumn(
-            "_has", F.lit(True)
-        )
-        heads = base.join(cover.withColumnRenamed("internal", "_internal"), KEY, "full_outer").withColumn(
-            "internal", F.coalesce("internal", "_internal", F.lit(False))
-        )
-    if heads is not None:
-        heads = _head_rows(heads, has_cover=marks is not None)
-        heads = materialize(heads, f"{label}-heads", partition_by="internal")
 
     ends_text = None
     if has_ends:
@@ -473,8 +466,10 @@ def apply_log(
         return recs if heads is None else recs.unionByName(_aligned(heads.where(condition)))
 
     internal_rows = rows_of(F.col("internal"))
-    depths = sorted(r[0] for r in internal_rows.select(P.segment_count("path")).distinct().collect())
-    for depth in depths:
+    depths = set(shape.depths)
+    if heads is not None:
+        depths.update(r[0] for r in heads.where("internal").select(P.segment_count("path")).distinct().collect())
+    for depth in sorted(depths):
         level = internal_rows.where(P.segment_count("path") == depth)
         out = _fold_level(level, lines, ends_text, small_controls, policy, True, f"{label}-level", hot)
         folds.append(out)
@@ -492,12 +487,46 @@ def apply_log(
         F.col("rec_is_dir").alias("is_dir"), F.col("rec_mtime_us").alias("mtime_us"),
         F.col("rec_ctime_us").alias("ctime_us"),
     )
-    stamped = materialize(_stamp(new_state, outcomes), f"{label}-state")
-    new_groups = materialize(_next_groups(log, groups, points, outcomes), f"{label}-groups")
-    still_marked = materialize(pending_marks(all_marks(log, skips), points, small_controls), f"{label}-pending-skips")
+    stamped, new_groups, still_marked = together(
+        lambda: materialize(_stamp(new_state, outcomes), f"{label}-state"),
+        lambda: materialize(_next_groups(log, groups, points, outcomes, small_groups), f"{label}-groups"),
+        lambda: materialize(pending_marks(all_marks(log, skips), points, small_controls), f"{label}-pending-skips"),
+    )
     return FoldResult(stamped, new_groups, outcomes, all_purges, still_marked)
 
 
+def _prior_rows(
+    state: DataFrame, touched: DataFrame, points: DataFrame | None, log: DataFrame, skips: DataFrame | None, has_state: bool, small_controls: bool, label: str
+) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
+    """(head rows of the batch's paths, rows of the prior state without a record, skip marks); ``points`` if audits end."""
+    spark, heads, untouched, marks = state.sparkSession, None, None, None
+    touched = touched.select(*KEY, "internal")
+    if has_state:
+        split = materialize(
+            state.join(touched.withColumn("_touched", F.lit(True)), KEY, "left").withColumn("_touched", F.coalesce("_touched", F.lit(False))),
+            f"{label}-prior", partition_by="_touched",
+        )
+        heads = split.where("_touched").withColumn("_has", F.lit(True))
+        untouched = split.where(~F.col("_touched")).select(*S.STATE.fieldNames())
+    if points is not None:
+        found = materialize(skip_marks(all_marks(log, skips), points, small_controls), f"{label}-skips")
+        marks = None if found.isEmpty() else found
+    if marks is not None:
+        cover = covered_ends(touched, marks).withColumn(
+            "covered", F.array_join(F.transform("covered_ends", lambda x: x.cast("string")), ",")
+        ).drop("covered_ends")
+        cover = cover.join(touched.where("internal"), KEY, "left")
+        base = heads if heads is not None else empty_state(spark).withColumn("internal", F.lit(False)).withColumn(
+            "_has", F.lit(True)
+        )
+        heads = base.join(cover.withColumnRenamed("internal", "_internal"), KEY, "full_outer").withColumn(
+            "internal", F.coalesce("internal", "_internal", F.lit(False))
+        )
+    if heads is not None:
+        heads = materialize(_head_rows(heads, has_cover=marks is not None), f"{label}-heads", partition_by="internal")
+    return heads, untouched, marks
+
+
 _EMPTY = {
     "seq": "long", "kind": "string", "op": "int", "is_dir": "boolean", "size": "long", "mtime_us": "long",
     "ctime_us": "long", "timestamp_us": "long", "arrival_us": "long", "clock_us": "long", "epoch": "long",
@@ -608,7 +637,7 @@ def _stamp(state: DataFrame, outcomes: DataFrame) -> DataFrame:
     ).select(*S.STATE.fieldNames())
 
 
-def _next_groups(log: DataFrame, groups: DataFrame, points: DataFrame, outcomes: DataFrame) -> DataFrame:
+def _next_groups(log: DataFrame, groups: DataFrame, points: DataFrame, outcomes: DataFrame, small_groups: bool | None = None) -> DataFrame:
     clock = log.groupBy("group_id").agg(F.max("timestamp_us").alias("_clock"))
     changes = outcomes.groupBy("group_id").agg(F.sum(F.col("significant").cast("long")).alias("_changes"))
     last = points.groupBy("group_id").agg(
@@ -617,7 +646,7 @@ def _next_groups(log: DataFrame, groups: DataFrame, points: DataFrame, outcomes:
         F.max_by("arrival_us", "seq").alias("_last_at"),
         F.max("ends_so_far").alias("_ends"),
     )
-    coverage = coverage_changes(log, groups)
+    coverage = coverage_changes(log, groups, small_groups)
     g = (
         groups.join(clock, "group_id", "left").join(changes, "group_id", "left").join(last, "group_id", "left")
         .join(coverage, "group_id", "left")
@@ -638,7 +667,7 @@ def _next_groups(log: DataFrame, groups: DataFrame, points: DataFrame, outcomes:
     )
 
 
-def coverage_changes(log: DataFrame, groups: DataFrame) -> DataFrame:
+def coverage_changes(log: DataFrame, groups: DataFrame, small_groups: bool | None = None) -> DataFrame:
     """Overflow flag, last recovery time and number of recoveries per group after the batch.
 
     Any member's overflow sets the flag; the primary's audit end clears it and, when it was set,
@@ -648,7 +677,7 @@ def coverage_changes(log: DataFrame, groups: DataFrame) -> DataFrame:
     rows = log.where((F.col("rec_type") == S.WATCH_OVERFLOW) | is_end).select(
         "group_id", "seq", "arrival_us", is_end.alias("is_end")
     )
-    rows = lookup_join(rows, groups.select("group_id", F.col("overflow_pending").alias("_before")), ["group_id"])
+    rows = lookup_join(rows, groups.select("group_id", F.col("overflow_pending").alias("_before")), ["group_id"], small=small_groups)
     w = W.partitionBy("group_id").orderBy("seq")
     prev_end = F.lag("is_end").over(w)
     # the flag before an end: set by a preceding overflow, or carried in when the end comes first

@@ -146,32 +146,31 @@ class Run:
         self.outcome, self.significant, self.stamps, self.purges = np.full(n, -1, np.int8), np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
 
     def _from_timelines(self, lines: PF.Timelines) -> None:
-        """What ancestors do to each record, where their timelines are at hand."""
+        """What ancestors do to each record, where their timelines are at hand: once for all records of a directory."""
         at = pa.array(self.first)
-        keys = list(zip(self.batch.column("group_id").take(at).to_pylist(), self.batch.column("path").take(at).to_pylist()))
+        keys = zip(self.batch.column("group_id").take(at).to_pylist(), self.batch.column("path").take(at).to_pylist())
         claimed = numbers(self.batch.column("claimed_parent_us"), 0)
         scan = self.op == PF.SCAN_UPDATE
-        asking = scan & (claimed > 0)
-        by_line: dict[tuple, list[np.ndarray]] = {}
+        inside: dict[tuple, tuple[str, list]] = {}
         for (group, path), first, count in zip(keys, self.first.tolist(), self.counts.tolist()):
-            if lines.touches(group, path):
-                above = lines.above(group, path)
-                for i in range(first, first + count):
-                    self.tombed[i], self.stale[i], purge = above.effects(int(self.seq[i]), bool(scan[i]), int(claimed[i]))
-                    self.next_purge[i] = NEVER if purge is None else purge
+            inside.setdefault((group, path[: path.rfind("/")] or "/"), (path, []))[1].append((first, count))
+        for (group, _), (path, spans) in inside.items():
+            above = lines.above(group, path)
+            if not (above.lines or above.purges or above.parent):
                 continue
-            parent = (group, path[: path.rfind("/")] or "/")
-            if parent in lines.changes:
-                by_line.setdefault(parent, []).append((first, first + count))
-        for parent, spans in by_line.items():
-            rows = np.concatenate([np.arange(a, b) for a, b in spans])
-            rows = rows[asking[rows]]
-            if len(rows):
-                seqs, what = lines.changes[parent]
+            rows = np.concatenate([np.arange(first, first + count) for first, count in spans])
+            seq = self.seq[rows]
+            for at_seq, what in above.lines:
+                tomb = np.array([False, *(t for _, t, _ in what)])
+                self.tombed[rows] |= tomb[np.searchsorted(at_seq, seq, "left")] & scan[rows]
+            if above.purges:
+                self.next_purge[rows] = np.array([*above.purges, NEVER])[np.searchsorted(above.purges, seq, "right")]
+            if above.parent:
+                at_seq, what = above.parent
                 known = np.array([False, *(k for k, _, _ in what)])
                 mtime = np.array([0, *(m if m is not None else 0 for _, _, m in what)], np.int64)
-                before = np.searchsorted(np.array(seqs, np.int64), self.seq[rows], "left")
-                self.stale[rows] = known[before] & (claimed[rows] < mtime[before])
+                before = np.searchsorted(at_seq, seq, "left")
+                self.stale[rows] = scan[rows] & (claimed[rows] > 0) & known[before] & (claimed[rows] < mtime[before])
 
     def _read_ends(self) -> None:
         """Audit ends of the groups, one after the other, and the part of them that concerns each path."""

@@ -181,7 +181,6 @@ class Timelines:
             what.append((known, tomb, mtime))
         for group, path, seq in purges:
             self.purges.setdefault((group, path), []).append(seq)
-        self.restless = set(self.purges) | {d for d, (_, what) in self.changes.items() if any(tomb for _, tomb, _ in what)}
 
     @staticmethod
     def _dirs(group: str, path: str) -> list[tuple]:
@@ -191,10 +190,6 @@ class Timelines:
             dirs.append((group, here))
         return dirs
 
-    def touches(self, group: str, path: str) -> bool:
-        """Whether any ancestor is ever tombstoned or purged."""
-        return bool(self.restless) and not self.restless.isdisjoint(self._dirs(group, path))
-
     def above(self, group: str, path: str) -> "Above":
         dirs = self._dirs(group, path)
         lines = [self.changes[d] for d in dirs if d in self.changes]

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import contextlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextvars import ContextVar, copy_context
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +26,8 @@ def work_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     path = f"{work_dir(spark)}/arborlake/{label}-{uuid.uuid4().hex}"
-    if _OPEN:
-        _OPEN[-1].append(path)
+    for made in _OPEN.get()[-1:]:
+        made.append(path)
     return path
 
 
@@ -39,7 +42,14 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
-_OPEN: list[list[str]] = []
+#: What the enclosing ``scratch`` blocks have to remove; each thread of a driver has blocks of its own.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open scratch blocks", default=())
+
+
+def together(*steps: Callable[[], Any]) -> list[Any]:
+    """Run Spark jobs that do not need each other side by side; they belong to the ``scratch`` block of the caller."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [f.result() for f in [pool.submit(copy_context().run, step) for step in steps]]
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -53,10 +63,10 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
     """Remove the stage tables made inside when the block ends. What is to last must be written elsewhere inside it:
     results that still have to be computed need their stage tables."""
     made: list[str] = []
-    _OPEN.append(made)
+    outer = _OPEN.set((*_OPEN.get(), made))
     try:
         yield made
     finally:
-        _OPEN[:] = [x for x in _OPEN if x is not made]
+        _OPEN.reset(outer)
         for path in made:
             remove(spark, path)
