@@ -38,6 +38,8 @@ class FoldResult:
     outcomes: DataFrame
     purges: DataFrame | None = field(default=None)
     skips: DataFrame | None = field(default=None)  # skip marks that no audit control has cleared yet
+    # rows of the prior state that the batch replaced or removed, and the rows it wrote (but for their change stamps)
+    changes: tuple[DataFrame, DataFrame] | None = field(default=None)
 
 
 def empty_state(spark: SparkSession) -> DataFrame:
@@ -479,9 +481,13 @@ def apply_log(
 
     folded = reduce(DataFrame.unionByName, folds)
     all_purges = _purge_rows(folded)
-    new_state = folded.where(F.col("out") == "state").select(*S.STATE.fieldNames())
+    written = folded.where(F.col("out") == "state").select(*S.STATE.fieldNames())
+    new_state, replaced = written, empty_state(spark)
+    if heads is not None:
+        replaced = heads.where("prior is not null").select(*KEY, "prior.*")
     if untouched is not None:
-        new_state = new_state.unionByName(_carry_untouched(untouched, all_purges, ends if has_ends else None, marks))
+        kept, dropped = _carry_untouched(untouched, all_purges, ends if has_ends else None, marks)
+        new_state, replaced = new_state.unionByName(kept), replaced.unionByName(dropped)
     outcomes = folded.where(F.col("out") == "outcome").select(
         *KEY, "seq", "origin_id", "arrival_us", "outcome", "significant", "stamps",
         F.col("rec_is_dir").alias("is_dir"), F.col("rec_mtime_us").alias("mtime_us"),
@@ -492,7 +498,7 @@ def apply_log(
         lambda: materialize(_next_groups(log, groups, points, outcomes, small_groups), f"{label}-groups"),
         lambda: materialize(pending_marks(all_marks(log, skips), points, small_controls), f"{label}-pending-skips"),
     )
-    return FoldResult(stamped, new_groups, outcomes, all_purges, still_marked)
+    return FoldResult(stamped, new_groups, outcomes, all_purges, still_marked, (replaced, written))
 
 
 def _prior_rows(
@@ -564,25 +570,30 @@ def _purge_rows(folded: DataFrame) -> DataFrame:
     return folded.where(F.col("out") == "purge").select(*KEY, "seq")
 
 
-def drop_below(state: DataFrame, purges: DataFrame) -> DataFrame:
-    """Rows of ``state`` that have no purged ancestor."""
+def _below(state: DataFrame, purges: DataFrame) -> DataFrame | None:
+    """Keys of the rows of ``state`` that have a purged ancestor, None without a purge."""
     dirs = purges.select("group_id", F.col("path").alias("dir")).distinct()
     if dirs.isEmpty():
-        return state
+        return None
     exploded = state.select(*KEY, F.explode(P.ancestors("path")).alias("dir"))
-    gone = lookup_join(exploded, dirs, ["group_id", "dir"], "left_semi", salt_from=["path"]).select(*KEY).distinct()
-    return state.join(gone, KEY, "left_anti")
+    return lookup_join(exploded, dirs, ["group_id", "dir"], "left_semi", salt_from=["path"]).select(*KEY).distinct()
 
 
-def _carry_untouched(state: DataFrame, purges: DataFrame, ends: DataFrame | None, marks: DataFrame | None) -> DataFrame:
-    kept = drop_below(state, purges)
+def _carry_untouched(state: DataFrame, purges: DataFrame, ends: DataFrame | None, marks: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(rows that stay, rows that go) of those that no record of the batch touches."""
+    kept, dropped, gone = state, state.limit(0), _below(state, purges)
+    if gone is not None:
+        gone = materialize(gone, "fold-purged")
+        kept, dropped = state.join(gone, KEY, "left_anti"), state.join(gone, KEY, "left_semi")
     if ends is None:
-        return kept
-    return drop_missing(kept, ends, marks)
+        return kept, dropped
+    judged = missed_rows(kept, ends, marks)
+    names = S.STATE.fieldNames()
+    return judged.where("not _gone").select(*names), dropped.unionByName(judged.where("_gone").select(*names))
 
 
-def drop_missing(state: DataFrame, ends: DataFrame, marks: DataFrame | None) -> DataFrame:
-    """Apply audit ends to rows that no record of the batch touches."""
+def missed_rows(state: DataFrame, ends: DataFrame, marks: DataFrame | None) -> DataFrame:
+    """Audit ends applied to rows that no record of the batch touches: ``state`` with ``_gone``."""
     per_group = ends.where(F.col("epoch_id") >= 1).groupBy("group_id").agg(
         F.collect_list(F.struct("seq", "epoch_id", "started_us", "arrival_us")).alias("_ends")
     )
@@ -595,22 +606,15 @@ def drop_missing(state: DataFrame, ends: DataFrame, marks: DataFrame | None) ->
         lambda e: (F.col("last_seen_epoch") < e["epoch_id"])
         & ~F.coalesce(F.col("last_confirmed_at_us") > e["started_us"], F.lit(False)),
     )
+    nothing = F.array().cast("array<long>")
     judged = joined.withColumn("_missed", F.when(~F.col("is_tombstoned"), F.transform(missed, lambda e: e["seq"])))
     gone_tomb = F.col("is_tombstoned") & F.coalesce(expired, F.lit(False))
-    at_risk = F.size(F.coalesce("_missed", F.array().cast("array<long>"))) > 0
-    names = S.STATE.fieldNames()
+    at_risk = F.size(F.coalesce("_missed", nothing)) > 0
     if marks is None:
-        return judged.where(~gone_tomb & ~at_risk).select(*names)
+        return judged.withColumn("_gone", gone_tomb | at_risk)
     cover = covered_ends(judged.where(at_risk).select(*KEY), marks)
-    return (
-        judged.join(cover, KEY, "left")
-        .where(~gone_tomb)
-        .where(
-            ~at_risk
-            | (F.size(F.array_except("_missed", F.coalesce("covered_ends", F.array().cast("array<long>")))) == 0)
-        )
-        .select(*names)
-    )
+    uncovered = F.size(F.array_except("_missed", F.coalesce("covered_ends", nothing))) > 0
+    return judged.join(cover, KEY, "left").withColumn("_gone", gone_tomb | (at_risk & uncovered))
 
 
 def change_stamps(outcomes: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborlake.functions import paths as P
-from arborlake.storage import materialize
 
 KEY = ["group_id", "path"]
 TOTAL = "decimal(38,0)"  # sums of unsigned sizes may pass the long range on the way
@@ -20,7 +19,8 @@ def live(state: DataFrame) -> DataFrame:
     return state.where("not is_tombstoned")
 
 
-def _counters(cond: Column | None = None, attested="monitoring_attested", blind="blind_spot") -> list[Column]:
+def counters(cond: Column | None = None, attested="monitoring_attested", blind="blind_spot") -> list[Column]:
+    """Counters of nodes, of those that a condition holds for."""
     on = F.lit(True) if cond is None else cond
     is_file = on & ~F.col("is_dir")
     return [
@@ -45,10 +45,10 @@ def rollup_tree(state: DataFrame) -> DataFrame:
     """
     rows = live(state)
     per_parent = rows.withColumn("dir", P.parent_path("path")).where("dir is not null").groupBy("group_id", "dir").agg(
-        *_counters()
+        *counters()
     )
     lifted = per_parent.withColumn("dir", F.explode(P.self_and_ancestors("dir")))
-    own = rows.where("is_dir").groupBy("group_id", F.col("path").alias("dir")).agg(*_counters())
+    own = rows.where("is_dir").groupBy("group_id", F.col("path").alias("dir")).agg(*counters())
     return lifted.unionByName(own).groupBy("group_id", "dir").agg(
         *[F.sum(c).alias(c) for c in _SUMS],
         F.sum(F.col("total_size").cast(TOTAL)).cast("long").alias("total_size"),
@@ -56,75 +56,19 @@ def rollup_tree(state: DataFrame) -> DataFrame:
     )
 
 
-ROLLUP = "group_id string, dir string, total_nodes long, total_files long, total_dirs long, attested_count long, blind_spot_count long, total_size long, latest_file_mtime_us long"
+ROLLUP_COLUMNS = ["group_id", "dir", *_SUMS, "total_size", "latest_file_mtime_us"]
 
 
 def changed_rows(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of two states that a roll-up sees differently: those of the old state, those of the new one."""
-    facts = ["is_dir", "size", "modified_time_us", "monitoring_attested", "blind_spot"]
+    """The rows of two states that heads see differently: those of the old state, those of the new one. For versions whose
+    batch did not say what it changed."""
+    facts = ["is_dir", "size", "modified_time_us", "monitoring_attested", "blind_spot", "is_tombstoned"]
     mark = F.struct(*facts)
-    old = live(before).select(*KEY, *facts, mark.alias("_old"))
-    new = live(after).select(*KEY, *facts, mark.alias("_new"))
-    gone = old.join(new.select(*KEY, "_new"), KEY, "left").where(~F.col("_old").eqNullSafe(F.col("_new"))).drop("_old", "_new")
-    come = new.join(old.select(*KEY, "_old"), KEY, "left").where(~F.col("_new").eqNullSafe(F.col("_old"))).drop("_old", "_new")
-    return gone, come
-
-
-def _lifted(rows: DataFrame, sign: int) -> DataFrame:
-    """Counters of rows, with a sign, at every directory they count for; not yet summed."""
-    per_parent = rows.withColumn("dir", P.parent_path("path")).where("dir is not null").groupBy("group_id", "dir").agg(*_counters())
-    lifted = per_parent.withColumn("dir", F.explode(P.self_and_ancestors("dir")))
-    own = rows.where("is_dir").groupBy("group_id", F.col("path").alias("dir")).agg(*_counters())
-    latest = F.col("latest_file_mtime_us")
-    return lifted.unionByName(own).select(
-        "group_id", "dir", *[(F.col(c) * sign).alias(c) for c in _SUMS], (F.col("total_size").cast(TOTAL) * sign).alias("total_size"),
-        F.when(F.lit(sign > 0), latest).alias("_come"), F.when(F.lit(sign < 0), latest).alias("_gone"),
-    )
-
-
-def refresh_rollup(stored: DataFrame, gone: DataFrame, come: DataFrame, state: DataFrame) -> DataFrame:
-    """The roll-up of ``state`` from that of the state before, where ``gone`` and ``come`` are the live rows that
-    differ (``changed_rows``).
-
-    Only ancestors of changed rows are touched: their sums move by the difference. A newest file time stays unless
-    the file that had it changed to an older time or went; only for those directories it is looked up again.
-    """
-    delta = _lifted(gone, -1).unionByName(_lifted(come, 1)).groupBy("group_id", "dir").agg(
-        *[F.sum(c).alias(f"_{c}") for c in [*_SUMS, "total_size"]], F.max("_come").alias("_come"), F.max("_gone").alias("_gone")
-    )
-    delta = materialize(delta, "rollup-delta")
-    key = ["group_id", "dir"]
-    both = stored.join(delta, key, "full")
-    sums = [(F.coalesce(F.col(c), F.lit(0)) + F.coalesce(F.col(f"_{c}"), F.lit(0))).cast("long").alias(c) for c in [*_SUMS, "total_size"]]
-    held = F.col("latest_file_mtime_us")
-    newest = F.greatest(held, F.col("_come"))
-    lost = F.col("_gone").isNotNull() & (F.col("_gone") >= held) & (F.col("_come").isNull() | (F.col("_come") < held))
-    moved = materialize(
-        both.select(*key, *sums, newest.alias("latest_file_mtime_us"), F.coalesce(lost, F.lit(False)).alias("_lost")).where("total_nodes > 0"), "rollup-moved"
-    )
-    again = moved.where("_lost").select(*key)
-    files = live(state).where("not is_dir").groupBy("group_id", P.parent_path("path").alias("dir")).agg(F.max("modified_time_us").alias("_m"))
-    found = (
-        files.where("dir is not null").withColumn("dir", F.explode(P.self_and_ancestors("dir"))).join(again, key, "left_semi")
-        .groupBy(*key).agg(F.max("_m").alias("_m"))
-    )
-    kept = moved.where("not _lost").drop("_lost")
-    looked_up = moved.where("_lost").drop("_lost", "latest_file_mtime_us").join(found, key, "left").withColumnRenamed("_m", "latest_file_mtime_us")
-    return kept.unionByName(looked_up)
-
-
-def stored_stats(rollup: DataFrame, state: DataFrame, query: str) -> DataFrame:
-    """``subtree_stats`` from a stored roll-up: one row per group of it, and the node itself of the state. For a
-    directory or placeholder that every group knows; ``subtree_stats`` answers all other cases."""
-    at = query or P.SLASH
-    own = live(state).where(F.col("path") == at).select(
-        "group_id", F.lit(1).alias("_total_nodes"), F.col("is_dir").cast("int").alias("_total_dirs"),
-        F.col("monitoring_attested").cast("int").alias("_attested_count"), F.col("blind_spot").cast("int").alias("_blind_spot_count"),
-    )
-    less = lambda c: (F.col(c) - F.coalesce(F.col(f"_{c}"), F.lit(0))).cast("long").alias(c)
-    return rollup.where(F.col("dir") == at).join(own, "group_id", "left").select(
-        "group_id", less("total_nodes"), "total_files", less("total_dirs"), "total_size", "latest_file_mtime_us", less("attested_count"), less("blind_spot_count")
+    both = before.select(*KEY, mark.alias("_old")).join(after.select(*KEY, mark.alias("_new")), KEY, "full").where(
+        ~F.col("_old").eqNullSafe(F.col("_new"))
     )
+    side = lambda name: both.where(F.col(name).isNotNull()).select(*KEY, f"{name}.*")
+    return side("_old"), side("_new")
 
 
 MAX_LISTED_GROUPS = 10_000
@@ -140,7 +84,11 @@ def unknown_groups(state: DataFrame, query: str, groups: DataFrame | None = None
     if query in ("", P.SLASH):
         return None
     every = (state if groups is None else groups).select("group_id").distinct()
-    known = state.where(P.is_under("path", query)).select("group_id").distinct()
+    return missing_groups(every, state.where(P.is_under("path", query)).select("group_id").distinct())
+
+
+def missing_groups(every: DataFrame, known: DataFrame):
+    """Restriction of a table to the groups of ``every`` that are not ``known``, or None without any."""
     listed = [r[0] for r in every.limit(MAX_LISTED_GROUPS + 1).collect()]
     if len(listed) > MAX_LISTED_GROUPS:
         missing = every.join(known, "group_id", "left_anti")
@@ -170,19 +118,22 @@ def subtree_stats(state: DataFrame, query: str) -> DataFrame:
     alive_file = alive() & ~F.col("is_dir")
     latest = F.max(F.when(alive_file, F.col("modified_time_us")))
     own_latest = F.max(F.when(alive_file & own, F.col("modified_time_us")))
-    counters = [c for c in _counters(alive() & ~own)]
-    counters[4] = F.when(own_latest.isNull() | (latest != own_latest), latest).alias("latest_file_mtime_us")
-    known = below.groupBy("group_id").agg(*counters)
+    facts = counters(alive() & ~own)
+    facts[4] = F.when(own_latest.isNull() | (latest != own_latest), latest).alias("latest_file_mtime_us")
+    known = below.groupBy("group_id").agg(*facts)
     unknown = unknown_groups(state, query)
     if unknown is None:
         return known
-    # a group without any match still answers, with zeros
-    nothing = unknown(state.select("group_id").distinct())
-    rebased = nothing.join(rebased_nodes(unknown(state), query).groupBy("group_id").agg(*_counters()), "group_id", "left")
+    return known.unionByName(rebased_stats(unknown(state.select("group_id").distinct()), unknown(state), query))
+
+
+def rebased_stats(groups: DataFrame, state: DataFrame, query: str) -> DataFrame:
+    """Counters of the rebased nodes of groups that do not know the path; a group without any answers with zeros."""
+    counted = rebased_nodes(state, query).groupBy("group_id").agg(*counters())
     zero = F.lit(0).cast("long")
-    return known.unionByName(rebased.select(
-        "group_id", *[F.coalesce(c, zero).alias(c) if c != "latest_file_mtime_us" else F.col(c) for c in known.columns[1:]]
-    ))
+    return groups.join(counted, "group_id", "left").select(
+        "group_id", *[F.coalesce(c, zero).alias(c) if c != "latest_file_mtime_us" else F.col(c) for c in counted.columns[1:]]
+    )
 
 
 def is_suspect(as_of_us: int | Column) -> Column:
@@ -206,7 +157,7 @@ def health_stats(state: DataFrame, as_of_us: int) -> DataFrame:
 
 def fresh_stats(nodes: DataFrame, by: list[str]) -> DataFrame:
     """The same counters over a list of nodes, the root included."""
-    return nodes.groupBy(*by).agg(*_counters(attested="monitoring_attested", blind="is_blind_spot"))
+    return nodes.groupBy(*by).agg(*counters(attested="monitoring_attested", blind="is_blind_spot"))
 
 
 def live_parents(state: DataFrame) -> DataFrame:

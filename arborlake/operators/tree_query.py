@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from arborlake import schemas as S
 from arborlake.functions import paths as P
 from arborlake.functions.predicates import check_tree_parameters
+from arborlake.operators import heads as H
 from arborlake.operators import reliability as R
 from arborlake.operators import rollup as U
 from arborlake.operators.paging import top_per_group
@@ -92,16 +93,21 @@ def _root_row(mode: str, query: str, exists: Column, has_children: Column) -> li
     ]
 
 
-def _roots(state: DataFrame, query: str, unknown, as_of_us: int = 0) -> DataFrame:
+def _roots(state: DataFrame, query: str, unknown, as_of_us: int = 0, stored: DataFrame | None = None) -> DataFrame:
     q = query or P.SLASH
     kids = F.coalesce("_kids", F.lit(0)) > 0
-    rows = _root_facts(state.where(P.is_under("path", query)), q, as_of_us).select(
+    code = R.reason_code(F.col("monitoring_attested"), U.is_suspect(as_of_us), F.col("blind_spot"))
+    if stored is None:
+        found = _root_facts(state.where(P.is_under("path", query)), q, as_of_us)
+    else:
+        found = H.root_facts(stored, state, query, code)
+    rows = found.select(
         *_root_row("direct", q, F.col("_live") > 0, F.coalesce("_is_dir", F.lit(True)) & kids), *_FACTS
     )
     if unknown is None:
         return rows
     nodes = _root_facts(U.rebased_nodes(unknown(state), query), q, as_of_us)
-    every = unknown(state.select("group_id").distinct())
+    every = unknown((state if stored is None else stored).select("group_id").distinct())
     return rows.unionByName(
         every.join(nodes, "group_id", "left").select(*_root_row("rebased", q, F.col("_live").isNotNull(), kids), *_FACTS)
     )
@@ -136,25 +142,35 @@ def tree(
     limit: int | None = None,
     read_class: str = "materialized",
     only_groups: list[str] | None = None,
+    stored: DataFrame | None = None,
 ) -> TreeResult:
     """Root, entries, reliability and stability of a path per group.
 
     ``groups`` has (group_id, overflow_pending, coverage_recovered_at_us). Known paths are listed
-    in pre-order, rebased ones in byte order.
+    in pre-order, rebased ones in byte order. With ``stored`` heads the root, the groups that know the path and the
+    children of listed directories come from them, and the subtree is read for its entries alone.
     """
     check_tree_parameters(path=query, max_depth=max_depth, read_class=read_class)
     if only_groups is not None:
         state = state.where(F.col("group_id").isin(only_groups))
+        stored = None if stored is None else stored.where(F.col("group_id").isin(only_groups))
     depth_limit = _depth_limit(recursive, max_depth)
-    unknown = U.unknown_groups(state, query, groups if only_groups is None else None)
-    roots = _roots(state, query, unknown, as_of_us)
+    asked_groups = groups if only_groups is None else None
+    if stored is None or query in ("", P.SLASH):
+        unknown = U.unknown_groups(state, query, asked_groups)
+    else:
+        unknown = H.unknown_groups(stored, state, query, asked_groups)
+    roots = _roots(state, query, unknown, as_of_us, stored)
     evidence = ["monitoring_attested", "blind_spot", "suspect_until_us", "subtree_changed_at_us"]
     q = query or P.SLASH
 
     below = U.live(state.where(P.is_under("path", query)))
     entry_rows = below.where((F.col("path") != q) & _within(q, depth_limit)).select("group_id", *NODE, *evidence)
     paged = _page(entry_rows, P.preorder_key("path"), limit, offset)
-    parents = below.select("group_id", P.parent_path("path").alias("path")).where("path is not null")
+    if stored is None:
+        parents = below.select("group_id", P.parent_path("path").alias("path")).where("path is not null")
+    else:
+        parents = stored.where("children > 0").select("group_id", F.col("dir").alias("path"))
     if limit is not None:
         # the page is small: keep it, and look for children of its own directories only
         paged = materialize(paged, "page")
@@ -226,10 +242,12 @@ def tree(
     return TreeResult(heads, shown_entries)
 
 
-def stats(state: DataFrame, query: str = P.SLASH, failed: DataFrame | None = None, raw_blind_spots: bool = False) -> DataFrame:
+def stats(
+    state: DataFrame, query: str = P.SLASH, failed: DataFrame | None = None, raw_blind_spots: bool = False, stored: DataFrame | None = None
+) -> DataFrame:
     """Statistics per group in an ok/error envelope. The published blind-spot count is always 0;
-    ``raw_blind_spots`` shows the real one. ``failed`` has (group_id, message)."""
-    counted = U.subtree_stats(state, query)
+    ``raw_blind_spots`` shows the real one. ``failed`` has (group_id, message). With ``stored`` heads no subtree is read."""
+    counted = U.subtree_stats(state, query) if stored is None else H.subtree_stats(stored, state, query)
     if not raw_blind_spots:
         counted = counted.withColumn("blind_spot_count", F.lit(0).cast("long"))
     if failed is None:

@@ -8,6 +8,7 @@ from arborlake import schemas as S
 from arborlake.functions import paths as P
 from arborlake.operators import arbitrate as A
 from arborlake.operators import paging as G
+from arborlake.operators import heads as H
 from arborlake.operators import rollup as U
 from arborlake.operators import routing
 from arborlake.operators import status as T
@@ -295,11 +296,9 @@ def subtree_stats(spark, d):
 
 @query("stored_subtree_stats", stats_sql("/u3"))
 def stored_subtree_stats(spark, d):
-    """The same answer from one stored row per group, which all know the path."""
+    """The same answer from one stored head for each group that knows the path."""
     store = two_versions(spark, d)
-    return U.stored_stats(store.rollup(), store.read()[0].where("group_id <> 'g2'"), "/u3").unionByName(
-        U.subtree_stats(store.read()[0].where("group_id = 'g2'"), "/u3")
-    )
+    return H.subtree_stats(store.heads(), store.read()[0], "/u3")
 
 
 @query("subtree_stats_of_a_file", stats_sql("/u3/d5/f1"))
@@ -314,6 +313,13 @@ health AS (SELECT group_id, count(*) FILTER (NOT is_tombstoned AND path <> '/')
   count(*) FILTER (NOT is_tombstoned AND path <> '/' AND blind_spot) AS blind_spot_count, count(*) AS total_nodes FROM st GROUP BY group_id)"""
 
 
+@query("stored_health_stats", STATE + "," + HEALTH + " SELECT * FROM health")
+def stored_health_stats(spark, d):
+    """The same counters from the heads of the roots."""
+    store = two_versions(spark, d)
+    return H.health_stats(store.heads(), store.read()[0], NOW)
+
+
 @query("health_stats", STATE + "," + HEALTH + " SELECT * FROM health")
 def health_stats(spark, d):
     return U.health_stats(V.winner_state(spark, d), NOW)

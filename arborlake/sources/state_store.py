@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from arborlake import schemas as S
 from arborlake.functions import paths as P
+from arborlake.operators import heads as H
 from arborlake.operators import rollup as U
 from arborlake.skew import lookup_join
 
@@ -53,8 +54,13 @@ class StateStore:
     def applied(self, batch_id: int) -> bool:
         return any(v.batch_id == batch_id for v in self.versions())
 
-    def write(self, state: DataFrame, groups: DataFrame, skips: DataFrame | None, batch_id: int, in_scope: DataFrame | None = None) -> Version:
-        """``in_scope`` (group_id) leaves out groups that are no longer wanted."""
+    def write(
+        self, state: DataFrame, groups: DataFrame, skips: DataFrame | None, batch_id: int, in_scope: DataFrame | None = None,
+        changes: tuple[DataFrame, DataFrame] | None = None,
+    ) -> Version:
+        """``in_scope`` (group_id) leaves out groups that are no longer wanted. ``changes`` are the rows of the version before
+        that the batch replaced or removed, and the rows that it wrote, as the fold gives them; without them two whole
+        states are compared."""
         last = self.latest()
         number = 0 if last is None else last.number + 1
         path = f"{self.folder}/version-{number:06d}-{int(time.time() * 1000)}"
@@ -65,11 +71,15 @@ class StateStore:
         # the aggregates of the version before are moved on by what differs
         before = self.read()
         if before is None:
-            totals = U.rollup_tree(state)
+            heads = H.build(state)
         else:
-            totals = U.refresh_rollup(self.rollup(), *U.changed_rows(before[0], state), state)
+            stored, rows = self.heads(), changes or U.changed_rows(before[0], state)
+            if in_scope is not None:
+                wanted = in_scope.select("group_id").distinct()
+                stored, *rows = (df.join(wanted, "group_id", "left_semi") for df in (stored, *rows))
+            heads = H.refresh(stored, *rows, state)
         # dir and group order, so that one directory's row is one row group
-        totals.repartitionByRange("dir", "group_id").sortWithinPartitions("dir", "group_id").write.parquet(f"{path}/rollup")
+        heads.repartitionByRange("dir", "group_id").sortWithinPartitions("dir", "group_id").write.parquet(f"{path}/heads")
         laid = state.withColumn("_k", P.preorder_key("path")).repartitionByRange("group_id", "_k")
         laid.sortWithinPartitions("group_id", "_k").drop("_k").write.parquet(f"{path}/state")
         groups.write.parquet(f"{path}/groups")
@@ -79,10 +89,15 @@ class StateStore:
         self.spark.createDataFrame([(row,)], "value string").coalesce(1).write.mode("append").text(self._manifest())
         return Version(number, batch_id, path)
 
+    def heads(self, version: Version | None = None) -> DataFrame | None:
+        """Heads of directories of a version, as ``heads.build`` gives them."""
+        version = version or self.latest()
+        return None if version is None else self.spark.read.schema(H.HEADS).parquet(f"{version.path}/heads")
+
     def rollup(self, version: Version | None = None) -> DataFrame | None:
         """Directory aggregates of a version, as ``rollup_tree`` gives them."""
-        version = version or self.latest()
-        return None if version is None else self.spark.read.schema(U.ROLLUP).parquet(f"{version.path}/rollup")
+        heads = self.heads(version)
+        return None if heads is None else H.rollup(heads)
 
     def read(self, version: Version | None = None) -> tuple[DataFrame, DataFrame, DataFrame] | None:
         version = version or self.latest()

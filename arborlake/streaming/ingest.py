@@ -30,7 +30,7 @@ def apply_batch(store: StateStore, primaries: DataFrame, policy: Policy = Policy
         # the version is all that lasts of a batch
         with scratch(batch.sparkSession):
             result = A.apply_log(state, groups, batch, policy, skips)
-            store.write(result.state, result.groups, result.skips, batch_id)
+            store.write(result.state, result.groups, result.skips, batch_id, changes=result.changes)
 
     return run
 

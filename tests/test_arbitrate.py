@@ -1,11 +1,14 @@
 import random
+from collections import Counter
 
 import pytest
 
 from arborlake import schemas as S
 from arborlake import skew
 from arborlake.operators import arbitrate as A
+from arborlake.operators import heads as H
 from arborlake.operators.path_fold import Policy
+from arborlake.storage import materialize
 
 from . import sequential as Q
 
@@ -57,11 +60,14 @@ POLICY = Policy(tombstone_ttl_us=2_000_000, tolerance_us=600_000, suspect_window
 def run(spark, batches, groups=("g0", "g1")):
     state = A.empty_state(spark)
     grp = A.initial_groups(spark.createDataFrame([(g, f"h0::{g}") for g in groups], "group_id string, primary_object_ref string"))
-    outcomes, skips = {}, None
+    outcomes, skips, heads = {}, None, H.build(state)
     for rows in batches:
         res = A.apply_log(state, grp, spark.createDataFrame(rows, S.LOG), POLICY, skips)
+        heads = materialize(H.refresh(heads, *res.changes, res.state), "test-heads")
         state, grp, skips = res.state, res.groups, res.skips
         outcomes |= {(r.group_id, r.seq): (r.outcome, r.significant) for r in res.outcomes.collect()}
+    # what the fold says it changed moves the heads to those of the state
+    assert Counter(map(tuple, heads.collect())) == Counter(map(tuple, H.build(state).collect()))
     return collect_state(state), outcomes, {r.group_id: r for r in grp.collect()}
 
 
