@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborlake.functions import ids
 from arborlake.functions.predicates import scope_match
-from arborlake.operators.ordered import number_rows, running_max
+from arborlake.operators.ordered import as_of, number_rows, running_max
 from arborlake.skew import lookup_join
 from arborlake.storage import materialize
 
@@ -17,22 +18,22 @@ SELECTOR_FIELDS = ["mount_point", "fs_source", "fs_type", "host_ip", "host_ref"]
 def match_roots(roots: DataFrame, grants: DataFrame) -> DataFrame:
     """(root_id, grant columns) for every grant that agrees with all given selector fields.
 
-    Each root joins on the first field it constrains, so this is a hash join on (field, value) and
-    not a comparison of all pairs; the other fields are filtered afterwards. Roots without any
-    selector field are refused by ``validate_roots`` and match nothing here.
+    Roots are told apart by the set of fields they give, at most 31 different ones. A grant is hashed once for each set
+    that occurs, on all fields of the set, so that the join itself makes the matches and nothing else. Roots
+    without any selector field are refused by ``validate_roots`` and match nothing here.
     """
-    key = F.coalesce(*[
-        F.when(F.col(f"selector.{f}").isNotNull(), F.struct(F.lit(f).alias("field"), F.col(f"selector.{f}").alias("value")))
-        for f in SELECTOR_FIELDS
-    ])
-    keyed_roots = roots.select(F.col("id").alias("root_id"), "selector", "subpath_scope", key.alias("k"))
-    keyed_grants = grants.withColumn(
-        "k", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in SELECTOR_FIELDS]))
-    )
-    agrees = F.lit(True)
-    for f in SELECTOR_FIELDS:
-        agrees = agrees & (F.col(f"selector.{f}").isNull() | (F.col(f"selector.{f}") == F.col(f)))
-    return lookup_join(keyed_grants, keyed_roots, ["k"], "inner", salt_from=["object_ref"]).where(agrees).drop("k", "selector")
+    bits = {f: 1 << i for i, f in enumerate(SELECTOR_FIELDS)}
+    mask = sum((F.when(F.col(f"selector.{f}").isNotNull(), b).otherwise(0) for f, b in bits.items()), F.lit(0)).alias("_mask")
+    given = [F.coalesce(F.col(f"selector.{f}"), F.lit("")).alias(f"_{f}") for f in SELECTOR_FIELDS]
+    keyed_roots = roots.select(F.col("id").alias("root_id"), "subpath_scope", mask, *given).where("_mask > 0")
+    masks = sorted(r[0] for r in keyed_roots.select("_mask").distinct().collect())
+    in_mask = lambda b: F.col("_mask").bitwiseAND(F.lit(b)) > 0
+    keyed_grants = grants.withColumn("_mask", F.explode(F.array(*[F.lit(m) for m in masks]).cast("array<int>")))
+    for f, b in bits.items():
+        # null where the set has the field and the grant has not: such a grant meets no root
+        keyed_grants = keyed_grants.withColumn(f"_{f}", F.when(in_mask(b), F.col(f)).otherwise(F.lit("")))
+    key = ["_mask", *[f"_{f}" for f in SELECTOR_FIELDS]]
+    return lookup_join(keyed_grants, keyed_roots, key, "inner", salt_from=["object_ref"]).drop(*key)
 
 
 def monitor_path(mount: Column, subpath: Column) -> Column:
@@ -169,22 +170,66 @@ def gate_requests(requests: DataFrame, products: DataFrame, grants: DataFrame, s
     )
 
 
+_NUMBERED = "^(.+)-([1-9][0-9]{0,17})$"
+
+
 def normalize_root_ids(rows: DataFrame, raw: str, position: str) -> DataFrame:
-    """Give every row a usable unique id: base, base-2, base-3 … in the order of ``position``.
+    """Give every row a usable unique id: base, base-2, base-3 … in the order of ``position``, a unique number.
 
-    Every row proposes its first open candidate and the earliest row keeps it; losers propose
-    their next one. Rows of one base start at distinct candidates, so a further round is needed
-    only where a generated id meets another row's own base.
+    The n-th id of a base can meet one thing only: a base that is spelled like it. The rows of a base take numbers in
+    order, and a number is left out if the base spelled so came first. How many rows of a base came before is an as-of
+    count, so the numbers left out follow from one pass over the *contested* numbers alone; every row then counts the
+    gaps before its own place. The number of jobs does not depend on the ids.
     """
-    table = number_rows(rows.withColumn("_base", ids.root_id_base(raw)), ["_base"], position, "_n")
-    while True:
-        candidate = F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", F.col("_n").cast("string")))
-        named = table.withColumn("id", candidate)
-        keepers = named.groupBy("id").agg(F.min(position).alias("_keeper"))
-        table = materialize(named.join(keepers, "id").withColumn("_lost", F.col(position) != F.col("_keeper")), "root-ids")
-        if table.where("_lost").isEmpty():
-            return table.drop("_base", "_n", "_keeper", "_lost")
-        table = table.withColumn("_n", F.col("_n") + F.col("_lost").cast("int")).drop("id", "_keeper", "_lost")
+    based = materialize(number_rows(rows.withColumn("_base", ids.root_id_base(raw)), ["_base"], position, "_k"), "root-bases")
+    firsts = based.where("_k = 1").select("_base", F.col(position).alias("_first"))
+    numbered = firsts.select(
+        F.regexp_extract("_base", _NUMBERED, 1).alias("_parent"), F.regexp_extract("_base", _NUMBERED, 2).alias("_digits"),
+        F.col("_base").alias("_child"), "_first",
+    ).where("_digits <> ''").withColumn("_n", F.col("_digits").cast("long")).where("_n > 1")
+    contested = numbered.join(firsts.select(F.col("_base").alias("_parent")), "_parent", "left_semi").select(
+        F.col("_parent").alias("_base"), "_child", "_n", F.col("_first").alias(position)
+    )
+    before = as_of(contested, based.select("_base", position, "_k"), ["_base"], position, ["_k"], "_before")
+    marks = before.select(
+        F.regexp_replace("_base", "(-[0-9]+)+$", "").alias("stem"), F.size(F.split("_base", "-")).alias("depth"), F.col("_base").alias("base"),
+        F.col("_n").alias("n"), F.col("_child").alias("child"), F.coalesce("_before._k", F.lit(0)).cast("long").alias("before"),
+    )
+    # a base is judged before the bases that are spelled like its ids
+    ordered = marks.repartition("stem").sortWithinPartitions("stem", "depth", "base", "n")
+    judged = materialize(ordered.mapInArrow(_judge_numbers, "base string, child string, gap long, gaps long"), "root-numbers")
+    lost = judged.where("child is not null").select(F.col("child").alias("_base"), F.lit(1).alias("_lost"))
+    gaps = judged.where("gap is not null").groupBy(F.col("base").alias("_base"), (F.col("gap") - 1).alias("_k")).agg(F.max("gaps").alias("gaps"))
+    placed = as_of(based, gaps, ["_base"], "_k", ["gaps"], "_gap").join(lost, "_base", "left")
+    n = F.col("_k") + F.coalesce("_lost", F.lit(0)) + F.coalesce("_gap.gaps", F.lit(0))
+    named = placed.withColumn("id", F.when(n == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", n.cast("string"))))
+    return named.drop("_base", "_k", "_lost", "_gap")
+
+
+def _judge_numbers(batches):
+    """Contested numbers in order: a number goes to the row of the base whose turn it is, unless the base spelled like the
+    id came before that row. Gives ``child`` where that base loses its own name, else the ``gap``: the first row of the
+    base that moves on, and the number of gaps so far."""
+    stem = base = None
+    lost: set[str] = set()  # bases of a stem whose own name is gone
+    shift = gaps = 0
+    for batch in batches:
+        out = []
+        for s, b, n, child, before in zip(*(batch.column(c).to_pylist() for c in ("stem", "base", "n", "child", "before"))):
+            if s != stem:
+                stem, lost, base = s, set(), None
+            if b != base:
+                base, shift, gaps = b, int(b in lost), 0
+            turn = n - gaps - shift
+            if turn > before:
+                gaps += 1
+                out.append((b, None, turn, gaps))
+            else:
+                lost.add(child)
+                out.append((b, child, None, None))
+        columns = list(zip(*out)) or [()] * 4
+        kinds = pa.string(), pa.string(), pa.int64(), pa.int64()
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["base", "child", "gap", "gaps"])
 
 
 def accepted_generations(declarations: DataFrame, order: str = "seq", generation: str = "generation") -> DataFrame:
