@@ -72,7 +72,8 @@ def require_fit(page: DataFrame) -> DataFrame:
 
 def rank_groups(groups: DataFrame, stats: DataFrame, order: str) -> DataFrame:
     """Rank of every group: by key, by file count or by newest file; ties by key. Groups without
-    a row in ``stats`` rank with a zero metric. There are as many rows as groups."""
+    a row in ``stats`` rank with a zero metric. There is one row for each group by now, an id and a number, so one
+    ordered window numbers them."""
     if order not in GROUP_ORDERS:
         raise QueryParameterError(f"unknown group_order {order!r}")
     metric = {
@@ -81,8 +82,7 @@ def rank_groups(groups: DataFrame, stats: DataFrame, order: str) -> DataFrame:
         "file-age": F.coalesce("latest_file_mtime_us", F.lit(0)).cast("long"),
     }[order]
     joined = groups.select("group_id").join(stats, "group_id", "left").withColumn("metric", metric)
-    keyed = joined.select("group_id", "metric", F.lit(0).alias("_all"), F.struct(-F.col("metric"), "group_id").alias("_order"))
-    return number_rows(keyed, ["_all"], "_order", "rank").select("group_id", "metric", F.col("rank").cast("int").alias("rank"))
+    return joined.select("group_id", "metric", F.row_number().over(W.orderBy(F.col("metric").desc(), "group_id")).alias("rank"))
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from arborlake import schemas as S
@@ -13,6 +15,7 @@ from arborlake.operators import rollup as U
 from arborlake.operators import routing
 from arborlake.operators import status as T
 from arborlake.operators import tree_query as Q
+from arborlake.operators import tree_request as B
 from arborlake.operators.ordered import number_rows, running_max
 from arborlake.plans import views as V
 from arborlake.plans.function_queries import (
@@ -696,6 +699,27 @@ def tree_page_heads(spark, d):
     return head_columns(tree(spark, d, offset=5, limit=3).heads)
 
 
+@query("tree_request_pages", TREE + f""",
+ranks AS (SELECT g.group_id, row_number() OVER (ORDER BY count(a.path) FILTER (NOT is_dir AND (mode = 'rebased' OR a.path <> '/u3')) DESC, g.group_id) AS rank
+  FROM (SELECT DISTINCT group_id FROM st) g LEFT JOIN allrows a ON a.group_id = g.group_id GROUP BY g.group_id)
+SELECT rank, group_id, path, row_number() OVER (PARTITION BY group_id ORDER BY CASE WHEN mode = 'direct' THEN string_split(path, '/') END, path) AS position
+FROM allrows JOIN ranks USING (group_id) WHERE path <> '/u3'""")
+def tree_request_pages(spark, d):
+    """One request walked to its end: groups by file count in pages of two, entries in pages, as far as a byte budget goes."""
+    from arborlake.plans.status_queries import statuses
+
+    source, sink, schedule, _ = statuses(spark, d)
+    store, secret = two_versions(spark, d), b"key of the service"
+    request = B.TreeRequest("/u3", group_order="file-count", group_page_size=2, entry_page_size=10_000, limit_bytes=1 << 20, read_class="materialized")
+    page = B.open_request(store, request, B.Evidence(source, sink, schedule), "query", secret, NOW)
+    pages = [page.entries]
+    while page.cursor:
+        page = B.next_page(store, page.cursor, "query", secret)
+        pages.append(page.entries)
+    rows = reduce(lambda a, b: a.unionByName(b), pages)
+    return rows.select(F.col("rank").cast("long").alias("rank"), "group_id", "path", F.col("position").cast("long").alias("position"))
+
+
 @query("list_nodes", TREE + f"""
 SELECT group_id, path, size, is_dir, monitoring_attested, coalesce({NOW} < suspect_until_us, false) AS is_suspect, blind_spot AS is_blind_spot FROM allrows WHERE {depth('path', '/u3')} <= 1""")
 def list_nodes(spark, d):

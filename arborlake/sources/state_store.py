@@ -13,6 +13,7 @@ from arborlake.functions import paths as P
 from arborlake.operators import heads as H
 from arborlake.operators import rollup as U
 from arborlake.skew import lookup_join
+from arborlake.storage import exists
 
 
 @dataclass(frozen=True)
@@ -35,14 +36,9 @@ class StateStore:
     def _manifest(self) -> str:
         return f"{self.folder}/manifest"
 
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-
     def versions(self) -> list[Version]:
         """One row per version, so the list is short."""
-        if not self._exists(self._manifest()):
+        if not exists(self.spark, self._manifest()):
             return []
         rows = self.spark.read.schema("number long, batch_id long, path string").json(self._manifest()).collect()
         return sorted((Version(r.number, r.batch_id, r.path) for r in rows), key=lambda v: v.number)

@@ -52,10 +52,20 @@ def together(*steps: Callable[[], Any]) -> list[Any]:
         return [f.result() for f in [pool.submit(copy_context().run, step) for step in steps]]
 
 
+def _target(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared storage."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    target, files = _target(spark, path)
+    files.delete(target, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target, files = _target(spark, path)
+    return files.exists(target)
 
 
 @contextlib.contextmanager
