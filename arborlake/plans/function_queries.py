@@ -306,6 +306,17 @@ def object_poll(spark, d):
     return O.object_poll(objs, bucket, "", 50, (20_000, "a")).rows.select("key", "size", "last_modified_unix_ms")
 
 
+@query("object_snapshot_all", OBJS + " SELECT bucket, key, size, last_modified_unix_ms FROM objs WHERE starts_with(key, 'en/')")
+def object_snapshot_all(spark, d):
+    return O.object_snapshot_all(V.objects(spark, d), prefix="en/").select("bucket", "key", "size", "last_modified_unix_ms")
+
+
+@query("object_poll_all", OBJS + """
+SELECT bucket, key, size, last_modified_unix_ms FROM objs WHERE last_modified_unix_ms > 20000 OR (last_modified_unix_ms = 20000 AND key > 'en/')""")
+def object_poll_all(spark, d):
+    return O.object_poll_all(V.objects(spark, d), (20_000, "en/")).select("bucket", "key", "size", "last_modified_unix_ms")
+
+
 _RAW_OBJ = """
 raw AS (SELECT bucket, CASE WHEN last_modified_unix_ms % 7000 > 0 THEN key END AS key, size - 1500 AS size, last_modified_unix_ms - 5000 AS ms, etag FROM objs)"""
 
@@ -347,6 +358,16 @@ def table_snapshot(spark, d):
     return R.table_snapshot(frozen, 100, 150).rows
 
 
+@query("table_snapshot_all", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def table_snapshot_all(spark, d):
+    return R.table_snapshot_all(V.table(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_totalprice"])
+
+
+@query("table_poll_all", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 700")
+def table_poll_all(spark, d):
+    return R.table_poll_all(V.table(spark, d, "orders"), "o_orderkey", 700, ["o_orderkey", "o_custkey"])
+
+
 @query("table_snapshot_ties", "SELECT o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_orderkey LIMIT 70 OFFSET 30")
 def table_snapshot_ties(spark, d):
     return R.table_snapshot(R.freeze_table(V.table(spark, d, "orders"), ["o_custkey", "o_orderkey"]), 70, 30).rows

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborlake.functions.predicates import effective_limit
-from arborlake.operators.paging import KeysetPage, keyset_page
+from arborlake.operators.paging import KeysetPage, after_cursor, keyset_page
 
 STORE_PAGE = 1_000
 DEFAULT_PAGE, MAX_PAGE = 100, 1_000
+POLL_ORDER = ["last_modified_unix_ms", "key"]
 
 # The fields an object listing offers.
 OBJECT_FIELDS = [
@@ -41,17 +42,27 @@ def normalize_objects(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, rows.where("_reason is not null").withColumnRenamed("_reason", "reason")
 
 
+def object_snapshot_all(objects: DataFrame, bucket: str | None = None, prefix: str = "") -> DataFrame:
+    """All objects below a key prefix, of one bucket if given: a filter that the scan takes over."""
+    chosen = objects if bucket is None else objects.where(F.col("bucket") == bucket)
+    return chosen.where(F.col("key").startswith(prefix)) if prefix else chosen
+
+
+def object_poll_all(objects: DataFrame, after: tuple | None = None, bucket: str | None = None, prefix: str = "") -> DataFrame:
+    """All objects changed after the (last_modified, key) place that an earlier poll ended with."""
+    return after_cursor(object_snapshot_all(objects, bucket, prefix), POLL_ORDER, after)
+
+
 def object_snapshot(objects: DataFrame, bucket: str, prefix: str = "", limit: int | None = None, cursor: tuple | None = None) -> KeysetPage:
     """Objects of a bucket below a key prefix, in key order; the cursor is the last key."""
     n = min(effective_limit(limit, DEFAULT_PAGE, MAX_PAGE), STORE_PAGE)
-    return keyset_page(objects.where((F.col("bucket") == bucket) & F.col("key").startswith(prefix)), ["key"], n, cursor)
+    return keyset_page(object_snapshot_all(objects, bucket, prefix), ["key"], n, cursor)
 
 
 def object_poll(objects: DataFrame, bucket: str, prefix: str = "", limit: int | None = None, cursor: tuple | None = None) -> KeysetPage:
     """Objects changed after the (last_modified, key) cursor, oldest first."""
     n = effective_limit(limit, DEFAULT_PAGE, MAX_PAGE)
-    rows = objects.where((F.col("bucket") == bucket) & F.col("key").startswith(prefix))
-    return keyset_page(rows, ["last_modified_unix_ms", "key"], n, cursor)
+    return keyset_page(object_snapshot_all(objects, bucket, prefix), POLL_ORDER, n, cursor)
 
 
 def object_fields(endpoints: DataFrame) -> DataFrame:

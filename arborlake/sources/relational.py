@@ -51,6 +51,17 @@ def snapshot_order(fields: list[str], primary_key: str | None, unique: bool) ->
     return [first] if unique and first == primary_key else [first, *[f for f in fields if f != first]]
 
 
+def table_snapshot_all(df: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """The chosen fields of all rows: a projection that the scan, or the database, takes over."""
+    return df.select(*[F.col(f"`{f}`") for f in fields or df.columns])
+
+
+def table_poll_all(df: DataFrame, cursor_field: str, after=None, fields: list[str] | None = None) -> DataFrame:
+    """All rows whose cursor field is greater than the value that an earlier poll ended with."""
+    chosen = df if after is None else df.where(F.col(f"`{cursor_field}`") > F.lit(after))
+    return table_snapshot_all(chosen, fields)
+
+
 def freeze_table(df: DataFrame, fields: list[str] | None = None, primary_key: str | None = None, unique: bool = True) -> DataFrame:
     """A consistent copy of the chosen fields, numbered in page order; write it once, page it often."""
     chosen = fields or df.columns

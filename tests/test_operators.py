@@ -16,6 +16,7 @@ from arborlake.operators.ordered import as_of, number_rows, running_max
 from arborlake.sources import documents as D
 from arborlake.sources import graph_adapters as GA
 from arborlake.sources import listing as L
+from arborlake.sources import objects as O
 from arborlake.sources import relational as R
 from arborlake.sources import watch_log
 
@@ -182,6 +183,29 @@ def test_generated_root_ids_avoid_given_ones(spark):
     assert got == ["a", "a-2", "a-3", "a-4", "root", "a-5"]
 
 
+def test_pages_of_objects_and_tables_add_up_to_the_whole(spark):
+    rows = [(f"b{i % 2}", f"k/{i % 7}-{i}" if i % 5 else f"x{i}", i, 1000 * (i % 4)) for i in range(60)]
+    objects = spark.createDataFrame(rows, "bucket string, key string, size long, last_modified_unix_ms long")
+    for read, whole in (
+        (lambda c: O.object_snapshot(objects, "b1", "k/", 7, c), O.object_snapshot_all(objects, "b1", "k/")),
+        (lambda c: O.object_poll(objects, "b0", "", 9, c or (1000, "k/3")), O.object_poll_all(objects, (1000, "k/3"), "b0")),
+    ):
+        page, got = read(None), []
+        while True:
+            got += [tuple(r) for r in page.rows.collect()]
+            if not page.has_more:
+                break
+            page = read(page.next_cursor)
+        assert sorted(got) == sorted(tuple(r) for r in whole.collect()) and len(got) > 9
+    frozen = R.freeze_table(objects, ["last_modified_unix_ms", "key"])
+    offset, got = 0, []
+    while offset is not None:
+        page = R.table_snapshot(frozen, 25, offset)
+        got += [tuple(r) for r in page.rows.collect()]
+        offset = page.next_offset
+    assert sorted(got) == sorted(tuple(r) for r in R.table_snapshot_all(objects, ["last_modified_unix_ms", "key"]).collect())
+
+
 def test_strict_routing_fails(spark):
     log = spark.createDataFrame([("x", 1)], "origin_id string, seq long")
     routes = spark.createDataFrame([("y", "g")], "object_ref string, group_id string")
