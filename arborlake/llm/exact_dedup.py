@@ -7,7 +7,8 @@ possibly repeated rows are shuffled, all others are answered where they are.
 
 Cases: null texts count as empty. A null ``doc_id`` is smaller than any other. Rows that repeat both
 ``doc_id`` and text are separate members of their group, of which one stays. Empty tables give empty
-results. Other columns of the input are ignored by ``duplicates`` and carried by ``keep_last``.
+results. Other columns of the input are ignored by ``duplicates`` and carried by ``keep_last``; of rows that repeat
+an id and a text, a hash of their other columns decides which stays. A long text is hashed as a whole.
 """
 
 from __future__ import annotations
@@ -147,11 +148,13 @@ def keep_last(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     columns = [f"c{i}" for i in range(len(names))]
     key, order = f"c{names.index(text)}", f"c{names.index(doc_id)}"
     straight = tested.filter(~F.col("possible")).select(*columns)
-    # a row of a group: the largest id, then any one of the rows that repeat it
+    # a row of a group: the largest id; of rows that repeat it the one whose other columns hash highest, so that a task that
+    # runs again chooses the same row
+    others = [F.col(c) for c, f in zip(columns, docs.schema.fields) if "map<" not in f.dataType.simpleString()]
     chosen = (
         tested.filter("possible")
         .groupBy(F.sha2(F.coalesce(F.col(key), F.lit("")), 256).alias("sha"))
-        .agg(F.max_by(F.struct(*columns), F.struct(order)).alias("row"))
+        .agg(F.max_by(F.struct(*columns), F.struct(order, F.xxhash64(*others))).alias("row"))
         .select("row.*")
     )
     out = straight.unionByName(chosen)

@@ -7,7 +7,7 @@ columns go through as the operators' docstrings say; rows with a null doc_id are
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlake.llm import exact_dedup, jaccard, packing, suffix_dedup, toxicity
@@ -19,6 +19,11 @@ REPEATED_BYTES = 100
 WINDOW = 1024
 
 
+def _columns(docs: DataFrame) -> list[Column]:
+    """All columns, whatever their names."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -34,7 +39,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each component of similar texts, that with the smallest doc_id."""
     found = jaccard.join(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
     dropped = materialize(found.filter("doc_id <> component_id").select("doc_id").distinct(), "pipeline-near-copies")
-    return docs.join(dropped.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(dropped.hint("shuffle_hash"), "doc_id", "left_anti").select(*_columns(docs))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +48,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if "n_chars" not in docs.columns:
         return cleaned
     kind = docs.schema["n_chars"].dataType
-    return cleaned.withColumn("n_chars", F.length("text").cast(kind)).select(*docs.columns)
+    return cleaned.withColumn("n_chars", F.length("text").cast(kind)).select(*_columns(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from arborlake.llm import blobs, components, exact_dedup, jaccard, suffix_array, suffix_dedup
 from tests.llm.conftest import SCHEMA, prose
@@ -236,3 +237,10 @@ def test_blobs_go_through_a_shuffle():
     held = blobs.Gathered([dealt], ["<u8", "<i8"])
     got = sorted((int(a), int(b)) for key in held.keys() for a, b in zip(*held.take(key)))
     assert got == [(i, 2 * i) for i in range(100)]
+
+
+def test_which_repeated_row_stays_does_not_depend_on_partitions(spark):
+    rows = [(i % 4, f"text {i % 4}", f"v{i}", {"k": str(i % 4)}) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, m map<string,string>")
+    found = [sorted(map(str, exact_dedup.keep_last(df.repartition(n, F.rand(n))).collect())) for n in (1, 7)]
+    assert found[0] == found[1] and len(found[0]) == 4
