@@ -58,6 +58,16 @@ def document_nodes(spark, d):
     )
 
 
+EDGE = ["source_kind", "source_instance", "from_local_id", "to_local_id", "edge_kind", "confidence"]
+
+
+@query("document_edges", with_(V.SQL_DOCS) + """
+SELECT 'es' AS source_kind, object_ref AS source_instance, index AS from_local_id, index || '/_doc/' || id AS to_local_id, 'contains' AS edge_kind,
+  'observed' AS confidence FROM docs""")
+def document_edges(spark, d):
+    return GA.document_skeleton(V.documents(spark, d)).edges.select(*EDGE)
+
+
 def index_fields(spark, d):
     return V.table(spark, d, "documents").select(
         F.lit("es-0").alias("object_ref"), F.col("source").alias("index"), F.concat(F.lit("meta."), "lang").alias("name"), F.lit("long").alias("field_type")
@@ -72,6 +82,13 @@ def index_field_nodes(spark, d):
     return GA.index_field_skeleton(index_fields(spark, d)).nodes.select("local_id", "node_kind", "native_pointer", "fingerprint")
 
 
+@query("index_field_edges", """
+SELECT DISTINCT 'es' AS source_kind, 'es-0' AS source_instance, source AS from_local_id, source || '/_field/meta.' || lang AS to_local_id,
+  'has-field' AS edge_kind, 'observed' AS confidence FROM documents""")
+def index_field_edges(spark, d):
+    return GA.index_field_skeleton(index_fields(spark, d)).edges.select(*EDGE)
+
+
 @query("relational_nodes", with_(V.SQL_COLUMNS) + """
 SELECT DISTINCT object_ref AS source_instance, schema AS local_id, 'namespace' AS node_kind, schema AS display_name, NULL AS fingerprint FROM cols
 UNION ALL SELECT object_ref, schema || '/' || "table", 'collection', "table", 'fields=' || count(*) FROM cols GROUP BY object_ref, schema, "table"
@@ -99,6 +116,14 @@ def catalogue_nodes(spark, d):
     return GA.catalogue_skeleton(catalogue(spark, d)).nodes.select("source_instance", "local_id", "node_kind", "fingerprint")
 
 
+@query("catalogue_edges", with_(V.SQL_COLUMNS) + """
+SELECT DISTINCT 'pg' AS source_kind, object_ref AS source_instance, 'db/' || schema AS from_local_id, 'db/' || schema || '/' || "table" AS to_local_id,
+  'contains' AS edge_kind, 'declared' AS confidence FROM cols
+UNION ALL SELECT 'pg', object_ref, 'db/' || schema || '/' || "table", 'db/' || schema || '/' || "table" || '/' || "column", 'has-field', 'declared' FROM cols""")
+def catalogue_edges(spark, d):
+    return GA.catalogue_skeleton(catalogue(spark, d)).edges.select(*EDGE)
+
+
 # ---------------------------------------------------------------- schema and status documents
 
 
@@ -165,14 +190,26 @@ def schema_document_edges(spark, d):
 SELECT 'status/' || s_suppkey AS local_id, 'cache=' || CASE WHEN s_suppkey % 3 = 0 THEN 'UNKNOWN' ELSE 'WARM' END || ';schema_exists=' ||
   CASE WHEN s_suppkey % 2 = 0 THEN 'true' ELSE 'unknown' END || ';details=' || CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE 2 END AS fingerprint FROM supplier""")
 def status_document_nodes(spark, d):
+    return status_skeleton(spark, d).nodes.select("local_id", "fingerprint")
+
+
+def status_skeleton(spark, d):
     k = F.col("s_suppkey")
     body = F.concat(
         F.lit('{"GremlinServer":'), F.when(k % 3 == 0, F.lit("{}")).otherwise(F.lit('{"LocalCacheStatus":"WARM","LocalCacheStatusDetail":[1,2]}')),
         F.when(k % 2 == 0, F.lit(',"Schema":{"Exists":true}')).otherwise(F.lit("")), F.lit("}"),
     )
     docs = V.table(spark, d, "supplier").select(F.concat(F.lit("status/"), k.cast("string")).alias("local_id"), F.lit("status").alias("pointer"), body.alias("body"))
-    sk = GA.status_document_skeleton(docs, doc_instance="docs", target=("label", "labels-0", "label/vertex/x"))
-    return sk.nodes.select("local_id", "fingerprint")
+    return GA.status_document_skeleton(docs, doc_instance="docs", target=("label", "labels-0", "label/vertex/x"))
+
+
+@query("status_document_edges", """
+SELECT 'es' AS from_kind, 'docs' AS from_instance, 'status/' || s_suppkey AS from_local_id, 'label' AS to_kind, 'labels-0' AS to_instance,
+  'label/vertex/x' AS to_local_id, 'has-runtime-status' AS edge_kind, 'observed' AS confidence FROM supplier""")
+def status_document_edges(spark, d):
+    return status_skeleton(spark, d).cross_edges.select(
+        "from_kind", "from_instance", "from_local_id", "to_kind", "to_instance", "to_local_id", "edge_kind", "confidence"
+    )
 
 
 def inventory(spark, d):
