@@ -80,12 +80,21 @@ def rows_of(spark: SparkSession, frozen: Frozen) -> DataFrame:
     return spark.read.parquet(_folder(spark, frozen.id))
 
 
-def sweep(spark: SparkSession, now_ms: int | None = None) -> list[str]:
-    """Remove results whose time is over, rows first; gives their ids. The registry has one row for each result."""
+def _entries(spark: SparkSession) -> list[Frozen]:
+    """The registry, one row for each result."""
     if not exists(spark, _registry(spark)):
         return []
-    entries = [json.loads(r.value) for r in spark.read.text(f"{_registry(spark)}/*").collect()]
-    over = sorted(e["id"] for e in entries if _now(now_ms) >= e["expires_at_ms"])
+    return [Frozen(**json.loads(r.value)) for r in spark.read.text(f"{_registry(spark)}/*").collect()]
+
+
+def versions_in_use(spark: SparkSession, store: str, now_ms: int | None = None) -> set[int]:
+    """Numbers of the versions of a state store that results read whose time is not over."""
+    return {f.about["version"] for f in _entries(spark) if f.about.get("store") == store and _now(now_ms) < f.expires_at_ms}
+
+
+def sweep(spark: SparkSession, now_ms: int | None = None) -> list[str]:
+    """Remove results whose time is over, rows first; gives their ids."""
+    over = sorted(f.id for f in _entries(spark) if _now(now_ms) >= f.expires_at_ms)
     for result_id in over:
         remove(spark, _folder(spark, result_id))
         remove(spark, f"{_registry(spark)}/{result_id}")

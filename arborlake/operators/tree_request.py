@@ -71,7 +71,7 @@ def open_request(
         stats = groups.select("group_id")
     else:
         stats = H.subtree_stats(store.heads(version), state, request.path, groups)
-    about = {"version": version.number, "as_of_us": as_of_us, "trust": trust, "request": asdict(request)}
+    about = {"store": store.folder, "version": version.number, "as_of_us": as_of_us, "trust": trust, "request": asdict(request)}
     frozen = Z.freeze(rank_groups(groups, stats, request.group_order), scope, about, ttl_ms, now_ms)
     return _page(store, frozen, secret, {"id": frozen.id, "groups": 0, "entries": 0, "cut": None})
 

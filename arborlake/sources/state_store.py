@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from arborlake.functions import paths as P
 from arborlake.operators import heads as H
 from arborlake.operators import rollup as U
 from arborlake.skew import lookup_join
-from arborlake.storage import exists
+from arborlake.storage import exists, remove
 
 
 @dataclass(frozen=True)
@@ -85,6 +86,17 @@ class StateStore:
         self.spark.createDataFrame([(row,)], "value string").coalesce(1).write.mode("append").text(self._manifest())
         return Version(number, batch_id, path)
 
+    def prune(self, keep: int = 2, held: Iterable[int] = ()) -> list[int]:
+        """Remove the rows of all versions but the newest ``keep`` and those ``held`` (``frozen.versions_in_use``); gives the
+        numbers of those removed. The manifest stays, so a batch that was applied is still known as such."""
+        if keep < 1:
+            raise ValueError("the newest version stays")
+        held = set(held)
+        gone = [v for v in self.versions()[:-keep] if v.number not in held and exists(self.spark, v.path)]
+        for version in gone:
+            remove(self.spark, version.path)
+        return [v.number for v in gone]
+
     def heads(self, version: Version | None = None) -> DataFrame | None:
         """Heads of directories of a version, as ``heads.build`` gives them."""
         version = version or self.latest()

@@ -14,7 +14,7 @@ from arborlake.operators import tree_request as B
 from arborlake.operators.paging import PageBudgetError, PitExpired
 from arborlake.plans.status_queries import statuses
 from arborlake.sources.state_store import StateStore
-from arborlake.storage import exists, fresh_path
+from arborlake.storage import exists, fresh_path, materialize
 
 SECRET, AT = b"secret", 10**9
 
@@ -89,6 +89,7 @@ def test_results_are_found_by_id_alone(spark, evidence):
     page = B.open_request(store, B.TreeRequest(group_page_size=1, read_class="materialized"), evidence[0], "me", SECRET, AT, ttl_ms=50, now_ms=1_000)
     # later versions do not show in a frozen result, and another session pages on
     state, groups, _ = store.read()
+    state = materialize(state, "requests-state")
     store.write(state.where("path <> '/e'"), groups, None, 1)
     other = StateStore(spark.newSession(), store.folder)
     second = B.next_page(other, page.cursor, "me", SECRET, now_ms=1_049)
@@ -102,6 +103,14 @@ def test_results_are_found_by_id_alone(spark, evidence):
             B.next_page(store, forged, "me", SECRET, now_ms=1_010)
     with pytest.raises(Z.UnknownResult):
         B.next_page(store, Z.cursor_of({"id": "0" * 32, "groups": 0, "entries": 0, "cut": None}, SECRET), "me", SECRET, now_ms=1_010)
+    # versions that results read stay as long as these do
+    for batch in (2, 3):
+        store.write(state, groups, None, batch)
+    assert store.prune(keep=1, held=Z.versions_in_use(spark, store.folder, now_ms=1_010)) == [1, 2]
+    assert B.next_page(store, page.cursor, "me", SECRET, now_ms=1_010).entries.count() == second.entries.count()
     assert page.id not in Z.sweep(spark, now_ms=1_049)
     assert page.id in Z.sweep(spark, now_ms=1_050)
+    assert store.prune(keep=1, held=Z.versions_in_use(spark, store.folder, now_ms=1_050)) == [0]
+    assert store.read()[0].where("path = '/e'").count() == 2
+    assert store.applied(1) and [v.number for v in store.versions()] == [0, 1, 2, 3]
     assert not exists(spark, Z._folder(spark, page.id)) and not exists(spark, f"{Z._registry(spark)}/{page.id}")
