@@ -31,7 +31,7 @@ from arborlake.storage import materialize
 #: Documents of a language that a kept term needs; steps of 10**3 in the scale of a share; ranks of terms.
 MIN_DOCS, THOUSANDS, TOP = 3, 3, 200
 #: Distinct terms, and bytes of them, that a task holds before it hands them on.
-HELD_TERMS, HELD_BYTES = 200_000, 32 << 20
+HELD_TERMS, HELD_BYTES = 500_000, 32 << 20
 #: A language's groups are dealt over so many sub-keys where they meet others of the language.
 SALTS = 16
 
