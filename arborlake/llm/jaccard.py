@@ -11,10 +11,16 @@ A few segments more than needed are filed (the *slack*): a set that lies under n
 finds its partners under its other keys. Sets under more are compared under crowded keys as well, so nothing is lost.
 A segment with the allowance stands for two of the needed ones but may be shared by one key only, so its keys count twice.
 
-Equal sets are one node from the start. A first round compares the sets of a key with one of them; most then
-hang together, and the second round compares only sets of a key that are still in different components. No
-key's sets are ever paired up as a whole. Candidates whose sizes, or counts of elements by hash, lie too far apart to be
-similar are dropped; all others are verified on the whole texts.
+Equal sets are one node from the start. A first round compares the sets of a key with one of them, the one that lies
+under most crowded keys: in a group of near copies that is the text that the others were made from. Most sets of a key
+then hang together, and the second round compares only sets that are still in different components. Those of a short
+list are paired. Those under crowded keys are filed again by the finest partition of the universe, a segment for each
+shingle: two similar sets differ in so few of them that they share one of the rarest, so each is filed under its rarest
+``size - ceil(size * p / 100) + 1`` only. What a near copy has of its own is rare, so a copy too far from its group to
+link with its hub meets nobody there. Rarity is counted over the sets filed this way, in a table of fixed size; any
+order of the shingles loses nothing. Shingles that sets of one component share alone are dropped before any pair is
+made. Candidates whose sizes, or counts of elements by hash, lie too far apart to be similar are dropped; all others
+are verified on the whole texts.
 
 Shingles are held as 64-bit hashes: to err, two different shingles of two compared texts would have to collide.
 
@@ -50,6 +56,8 @@ ROW_MEMBERS, HUB_MEMBERS = 5_000, 500
 COUNTS, COUNT_ELEMENTS = 128, 8
 #: Entries of members and of outsiders, over the lists of one component, in a block.
 BLOCK_MEMBERS, BLOCK_OUTSIDERS = 20_000, 5_000
+#: Counters of how often a shingle occurs in sets under crowded keys.
+COUNTERS = 1 << 20
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x2545F4914F6CDD1D
@@ -346,29 +354,69 @@ def _cross(percent: int):
             yield np.minimum(other[i, 0], ids[j]), np.maximum(other[i, 0], ids[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, group, outside, members, seen = None, None, [], [], set()
+        group, outside, members = None, [], []
 
         def found() -> Iterator[pa.RecordBatch]:
             if outside and members:
                 for hub, doc in pairs(outside, members):
-                    new = [p for p in zip(hub.tolist(), doc.tolist()) if p not in seen]
-                    seen.update(new)
-                    if new:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*set(new))], ["hub", "doc"])
+                    if len(hub):
+                        yield pa.RecordBatch.from_arrays([pa.array(hub), pa.array(doc)], ["hub", "doc"])
 
         for batch in batches:
-            for *key, name, is_member, doc, component, n, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                if group != (key, name):
+            for *key, is_member, doc, component, n, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if group != key:
                     yield from found()
-                    group, outside, members = (key, name), [], []
-                if block != key:
-                    block, seen = key, set()
+                    group, outside, members = key, [], []
                 (members if is_member else outside).append((doc, component, n, counts))
         yield from found()
 
     return run
 
 
+def _counters(s: np.ndarray) -> np.ndarray:
+    return ((s >> np.uint64(17)) % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def _occurrences(n: int):
+    """How often the shingles of each counter occur in the sets of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in chunks(texts, CHARACTERS):
+                for s in shingle_sets(texts[a:b], n):
+                    np.add.at(total, _counters(s), 1)
+        at = np.flatnonzero(total)
+        for i in range(0, len(at), 100_000):
+            some = at[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["counter", "times"])
+
+    return run
+
+
+def rarest(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles of a set of which a set similar to it has at least one among its own: the rarest by ``counts``, those
+    equally rare by value. Similar sets share ``percent`` of the larger one, so not all of these can be missing."""
+    order = np.lexsort((s, counts[_counters(s)]))
+    return s[order[: len(s) + (-len(s) * percent) // 100 + 1]]
+
+
+def _file_rarest(n: int, percent: int, counts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, parts, texts = (batch.column(i).to_pylist() for i in range(3))
+            for a, b in chunks(texts, CHARACTERS):
+                few = [rarest(s, counts.value, percent) for s in shingle_sets(texts[a:b], n)]
+                sizes = [len(x) for x in few]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(few).view(np.int64)), pa.array(np.repeat(ids[a:b], sizes), pa.int64()), pa.array(np.repeat(parts[a:b], sizes), pa.int64())],
+                    ["list", "doc", "component"],
+                )
+
+    return run
+
+
 def _verify(n: int, percent: int):
     """Rows of a hub's group, the hub first: emit the members that are similar to it."""
 
@@ -443,34 +491,48 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id",
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 13 * total // PARTITION_BYTES + 1)
     filed = source.mapInArrow(_file(n, percent, plan, parts), "slice int, keys binary, bands binary, docs binary")
     keys = materialize(filed.repartitionById(parts, "slice").mapInArrow(_meet, LISTS), "jaccard-keys")
-    hub = F.col("members")[0]
-    first = keys.select(hub.alias("hub"), F.explode("members").alias("doc")).filter("hub <> doc").distinct()
-    first = _screened(first, sized, percent)
-    texts = _texts(source, first)
-    links = _linked(first, texts, n, percent)
+    own = sized.filter("doc_id is not null").join(nodes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node"))
+    own = materialize(own.unionByName(sized.filter("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("node"))), "jaccard-own")
+    # documents of one set go by its node; a repeated doc_id, which has several, goes by itself
+    names = own.filter("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    names = materialize(names.select("doc_id", "a", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("doc_id")).alias("name")), "jaccard-names")
+    named = lambda df, column, to, by="name": df.join(names.select(F.col("doc_id").alias(column), F.col(by).alias(to)), column)
 
-    # second round: sets of a list that do not hang together yet
+    # first round: the sets of a list against its hub
     lists = keys.filter("size > 2").groupBy("list", "band", "size", "chunk").agg(F.sum("times").alias("times"), F.any_value("members").alias("members"))
-    entries = lists.select("list", "band", "size", "times", F.explode("members").alias("doc")).distinct()
-    parted = components(links)
+    entries = named(lists.select("list", "band", "size", "times", F.explode("members").alias("copy")), "copy", "doc")
+    entries = materialize(entries.select("list", "band", "size", "times", "doc").distinct(), "jaccard-lists")
+    crowded = F.col("size") > CROWDED
+    crowd = materialize(entries.filter(crowded).groupBy("doc", "band").agg(F.sum("times").alias("crowd")), "jaccard-crowd")
+    ranked = entries.join(crowd, ["doc", "band"], "left").select("list", "doc", F.struct(F.coalesce("crowd", F.lit(0)), F.xxhash64("doc"), "doc").alias("rank"))
+    hubs = materialize(ranked.groupBy("list").agg(F.max_by("doc", "rank").alias("hub")), "jaccard-hubs")
+    two = keys.filter("size = 2").select(F.col("members")[0].alias("x"), F.col("members")[1].alias("y"))
+    two = named(named(two, "x", "hub"), "y", "doc").select("hub", "doc")
+    first = entries.select("list", "doc").join(hubs, "list").select("hub", "doc").unionByName(two)
+    first = _screened(first.filter("hub <> doc").distinct(), sized, percent)
+    links = _linked(first, _texts(source, first), n, percent)
+
+    # second round: sets of a list that do not hang together yet
     placed = materialize(
-        materialize(entries, "jaccard-lists")
-        .join(parted.withColumnRenamed("node", "doc"), "doc", "left")
-        .select("list", "band", "size", "times", "doc", F.coalesce("component", "doc").alias("component")),
+        entries.join(components(links).withColumnRenamed("node", "doc"), "doc", "left").select("list", "band", "size", "doc", F.coalesce("component", "doc").alias("component")),
         "jaccard-entries",
     )
-    open_lists = materialize(
-        placed.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("list"), "jaccard-open"
-    )
+    several = lambda df: df.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("list")
+    placed = placed.join(materialize(several(placed), "jaccard-open"), "list", "left_semi")
+    # a list of few sets is at most CROWDED * (CROWDED - 1) / 2 pairs
+    short = placed.filter(~crowded).groupBy("list").agg(F.collect_list(F.struct("doc", "component")).alias("m"))
+    short = short.select(F.explode("m").alias("u"), "m").select("u", F.explode("m").alias("v")).filter("u.doc < v.doc and u.component <> v.component")
+    short = short.select(F.col("u.doc").alias("hub"), F.col("v.doc").alias("doc")).distinct()
     slack = F.element_at(F.array(*[F.lit(b.slack) for b in plan] or [F.lit(0)]), F.col("band") + 1)
-    busy = materialize(
-        placed.filter(F.col("size") > CROWDED).groupBy("doc", "band").agg(F.sum("times").alias("times")).filter(F.col("times") > slack).select("doc", "band", F.lit(True).alias("busy")),
-        "jaccard-busy",
-    )
-    still = placed.join(open_lists, "list", "left_semi").join(busy, ["doc", "band"], "left")
-    still = materialize(still.filter((F.col("size") <= CROWDED) | F.col("busy")).select("list", "doc", "component").distinct(), "jaccard-still")
-    # only members outside a list's largest component are compared, with all of it. A pair stands in many lists of one
-    # component; blocks of documents hold all of these, so that it is found once
+    busy = placed.filter(crowded).join(crowd.filter(F.col("crowd") > slack), ["doc", "band"], "left_semi")
+    busy = materialize(busy.groupBy("doc").agg(F.min("component").alias("component")), "jaccard-busy")
+    again = materialize(busy.join(source, F.col("doc") == F.col("doc_id")).select("doc", "component", "text"), "jaccard-again")
+    seen = again.select("text").mapInArrow(_occurrences(n), "counter long, times long").groupBy("counter").agg(F.sum("times").alias("times")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[seen["counter"].to_numpy()] = seen["times"].to_numpy()
+    rare = materialize(again.mapInArrow(_file_rarest(n, percent, spark.sparkContext.broadcast(counts)), "list long, doc long, component long").distinct(), "jaccard-rarest")
+    still = materialize(rare.join(materialize(several(rare), "jaccard-shared"), "list", "left_semi"), "jaccard-still")
+    # only members outside a list's largest component are compared, with all of it
     by_part = still.groupBy("list", "component").agg(F.count(F.lit(1)).alias("n"))
     shape = materialize(
         by_part.groupBy("list").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("k")),
@@ -488,18 +550,15 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id",
     members = known.select("largest", mine("rows", 1).alias("a"), every("columns").alias("b"), "list", F.lit(True).alias("member"), *rest)
     outside = known.filter("component <> largest").select("largest", every("rows").alias("a"), mine("columns", 2).alias("b"), "list", F.lit(False).alias("member"), *rest)
     blocks = members.unionByName(outside).repartition("largest", "a", "b").sortWithinPartitions("largest", "a", "b", "list", "member")
-    second = materialize(blocks.mapInArrow(_cross(percent), "hub long, doc long").distinct(), "jaccard-second")
+    second = blocks.mapInArrow(_cross(percent), "hub long, doc long").unionByName(short).distinct()
     tried = first.select(F.least("hub", "doc").alias("hub"), F.greatest("hub", "doc").alias("doc"))
-    second = _screened(second.join(tried, ["hub", "doc"], "left_anti"), sized, percent)
+    second = _screened(materialize(second, "jaccard-second").join(tried, ["hub", "doc"], "left_anti"), sized, percent)
     more = _linked(second, _texts(source, second), n, percent)
 
     # links between documents, and between a document and the node of its set
-    own = sized.filter("doc_id is not null").join(nodes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node"))
-    own = materialize(own.unionByName(sized.filter("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("node"))), "jaccard-own")
-    as_nodes = lambda df, name, to: df.join(own.select(F.col("doc_id").alias(name), F.col("node").alias(to)).distinct(), name)
-    joined = as_nodes(as_nodes(links.unionByName(more), "a", "x"), "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    joined = named(named(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")), "u", "x", "a"), "v", "y", "a")
+    joined = joined.select(F.col("x").alias("a"), F.col("y").alias("b"))
     # a repeated doc_id ties the nodes of its rows together
-    repeated = own.filter("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
-    ties = own.join(repeated.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b"))
+    ties = own.join(names, "doc_id").select("a", F.col("node").alias("b")).filter("a <> b")
     whole = components(joined.unionByName(ties))
     return own.join(whole, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))

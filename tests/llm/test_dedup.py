@@ -125,6 +125,40 @@ def test_many_near_copies_and_common_words(spark):
     assert Counter(tuple(r) for r in jaccard.join(docs).collect()) == near(rows, 4, 85)
 
 
+def test_rarest_shingles_meet():
+    """Two similar sets share one of their rarest shingles, however these are counted."""
+    rng = np.random.default_rng(6)
+    for percent in (60, 80, 85, 100):
+        for size in (1, 2, 7, 40, 333):
+            for _ in range(20):
+                a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+                b = np.unique(np.concatenate([a[int(rng.integers(0, size // 8 + 1)) :], rng.integers(0, 1 << 63, int(rng.integers(0, size // 8 + 1))).astype(np.uint64)]))
+                both = len(np.intersect1d(a, b))
+                if 100 * both < percent * (len(a) + len(b) - both):
+                    continue
+                counts = rng.integers(0, 3, jaccard.COUNTERS)
+                assert len(np.intersect1d(jaccard.rarest(a, counts, percent), jaccard.rarest(b, counts, percent)))
+    assert len(jaccard.rarest(np.zeros(0, np.uint64), np.zeros(jaccard.COUNTERS, np.int64), 85)) == 0
+
+
+def test_groups_that_do_not_hang_together(spark, monkeypatch):
+    """Copies too far from their base, some near one another, an id that repeats with many texts, and every key crowded."""
+    rng = random.Random(8)
+    base = prose(rng, 150).split()
+    rows = []
+    for i in range(240):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 12, 18])):
+            words[rng.randrange(len(words))] = f"own{rng.randrange(10**6)}"
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(words[: rng.choice([140, 150])]))]
+    rows += [(5000, t) for _, t in rows[::9]] + [(6000 + i, t) for i, (_, t) in enumerate(rows[::7])] + [(None, rows[0][1]), (7000, ""), (7001, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    expected = near(rows, 4, 85)
+    assert Counter(tuple(r) for r in jaccard.join(docs).collect()) == expected
+    monkeypatch.setattr(jaccard, "CROWDED", 2)
+    assert Counter(tuple(r) for r in jaccard.join(docs).collect()) == expected
+
+
 def test_short_texts_and_their_extensions(spark):
     """Many texts lie under the same empty segments, with and without an allowance."""
     rng = random.Random(11)
