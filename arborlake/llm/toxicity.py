@@ -12,13 +12,17 @@ of its label as one sampled row stands for. Document frequencies are counted ove
 
 Cases: a null or empty text has no marks and gets the prior. With no labelled row the prior is 0. Several labels
 of one document count by their mean (1 from a half on); null labels are ignored. Repeated rows get equal scores.
-Ties in nearness go to the smaller example number (order of doc_id). Other columns are carried by ``annotate``.
+Examples that tie with the last of the ``NEIGHBOURS`` nearest vote as well; the evidence names the first of them by example
+number. Very long texts are read whole, by one task each. With no documents there are no rows. Other columns are carried
+by ``annotate``.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -96,7 +100,7 @@ class Index:
         return {m: x / length for m, x in raw.items()} if length else {}
 
     def nearest(self, counts: dict[int, int], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
-        """The k examples of largest positive cosine as (cosine, example), ties to the smaller example."""
+        """The k examples of largest positive cosine and all that tie with the k-th, as (cosine, example), ties in order of examples."""
         query = self.vector(counts)
         if not query or not self.blocks:
             return []
@@ -104,22 +108,23 @@ class Index:
         best: list[tuple[float, int]] = []
         for block in np.argsort(-bounds, kind="stable").tolist():
             # a little slack: a bound and a cosine are rounded apart
-            if bounds[block] <= 0 or len(best) == k and bounds[block] < best[-1][0] - 1e-9:
+            if bounds[block] <= 0 or len(best) >= k and bounds[block] < best[k - 1][0] - 1e-9:
                 break
             sums = np.zeros(BLOCK)
             for mark, weight in query.items():
                 at, weights = self.postings[mark]
                 first, last = self.starts[mark][block], self.starts[mark][block + 1]
                 sums[at[first:last] - block * BLOCK] += weight * weights[first:last]
-            found = np.flatnonzero(sums > (best[-1][0] - 1e-9 if len(best) == k else 0))
+            found = np.flatnonzero(sums > (best[k - 1][0] - 1e-9 if len(best) >= k else 0))
             if len(found):
                 best += [(round(float(sums[i]), 9), block * BLOCK + int(i)) for i in found]
                 best.sort(key=lambda x: (-x[0], x[1]))
-                del best[k:]
+                if len(best) > k:
+                    del best[bisect.bisect_right(best, -best[k - 1][0], key=lambda x: -x[0]) :]
         return best
 
     def score(self, text: str | None) -> tuple[float, list]:
-        """Probability of label 1, and the ids of the examples that it rests on."""
+        """Probability of label 1, and the ids of the nearest ``NEIGHBOURS`` examples that it rests on; those tied with the last vote too."""
         counts = self.count(text)
         if not counts:
             return self.prior, []
@@ -133,7 +138,7 @@ class Index:
                 weight = self.stands_for[int(self.labels[i])] / (LEAST_DISTANCE + 1 - cosine)
                 votes += weight * self.labels[i]
                 weights += weight
-            self.cache[key] = ((votes + PRIOR_WEIGHT * self.prior) / (weights + PRIOR_WEIGHT), [self.ids[i] for _, i in found])
+            self.cache[key] = ((votes + PRIOR_WEIGHT * self.prior) / (weights + PRIOR_WEIGHT), [self.ids[i] for _, i in found[:NEIGHBOURS]])
         return self.cache[key]
 
 
@@ -166,10 +171,15 @@ def _labelled(docs: DataFrame, labels: DataFrame, folds: int, fold: int) -> tupl
 
 
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch: every term with its number of texts of label 1 and of label 0."""
     for batch in batches:
+        found: tuple[Counter, Counter] = Counter(), Counter()
         for text, toxic in zip(batch.column(0), batch.column(1)):
-            found = list(set(terms(text.as_py())))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([toxic.as_py()] * len(found), pa.int64())], ["term", "toxic"])
+            found[toxic.as_py()].update(set(terms(text.as_py())))
+        names = sorted(found[0] | found[1])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.string()), *[pa.array([found[label][t] for t in names], pa.int64()) for label in (1, 0)]], ["term", "a", "b"]
+        )
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0) -> Index:
@@ -183,9 +193,9 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0) -> In
     if positive and negative:
         counted = (
             sample.select("text", F.col("toxic").cast("long"))
-            .mapInArrow(_term_rows, "term string, toxic long")
+            .mapInArrow(_term_rows, "term string, a long, b long")
             .groupBy("term")
-            .agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
+            .agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
             .filter(F.col("a") + F.col("b") >= LEAST_EXAMPLES)
         )
         a, b = F.col("a"), F.col("b")
@@ -226,23 +236,22 @@ def _counted(sample: DataFrame, counter: Index) -> list[tuple]:
 
 
 def _document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
-    """Smoothed idf of the marks over all documents."""
+    """Smoothed idf of the marks over all documents. Tasks count, Spark adds up; the driver gets a row for each mark."""
     size = len(vocabulary)
     counter = Index(vocabulary, np.ones(size), np.zeros(0), [], [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, found = 0, np.zeros(size, np.int64)
+        # the place after the marks counts the documents
+        found = np.zeros(size + 1, np.int64)
         for batch in batches:
             for text in batch.column(0):
-                found[list(counter.count(text.as_py()))] += 1
-                n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([found.tolist()], pa.list_(pa.int64()))], ["n", "found"])
-
-    n, found = 0, np.zeros(size)
-    for row in docs.select("text").mapInArrow(run, "n long, found array<long>").toLocalIterator():
-        n += row.n
-        found += np.array(row.found, float) if size else 0
-    return np.log((1 + n) / (1 + found)) + 1
+                found[[*counter.count(text.as_py()), size]] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1), pa.int64()), pa.array(found)], ["mark", "found"])
+
+    found = np.zeros(size + 1)
+    for row in docs.select("text").mapInArrow(run, "mark long, found long").groupBy("mark").agg(F.sum("found").alias("found")).collect():
+        found[row.mark] = row.found
+    return np.log((1 + found[size]) / (1 + found[:size])) + 1
 
 
 def annotate(docs: DataFrame, model: Index, text: str = "text", score: str = "score", evidence: str = "evidence") -> DataFrame:
