@@ -14,7 +14,8 @@ made side by side and chained, and then every piece is filled in from its ends.
 
 Cases: a text that is null or has no letter is `und` with score 0, and so is every text where nothing could be
 learned. Ties go to the language that is first by name. Repeated rows get equal results. A null doc_id is in
-no fold and is not learned from. Other columns are ignored.
+no fold and is not learned from. Very long texts are read whole, by one task each. With no documents there are no
+rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +35,10 @@ from arborlake.llm.pretokens import chunks
 
 #: The training sample: expected documents of a language, stretches of a document, words of a stretch.
 DOCUMENTS, STRETCHES, STRETCH_WORDS = 300, 6, 24
-#: The languages learned, those of most documents.
-LANGUAGES = 200
+#: Documents of a language times the square of the number of languages; up to ten languages lend ``DOCUMENTS`` each.
+ROOM = 30_000
+#: Numbers held at one time for the expected moves between words.
+HELD = 4_000_000
 #: A feature is used if so many different words have it; a word is in the lexicon if it was seen so often.
 LEAST_WORDS, LEAST_SEEN = 2, 3
 ROUNDS, RATE, RIDGE = 40, 0.15, 1e-4
@@ -194,8 +197,10 @@ def train(stretches: list[tuple[str, list[str]]], seed: int = 7) -> Field:
         residual[np.arange(len(gold)), gold] += 1
         by_word = [np.bincount(at, residual[:, j], len(vocabulary)) for j in range(k)]
         up = np.stack([np.bincount(flat, by_word[j][owner], len(index)) for j in range(k)], axis=1)
-        pairs = alpha[inner - 1][:, :, None] * moves[None] * (potentials[inner] * beta[inner])[:, None, :]
-        pairs = (pairs / pairs.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        pairs = np.zeros((k, k))
+        for some in np.array_split(inner, -(-len(inner) * k * k // HELD) or 1):
+            each = alpha[some - 1][:, :, None] * moves[None] * (potentials[some] * beta[some])[:, None, :]
+            pairs += (each / each.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
         kept = np.zeros((k, k))
         np.add.at(kept, (gold[inner - 1], gold[inner]), 1)
         for x, m, s, g in zip(w, mean, square, [up, kept - pairs, residual[first].sum(axis=0)]):
@@ -208,29 +213,39 @@ def train(stretches: list[tuple[str, list[str]]], seed: int = 7) -> Field:
     return Field(names, index, *w)
 
 
+def documents_of_each(languages: int) -> float:
+    """Expected documents that each of so many languages lends to the fit. Training holds a number for each word and language, so this
+    falls with the square of the languages; it is one at least."""
+    return min(float(DOCUMENTS), max(1.0, ROOM / languages**2))
+
+
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        langs, lines = [], []
         for lang, text in zip(batch.column(0), batch.column(1)):
             found = words(text.as_py())
             pieces = [found[i : i + STRETCH_WORDS] for i in range(0, len(found), STRETCH_WORDS)]
             # any of a document's stretches, by the hash of its words
             pieces.sort(key=lambda p: zlib.crc32(" ".join(p).encode()))
-            pieces = pieces[:STRETCHES]
-            if pieces:
-                yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(pieces), pa.string()), pa.array(pieces, pa.list_(pa.string()))], ["lang", "words"])
+            lines += pieces[:STRETCHES]
+            langs += [lang.as_py()] * len(pieces[:STRETCHES])
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(lines, pa.list_(pa.string()))], ["lang", "words"])
 
 
 def fit(docs: DataFrame, folds: int = 4, fold: int = 2, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Field:
     """Learn from the documents whose crc32(doc_id) mod ``folds`` is not ``fold`` and whose language is known."""
     rest = F.pmod(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")), F.lit(folds)) != fold
     known = docs.filter(rest & F.col(lang).isNotNull())
-    counts = known.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    place = F.pmod(F.xxhash64(doc_id, F.lit(1)), F.lit(1_000_000))
+    counts = known.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n"), F.min(place).alias("first")).collect()
     if not counts:
         return train([])
-    shares = F.create_map(*[F.lit(x) for row in counts for x in (row.lang, min(1.0, DOCUMENTS / row["count"]))])
-    chosen = F.pmod(F.xxhash64(doc_id, F.lit(1)), F.lit(1_000_000)) < F.try_element_at(shares, F.col(lang)) * 1_000_000
-    sample = known.filter(chosen).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    rows = sample.mapInArrow(_stretches, "lang string, words array<string>").toLocalIterator()
+    most = documents_of_each(len(counts))
+    # the document of the least hash is always in, so no language is left out
+    below = F.create_map(*[F.lit(x) for row in counts for x in (row.lang, max(most / row.n * 1_000_000, row.first + 0.5))])
+    sample = known.filter(place < F.try_element_at(below, F.col(lang))).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    # one job over all partitions; the rows are bounded by the sample
+    rows = sample.mapInArrow(_stretches, "lang string, words array<string>").collect()
     return train([(r.lang, list(r.words)) for r in rows])
 
 

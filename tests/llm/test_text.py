@@ -215,6 +215,18 @@ def test_language_does_not_look_at_held_out_labels(edge_docs):
     assert a.names == b.names and np.array_equal(a.weights, b.weights)
 
 
+def test_no_language_is_left_out(spark):
+    """260 languages of one word each beside a frequent one."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rare = [a + b for a in letters[:10] for b in letters]
+    rows = [(lang, f"{lang * 3} {lang * 4}") for lang in rare for _ in range(2)] + [("common", "the same words again")] * 500
+    docs = spark.createDataFrame([(i, text, lang) for i, (lang, text) in enumerate(rows)], "doc_id long, text string, lang string")
+    seen = {r.lang for r in docs.filter("crc32(cast(doc_id as string)) % 4 <> 2").select("lang").distinct().collect()}
+    assert len(seen) > 200
+    assert language.fit(docs).names == sorted(seen)
+    assert [language.documents_of_each(n) for n in (1, 10, 20, 10_000)] == [300, 300, 75, 1]
+
+
 def test_held_out_languages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     got = language.predict(docs, language.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out")
@@ -236,10 +248,29 @@ def test_block_maxima_find_the_nearest():
         for m, w in index.vector(counts).items():
             query[m] = w
         cosines = vectors @ query
-        want = sorted(((-round(float(c), 9), i) for i, c in enumerate(cosines) if c > 0))[: toxicity.NEIGHBOURS]
+        want = sorted(((-round(float(c), 9), i) for i, c in enumerate(cosines) if c > 0))
+        # those that tie with the last one vote as well
+        want = [x for x in want if x[0] <= want[: toxicity.NEIGHBOURS][-1][0]]
         assert index.nearest(counts) == [(-c, i) for c, i in want]
 
 
+def test_all_tied_examples_vote():
+    labels = np.array([0.0] * 12 + [1.0] * 36)
+    index = toxicity.Index({"a": 0}, np.ones(1), labels, list(range(48)), [{0: 1}] * 48, 0.0)
+    near = 1 / toxicity.LEAST_DISTANCE
+    score, evidence = index.score("a")
+    assert score == pytest.approx(36 * near / (48 * near + toxicity.PRIOR_WEIGHT))
+    assert evidence == list(range(toxicity.NEIGHBOURS))
+
+
+def test_document_frequencies_count_every_document(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["red red", "red sky", None, "", "sky", "sea"] * 50)], "doc_id long, text string").repartition(7)
+    got = toxicity._document_frequencies(docs, {"red": 0, "sky": 1, "unseen": 2})
+    assert np.allclose(got, np.log(301 / np.array([101, 101, 1])) + 1)
+    assert len(toxicity._document_frequencies(docs, {})) == 0
+    assert np.allclose(toxicity._document_frequencies(docs.limit(0), {"red": 0}), [1.0])
+
+
 def test_toxicity(spark, folder):
     docs, labels = spark.read.parquet(f"{folder}/../sf0.01/documents.parquet"), spark.read.parquet(f"{folder}/../sf0.01/labels.parquet")
     got = toxicity.scores(docs, labels).join(labels, "doc_id").filter("held_out").collect()
