@@ -10,11 +10,13 @@ from pyspark.sql import types as T
 
 from arborlake.functions import ids
 from arborlake.schemas import _schema
-from arborlake.skew import lookup_join
+from arborlake.skew import SALTS, lookup_join
 from arborlake.storage import materialize
 
 # The place of a row in what was put together: the skeleton it came with, then its place in that.
 RANK = ("part", "ord")
+#: Rows that one task of an upsert sorts.
+TASK_ROWS = 50_000
 
 SOURCE_NODE = _schema(
     """source_kind string, source_instance string, local_id string, node_kind string, native_ref string,
@@ -205,31 +207,43 @@ def cross_evidence(rows: DataFrame, labels: Labels = Labels()) -> DataFrame:
                      F.lit(labels.graph_name), "inferred", c("confidence"), labels)
 
 
-def _last_per(df: DataFrame, key: str, names: list[str], rank: Column) -> DataFrame:
-    best = df.groupBy(key).agg(F.max_by(F.struct(*names), rank).alias("_n"))
-    return best.select(*[F.col(key) if n == key else F.col(f"_n.{n}").alias(n) for n in names])
+def _last_per(df: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """The last row per key, by rank and, where two rows have one rank, by content.
+
+    Rows are dealt out before they are sorted, so a task sorts about ``TASK_ROWS`` of them whatever the input's size and
+    splits. A key of very many rows is first brought down to one row for each salt. Contents are compared as text, which
+    is made while rows are compared and neither sorted nor shuffled.
+    """
+    rank = ["_stage", *[f"_{n}" for n in RANK]]
+    tasks = df.count() // TASK_ROWS + 1
+
+    def best(rows: DataFrame, *by: str) -> DataFrame:
+        last = F.max_by(F.struct(*names, *rank), F.struct(*rank, F.to_json(F.struct(*names)).alias("content")))
+        return rows.repartition(tasks, *by).groupBy(*by).agg(last.alias("_n")).select("_n.*")
+
+    if tasks > 1:
+        df = best(df.withColumn("_salt", F.pmod(F.xxhash64(*names, *rank), F.lit(SALTS))), key, "_salt")
+    return best(df, key).select(*names)
 
 
 def _ranked(df: DataFrame, names: list[str], stage: int, last: bool = True) -> DataFrame:
-    """Columns with a rank: stage, place, and content where two rows have one place; ``last`` wins or the first."""
-    content = F.to_json(F.struct(*names))
+    """Columns with a rank: stage and place; ``last`` wins or the first."""
     df = _placed(df)
-    place = [F.col(n) if last else -F.col(n) for n in RANK]
-    return df.select(*names, F.struct(F.lit(stage).alias("stage"), *[x.alias(n) for x, n in zip(place, RANK)], content.alias("content")).alias("_rank"))
+    return df.select(*names, F.lit(stage).alias("_stage"), *[(F.col(n) if last else -F.col(n)).alias(f"_{n}") for n in RANK])
 
 
 def upsert_nodes(existing: DataFrame, nodes: DataFrame) -> DataFrame:
     """Last row per gid; incoming rows come after stored ones."""
     names = NODE.fieldNames()
     both = _ranked(node_rows(nodes), names, 1).unionByName(_ranked(existing, names, 0))
-    return _last_per(both, "gid", names, F.col("_rank"))
+    return _last_per(both, "gid", names)
 
 
 def upsert_edges(existing: DataFrame, edges: DataFrame, cross_edges: DataFrame) -> DataFrame:
     """Last row per edge id; cross-source edges come after same-source ones."""
     names = EDGE.fieldNames()
     both = _ranked(existing, names, 0).unionByName(_ranked(edge_rows(edges), names, 1)).unionByName(_ranked(cross_edge_rows(cross_edges), names, 2))
-    return _last_per(both, "edge_id", names, F.col("_rank"))
+    return _last_per(both, "edge_id", names)
 
 
 def upsert_evidence(existing: DataFrame, sk: Skeleton, labels: Labels = Labels()) -> DataFrame:
@@ -244,7 +258,7 @@ def upsert_evidence(existing: DataFrame, sk: Skeleton, labels: Labels = Labels()
     ]
     for df, stage in derived:
         both = both.unionByName(_ranked(df, names, stage, last=False))
-    return _last_per(both, "evidence_id", names, F.col("_rank"))
+    return _last_per(both, "evidence_id", names)
 
 
 def dangling_edges(nodes: DataFrame, sk: Skeleton) -> DataFrame:
@@ -254,7 +268,9 @@ def dangling_edges(nodes: DataFrame, sk: Skeleton) -> DataFrame:
     """
     names = ["edge_id", "source_gid", "target_gid", "edge_kind"]
     edges = edge_rows(sk.edges).select(*names).unionByName(cross_edge_rows(sk.cross_edges).select(*names))
-    ends = edges.select(F.explode(F.array("source_gid", "target_gid")).alias("gid")).distinct()
+    # dealt out first, so a task holds a bounded number of them whatever the input's splits
+    ends = edges.select(F.explode(F.array("source_gid", "target_gid")).alias("gid"), F.pmod(F.xxhash64("edge_id"), F.lit(SALTS)).alias("_salt"))
+    ends = ends.repartition(edges.count() // TASK_ROWS + 1, "gid", "_salt").select("gid").distinct()
     missing = ends.join(nodes.select("gid"), "gid", "left_anti")
     src = missing.select(F.col("gid").alias("source_gid"), F.lit(True).alias("no_source"))
     dst = missing.select(F.col("gid").alias("target_gid"), F.lit(True).alias("no_target"))

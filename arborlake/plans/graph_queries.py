@@ -242,11 +242,13 @@ def inventory_edges(spark, d):
 
 def full_skeleton(spark, d):
     """Objects and catalogue together, with a lineage edge from every object to the table of its number."""
-    objs = GA.object_skeleton(V.objects(spark, d))
-    rel = GA.relational_skeleton(V.columns(spark, d))
+    # a small file is one split whatever its rows, so these are dealt out before ids are made of them
+    columns, objects = V.columns(spark, d).repartition("column"), V.objects(spark, d).repartition("key")
+    objs = GA.object_skeleton(objects)
+    rel = GA.relational_skeleton(columns)
     pid = F.col("last_modified_unix_ms") / 1000
-    o = V.objects(spark, d).withColumn("k", pid.cast("long"))
-    t = V.columns(spark, d).select(F.col("ordinal_position").alias("k"), F.col("object_ref").alias("to_instance"), F.concat_ws("/", "schema", "table").alias("to_local_id"))
+    o = objects.withColumn("k", pid.cast("long"))
+    t = columns.select(F.col("ordinal_position").alias("k"), F.col("object_ref").alias("to_instance"), F.concat_ws("/", "schema", "table").alias("to_local_id"))
     cross = o.join(t, "k").select(
         F.lit("s3").alias("from_kind"), F.col("object_ref").alias("from_instance"), F.concat_ws("/", "bucket", "key").alias("from_local_id"),
         F.lit("mysql").alias("to_kind"), "to_instance", "to_local_id", F.lit(G.LOADED_INTO).alias("edge_kind"), F.lit(G.INFERRED).alias("confidence"),

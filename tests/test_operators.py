@@ -325,3 +325,19 @@ def test_only_a_boolean_says_that_a_schema_exists(spark):
 def test_scan_limit_is_per_group(spark):
     rows = spark.createDataFrame([(g, f"/f{i}", False, 1, 1) for g in "ab" for i in range(3)], "group_id string, path string, is_dir boolean, size long, mtime_us long")
     assert L.scan_targeted(rows, "/f0", max_events=1).count() == 2  # one in each group
+
+
+def test_upserts_deal_rows_out_before_they_sort_them(spark, monkeypatch):
+    """Many small tasks and one hot id give the rows that one task gives; content decides between rows of one place."""
+    nodes = [("fs", "i", f"n{i}", "asset", f"name{j}", j % 3) for i in range(30) for j in range(4)]
+    nodes += [("fs", "i", "hot", "asset", f"name{j}", 7) for j in range(90)]
+    rows = spark.createDataFrame(nodes, "source_kind string, source_instance string, local_id string, node_kind string, display_name string, ord long")
+    whole = G.upsert_nodes(G.empty_graph(spark).nodes, G.skeleton(spark, rows).nodes)
+    want = {r.gid: r.display_name for r in whole.collect()}
+    assert want == {"fs:i:hot": "name9"} | {f"fs:i:n{i}": "name2" for i in range(30)}
+    monkeypatch.setattr(G, "TASK_ROWS", 10)
+    dealt = G.upsert_nodes(G.empty_graph(spark).nodes, G.skeleton(spark, rows).nodes)
+    assert {r.gid: r.display_name for r in dealt.collect()} == want and dealt.count() == 31
+    # the input's splits do not decide how many rows a task sorts
+    assert dealt.rdd.getNumPartitions() == len(nodes) // 10 + 1
+    G.ingest(G.empty_graph(spark), G.skeleton(spark, rows, spark.createDataFrame([("fs", "i", "hot", f"n{i}", "contains") for i in range(30)], "source_kind string, source_instance string, from_local_id string, to_local_id string, edge_kind string")))
