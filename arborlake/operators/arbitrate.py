@@ -305,24 +305,22 @@ def _shape(touched: DataFrame) -> Shape:
 
 
 def _fold_level(
-    rows: DataFrame, lines: Lines, ends: DataFrame | None, small_ends: bool, policy: PF.Policy, timeline: bool, label: str,
+    rows: DataFrame, lines: Lines, ends: DataFrame | None, texts, policy: PF.Policy, timeline: bool, label: str,
     hot: DataFrame | None = None,
 ) -> DataFrame:
+    """``ends`` are the audit ends of the groups, unless they are few: then ``texts`` is a broadcast of them."""
     stream, timelines = _aligned(rows), None
     if lines.n_timeline + lines.n_purges > SMALL_EVENTS:
         for fx in _effect_rows(rows, lines):
             stream = stream.unionByName(_aligned(fx.withColumn("kind", F.lit("fx"))))
     elif lines.n_timeline:
         timelines = _timelines(rows.sparkSession, lines)
-    if ends is not None and not small_ends:
+    if ends is not None:
         stream = lookup_join(stream, ends, ["group_id"], salt_from=["path"], small=False)
 
     def ready(df: DataFrame, order: list[str]) -> DataFrame:
         if ends is None:
             df = df.withColumn("ends", F.lit(None).cast("string"))
-        elif small_ends:
-            # broadcast after the shuffle, so the strings are never shuffled
-            df = df.join(F.broadcast(ends), ["group_id"], "left")
         extra = ["chunk"] if "chunk" in df.columns else []
         return df.sortWithinPartitions(*order).select(*PF.INPUT_COLUMNS, "prior", *extra)
 
@@ -332,14 +330,14 @@ def _fold_level(
     else:
         names = F.broadcast(hot.select(*KEY))
         cold = stream.join(names, KEY, "left_anti")
-    folded = ready(cold.repartition(*KEY), order).mapInArrow(CF.folder(policy, timeline, timelines), PF.OUTPUT_DDL)
+    folded = ready(cold.repartition(*KEY), order).mapInArrow(CF.folder(policy, timeline, timelines, texts), PF.OUTPUT_DDL)
     out = materialize(folded, label, partition_by="out")
     if hot is None:
         return out
-    return out.unionByName(_fold_chunks(stream.join(names, KEY, "left_semi"), hot, ready, policy, timeline, timelines, label))
+    return out.unionByName(_fold_chunks(stream.join(names, KEY, "left_semi"), hot, ready, policy, timeline, timelines, texts, label))
 
 
-def _fold_chunks(stream: DataFrame, hot: DataFrame, ready, policy: PF.Policy, timeline: bool, timelines, label: str) -> DataFrame:
+def _fold_chunks(stream: DataFrame, hot: DataFrame, ready, policy: PF.Policy, timeline: bool, timelines, texts, label: str) -> DataFrame:
     """Fold hot paths in parallel chunks, exactly.
 
     Every chunk is folded from a guessed entry context; then each chunk whose real entry, the exit
@@ -367,7 +365,7 @@ def _fold_chunks(stream: DataFrame, hot: DataFrame, ready, policy: PF.Policy, ti
     while stale:
         wanted = spark.createDataFrame([(*c,) for c in stale], "group_id string, path string, chunk int")
         part = chunks.where(F.col("chunk").isin(sorted({c[2] for c in stale}))).join(F.broadcast(wanted), [*KEY, "chunk"], "left_semi")
-        run = PF.chunk_folder(policy, timeline, timelines, {c: entries[c] for c in stale if entries[c] is not None}, last)
+        run = PF.chunk_folder(policy, timeline, timelines, texts, {c: entries[c] for c in stale if entries[c] is not None}, last)
         keyed = ready(part.repartition(len(stale), *KEY, "chunk"), [*KEY, "chunk", "seq", "kind"])
         done = materialize(keyed.mapInArrow(run, PF.OUTPUT_DDL), f"{label}-round", partition_by="out")
         rounds.append(done)
@@ -451,7 +449,7 @@ def apply_log(
         lambda: materialize(tagged, f"{label}-records", partition_by="internal"),
     )
 
-    ends_text = None
+    ends_text = texts = None
     if has_ends:
         item = F.concat_ws(":", F.col("seq").cast("string"), F.col("epoch_id").cast("string"),
                            F.col("started_us").cast("string"), F.col("arrival_us").cast("string"))
@@ -459,6 +457,10 @@ def apply_log(
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", item.alias("t")))), lambda s: s["t"]), ";")
             .alias("ends")
         )
+    if has_ends and small_controls:
+        # a copy for each worker, not for each row
+        texts = spark.sparkContext.broadcast({r.group_id: r.ends for r in ends_text.where("group_id is not null").collect()})
+        ends_text = None
 
     folds: list[DataFrame] = []
     lines = Lines()
@@ -473,11 +475,11 @@ def apply_log(
         depths.update(r[0] for r in heads.where("internal").select(P.segment_count("path")).distinct().collect())
     for depth in sorted(depths):
         level = internal_rows.where(P.segment_count("path") == depth)
-        out = _fold_level(level, lines, ends_text, small_controls, policy, True, f"{label}-level", hot)
+        out = _fold_level(level, lines, ends_text, texts, policy, True, f"{label}-level", hot)
         folds.append(out)
         lines.add(out)
     leaves = rows_of(~F.col("internal"))
-    folds.append(_fold_level(leaves, lines, ends_text, small_controls, policy, False, f"{label}-leaves", hot))
+    folds.append(_fold_level(leaves, lines, ends_text, texts, policy, False, f"{label}-leaves", hot))
 
     folded = reduce(DataFrame.unionByName, folds)
     all_purges = _purge_rows(folded)

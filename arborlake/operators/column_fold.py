@@ -57,10 +57,13 @@ def _starts(batch: pa.RecordBatch) -> np.ndarray:
 class ColumnFolder:
     """Folds sorted rows; one instance per task."""
 
-    def __init__(self, policy: PF.Policy, with_timeline: bool, timelines: PF.Timelines | None = None, run_rows: int = RUN_ROWS, long_path: int = LONG_PATH):
-        self.policy, self.with_timeline, self.timelines = policy, with_timeline, timelines
+    def __init__(
+        self, policy: PF.Policy, with_timeline: bool, timelines: PF.Timelines | None = None, run_rows: int = RUN_ROWS, long_path: int = LONG_PATH,
+        ends: dict[str, str] | None = None,
+    ):
+        self.policy, self.with_timeline, self.timelines, self.ends = policy, with_timeline, timelines, ends
         self.run_rows, self.long_path = run_rows, long_path
-        self.rows = PF.PathFolder(policy, with_timeline, timelines)
+        self.rows = PF.PathFolder(policy, with_timeline, timelines, ends)
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -139,7 +142,7 @@ class Run:
             fields = prior.flatten()
             read = lambda i: _source_codes(fields[i]) if i == PF.SOURCE else flags(fields[i]) if i in FLAGS else numbers(fields[i])
             self.prior = [read(i) for i in range(len(PF.STATE_FIELDS))]
-        self._read_ends()
+        self._read_ends(folder.ends)
         # the last timeline entry of a path
         self.marked = [np.zeros(paths, bool), np.zeros(paths, np.int8), np.full(paths, NULL)]
         self.marks: list[tuple] = []
@@ -172,12 +175,13 @@ class Run:
                 before = np.searchsorted(at_seq, seq, "left")
                 self.stale[rows] = scan[rows] & (claimed[rows] > 0) & known[before] & (claimed[rows] < mtime[before])
 
-    def _read_ends(self) -> None:
-        """Audit ends of the groups, one after the other, and the part of them that concerns each path."""
+    def _read_ends(self, ends: dict[str, str] | None) -> None:
+        """Audit ends of the groups, one after the other, and the part of them that concerns each path. They are in the
+        rows, unless ``ends`` has them by group."""
         at = pa.array(self.first)
-        texts = self.batch.column("ends").take(at).dictionary_encode()
+        texts = self.batch.column("ends" if ends is None else "group_id").take(at).dictionary_encode()
         code = pc.fill_null(texts.indices, -1).to_numpy(zero_copy_only=False)
-        parsed = [PF.parse_ends(t) for t in texts.dictionary.to_pylist()]
+        parsed = [PF.parse_ends(t if ends is None else ends.get(t)) for t in texts.dictionary.to_pylist()]
         size = np.array([len(p) for p in parsed] + [0])
         begin = np.concatenate([[0], np.cumsum(size)[:-1]])
         self.end_at = begin[code].astype(np.int64)
@@ -361,10 +365,11 @@ def _source_codes(column: pa.Array) -> np.ndarray:
     return pc.equal(pc.fill_null(column, S.SCAN), S.REALTIME).to_numpy(zero_copy_only=False).astype(np.int8)
 
 
-def folder(policy: PF.Policy, with_timeline: bool, timelines=None):
-    """The function a task runs; ``timelines`` is a broadcast of ``Timelines``."""
+def folder(policy: PF.Policy, with_timeline: bool, timelines=None, ends=None):
+    """The function a task runs; ``timelines`` is a broadcast of ``Timelines``, ``ends`` one of the audit ends' texts by group."""
 
     def run(batches):
-        yield from ColumnFolder(policy, with_timeline, None if timelines is None else timelines.value)(batches)
+        above, texts = (None if x is None else x.value for x in (timelines, ends))
+        yield from ColumnFolder(policy, with_timeline, above, ends=texts)(batches)
 
     return run

@@ -50,6 +50,8 @@ INPUT_COLUMNS = [
 
 
 ENDS = INPUT_COLUMNS.index("ends")
+#: Rows of a batch that are Python values at a time.
+VALUE_ROWS = 4096
 
 
 @dataclass(frozen=True)
@@ -274,10 +276,11 @@ class _Emitter:
 class PathFolder:
     """Folds sorted rows; one instance per task."""
 
-    def __init__(self, policy: Policy, with_timeline: bool, timelines: Timelines | None = None):
+    def __init__(self, policy: Policy, with_timeline: bool, timelines: Timelines | None = None, ends: dict[str, str] | None = None):
         self.policy = policy
         self.with_timeline = with_timeline
         self.timelines = timelines
+        self.ends = ends
         self.emit = _Emitter()
         self.key = None
         self._ends_text, self._ends = None, ()
@@ -291,6 +294,10 @@ class PathFolder:
 
     def feed(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """Fold the rows of a batch; its last path stays open."""
+        for at in range(0, batch.num_rows, VALUE_ROWS):
+            yield from self._feed(batch.slice(at, VALUE_ROWS))
+
+    def _feed(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         chunks = batch.column("chunk").to_pylist() if self.chunked else None
         cols = {name: _values(batch.column(name)) for name in INPUT_COLUMNS}
         prior = batch.column("prior")
@@ -313,6 +320,8 @@ class PathFolder:
         self.state, self.purge_at, self.covered, self.end_at = None, None, frozenset(), 0
         self.seen, self.effects = (False, False, None), None
         self.above = None if self.timelines is None else self.timelines.above(*key[:2])
+        if self.ends is not None:
+            ends = self.ends.get(key[0])
         if ends != self._ends_text:
             self._ends_text, self._ends = ends, parse_ends(ends)
 
@@ -393,8 +402,8 @@ class ChunkFolder(PathFolder):
 
     chunked = True
 
-    def __init__(self, policy, with_timeline, timelines, entries, last_chunks):
-        super().__init__(policy, with_timeline, timelines)
+    def __init__(self, policy, with_timeline, timelines, ends, entries, last_chunks):
+        super().__init__(policy, with_timeline, timelines, ends)
         self.entries, self.last_chunks = entries, last_chunks
 
     def _open(self, key, ends) -> None:
@@ -413,10 +422,10 @@ class ChunkFolder(PathFolder):
         self.key = None
 
 
-def chunk_folder(policy: Policy, with_timeline: bool, timelines, entries, last_chunks):
+def chunk_folder(policy: Policy, with_timeline: bool, timelines, ends, entries, last_chunks):
     def run(batches):
-        above = None if timelines is None else timelines.value
-        yield from ChunkFolder(policy, with_timeline, above, entries, last_chunks)(batches)
+        above, texts = (None if x is None else x.value for x in (timelines, ends))
+        yield from ChunkFolder(policy, with_timeline, above, texts, entries, last_chunks)(batches)
 
     return run
 

@@ -84,3 +84,25 @@ def test_columns_and_rows_agree(seed):
 
 def test_no_rows():
     assert result(CF.ColumnFolder(POLICY, True), [], 1) == Counter()
+
+
+def test_few_rows_are_values_at_a_time():
+    """A path of many records goes through the row-wise fold in slices, whatever the size of a batch."""
+    rng = random.Random(1)
+    base = dict.fromkeys(SCHEMA.names) | {"group_id": "g", "path": "/a", "kind": "rec", "is_dir": False, "size": 1, "ctime_us": 1, "clock_us": 9, "epoch": 0, "audit_skipped": False}
+    rows = [base | {"seq": i, "op": rng.randrange(5), "mtime_us": number(rng), "timestamp_us": number(rng), "arrival_us": i} for i in range(3 * 4096 + 5)]
+    batch = pa.Table.from_pylist(rows, SCHEMA).combine_chunks().to_batches()[0]
+    out = list(CF.ColumnFolder(POLICY, False)(iter([batch])))
+    assert max(b.num_rows for b in out) <= 4096
+    assert sum(b.num_rows for b in out if b.column("out")[0].as_py() == "outcome") == len(rows)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_ends_by_group_are_those_of_the_rows(seed):
+    """Audit ends that come once for each group, and not with every row."""
+    rows = task_rows(random.Random(seed), effects=seed % 2 == 0)
+    texts = {r["group_id"]: r["ends"] for r in rows if r["ends"]}
+    bare = [r | {"ends": None} for r in rows]
+    want = result(PF.PathFolder(POLICY, True), rows, 1000)
+    assert result(PF.PathFolder(POLICY, True, ends=texts), bare, 1000) == want
+    assert result(CF.ColumnFolder(POLICY, True, None, 20, 3, texts), bare, 7) == want
