@@ -125,6 +125,11 @@ class Band:
     exact: int
     slack: int
 
+    def keys(self, size: int) -> int:
+        """About how many keys a set is filed under: one for each segment, and one for each element in a segment with the allowance."""
+        segments = self.wide + self.exact
+        return segments + size * self.wide // segments
+
 
 def difference(s: int, r: int, percent: int) -> int:
     """The most elements in which sets of these sizes may differ."""
@@ -487,7 +492,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id",
     nodes = materialize(
         sized.filter("doc_id is not null and n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node")), "jaccard-nodes"
     )
-    total = sum(c * sum(b.exact + b.wide for b in plan if b.low <= s <= b.most) for s, c in counts.items())
+    total = sum(c * sum(b.keys(s) for b in plan if b.low <= s <= b.most) for s, c in counts.items())
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 13 * total // PARTITION_BYTES + 1)
     filed = source.mapInArrow(_file(n, percent, plan, parts), "slice int, keys binary, bands binary, docs binary")
     keys = materialize(filed.repartitionById(parts, "slice").mapInArrow(_meet, LISTS), "jaccard-keys")

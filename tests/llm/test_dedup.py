@@ -188,6 +188,18 @@ def test_crowded_keys_show_when_slack_is_used_up():
             assert (1 + (shared >> np.uint64(8) & np.uint64(1))).sum() > band.slack
 
 
+def test_keys_are_counted_with_those_of_the_allowance():
+    """Partitions of the candidate search are as many as the keys need, not only the segments."""
+    rng = np.random.default_rng(4)
+    for size in (20, 60, 150):
+        plan = jaccard.bands({s: 200_000 for s in range(1, size * 2)}, 80)
+        assert any(b.wide for b in plan if b.low <= size <= b.most)
+        sets = [np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64)) for _ in range(50)]
+        filed = len(jaccard.file_keys(sets, plan, 80)[0])
+        counted = 50 * sum(b.keys(size) for b in plan if b.low <= size <= b.most)
+        assert 0.9 * filed <= counted <= 1.1 * filed
+
+
 def test_segments_never_miss():
     """Any two sets within the bound share a key outside the slack."""
     rng = np.random.default_rng(2)
