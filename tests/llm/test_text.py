@@ -318,3 +318,15 @@ def test_toxicity_of_odd_rows(spark, edge_docs, edge_rows, no_docs):
     kept = toxicity.reject(edge_docs, nothing)
     assert kept.columns == edge_docs.columns and kept.count() == len(edge_rows)
     assert toxicity.scores(no_docs, labels).collect() == []
+
+
+def test_pieces_by_the_model_alone():
+    """A new pre-token's ids are the file's, without its whole way to them; every byte has its letter."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    assert sorted(packing.byte_letters()) == list(range(256)) and set(packing.byte_letters().values()) == set(ByteLevel.alphabet())
+    tokens, whole = packing.Tokens(VOCABULARY, PATTERN), Tokenizer.from_file(VOCABULARY)
+    texts = [" \u00e9t\u00e9 na\u00efve", "\x00\x01\x7f\x80\u00ad\u00ff", "\U0001f600\U0001f600 a", "   \n\n\t x", "\u4e2d\u6587 \u0441\u043b\u043e\u0432\u043e", "don't 12345 " + "q" * 3000, ""]
+    tokens.tokenizer = None  # no text here holds an added token
+    for text, ids in zip(texts, tokens.encode(texts)):
+        assert np.frombuffer(ids, tokens.kind).tolist() == whole.encode(text, add_special_tokens=False).ids
