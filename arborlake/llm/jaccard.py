@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from arborlake.llm.components import components
 from arborlake.llm.pretokens import chunks
+from arborlake.llm.worker import cleared
 from arborlake.storage import materialize
 
 #: Bytes of keys in a partition of the candidate search, and characters of text worked on at once.
@@ -456,7 +457,7 @@ def _screened(pairs: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
     facts = lambda name, i: sized.select(F.col("doc_id").alias(name), F.col("n_shingles").alias(f"n{i}"), F.col("counts").alias(f"c{i}"))
     half = materialize(materialize(pairs, "jaccard-pairs").join(facts("hub", 1), "hub"), "jaccard-half")
     both = half.join(facts("doc", 2), "doc").select("hub", "doc", "n1", "c1", "n2", "c2")
-    return materialize(both.mapInArrow(_possible(percent), "hub long, doc long").distinct(), "jaccard-possible")
+    return materialize(both.mapInArrow(cleared(_possible(percent)), "hub long, doc long").distinct(), "jaccard-possible")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -470,7 +471,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     wanted = dealt.unionByName(dealt.select("hub", F.col("hub").alias("doc"), "salt").distinct())
     rows = wanted.join(texts.withColumnRenamed("doc_id", "doc"), "doc").select("hub", "salt", "doc", "text")
     ordered = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("doc") != F.col("hub"))
-    return materialize(ordered.mapInArrow(_verify(n, percent), "a long, b long"), "jaccard-links")
+    return materialize(ordered.mapInArrow(cleared(_verify(n, percent)), "a long, b long"), "jaccard-links")
 
 
 def _texts(source: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -486,7 +487,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id",
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     spark = docs.sparkSession
-    sized = materialize(source.mapInArrow(_sizes(n), "doc_id long, n_shingles long, digest binary, counts binary"), "jaccard-sizes")
+    sized = materialize(source.mapInArrow(cleared(_sizes(n)), "doc_id long, n_shingles long, digest binary, counts binary"), "jaccard-sizes")
     counts = {r.n_shingles: r["count"] for r in sized.filter("n_shingles > 0").groupBy("n_shingles").count().toLocalIterator()}
     plan = bands(counts, percent)
     nodes = materialize(
@@ -494,8 +495,8 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id",
     )
     total = sum(c * sum(b.keys(s) for b in plan if b.low <= s <= b.most) for s, c in counts.items())
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 13 * total // PARTITION_BYTES + 1)
-    filed = source.mapInArrow(_file(n, percent, plan, parts), "slice int, keys binary, bands binary, docs binary")
-    keys = materialize(filed.repartitionById(parts, "slice").mapInArrow(_meet, LISTS), "jaccard-keys")
+    filed = source.mapInArrow(cleared(_file(n, percent, plan, parts)), "slice int, keys binary, bands binary, docs binary")
+    keys = materialize(filed.repartitionById(parts, "slice").mapInArrow(cleared(_meet), LISTS), "jaccard-keys")
     own = sized.filter("doc_id is not null").join(nodes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node"))
     own = materialize(own.unionByName(sized.filter("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("node"))), "jaccard-own")
     # documents of one set go by its node; a repeated doc_id, which has several, goes by itself
@@ -532,10 +533,10 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id",
     busy = placed.filter(crowded).join(crowd.filter(F.col("crowd") > slack), ["doc", "band"], "left_semi")
     busy = materialize(busy.groupBy("doc").agg(F.min("component").alias("component")), "jaccard-busy")
     again = materialize(busy.join(source, F.col("doc") == F.col("doc_id")).select("doc", "component", "text"), "jaccard-again")
-    seen = again.select("text").mapInArrow(_occurrences(n), "counter long, times long").groupBy("counter").agg(F.sum("times").alias("times")).toArrow()
+    seen = again.select("text").mapInArrow(cleared(_occurrences(n)), "counter long, times long").groupBy("counter").agg(F.sum("times").alias("times")).toArrow()
     counts = np.zeros(COUNTERS, np.int64)
     counts[seen["counter"].to_numpy()] = seen["times"].to_numpy()
-    rare = materialize(again.mapInArrow(_file_rarest(n, percent, spark.sparkContext.broadcast(counts)), "list long, doc long, component long").distinct(), "jaccard-rarest")
+    rare = materialize(again.mapInArrow(cleared(_file_rarest(n, percent, spark.sparkContext.broadcast(counts))), "list long, doc long, component long").distinct(), "jaccard-rarest")
     still = materialize(rare.join(materialize(several(rare), "jaccard-shared"), "list", "left_semi"), "jaccard-still")
     # only members outside a list's largest component are compared, with all of it
     by_part = still.groupBy("list", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -555,7 +556,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id",
     members = known.select("largest", mine("rows", 1).alias("a"), every("columns").alias("b"), "list", F.lit(True).alias("member"), *rest)
     outside = known.filter("component <> largest").select("largest", every("rows").alias("a"), mine("columns", 2).alias("b"), "list", F.lit(False).alias("member"), *rest)
     blocks = members.unionByName(outside).repartition("largest", "a", "b").sortWithinPartitions("largest", "a", "b", "list", "member")
-    second = blocks.mapInArrow(_cross(percent), "hub long, doc long").unionByName(short).distinct()
+    second = blocks.mapInArrow(cleared(_cross(percent)), "hub long, doc long").unionByName(short).distinct()
     tried = first.select(F.least("hub", "doc").alias("hub"), F.greatest("hub", "doc").alias("doc"))
     second = _screened(materialize(second, "jaccard-second").join(tried, ["hub", "doc"], "left_anti"), sized, percent)
     more = _linked(second, _texts(source, second), n, percent)

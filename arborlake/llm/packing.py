@@ -17,7 +17,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from struct import pack
 
 import numpy as np
@@ -27,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborlake.llm.pretokens import Recent, chunks, splitter
+from arborlake.llm.worker import keep
 from arborlake.storage import fresh_path
 
 #: Pre-tokens that a worker remembers in each generation, and the longest that it does.
@@ -90,9 +90,8 @@ class Tokens:
         return pack(f"<{len(ids)}{self.code}", *ids)
 
 
-@lru_cache(maxsize=2)
 def tokens(path: str, pattern: str) -> Tokens:
-    return Tokens(path, pattern)
+    return keep(Tokens, path, pattern)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arborlake.llm import blobs, components, exact_dedup, jaccard, suffix_array, suffix_dedup
+from arborlake.llm import blobs, components, exact_dedup, jaccard, suffix_array, suffix_dedup, worker
 from tests.llm.conftest import SCHEMA, prose
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -108,6 +108,46 @@ def test_near_copies(edge_docs, edge_rows, n, percent):
     assert got == near([r[:2] for r in edge_rows], n, percent)
 
 
+def test_search_for_near_copies_lets_go_of_what_a_worker_kept():
+    made = []
+
+    def vocabulary(name):
+        made.append(name)
+        return name
+
+    assert [worker.keep(vocabulary, "a") for _ in range(3)] == ["a"] * 3 and made == ["a"]
+    for run in (jaccard._sizes(4), jaccard._meet, jaccard._verify(4, 85)):
+        worker.keep(vocabulary, "a")
+        for _ in worker.cleared(run)(iter([])):
+            pass
+        assert not worker._KEPT
+    # one value at a time
+    worker.keep(vocabulary, "a")
+    assert worker.keep(vocabulary, "b") == "b" and len(worker._KEPT) == 1
+    worker.forget()
+
+
+def test_workers_of_the_join_keep_no_tokenizer(edge_docs):
+    """Workers that have packed documents hold a tokenizer; the join's tasks run in the same ones."""
+    import public_tokenizers
+
+    from arborlake.llm import packing
+
+    one = edge_docs.coalesce(1)
+    packing.encode(one, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+    def held(batches):
+        import pyarrow as pa
+
+        from arborlake.llm import worker
+
+        n = len(worker._KEPT)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([n] * len(batch), pa.int64())], ["n"])
+
+    assert {r.n for r in one.select("text").mapInArrow(worker.cleared(held), "n long").collect()} == {0}
+
+
 def test_many_near_copies_and_common_words(spark):
     rng = random.Random(5)
     base = prose(rng, 200).split()
