@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from arborlake.llm.components import components
 from arborlake.llm.pretokens import chunks
 from arborlake.llm.worker import cleared
-from arborlake.storage import materialize
+from arborlake.storage import materialize, together
 
 #: Bytes of keys in a partition of the candidate search, and characters of text worked on at once.
 PARTITION_BYTES, CHARACTERS = 8_000_000, 500_000
@@ -479,6 +479,11 @@ def _texts(source: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialize(source.join(wanted, "doc_id"), "jaccard-texts")
 
 
+def size_counts(sized: DataFrame) -> dict[int, int]:
+    """Size: sets of it. There are no more sizes than the largest set has elements, so they come in one job."""
+    return {r.n_shingles: r["count"] for r in sized.filter("n_shingles > 0").groupBy("n_shingles").count().collect()}
+
+
 def join(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row.
 
@@ -488,20 +493,26 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id",
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     spark = docs.sparkSession
     sized = materialize(source.mapInArrow(cleared(_sizes(n)), "doc_id long, n_shingles long, digest binary, counts binary"), "jaccard-sizes")
-    counts = {r.n_shingles: r["count"] for r in sized.filter("n_shingles > 0").groupBy("n_shingles").count().toLocalIterator()}
-    plan = bands(counts, percent)
-    nodes = materialize(
-        sized.filter("doc_id is not null and n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node")), "jaccard-nodes"
-    )
-    total = sum(c * sum(b.keys(s) for b in plan if b.low <= s <= b.most) for s, c in counts.items())
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 13 * total // PARTITION_BYTES + 1)
-    filed = source.mapInArrow(cleared(_file(n, percent, plan, parts)), "slice int, keys binary, bands binary, docs binary")
-    keys = materialize(filed.repartitionById(parts, "slice").mapInArrow(cleared(_meet), LISTS), "jaccard-keys")
-    own = sized.filter("doc_id is not null").join(nodes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node"))
-    own = materialize(own.unionByName(sized.filter("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("node"))), "jaccard-own")
-    # documents of one set go by its node; a repeated doc_id, which has several, goes by itself
-    names = own.filter("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-    names = materialize(names.select("doc_id", "a", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("doc_id")).alias("name")), "jaccard-names")
+
+    def meet() -> tuple[list[Band], DataFrame]:
+        counts = size_counts(sized)
+        plan = bands(counts, percent)
+        total = sum(c * sum(b.keys(s) for b in plan if b.low <= s <= b.most) for s, c in counts.items())
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 13 * total // PARTITION_BYTES + 1)
+        filed = source.mapInArrow(cleared(_file(n, percent, plan, parts)), "slice int, keys binary, bands binary, docs binary")
+        return plan, materialize(filed.repartitionById(parts, "slice").mapInArrow(cleared(_meet), LISTS), "jaccard-keys")
+
+    def name() -> tuple[DataFrame, DataFrame]:
+        nodes = materialize(
+            sized.filter("doc_id is not null and n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node")), "jaccard-nodes"
+        )
+        own = sized.filter("doc_id is not null").join(nodes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node"))
+        own = materialize(own.unionByName(sized.filter("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("node"))), "jaccard-own")
+        # documents of one set go by its node; a repeated doc_id, which has several, goes by itself
+        names = own.filter("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+        return own, materialize(names.select("doc_id", "a", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("doc_id")).alias("name")), "jaccard-names")
+
+    (plan, keys), (own, names) = together(meet, name)
     named = lambda df, column, to, by="name": df.join(names.select(F.col("doc_id").alias(column), F.col(by).alias(to)), column)
 
     # first round: the sets of a list against its hub

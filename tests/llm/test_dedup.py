@@ -148,6 +148,25 @@ def test_workers_of_the_join_keep_no_tokenizer(edge_docs):
     assert {r.n for r in one.select("text").mapInArrow(worker.cleared(held), "n long").collect()} == {0}
 
 
+def test_sizes_are_counted_in_one_job(spark):
+    """Not in a job for each partition, one after the other."""
+    sized = spark.range(400).selectExpr("id % 90 as n_shingles")
+    keys = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("sizes", "sizes")
+        counts = jaccard.size_counts(sized)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("sizes")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counts == {n: 5 if n <= 39 else 4 for n in range(1, 90)}
+    assert 1 <= len(jobs) <= 3
+
+
 def test_many_near_copies_and_common_words(spark):
     rng = random.Random(5)
     base = prose(rng, 200).split()
