@@ -117,7 +117,8 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs (documents that have it), from lang, source and text."""
     hashed = docs.select("lang", "source", "text", F.xxhash64("text").alias("h"))
     collapsed = hashed.mapInArrow(_collapse, _TEXTS).repartition("lang", "h").sortWithinPartitions("lang", "h", "text")
-    counted = collapsed.mapInArrow(_count, _COUNTS)
+    # tasks have added up their terms already: to sum once more before the shuffle would only cost time
+    counted = collapsed.mapInArrow(_count, _COUNTS).repartition("lang", "source", "term")
     return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
@@ -157,11 +158,14 @@ def audit(
     """
     empty = lambda name: F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
     rows = docs.select(empty(lang).alias("lang"), empty(source).alias("source"), empty(text).alias("text"))
-    counts = materialize(term_counts(rows), "divergence-counts")
-    by_term = counts.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"), F.sum("docs").alias("docs"))
-    kept = materialize(by_term.filter(F.col("docs") >= min_docs).drop("docs"), "divergence-terms")
-    sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("n_lang").alias("n_lang"))
-    cells = counts.select("lang", "source", "term", "n").join(kept, ["lang", "term"])
+    # a term's sources side by side: its sums, and one of its rows that stands for it
+    by_source = Window.partitionBy("lang", "term").orderBy("source")
+    of_term = by_source.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counts = term_counts(rows).select(
+        "lang", "source", "term", "n", F.sum("n").over(of_term).alias("n_lang"), F.sum("docs").over(of_term).alias("docs"), (F.row_number().over(by_source) == 1).alias("first")
+    )
+    cells = materialize(counts.filter(F.col("docs") >= min_docs).drop("docs"), "divergence-cells")
+    sizes = cells.filter("first").groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("n_lang").alias("n_lang"))
 
     sums = cells.groupBy("lang", "source").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("held"))
     zero = lambda name: F.coalesce(F.col(name), F.lit(0).cast("long"))

@@ -128,6 +128,33 @@ def test_equal_texts_are_tokenized_once(spark):
     assert {(r.term, r.source, r.n, r.docs) for r in divergence.term_counts(docs).collect()} == {(t, f"s{i}", 100, 100) for t in ("same", "text") for i in range(5)}
 
 
+def test_term_counts_are_shuffled_as_the_tasks_have_added_them_up(spark):
+    """A task's counts are few rows of a term already; the first sum stands behind the shuffle."""
+    docs = spark.createDataFrame([("same text", "en", "s")], "text string, lang string, source string")
+    plan = divergence.term_counts(docs)._jdf.queryExecution().executedPlan().toString()
+    sums = [line for line in plan.splitlines() if "HashAggregate" in line or "Exchange" in line]
+    assert ["Aggregate" in line for line in sums] == [True, True, False, False]
+
+
+def test_terms_of_a_language_are_counted_in_the_pass_that_keeps_them(spark, monkeypatch):
+    """No table of terms is written beside that of the counts and joined with it."""
+    written = {}
+
+    def noted(df, label, *rest):
+        written[label] = df
+        return kept(df, label, *rest)
+
+    kept = divergence.materialize
+    monkeypatch.setattr(divergence, "materialize", noted)
+    rows = sourced(5, 40)
+    got = divergence.audit(spark.createDataFrame(rows, "text string, lang string, source string"))
+    assert Counter(tuple(r) for r in got.collect()) == audited(rows)
+    cells = written["divergence-cells"]
+    assert "Join" not in cells._jdf.queryExecution().executedPlan().toString()
+    # every kept term of a language has one row that stands for it
+    assert {r["count"] for r in cells.filter("first").groupBy("lang", "term").count().collect()} == {1}
+
+
 # --- op12
 
 
