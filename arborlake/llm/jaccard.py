@@ -18,8 +18,12 @@ list are paired. Those under crowded keys are filed again by the finest partitio
 shingle: two similar sets differ in so few of them that they share one of the rarest, so each is filed under its rarest
 ``size - ceil(size * p / 100) + 1`` only. What a near copy has of its own is rare, so a copy too far from its group to
 link with its hub meets nobody there. Rarity is counted over the sets filed this way, in a table of fixed size; any
-order of the shingles loses nothing. Shingles that sets of one component share alone are dropped before any pair is
-made. Candidates whose sizes, or counts of elements by hash, lie too far apart to be similar are dropped; all others
+order of the shingles loses nothing. Under the first shingle that two sets share, neither can have more in common with
+the other than what it has from there on: this bounds the size of a partner, from both sides, so two copies of a text
+that are too far from it by what each has of its own, and so have used up their room before they come to what they share,
+never meet, however many there are. Sets and shingles that no pair can need are dropped before any pair is made, also
+shingles that sets of one component share alone. While there are more shingles than the table can tell apart, the sets
+that are left are counted and filed anew, by themselves. Candidates whose sizes, or counts of elements by hash, lie too far apart to be similar are dropped; all others
 are verified on the whole texts.
 
 Shingles are held as 64-bit hashes: to err, two different shingles of two compared texts would have to collide.
@@ -57,8 +61,8 @@ ROW_MEMBERS, HUB_MEMBERS = 5_000, 500
 COUNTS, COUNT_ELEMENTS = 128, 8
 #: Entries of members and of outsiders, over the lists of one component, in a block.
 BLOCK_MEMBERS, BLOCK_OUTSIDERS = 20_000, 5_000
-#: Counters of how often a shingle occurs in sets under crowded keys.
-COUNTERS = 1 << 20
+#: Counters of how often a shingle occurs in sets under crowded keys, and how many occurrences they tell apart.
+COUNTERS, OCCURRENCES = 1 << 20, 1 << 20
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x2545F4914F6CDD1D
@@ -328,6 +332,20 @@ def _may_link(n: np.ndarray, m: np.ndarray, apart: np.ndarray, percent: int) ->
     return (apart <= (100 - percent) * (n + m) // (100 + percent)) & (np.minimum(n, m) * 100 >= percent * np.maximum(n, m))
 
 
+def _apart(left: list[bytes], i: np.ndarray, right: list[bytes], j: np.ndarray) -> np.ndarray:
+    """How far the sketches left[i] and right[j] lie apart, each pair folded to the shorter one."""
+    apart = np.empty(len(i), np.int64)
+    sizes = np.minimum(*(np.array([len(x) for x in side])[at] for side, at in ((left, i), (right, j))))
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        a, b = (
+            folded([side[x] for x in used], size)[back]
+            for side, (used, back) in ((left, np.unique(i[at], return_inverse=True)), (right, np.unique(j[at], return_inverse=True)))
+        )
+        apart[at] = np.abs(a - b).sum(axis=1, dtype=np.int64)
+    return apart
+
+
 def _possible(percent: int):
     """Pairs whose sizes and counts allow for the similarity."""
 
@@ -345,19 +363,21 @@ def _possible(percent: int):
 
 def _cross(percent: int):
     """Lists of a block, outsiders first: pairs of an outsider and a member of another component that may link, once
-    for the block."""
+    for the list."""
 
     def pairs(outside: list[tuple], members: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        size = min(len(x[3]) for x in (*outside, *members))
-        ids, parts, n = (np.array([x[i] for x in members], np.int64) for i in range(3))
-        counts = folded([x[3] for x in members], size)
-        step = max(1, 4_000_000 // (len(members) * size))
+        ids, parts, n, room = (np.array([x[i] for x in members], np.int64) for i in range(4))
+        counts = [x[4] for x in members]
+        step = max(1, 4_000_000 // len(members))
         for at in range(0, len(outside), step):
             some = outside[at : at + step]
-            other, part, m = (np.array([x[i] for x in some], np.int64)[:, None] for i in range(3))
-            apart = np.abs(folded([x[3] for x in some], size)[:, None, :] - counts[None]).sum(axis=2, dtype=np.int64)
-            i, j = np.nonzero((part != parts) & _may_link(n, m, apart, percent))
-            yield np.minimum(other[i, 0], ids[j]), np.maximum(other[i, 0], ids[j])
+            other, part, m, space = (np.array([x[i] for x in some], np.int64) for i in range(4))
+            rows, columns = np.nonzero((part[:, None] != parts) & (space[:, None] >= n) & (m[:, None] <= room))
+            for k in range(0, len(rows), 10_000):
+                i, j = rows[k : k + 10_000], columns[k : k + 10_000]
+                apart = _apart([x[4] for x in some], i, counts, j)
+                may = _may_link(n[j], m[i], apart, percent)
+                yield np.minimum(other[i], ids[j])[may], np.maximum(other[i], ids[j])[may]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, outside, members = None, [], []
@@ -369,11 +389,11 @@ def _cross(percent: int):
                         yield pa.RecordBatch.from_arrays([pa.array(hub), pa.array(doc)], ["hub", "doc"])
 
         for batch in batches:
-            for *key, is_member, doc, component, n, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            for *key, is_member, doc, component, n, room, counts in zip(*(c.to_pylist() for c in batch.columns)):
                 if group != key:
                     yield from found()
                     group, outside, members = key, [], []
-                (members if is_member else outside).append((doc, component, n, counts))
+                (members if is_member else outside).append((doc, component, n, room, counts))
         yield from found()
 
     return run
@@ -408,21 +428,62 @@ def rarest(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
     return s[order[: len(s) + (-len(s) * percent) // 100 + 1]]
 
 
+def rooms(size: int, percent: int) -> np.ndarray:
+    """For each place among the rarest shingles of a set, the size of the largest set that it may be similar to if the
+    shingle at this place is the first that they share: no more can be shared than what is not before it."""
+    left = np.arange(size, size - (size + (-size * percent) // 100 + 1), -1)
+    return (100 + percent) * left // percent - size
+
+
 def _file_rarest(n: int, percent: int, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, parts, texts = (batch.column(i).to_pylist() for i in range(3))
             for a, b in chunks(texts, CHARACTERS):
-                few = [rarest(s, counts.value, percent) for s in shingle_sets(texts[a:b], n)]
+                sets = shingle_sets(texts[a:b], n)
+                few = [rarest(s, counts.value, percent) for s in sets]
                 sizes = [len(x) for x in few]
+                whole = [len(s) for s in sets]
+                room = [rooms(k, percent)[:size] for k, size in zip(whole, sizes)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(few).view(np.int64)), pa.array(np.repeat(ids[a:b], sizes), pa.int64()), pa.array(np.repeat(parts[a:b], sizes), pa.int64())],
-                    ["list", "doc", "component"],
+                    [
+                        pa.array(np.concatenate(few).view(np.int64)),
+                        *(pa.array(np.repeat(x, sizes), pa.int64()) for x in (ids[a:b], parts[a:b], whole)),
+                        pa.array(np.concatenate(room), pa.int64()),
+                    ],
+                    ["list", "doc", "component", "n", "room"],
                 )
 
     return run
 
 
+def _open(again: DataFrame, n: int, percent: int) -> DataFrame:
+    """The rarest shingles of the sets (doc, component, text), as list, with the size n of the set and the size of the
+    largest partner that it has room for; only where a partner from another component may be."""
+    spark = again.sparkSession
+    sets = again.count()
+    while True:
+        seen = again.select("text").mapInArrow(cleared(_occurrences(n)), "counter long, times long").groupBy("counter").agg(F.sum("times").alias("times")).toArrow()
+        counts = np.zeros(COUNTERS, np.int64)
+        counts[seen["counter"].to_numpy()] = seen["times"].to_numpy()
+        filed = again.mapInArrow(cleared(_file_rarest(n, percent, spark.sparkContext.broadcast(counts))), "list long, doc long, component long, n long, room long")
+        rare = materialize(filed.distinct(), "jaccard-rarest")
+        bounds = rare.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least"), F.max("room").alias("most"))
+        bounds = materialize(bounds.filter("x <> y and least <= most").select("list", "least", "most"), "jaccard-shared")
+        near = materialize(rare.join(bounds, "list").filter("room >= least and n <= most").drop("least", "most"), "jaccard-near")
+        left = materialize(near.join(_several(near), "list", "left_semi"), "jaccard-still")
+        docs = materialize(left.select("doc").distinct(), "jaccard-left")
+        before, sets = sets, docs.count()
+        if counts.sum() <= OCCURRENCES or 2 * sets > before:
+            return left
+        again = materialize(again.join(docs, "doc", "left_semi"), "jaccard-again")
+
+
+def _several(entries: DataFrame) -> DataFrame:
+    """The lists whose sets do not all hang together."""
+    return entries.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("list")
+
+
 def _verify(n: int, percent: int):
     """Rows of a hub's group, the hub first: emit the members that are similar to it."""
 
@@ -534,8 +595,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id",
         entries.join(components(links).withColumnRenamed("node", "doc"), "doc", "left").select("list", "band", "size", "doc", F.coalesce("component", "doc").alias("component")),
         "jaccard-entries",
     )
-    several = lambda df: df.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("list")
-    placed = placed.join(materialize(several(placed), "jaccard-open"), "list", "left_semi")
+    placed = placed.join(materialize(_several(placed), "jaccard-open"), "list", "left_semi")
     # a list of few sets is at most CROWDED * (CROWDED - 1) / 2 pairs
     short = placed.filter(~crowded).groupBy("list").agg(F.collect_list(F.struct("doc", "component")).alias("m"))
     short = short.select(F.explode("m").alias("u"), "m").select("u", F.explode("m").alias("v")).filter("u.doc < v.doc and u.component <> v.component")
@@ -544,11 +604,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id",
     busy = placed.filter(crowded).join(crowd.filter(F.col("crowd") > slack), ["doc", "band"], "left_semi")
     busy = materialize(busy.groupBy("doc").agg(F.min("component").alias("component")), "jaccard-busy")
     again = materialize(busy.join(source, F.col("doc") == F.col("doc_id")).select("doc", "component", "text"), "jaccard-again")
-    seen = again.select("text").mapInArrow(cleared(_occurrences(n)), "counter long, times long").groupBy("counter").agg(F.sum("times").alias("times")).toArrow()
-    counts = np.zeros(COUNTERS, np.int64)
-    counts[seen["counter"].to_numpy()] = seen["times"].to_numpy()
-    rare = materialize(again.mapInArrow(cleared(_file_rarest(n, percent, spark.sparkContext.broadcast(counts))), "list long, doc long, component long").distinct(), "jaccard-rarest")
-    still = materialize(rare.join(materialize(several(rare), "jaccard-shared"), "list", "left_semi"), "jaccard-still")
+    still = _open(again, n, percent)
     # only members outside a list's largest component are compared, with all of it
     by_part = still.groupBy("list", "component").agg(F.count(F.lit(1)).alias("n"))
     shape = materialize(
@@ -560,10 +616,10 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id",
     )
     shape = materialize(shape.select("list", "largest").join(grid, "largest"), "jaccard-grid")
     facts = sized.filter("doc_id is not null").select("doc_id", F.col("n_shingles").alias("n"), "counts").distinct()
-    known = materialize(still.join(facts.withColumnRenamed("doc_id", "doc"), "doc"), "jaccard-known").join(shape, "list")
+    known = materialize(still.join(facts.withColumnRenamed("doc_id", "doc"), ["doc", "n"]), "jaccard-known").join(shape, "list")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = lambda n, seed: F.pmod(F.xxhash64("doc", F.lit(seed)), F.col(n)).cast("int")
-    rest = ["doc", "component", "n", "counts"]
+    rest = ["doc", "component", "n", "room", "counts"]
     members = known.select("largest", mine("rows", 1).alias("a"), every("columns").alias("b"), "list", F.lit(True).alias("member"), *rest)
     outside = known.filter("component <> largest").select("largest", every("rows").alias("a"), mine("columns", 2).alias("b"), "list", F.lit(False).alias("member"), *rest)
     blocks = members.unionByName(outside).repartition("largest", "a", "b").sortWithinPartitions("largest", "a", "b", "list", "member")

@@ -218,6 +218,89 @@ def test_groups_that_do_not_hang_together(spark, monkeypatch):
     assert Counter(tuple(r) for r in jaccard.join(docs).collect()) == expected
 
 
+def test_rooms_hold_every_partner():
+    """The first shingle that two similar sets share leaves each of them room for the other."""
+    rng = np.random.default_rng(7)
+    for percent in (60, 80, 85, 100):
+        for size in (1, 2, 7, 40, 333):
+            for _ in range(40):
+                a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+                cut, own = (int(rng.integers(0, size // 4 + 1)) for _ in range(2))
+                b = np.unique(np.concatenate([a[cut:], rng.integers(0, 1 << 63, own).astype(np.uint64)]))
+                both = len(np.intersect1d(a, b))
+                if 100 * both < percent * (len(a) + len(b) - both):
+                    continue
+                counts = rng.integers(0, 3, jaccard.COUNTERS)
+                x, y = (jaccard.rarest(s, counts, percent) for s in (a, b))
+                first = next(s for s in x if s in y)
+                assert jaccard.rooms(len(a), percent)[list(x).index(first)] >= len(b)
+                assert jaccard.rooms(len(b), percent)[list(y).index(first)] >= len(a)
+
+
+def test_sketches_of_a_pair_are_folded_to_its_shorter_one():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (30, 700, 1500, 3000, 9000)]
+    sets += [np.concatenate([s[len(s) // 9 :], sets[0]]) for s in sets[1:]]
+    packed = [jaccard.sketch(s) for s in sets]
+    i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    got = jaccard._apart(packed, i, packed, j)
+    for a, b, apart in zip(i, j, got):
+        x, y = jaccard.folded([packed[a], packed[b]], min(len(packed[a]), len(packed[b])))
+        assert apart == np.abs(x - y).sum() <= len(np.setxor1d(sets[a], sets[b]))
+
+
+def far_copies(seed, copies, words=300):
+    """Copies of a text that hang together with it, and as many that are too far from it, each in its own places."""
+    rng = random.Random(seed)
+    base = [f"{w}{i % 7}" for i, w in enumerate(prose(rng, words).split())]
+    texts = []
+    for i in range(2 * copies):
+        new = list(base)
+        for k in rng.sample(range(words), 2 if i % 2 else words // 33):
+            new[k] = f"own{rng.randrange(10**9)}"
+        texts.append(" ".join(new))
+    return list(enumerate(texts))
+
+
+def test_pairs_of_far_copies_do_not_grow_with_the_square(spark, monkeypatch):
+    """Copies too far from their text, and from one another, are not paired with all of its near copies."""
+    made, cross = spark.sparkContext.accumulator(0), jaccard._cross
+
+    def counted(percent):
+        run = cross(percent)
+
+        def rows(batches):
+            for batch in run(batches):
+                made.add(len(batch))
+                yield batch
+
+        return rows
+
+    monkeypatch.setattr(jaccard, "_cross", counted)
+    for copies in (40, 160):
+        rows = far_copies(13, copies)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        before = made.value
+        assert Counter(tuple(r) for r in jaccard.join(docs, 5, 80).collect()) == near(rows, 5, 80)
+        assert made.value - before <= 10 * copies
+
+
+def test_copies_of_other_sizes_and_recounted_sets(spark, monkeypatch):
+    """Copies that are longer and shorter than their text, also when the sets that are left are counted anew."""
+    rng = random.Random(17)
+    rows = far_copies(14, 40, 150)
+    texts = [t.split() for _, t in rows]
+    for t in list(texts):
+        at, more = rng.randrange(len(t)), rng.randrange(1, 40)
+        texts += [t[: max(5, at)], t[:at] + [f"x{rng.randrange(60)}" for _ in range(more)] + t[at:], t[more:]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(1, rows[6][1]), (1, None), (2, rows[2][1]), (None, rows[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(jaccard, "CROWDED", 3)
+    for occurrences in (jaccard.OCCURRENCES, 0):
+        monkeypatch.setattr(jaccard, "OCCURRENCES", occurrences)
+        assert Counter(tuple(r) for r in jaccard.join(docs, 5, 80).collect()) == near(rows, 5, 80)
+
+
 def test_short_texts_and_their_extensions(spark):
     """Many texts lie under the same empty segments, with and without an allowance."""
     rng = random.Random(11)
