@@ -4,13 +4,15 @@ Every byte that lies in a string of ``length`` bytes that also begins earlier (i
 same document) is removed. Strings are judged on the input; matches never cross documents.
 
 The strings are dealt so that equal ones meet: each belongs to the least ``GRAM``-gram in it (by hash, the leftmost
-of equals), and the neighbouring strings of one gram form a *segment* of some 140 bytes. Segments
-travel first as numbers only: those whose gram stands nowhere else are done with, of equal segments all but
-the first repeat wholly. Only segments that share a gram and differ are fetched; shards of them are sorted by
+of equals). The neighbouring strings of one gram that have it in their first half, and those that have it in their
+second, form a *segment* each, of some 120 bytes; its *key* is the hash of the bytes that all strings of that
+half have in common, 62 or 63 of 100. Segments
+travel first as numbers only: those whose key stands nowhere else are done with, of equal segments all but
+the first repeat wholly. Only segments that share a key and differ are fetched; shards of them are sorted by
 induced sorting, and permuted common prefixes show the equal strings (``suffix_array``).
 
-A gram that stands in very many different segments would bring them all into one shard. Where a batch of
-documents holds more than ``CROWD`` of them, or all documents more than ``CROWDED``, the gram's strings travel one
+A key that stands in very many different segments would bring them all into one shard. Where a round of
+documents holds more than ``CROWD`` of them, or all documents more than ``CROWDED``, the key's strings travel one
 by one, under their own hashes, and equal ones are combined before the shuffle. They meet in shards of the same kind.
 
 Cases: null and empty texts have nothing removed, nor have texts shorter than ``length``. A null doc_id is smaller
@@ -26,18 +28,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.llm import blobs
+from arborlake.llm import blobs, worker
 from arborlake.llm.suffix_array import repeats
 from arborlake.storage import materialize
 
 GRAM = 24
-#: Segments of a gram that a batch of documents, and all documents, may hold before its strings travel alone.
+#: Segments of a key that a round of documents, and all documents, may hold before its strings travel alone.
 CROWD, CROWDED = 64, 1_000
 #: Bytes of text worked on at once, of a shard's text, and of numbers or text to a partition.
-CHUNK_BYTES, SHARD_BYTES, PARTITION_BYTES = 400_000, 2_000_000, 24_000_000
+CHUNK_BYTES, SHARD_BYTES, PARTITION_BYTES = 400_000, 500_000, 16_000_000
+#: Bytes of text whose segments, or of strings that, a task holds before it deals them out, however many rows a batch has.
+ROUND_BYTES = 8_000_000
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
 
@@ -82,7 +87,7 @@ class Rolling:
 
 
 def segments(data: np.ndarray, begins: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(document, start in data, size, gram hash, content hash) of the segments of documents side by side."""
+    """(document, start in data, size, key, content hash) of the segments of documents side by side."""
     nothing = np.zeros(0, np.int64)
     whole = np.maximum(np.diff(begins) - length + 1, 0)
     total = int(whole.sum())
@@ -103,9 +108,21 @@ def segments(data: np.ndarray, begins: np.ndarray, length: int) -> tuple[np.ndar
     place = np.arange(total) - np.repeat(np.cumsum(whole) - whole, whole) + np.repeat(begins[:-1], whole)
     at = (least[place] & low).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])]))
-    start = place[first]
-    size = place[np.append(first[1:], total) - 1] - start + length
-    return owner[first], start, size, grams[at[first]], rolling.spans(start, size)
+    start, stop, gram, owner = place[first], place[np.append(first[1:], total) - 1], at[first], owner[first]
+    # strings that begin up to half way before the gram, and those that begin earlier
+    half = (length - GRAM) // 2
+    later, earlier = np.flatnonzero(stop >= gram - half), np.flatnonzero(start < gram - half)
+    key = np.concatenate([rolling.spans(gram[later], length - half), rolling.spans(gram[earlier] - half - 1, half + 1 + GRAM)])
+    begin = np.concatenate([np.maximum(start, gram - half)[later], start[earlier]])
+    size = np.concatenate([stop[later], np.minimum(stop, gram - half - 1)[earlier]]) - begin + length
+    return np.concatenate([owner[later], owner[earlier]]), begin, size, key, rolling.spans(begin, size)
+
+
+def _rounds(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Rows of a batch in turns of some ``most`` bytes of text."""
+    turn = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // most
+    cuts = np.flatnonzero(turn[1:] != turn[:-1]) + 1
+    yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)])
 
 
 def _runs(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -119,76 +136,86 @@ def _runs(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-DTYPES = ["<u8", "<u8", "<i8", "<i8", "<i8", "<i8"]  # gram, content, doc, crc, start, size
-WIDTH = len(DTYPES)
+DTYPES = ["<u8", "<u8", "<i8", "<u4", "<i4", "<i4"]  # key, content, doc, crc, start, size
+WIDTH, ROW_BYTES = len(DTYPES), sum(np.dtype(t).itemsize for t in DTYPES)
+
+
+def _typed(columns: list[np.ndarray]) -> list[np.ndarray]:
+    return [np.asarray(c).astype(t, copy=False) for c, t in zip(columns, DTYPES)]
 
 
 def _announce(length: int, slices: int, crowd: int):
-    """Segments as numbers, dealt by gram; equal ones of a batch are combined, crowded grams set apart."""
+    """Segments as numbers, dealt by key; equal ones of a round are combined, crowded keys set apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, crcs = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(2)]
-            found: list[list[np.ndarray]] = []
-            for a, b in _runs(texts):
-                begins = np.concatenate([[0], np.cumsum([len(t) for t in texts[a:b]])]).astype(np.int64)
-                owner, start, size, gram, content = segments(np.frombuffer(b"".join(texts[a:b]), np.uint8), begins, length)
-                found.append([gram, content, ids[a + owner], crcs[a + owner], start - begins[owner], size])
-            if not found:
-                continue
-            gram, content, doc, crc, start, size = (np.concatenate(x) for x in zip(*found))
-            if not len(gram):
-                continue
-            order = np.lexsort((start, crc, doc, content, gram))
-            gram, content, doc, crc, start, size = (x[order] for x in (gram, content, doc, crc, start, size))
-            first = np.concatenate([[True], (gram[1:] != gram[:-1]) | (content[1:] != content[:-1])])
-            at = np.flatnonzero(~first)
-            if len(at):
-                yield blobs.deal(SPAN, at % slices, [x[at] for x in (gram, content, doc, crc, start, size)])
-            gram, content, doc, crc, start, size = (x[first] for x in (gram, content, doc, crc, start, size))
-            values, begin, counts = np.unique(gram, return_index=True, return_counts=True)
-            crowded = np.repeat(counts > crowd, counts)
-            if crowded.any():
-                at = np.flatnonzero(crowded)
-                yield blobs.deal(SINGLE, at % slices, [x[at] for x in (gram, content, doc, crc, start, size)])
-                # a note of size 0, so that other batches' segments of the gram follow
-                note = begin[counts > crowd]
-                size = size.copy()
-                size[note] = 0
-                crowded[note] = False
-            at = np.flatnonzero(~crowded)
-            yield blobs.deal(SEGMENT, (gram[at] % np.uint64(slices)).astype(np.int64), [x[at] for x in (gram, content, doc, crc, start, size)])
+            for begin, end in _rounds(batch.column(2), ROUND_BYTES):
+                yield from dealt(ids[begin:end], crcs[begin:end], batch.column(2).slice(begin, end - begin))
+
+    def dealt(ids: np.ndarray, crcs: np.ndarray, column: pa.Array) -> Iterator[pa.RecordBatch]:
+        texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in column]
+        found: list[list[np.ndarray]] = []
+        for a, b in _runs(texts):
+            begins = np.concatenate([[0], np.cumsum([len(t) for t in texts[a:b]])]).astype(np.int64)
+            owner, start, size, key, content = segments(np.frombuffer(b"".join(texts[a:b]), np.uint8), begins, length)
+            found.append(_typed([key, content, ids[a + owner], crcs[a + owner], start - begins[owner], size]))
+        del texts
+        if not found:
+            return
+        key, content, doc, crc, start, size = (np.concatenate(x) for x in zip(*found))
+        del found
+        if not len(key):
+            return
+        order = np.lexsort((start, crc, doc, content, key))
+        key, content, doc, crc, start, size = (x[order] for x in (key, content, doc, crc, start, size))
+        first = np.concatenate([[True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])])
+        at = np.flatnonzero(~first)
+        if len(at):
+            yield blobs.deal(SPAN, at % slices, [x[at] for x in (key, content, doc, crc, start, size)])
+        key, content, doc, crc, start, size = (x[first] for x in (key, content, doc, crc, start, size))
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        counts = np.diff(np.append(begin, len(key)))
+        crowded = np.repeat(counts > crowd, counts)
+        if crowded.any():
+            at = np.flatnonzero(crowded)
+            yield blobs.deal(SINGLE, at % slices, [x[at] for x in (key, content, doc, crc, start, size)])
+            # a note of size 0, so that other rounds' segments of the key follow
+            note = begin[counts > crowd]
+            size[note] = 0
+            crowded[note] = False
+        at = np.flatnonzero(~crowded)
+        yield blobs.deal(SEGMENT, (key[at] % np.uint64(slices)).astype(np.int64), [x[at] for x in (key, content, doc, crc, start, size)])
 
     return run
 
 
 def _compare(slices: int, most: int):
-    """Segments of a gram together: SPAN for those that repeat wholly, WHOLE or SINGLE for those to be fetched."""
+    """Segments of a key together: SPAN for those that repeat wholly, WHOLE or SINGLE for those to be fetched."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = blobs.Gathered(batches, DTYPES)
-        for key in held.keys():
-            gram, content, doc, crc, start, size = held.take(key)
-            kind = key[0]
+        for at in held.keys():
+            key, content, doc, crc, start, size = held.take(at)
+            kind = at[0]
             if kind != SEGMENT:
-                yield blobs.deal(kind, _document_slice(doc, slices), [gram, content, doc, crc, start, size])
+                yield blobs.deal(kind, _document_slice(doc, slices), [key, content, doc, crc, start, size])
                 continue
-            order = np.argsort(gram, kind="stable")
-            same = gram[order][1:] == gram[order][:-1]
-            shared = np.zeros(len(gram), bool)
+            order = np.argsort(key, kind="stable")
+            same = key[order][1:] == key[order][:-1]
+            shared = np.zeros(len(key), bool)
             shared[1:] |= same
             shared[:-1] |= same
             order = order[shared]
-            order = order[np.lexsort((start[order], crc[order], doc[order], content[order], gram[order]))]
-            gram, content, doc, crc, start, size = (x[order] for x in (gram, content, doc, crc, start, size))
+            order = order[np.lexsort((start[order], crc[order], doc[order], content[order], key[order]))]
+            key, content, doc, crc, start, size = (x[order] for x in (key, content, doc, crc, start, size))
             real = size > 0
-            values, at, counts = np.unique(gram, return_inverse=True, return_counts=True)
+            values, at, counts = np.unique(key, return_inverse=True, return_counts=True)
             noted = np.bincount(at, ~real, len(values)) > 0
-            gram, content, doc, crc, start, size, at = (x[real] for x in (gram, content, doc, crc, start, size, at))
-            first = np.ones(len(gram), bool)
-            first[1:] = (gram[1:] != gram[:-1]) | (content[1:] != content[:-1])
-            columns = [gram, content, doc, crc, start, size]
+            key, content, doc, crc, start, size, at = (x[real] for x in (key, content, doc, crc, start, size, at))
+            first = np.ones(len(key), bool)
+            first[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
+            columns = [key, content, doc, crc, start, size]
             different = np.bincount(at, first, len(values))
             single = (noted | (different > most))[at] & first
             whole = (different > 1)[at] & first & ~single
@@ -204,7 +231,7 @@ def _document_slice(doc: np.ndarray, slices: int) -> np.ndarray:
 
 
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What is to be fetched, a row for each document: doc, crc, kinds, grams, starts, sizes."""
+    """What is to be fetched, a row for each document: doc, crc, kinds, keys, starts, sizes."""
     held = blobs.Gathered(batches, DTYPES)
     parts = {}
     for kind, part in held.keys():
@@ -212,13 +239,14 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, kinds in parts.items():
         taken = [(kind, held.take((kind, part))) for kind in kinds]
         kind = np.concatenate([np.full(len(c[0]), k, np.int8) for k, c in taken])
-        gram, _, doc, crc, start, size = (np.concatenate(x) for x in zip(*(c for _, c in taken)))
+        key, _, doc, crc, start, size = (np.concatenate(x) for x in zip(*(c for _, c in taken)))
         order = np.lexsort((start, crc, doc))
-        kind, gram, doc, crc, start, size = (x[order] for x in (kind, gram, doc, crc, start, size))
+        kind, key, doc, crc, start, size = (x[order] for x in (kind, key, doc, crc, start, size))
         first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1])]))
         cut = lambda x: pa.array([p.tobytes() for p in np.split(x, first[1:])], pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[first]), pa.array(crc[first]), cut(kind), cut(gram), cut(start), cut(size)], ["doc", "crc", "kinds", "grams", "starts", "sizes"]
+            [pa.array(doc[first]), pa.array(crc[first].astype(np.int64)), cut(kind), cut(key), cut(start), cut(size)],
+            ["doc", "crc", "kinds", "keys", "starts", "sizes"],
         )
 
 
@@ -235,56 +263,83 @@ def _with_bytes(kind: int, slices: np.ndarray, columns: list[np.ndarray], texts:
     return pa.RecordBatch.from_arrays([*dealt.columns, pa.array(joined, pa.binary())], [*dealt.schema.names, "bytes"])
 
 
-def _columns(rows: list[tuple]) -> list[np.ndarray]:
-    """(gram, doc, crc, start, size) rows as the columns of DTYPES."""
-    gram, doc, crc, start, size = zip(*rows)
-    return [np.array(gram, np.uint64), np.zeros(len(rows), np.uint64), *(np.array(x, np.int64) for x in (doc, crc, start, size))]
-
-
 def _fetch(length: int, slices: int):
-    """Segments with their bytes, dealt by gram. The strings of crowded grams are dealt singly by their own hash;
-    of equal ones in a batch the first goes on, the others are spans."""
+    """Segments with their bytes, dealt by key. The strings of crowded keys are dealt singly by their own hash;
+    of equal ones in a round the first goes on, the others are spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: list[list[np.ndarray]] = []
+        single: list[list[np.ndarray]] = []
+        texts: list[bytes] = []
+        raws: list[bytes] = []
+        room = ROUND_BYTES
         for batch in batches:
             docs, crcs = (batch.column(i).to_pylist() for i in range(2))
-            rows: list[tuple] = []
-            texts: list[bytes] = []
-            spans: list[tuple] = []
-            best: dict[tuple[int, int], tuple] = {}
             for i, text in enumerate(batch.column(2)):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                kinds, grams, starts, sizes = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in ((3, np.int8), (4, np.uint64), (5, np.int64), (6, np.int64)))
-                doc, crc = docs[i], crcs[i]
-                whole = kinds == WHOLE
-                for gram, start, size in zip(grams[whole].tolist(), starts[whole].tolist(), sizes[whole].tolist()):
-                    rows.append((gram, doc, crc, start, size))
-                    texts.append(raw[start : start + size])
-                if whole.all():
-                    continue
-                at = np.unique(np.concatenate([np.arange(s, s + z - length + 1) for s, z in zip(starts[~whole].tolist(), sizes[~whole].tolist())]))
-                for start, a, b in zip(at.tolist(), *(h.tolist() for h in _string_hashes(np.frombuffer(raw, np.uint8), at, length))):
-                    new = (doc, crc, start, raw[start : start + length])
-                    old = best.get((a, b))
-                    if old is None or new < old:
-                        best[a, b], new = new, old
-                    if new is not None:
-                        spans.append((0, *new[:3], length))
-            for (a, _), (doc, crc, start, text) in best.items():
-                rows.append((a, doc, crc, start, length))
-                texts.append(text)
-            if rows:
-                columns = _columns(rows)
-                yield _with_bytes(WHOLE, (columns[0] % np.uint64(slices)).astype(np.int64), columns, texts)
-            if spans:
-                columns = _columns(spans)
-                yield _with_bytes(SPAN, _document_slice(columns[2], slices), columns, [b""] * len(spans))
+                kinds, keys, starts, sizes = (
+                    np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in ((3, np.int8), (4, DTYPES[0]), (5, DTYPES[4]), (6, DTYPES[5]))
+                )
+                at = np.flatnonzero(kinds == WHOLE)
+                if len(at):
+                    whole.append(_typed([keys[at], np.zeros(len(at)), np.full(len(at), docs[i]), np.full(len(at), crcs[i]), starts[at], sizes[at]]))
+                    texts += [raw[a : a + z] for a, z in zip(starts[at].tolist(), sizes[at].tolist())]
+                    room -= int(sizes[at].sum()) + ROW_BYTES * len(at)
+                at = np.flatnonzero(kinds != WHOLE)
+                if len(at):
+                    begins, counts = starts[at].astype(np.int64), sizes[at].astype(np.int64) - length + 1
+                    # few of a document's strings at a time: a text may hold crowded keys throughout
+                    most = max(1, ROUND_BYTES // ((length + ROW_BYTES) * (length - GRAM + 1)))
+                    for a in range(0, len(at), most):
+                        begin, count = begins[a : a + most], counts[a : a + most]
+                        places = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
+                        low, high = int(begin[0]), int(places[-1]) + length
+                        cut = raw[low:high]
+                        hashes = _string_hashes(np.frombuffer(cut, np.uint8), places - low, length)
+                        single.append([*hashes, np.full(len(places), docs[i]), np.full(len(places), crcs[i]), places, np.full(len(places), len(raws)), places - low])
+                        raws.append(cut)
+                        room -= len(cut) + (length + ROW_BYTES) * len(places)
+                        if room < 0:
+                            yield from flushed(whole, texts, single, raws)
+                            room = ROUND_BYTES
+                if room < 0:
+                    yield from flushed(whole, texts, single, raws)
+                    room = ROUND_BYTES
+        yield from flushed(whole, texts, single, raws)
+
+    def flushed(whole: list, texts: list, single: list, raws: list) -> Iterator[pa.RecordBatch]:
+        if whole:
+            columns = [np.concatenate(x) for x in zip(*whole)]
+            yield _with_bytes(WHOLE, (columns[0] % np.uint64(slices)).astype(np.int64), columns, texts)
+        if single:
+            a, b, doc, crc, start, raw, place = (np.concatenate(x) for x in zip(*single))
+            order = np.lexsort((start, crc, doc, b, a))
+            new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
+            at = order[new]
+            columns = _typed([a[at], np.zeros(len(at)), doc[at], crc[at], start[at], np.full(len(at), length)])
+            strings = [raws[r][p : p + length] for r, p in zip(raw[at].tolist(), place[at].tolist())]
+            yield _with_bytes(WHOLE, (columns[0] % np.uint64(slices)).astype(np.int64), columns, strings)
+            at = order[~new]
+            if len(at):
+                at = at[np.lexsort((start[at], crc[at], doc[at]))]
+                columns = _side_by_side(doc[at], crc[at], start[at], length)
+                yield _with_bytes(SPAN, _document_slice(columns[2], slices), columns, [b""] * len(columns[0]))
+        for held in (whole, texts, single, raws):
+            held.clear()
 
     return run
 
 
+def _side_by_side(doc: np.ndarray, crc: np.ndarray, start: np.ndarray, length: int) -> list[np.ndarray]:
+    """One span for the strings of a document that follow each other place by place."""
+    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1]) | (start[1:] > start[:-1] + 1)]))
+    extent = start[np.append(first[1:], len(start)) - 1] - start[first] + length
+    zero = np.zeros(len(first))
+    return _typed([zero, zero, doc[first], crc[first], start[first], extent])
+
+
 def _sort_shards(length: int, slices: int):
-    """Suffix arrays over shards of whole grams; SPAN rows of the strings that also begin earlier."""
+    """Suffix arrays over shards of whole keys; SPAN rows of the strings that also begin earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
@@ -297,12 +352,17 @@ def _sort_shards(length: int, slices: int):
                     held.setdefault(part, []).append((*packed, text))
         for part in sorted(held):
             *packed, text = (b"".join(x) for x in zip(*held.pop(part)))
-            gram, _, doc, crc, start, size = (np.frombuffer(x, t) for x, t in zip(packed, DTYPES))
-            ends = np.cumsum(size)
-            order = np.argsort(gram, kind="stable")
-            # a new shard at the first gram after each SHARD_BYTES
-            shard = np.cumsum(size[order]) // SHARD_BYTES
-            new = np.concatenate([[True], gram[order][1:] != gram[order][:-1]])
+            key, _, doc, crc, start, size = (np.frombuffer(x, t) for x, t in zip(packed, DTYPES))
+            ends = np.cumsum(size, dtype=np.int64)
+            order = np.argsort(key, kind="stable")
+            # what has a key alone has no string in common with any other
+            same = np.concatenate([[False], key[order][1:] == key[order][:-1], [False]])
+            order = order[same[1:] | same[:-1]]
+            if not len(order):
+                continue
+            # a new shard at the first key after each SHARD_BYTES
+            shard = np.cumsum(size[order], dtype=np.int64) // SHARD_BYTES
+            new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
             shard = np.maximum.accumulate(np.where(new, shard, 0))
             for rows in np.split(order, np.flatnonzero(shard[1:] != shard[:-1]) + 1):
                 rows = rows[np.lexsort((start[rows], crc[rows], doc[rows]))]
@@ -310,13 +370,8 @@ def _sort_shards(length: int, slices: int):
                 where = np.repeat(rows, [len(f) for f in found])
                 if not len(where):
                     continue
-                place = start[where] + np.concatenate(found)
-                # strings side by side make one span
-                first = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]) | (place[1:] != place[:-1] + 1)]))
-                last = np.append(first[1:], len(where)) - 1
-                where, begin, extent = where[first], place[first], place[last] - place[first] + length
-                zero = np.zeros(len(where), np.uint64)
-                yield blobs.deal(SPAN, _document_slice(doc[where], slices), [zero, zero, doc[where], crc[where], begin, extent])
+                columns = _side_by_side(doc[where], crc[where], start[where] + np.concatenate(found), length)
+                yield blobs.deal(SPAN, _document_slice(columns[2], slices), columns)
 
     return run
 
@@ -327,7 +382,8 @@ def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for key in held.keys():
         _, _, doc, crc, start, size = held.take(key)
         order = np.lexsort((start, crc, doc))
-        doc, crc, start, end = doc[order], crc[order], start[order], (start + size)[order]
+        doc, crc = doc[order], crc[order].astype(np.int64)
+        start, end = start[order].astype(np.int64), (start + size)[order].astype(np.int64)
         new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1])])
         # documents are moved apart, so that one running maximum serves all
         reach = int(end.max()) + 1
@@ -348,19 +404,19 @@ def removed(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: st
     source = _keyed(docs, "doc_id", "text").select("doc", "crc", "text")
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(least, total * 2 // (length - GRAM + 2) * 8 * WIDTH // PARTITION_BYTES + 1)
-    announced = source.mapInArrow(_announce(length, parts, crowd), blobs.schema(WIDTH)).repartitionById(parts, "slice")
+    parts = max(least, total * 3 // (length - GRAM + 2) * ROW_BYTES // PARTITION_BYTES + 1)
+    announced = source.mapInArrow(worker.cleared(_announce(length, parts, crowd)), blobs.schema(WIDTH)).repartitionById(parts, "slice")
     compared = materialize(announced.mapInArrow(_compare(parts, crowded), blobs.schema(WIDTH)), "suffix-compared")
     wanted = materialize(
         compared.filter(F.col("kind") != SPAN)
         .repartitionById(parts, "slice")
-        .mapInArrow(_by_document, "doc long, crc long, kinds binary, grams binary, starts binary, sizes binary"),
+        .mapInArrow(_by_document, "doc long, crc long, kinds binary, keys binary, starts binary, sizes binary"),
         "suffix-wanted",
     )
     amounts = {r.kind: r.n for r in compared.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    volume = amounts.get(WHOLE, 0) * 2 * length + amounts.get(SINGLE, 0) * (length - GRAM) * length // 2
+    volume = amounts.get(WHOLE, 0) * 2 * length + amounts.get(SINGLE, 0) * ((length - GRAM) // 4 + 1) * 2 * length
     shards = max(least, volume // PARTITION_BYTES + 1)
-    fetched = source.join(wanted.hint("shuffle_hash"), ["doc", "crc"]).select("doc", "crc", "text", "kinds", "grams", "starts", "sizes")
+    fetched = source.join(wanted.hint("shuffle_hash"), ["doc", "crc"]).select("doc", "crc", "text", "kinds", "keys", "starts", "sizes")
     sorted_ = (
         fetched.mapInArrow(_fetch(length, shards), blobs.schema(WIDTH) + ", bytes binary")
         .repartitionById(shards, "slice")

@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -419,6 +421,48 @@ def test_cleaned_documents(edge_docs, edge_rows, no_docs):
     assert suffix_dedup.clean(no_docs).collect() == suffix_dedup.digests(no_docs).collect() == []
 
 
+def _letters(rng, n):
+    return bytes(rng.integers(97, 123, n, np.uint8)).decode()
+
+
+def test_strings_of_a_phrase_in_different_contexts_are_not_fetched():
+    """What two texts share here is shorter than the half that two equal strings would share."""
+    rng = np.random.default_rng(4)
+    phrase = _letters(rng, 45)
+    texts = [_letters(rng, 150) + phrase + _letters(rng, 150) for _ in range(300)]
+    for crowd, crowded in ((64, 1000), (1000, 100), (1000, 1000)):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([1] * 300), pa.array(texts)], ["doc", "crc", "text"])
+        announced = suffix_dedup._announce(100, 1, crowd)(iter([batch]))
+        assert list(suffix_dedup._compare(1, crowded)(announced)) == []
+
+
+def _peak(rows):
+    tracemalloc.start()
+    for _ in rows:
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+def test_memory_of_a_task_does_not_grow_with_its_batches():
+    rng = np.random.default_rng(5)
+    texts = [_letters(rng, 20_000) for _ in range(1600)]
+    peaks = []
+    for n in (400, 1600):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([1] * n), pa.array(texts[:n])], ["doc", "crc", "text"])
+        peaks.append(_peak(suffix_dedup._announce(100, 8, 64)(iter([batch]))))
+    assert peaks[1] < 1.5 * peaks[0]
+    # texts whose strings all travel alone
+    peaks = []
+    for n in (10, 40):
+        packed = [np.array([value], kind).tobytes() for value, kind in ((suffix_dedup.SINGLE, np.int8), (1, np.uint64), (0, suffix_dedup.DTYPES[4]), (20_000, suffix_dedup.DTYPES[5]))]
+        columns = [pa.array(range(n)), pa.array([1] * n), pa.array(texts[:n]), *[pa.array([x] * n, pa.binary()) for x in packed]]
+        batch = pa.RecordBatch.from_arrays(columns, ["doc", "crc", "text", "kinds", "keys", "starts", "sizes"])
+        peaks.append(_peak(suffix_dedup._fetch(100, 8)(iter([batch]))))
+    assert peaks[1] < 1.5 * peaks[0]
+
+
 def test_blobs_go_through_a_shuffle():
     values = np.arange(100, dtype=np.uint64)
     dealt = blobs.deal(3, (values % 7).astype(np.int64), [values, values.astype(np.int64) * 2])
