@@ -8,7 +8,8 @@ of equals). The neighbouring strings of one gram that have it in their first hal
 second, form a *segment* each, of some 120 bytes; its *key* is the hash of the bytes that all strings of that
 half have in common, 62 or 63 of 100. Segments
 travel first as numbers only: those whose key stands nowhere else are done with, of equal segments all but
-the first repeat wholly. Only segments that share a key and differ are fetched; shards of them are sorted by
+the first repeat wholly. Only segments that share a key and differ are fetched. Ends of them go where the bytes
+around (``length - STEP + 1`` of them, at the same place from the gram) stand in no other; shards of what is left are sorted by
 induced sorting, and permuted common prefixes show the equal strings (``suffix_array``).
 
 A key that stands in very many different segments would bring them all into one shard. Where a round of
@@ -43,6 +44,8 @@ CROWD, CROWDED = 64, 1_000
 CHUNK_BYTES, SHARD_BYTES, PARTITION_BYTES = 400_000, 500_000, 16_000_000
 #: Bytes of text whose segments, or of strings that, a task holds before it deals them out, however many rows a batch has.
 ROUND_BYTES = 8_000_000
+#: Strings side by side that are judged at once by the bytes that all of them have.
+STEP = 10
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
 
@@ -87,12 +90,12 @@ class Rolling:
 
 
 def segments(data: np.ndarray, begins: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(document, start in data, size, key, content hash) of the segments of documents side by side."""
+    """(document, start in data, size, key, content hash, place of the key's bytes) of the segments of documents side by side."""
     nothing = np.zeros(0, np.int64)
     whole = np.maximum(np.diff(begins) - length + 1, 0)
     total = int(whole.sum())
     if not total:
-        return nothing, nothing, nothing, nothing.view(np.uint64), nothing.view(np.uint64)
+        return nothing, nothing, nothing, nothing.view(np.uint64), nothing.view(np.uint64), nothing
     rolling = Rolling(data)
     grams = rolling.all(GRAM)
     low = np.uint64(0xFFFFFFFF)
@@ -115,7 +118,8 @@ def segments(data: np.ndarray, begins: np.ndarray, length: int) -> tuple[np.ndar
     key = np.concatenate([rolling.spans(gram[later], length - half), rolling.spans(gram[earlier] - half - 1, half + 1 + GRAM)])
     begin = np.concatenate([np.maximum(start, gram - half)[later], start[earlier]])
     size = np.concatenate([stop[later], np.minimum(stop, gram - half - 1)[earlier]]) - begin + length
-    return np.concatenate([owner[later], owner[earlier]]), begin, size, key, rolling.spans(begin, size)
+    place = np.concatenate([gram[later], gram[earlier] - half - 1]) - begin
+    return np.concatenate([owner[later], owner[earlier]]), begin, size, key, rolling.spans(begin, size), place
 
 
 def _rounds(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
@@ -136,7 +140,7 @@ def _runs(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-DTYPES = ["<u8", "<u8", "<i8", "<u4", "<i4", "<i4"]  # key, content, doc, crc, start, size
+DTYPES = ["<u8", "<u8", "<i8", "<u4", "<i4", "<i4", "<i4"]  # key, content, doc, crc, start, size, place of the key's bytes
 WIDTH, ROW_BYTES = len(DTYPES), sum(np.dtype(t).itemsize for t in DTYPES)
 
 
@@ -158,34 +162,34 @@ def _announce(length: int, slices: int, crowd: int):
         found: list[list[np.ndarray]] = []
         for a, b in _runs(texts):
             begins = np.concatenate([[0], np.cumsum([len(t) for t in texts[a:b]])]).astype(np.int64)
-            owner, start, size, key, content = segments(np.frombuffer(b"".join(texts[a:b]), np.uint8), begins, length)
-            found.append(_typed([key, content, ids[a + owner], crcs[a + owner], start - begins[owner], size]))
+            owner, start, size, key, content, place = segments(np.frombuffer(b"".join(texts[a:b]), np.uint8), begins, length)
+            found.append(_typed([key, content, ids[a + owner], crcs[a + owner], start - begins[owner], size, place]))
         del texts
         if not found:
             return
-        key, content, doc, crc, start, size = (np.concatenate(x) for x in zip(*found))
+        key, content, doc, crc, start, size, place = (np.concatenate(x) for x in zip(*found))
         del found
         if not len(key):
             return
         order = np.lexsort((start, crc, doc, content, key))
-        key, content, doc, crc, start, size = (x[order] for x in (key, content, doc, crc, start, size))
+        key, content, doc, crc, start, size, place = (x[order] for x in (key, content, doc, crc, start, size, place))
         first = np.concatenate([[True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])])
         at = np.flatnonzero(~first)
         if len(at):
-            yield blobs.deal(SPAN, at % slices, [x[at] for x in (key, content, doc, crc, start, size)])
-        key, content, doc, crc, start, size = (x[first] for x in (key, content, doc, crc, start, size))
+            yield blobs.deal(SPAN, at % slices, [x[at] for x in (key, content, doc, crc, start, size, place)])
+        key, content, doc, crc, start, size, place = (x[first] for x in (key, content, doc, crc, start, size, place))
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         counts = np.diff(np.append(begin, len(key)))
         crowded = np.repeat(counts > crowd, counts)
         if crowded.any():
             at = np.flatnonzero(crowded)
-            yield blobs.deal(SINGLE, at % slices, [x[at] for x in (key, content, doc, crc, start, size)])
+            yield blobs.deal(SINGLE, at % slices, [x[at] for x in (key, content, doc, crc, start, size, place)])
             # a note of size 0, so that other rounds' segments of the key follow
             note = begin[counts > crowd]
             size[note] = 0
             crowded[note] = False
         at = np.flatnonzero(~crowded)
-        yield blobs.deal(SEGMENT, (key[at] % np.uint64(slices)).astype(np.int64), [x[at] for x in (key, content, doc, crc, start, size)])
+        yield blobs.deal(SEGMENT, (key[at] % np.uint64(slices)).astype(np.int64), [x[at] for x in (key, content, doc, crc, start, size, place)])
 
     return run
 
@@ -196,10 +200,10 @@ def _compare(slices: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = blobs.Gathered(batches, DTYPES)
         for at in held.keys():
-            key, content, doc, crc, start, size = held.take(at)
+            key, content, doc, crc, start, size, place = held.take(at)
             kind = at[0]
             if kind != SEGMENT:
-                yield blobs.deal(kind, _document_slice(doc, slices), [key, content, doc, crc, start, size])
+                yield blobs.deal(kind, _document_slice(doc, slices), [key, content, doc, crc, start, size, place])
                 continue
             order = np.argsort(key, kind="stable")
             same = key[order][1:] == key[order][:-1]
@@ -208,14 +212,14 @@ def _compare(slices: int, most: int):
             shared[:-1] |= same
             order = order[shared]
             order = order[np.lexsort((start[order], crc[order], doc[order], content[order], key[order]))]
-            key, content, doc, crc, start, size = (x[order] for x in (key, content, doc, crc, start, size))
+            key, content, doc, crc, start, size, place = (x[order] for x in (key, content, doc, crc, start, size, place))
             real = size > 0
             values, at, counts = np.unique(key, return_inverse=True, return_counts=True)
             noted = np.bincount(at, ~real, len(values)) > 0
-            key, content, doc, crc, start, size, at = (x[real] for x in (key, content, doc, crc, start, size, at))
+            key, content, doc, crc, start, size, place, at = (x[real] for x in (key, content, doc, crc, start, size, place, at))
             first = np.ones(len(key), bool)
             first[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
-            columns = [key, content, doc, crc, start, size]
+            columns = [key, content, doc, crc, start, size, place]
             different = np.bincount(at, first, len(values))
             single = (noted | (different > most))[at] & first
             whole = (different > 1)[at] & first & ~single
@@ -231,7 +235,7 @@ def _document_slice(doc: np.ndarray, slices: int) -> np.ndarray:
 
 
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What is to be fetched, a row for each document: doc, crc, kinds, keys, starts, sizes."""
+    """What is to be fetched, a row for each document: doc, crc, kinds, keys, starts, sizes, places."""
     held = blobs.Gathered(batches, DTYPES)
     parts = {}
     for kind, part in held.keys():
@@ -239,14 +243,14 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, kinds in parts.items():
         taken = [(kind, held.take((kind, part))) for kind in kinds]
         kind = np.concatenate([np.full(len(c[0]), k, np.int8) for k, c in taken])
-        key, _, doc, crc, start, size = (np.concatenate(x) for x in zip(*(c for _, c in taken)))
+        key, _, doc, crc, start, size, place = (np.concatenate(x) for x in zip(*(c for _, c in taken)))
         order = np.lexsort((start, crc, doc))
-        kind, key, doc, crc, start, size = (x[order] for x in (kind, key, doc, crc, start, size))
+        kind, key, doc, crc, start, size, place = (x[order] for x in (kind, key, doc, crc, start, size, place))
         first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1])]))
         cut = lambda x: pa.array([p.tobytes() for p in np.split(x, first[1:])], pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[first]), pa.array(crc[first].astype(np.int64)), cut(kind), cut(key), cut(start), cut(size)],
-            ["doc", "crc", "kinds", "keys", "starts", "sizes"],
+            [pa.array(doc[first]), pa.array(crc[first].astype(np.int64)), cut(kind), cut(key), cut(start), cut(size), cut(place)],
+            ["doc", "crc", "kinds", "keys", "starts", "sizes", "places"],
         )
 
 
@@ -277,12 +281,12 @@ def _fetch(length: int, slices: int):
             docs, crcs = (batch.column(i).to_pylist() for i in range(2))
             for i, text in enumerate(batch.column(2)):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                kinds, keys, starts, sizes = (
-                    np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in ((3, np.int8), (4, DTYPES[0]), (5, DTYPES[4]), (6, DTYPES[5]))
+                kinds, keys, starts, sizes, places = (
+                    np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in ((3, np.int8), (4, DTYPES[0]), (5, DTYPES[4]), (6, DTYPES[5]), (7, DTYPES[6]))
                 )
                 at = np.flatnonzero(kinds == WHOLE)
                 if len(at):
-                    whole.append(_typed([keys[at], np.zeros(len(at)), np.full(len(at), docs[i]), np.full(len(at), crcs[i]), starts[at], sizes[at]]))
+                    whole.append(_typed([keys[at], np.zeros(len(at)), np.full(len(at), docs[i]), np.full(len(at), crcs[i]), starts[at], sizes[at], places[at]]))
                     texts += [raw[a : a + z] for a, z in zip(starts[at].tolist(), sizes[at].tolist())]
                     room -= int(sizes[at].sum()) + ROW_BYTES * len(at)
                 at = np.flatnonzero(kinds != WHOLE)
@@ -292,13 +296,13 @@ def _fetch(length: int, slices: int):
                     most = max(1, ROUND_BYTES // ((length + ROW_BYTES) * (length - GRAM + 1)))
                     for a in range(0, len(at), most):
                         begin, count = begins[a : a + most], counts[a : a + most]
-                        places = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
-                        low, high = int(begin[0]), int(places[-1]) + length
-                        cut = raw[low:high]
-                        hashes = _string_hashes(np.frombuffer(cut, np.uint8), places - low, length)
-                        single.append([*hashes, np.full(len(places), docs[i]), np.full(len(places), crcs[i]), places, np.full(len(places), len(raws)), places - low])
+                        start = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
+                        low = int(begin[0])
+                        cut = raw[low : int(start[-1]) + length]
+                        hashes = _string_hashes(np.frombuffer(cut, np.uint8), start - low, length)
+                        single.append([*hashes, np.full(len(start), docs[i]), np.full(len(start), crcs[i]), start, np.full(len(start), len(raws)), start - low])
                         raws.append(cut)
-                        room -= len(cut) + (length + ROW_BYTES) * len(places)
+                        room -= len(cut) + (length + ROW_BYTES) * len(start)
                         if room < 0:
                             yield from flushed(whole, texts, single, raws)
                             room = ROUND_BYTES
@@ -312,12 +316,12 @@ def _fetch(length: int, slices: int):
             columns = [np.concatenate(x) for x in zip(*whole)]
             yield _with_bytes(WHOLE, (columns[0] % np.uint64(slices)).astype(np.int64), columns, texts)
         if single:
-            a, b, doc, crc, start, raw, place = (np.concatenate(x) for x in zip(*single))
+            a, b, doc, crc, start, raw, within = (np.concatenate(x) for x in zip(*single))
             order = np.lexsort((start, crc, doc, b, a))
             new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
             at = order[new]
-            columns = _typed([a[at], np.zeros(len(at)), doc[at], crc[at], start[at], np.full(len(at), length)])
-            strings = [raws[r][p : p + length] for r, p in zip(raw[at].tolist(), place[at].tolist())]
+            columns = _typed([a[at], np.zeros(len(at)), doc[at], crc[at], start[at], np.full(len(at), length), np.zeros(len(at))])
+            strings = [raws[r][p : p + length] for r, p in zip(raw[at].tolist(), within[at].tolist())]
             yield _with_bytes(WHOLE, (columns[0] % np.uint64(slices)).astype(np.int64), columns, strings)
             at = order[~new]
             if len(at):
@@ -335,7 +339,44 @@ def _side_by_side(doc: np.ndarray, crc: np.ndarray, start: np.ndarray, length: i
     first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1]) | (start[1:] > start[:-1] + 1)]))
     extent = start[np.append(first[1:], len(start)) - 1] - start[first] + length
     zero = np.zeros(len(first))
-    return _typed([zero, zero, doc[first], crc[first], start[first], extent])
+    return _typed([zero, zero, doc[first], crc[first], start[first], extent, zero])
+
+
+def _neighbours(key: np.ndarray) -> np.ndarray:
+    """Order by key of those whose key stands more than once."""
+    order = np.argsort(key, kind="stable")
+    same = np.concatenate([[False], key[order][1:] == key[order][:-1], [False]])
+    return order[same[1:] | same[:-1]]
+
+
+def _blocks(order: np.ndarray, key: np.ndarray, size: np.ndarray, most: int) -> list[np.ndarray]:
+    """Rows ordered by key in blocks of whole keys; a new one at the first key after each ``most`` bytes."""
+    block = np.cumsum(size[order], dtype=np.int64) // most
+    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+    block = np.maximum.accumulate(np.where(new, block, 0))
+    return np.split(order, np.flatnonzero(block[1:] != block[:-1]) + 1)
+
+
+def _trimmed(texts: list[bytes], key: np.ndarray, size: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, first string, last string) of whole keys' segments, without the strings at the ends that no other segment has.
+    ``STEP`` strings at a time: those that begin up to so far before the key's bytes, which have ``length - STEP + 1`` bytes in common."""
+    last = size.astype(np.int64) - length
+    place = place.astype(np.int64)
+    low = (place - last) // STEP
+    counts = place // STEP - low + 1
+    segment = np.repeat(np.arange(len(size)), counts)
+    step = np.arange(len(segment)) - np.repeat(np.cumsum(counts) - counts, counts) + low[segment]
+    # the strings of one step, by where they begin in their segment
+    first = np.maximum(place[segment] - (step + 1) * STEP + 1, 0)
+    final = np.minimum(place[segment] - step * STEP, last[segment])
+    begins = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[:-1]
+    hashed = Rolling(np.frombuffer(b"".join(texts), np.uint8)).spans(begins[segment] + place[segment] - step * STEP, length - STEP + 1)
+    kept = _neighbours(_mix(key[segment] ^ _mix(step.astype(np.uint64) + hashed)))
+    left, right = last.copy(), np.full(len(size), -1)
+    np.minimum.at(left, segment[kept], first[kept])
+    np.maximum.at(right, segment[kept], final[kept])
+    at = np.flatnonzero(right >= 0)
+    return at, left[at], right[at]
 
 
 def _sort_shards(length: int, slices: int):
@@ -352,21 +393,23 @@ def _sort_shards(length: int, slices: int):
                     held.setdefault(part, []).append((*packed, text))
         for part in sorted(held):
             *packed, text = (b"".join(x) for x in zip(*held.pop(part)))
-            key, _, doc, crc, start, size = (np.frombuffer(x, t) for x, t in zip(packed, DTYPES))
+            key, _, doc, crc, start, size, place = (np.frombuffer(x, t) for x, t in zip(packed, DTYPES))
             ends = np.cumsum(size, dtype=np.int64)
-            order = np.argsort(key, kind="stable")
             # what has a key alone has no string in common with any other
-            same = np.concatenate([[False], key[order][1:] == key[order][:-1], [False]])
-            order = order[same[1:] | same[:-1]]
-            if not len(order):
+            order = _neighbours(key)
+            left: list[list[np.ndarray]] = []
+            for rows in _blocks(order, key, size, SHARD_BYTES) if len(order) else []:
+                cut = [text[ends[i] - size[i] : ends[i]] for i in rows.tolist()]
+                at, first, last = _trimmed(cut, key[rows], size[rows], place[rows], length)
+                left.append([rows[at], first, last])
+            if not left:
                 continue
-            # a new shard at the first key after each SHARD_BYTES
-            shard = np.cumsum(size[order], dtype=np.int64) // SHARD_BYTES
-            new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-            shard = np.maximum.accumulate(np.where(new, shard, 0))
-            for rows in np.split(order, np.flatnonzero(shard[1:] != shard[:-1]) + 1):
+            rows, first, last = (np.concatenate(x) for x in zip(*left))
+            begin, key, doc, crc, start = ends[rows] - size[rows] + first, key[rows], doc[rows], crc[rows], start[rows] + first
+            size = last - first + length
+            for rows in _blocks(np.arange(len(rows)), key, size, SHARD_BYTES) if len(rows) else []:
                 rows = rows[np.lexsort((start[rows], crc[rows], doc[rows]))]
-                found = repeats([text[ends[i] - size[i] : ends[i]] for i in rows.tolist()], length)
+                found = repeats([text[a : a + z] for a, z in zip(begin[rows].tolist(), size[rows].tolist())], length)
                 where = np.repeat(rows, [len(f) for f in found])
                 if not len(where):
                     continue
@@ -380,7 +423,7 @@ def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document: its removed runs, apart from each other, in order."""
     held = blobs.Gathered(batches, DTYPES)
     for key in held.keys():
-        _, _, doc, crc, start, size = held.take(key)
+        _, _, doc, crc, start, size, _ = held.take(key)
         order = np.lexsort((start, crc, doc))
         doc, crc = doc[order], crc[order].astype(np.int64)
         start, end = start[order].astype(np.int64), (start + size)[order].astype(np.int64)
@@ -410,13 +453,13 @@ def removed(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: st
     wanted = materialize(
         compared.filter(F.col("kind") != SPAN)
         .repartitionById(parts, "slice")
-        .mapInArrow(_by_document, "doc long, crc long, kinds binary, keys binary, starts binary, sizes binary"),
+        .mapInArrow(_by_document, "doc long, crc long, kinds binary, keys binary, starts binary, sizes binary, places binary"),
         "suffix-wanted",
     )
     amounts = {r.kind: r.n for r in compared.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     volume = amounts.get(WHOLE, 0) * 2 * length + amounts.get(SINGLE, 0) * ((length - GRAM) // 4 + 1) * 2 * length
     shards = max(least, volume // PARTITION_BYTES + 1)
-    fetched = source.join(wanted.hint("shuffle_hash"), ["doc", "crc"]).select("doc", "crc", "text", "kinds", "keys", "starts", "sizes")
+    fetched = source.join(wanted.hint("shuffle_hash"), ["doc", "crc"]).select("doc", "crc", "text", "kinds", "keys", "starts", "sizes", "places")
     sorted_ = (
         fetched.mapInArrow(_fetch(length, shards), blobs.schema(WIDTH) + ", bytes binary")
         .repartitionById(shards, "slice")
@@ -478,16 +521,18 @@ def clean(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = list(batch.columns[: len(names)])
-            new = []
-            for value, starts, ends in zip(columns[at], batch.column(len(names)), batch.column(len(names) + 1)):
-                if starts.as_py() is None:
-                    new.append(value.as_py())
-                else:
-                    left, _ = _kept(value.as_py().encode("utf-8", "surrogatepass"), starts.as_py(), ends.as_py())
-                    new.append(left.decode("utf-8", "ignore"))
-            columns[at] = pa.array(new, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(names))])
+            for begin, end in _rounds(batch.column(at), ROUND_BYTES):
+                part = batch.slice(begin, end - begin)
+                columns = list(part.columns[: len(names)])
+                new = []
+                for value, starts, ends in zip(columns[at], part.column(len(names)), part.column(len(names) + 1)):
+                    if starts.as_py() is None:
+                        new.append(value.as_py())
+                    else:
+                        left, _ = _kept(value.as_py().encode("utf-8", "surrogatepass"), starts.as_py(), ends.as_py())
+                        new.append(left.decode("utf-8", "ignore"))
+                columns[at] = pa.array(new, batch.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(names))])
 
     kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
     out = joined.select(*numbered.columns, "starts", "ends").mapInArrow(run, kinds)

@@ -436,6 +436,28 @@ def test_strings_of_a_phrase_in_different_contexts_are_not_fetched():
         assert list(suffix_dedup._compare(1, crowded)(announced)) == []
 
 
+def test_strings_that_no_other_segment_has_are_not_sorted():
+    """Random segments around a phrase, some of which share more; nothing that repeats is lost."""
+    rng = np.random.default_rng(6)
+    phrase = _letters(rng, 70)
+    sides = [(_letters(rng, 60), _letters(rng, 60)) for _ in range(4)]
+    texts = [_letters(rng, 40) + sides[rng.integers(4)][0][-int(rng.integers(1, 60)) :] + phrase + sides[rng.integers(4)][1][: int(rng.integers(60))] + _letters(rng, 40) for _ in range(200)]
+    raw = [t.encode() for t in texts]
+    begins = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
+    owner, start, size, key, _, place = suffix_dedup.segments(np.frombuffer(b"".join(raw), np.uint8), begins, 100)
+    order = suffix_dedup._neighbours(key)
+    cut = [raw[o][s - begins[o] : s - begins[o] + z] for o, s, z in zip(owner[order], start[order], size[order])]
+    at, first, last = suffix_dedup._trimmed(cut, key[order], size[order], place[order], 100)
+    kept = {(i, p) for i, a, b in zip(at.tolist(), first.tolist(), last.tolist()) for p in range(a, b + 1)}
+    strings = defaultdict(list)
+    for i, text in enumerate(cut):
+        for p in range(len(text) - 99):
+            strings[text[p : p + 100]].append((i, p))
+    repeated = {x for places in strings.values() if len(places) > 1 for x in places}
+    assert repeated and repeated <= kept
+    assert len(kept) < 0.7 * sum(map(len, strings.values()))
+
+
 def _peak(rows):
     tracemalloc.start()
     for _ in rows:
@@ -456,9 +478,9 @@ def test_memory_of_a_task_does_not_grow_with_its_batches():
     # texts whose strings all travel alone
     peaks = []
     for n in (10, 40):
-        packed = [np.array([value], kind).tobytes() for value, kind in ((suffix_dedup.SINGLE, np.int8), (1, np.uint64), (0, suffix_dedup.DTYPES[4]), (20_000, suffix_dedup.DTYPES[5]))]
+        packed = [np.array([value], kind).tobytes() for value, kind in ((suffix_dedup.SINGLE, np.int8), (1, np.uint64), (0, suffix_dedup.DTYPES[4]), (20_000, suffix_dedup.DTYPES[5]), (0, np.int32))]
         columns = [pa.array(range(n)), pa.array([1] * n), pa.array(texts[:n]), *[pa.array([x] * n, pa.binary()) for x in packed]]
-        batch = pa.RecordBatch.from_arrays(columns, ["doc", "crc", "text", "kinds", "keys", "starts", "sizes"])
+        batch = pa.RecordBatch.from_arrays(columns, ["doc", "crc", "text", "kinds", "keys", "starts", "sizes", "places"])
         peaks.append(_peak(suffix_dedup._fetch(100, 8)(iter([batch]))))
     assert peaks[1] < 1.5 * peaks[0]
 
